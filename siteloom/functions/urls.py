@@ -23,35 +23,25 @@ def url_part(u: Column, name: str) -> Column:
     return F.lower(c) if name in ("scheme", "host") else c
 
 
-def _port_suffix(scheme: Column, port: Column) -> Column:
-    standard = ((scheme == "https") & (port == "443")) | ((scheme == "http") & (port == "80")) | (port == "")
-    return F.when(standard, "").otherwise(F.concat(F.lit(":"), port))
+def absolute_url(u: Column) -> Column:
+    """Case, port and empty-path normal form of an absolute http(s) URL, JVM side; null for anything else."""
+    t = trim_ws(u)
+    site = F.regexp_replace(F.lower(F.regexp_extract(t, r"^((?i:https?)://[^/?#]+)", 1)),
+                            r"^(?:(https://.*?):443|(http://.*?):80|(.*?):?)$", "$1$2$3")
+    rest = F.regexp_extract(t, r"(?s)^[A-Za-z]+://[^/?#]*(.*)$", 1)
+    return F.when(site != "", F.concat(site, F.when(rest.startswith("/"), "").otherwise("/"), rest))
 
 
 def origin(u: Column) -> Column:
-    """scheme://host[:port] with the default port dropped; null when the value is not an absolute URL."""
-    scheme = url_part(u, "scheme")
-    text = F.concat(scheme, F.lit("://"), url_part(u, "host"), _port_suffix(scheme, url_part(u, "port")))
-    return F.when(scheme != "", text)
+    """Scheme, host and port of a normalised URL; '' when it has none."""
+    return F.regexp_extract(u, r"^([a-z]+://(?:[^/?#@]*@)?[^/?#]*)", 1)
 
 
 def path_of(u: Column) -> Column:
-    p = url_part(u, "path")
+    p = F.regexp_extract(u, r"^[a-z]+://[^/?#]*(/[^?#]*)", 1)
     return F.when(p == "", "/").otherwise(p)
 
 
-def absolute_url(u: Column) -> Column:
-    """Case, port and empty-path normal form of an absolute http(s) URL, JVM side; null for anything else."""
-    t = trim_ws(u)
-    rest = F.regexp_extract(t, r"(?s)^[^?#]*((?:\?[^#]*)?(?:#.*)?)$", 1)
-    user = url_part(t, "userinfo")
-    creds = F.when(user == "", "").otherwise(F.concat(user, F.lit("@")))
-    scheme = url_part(t, "scheme")
-    text = F.concat(scheme, F.lit("://"), creds, url_part(t, "host"), _port_suffix(scheme, url_part(t, "port")),
-                    path_of(t), rest)
-    return F.when(scheme.isin("http", "https") & (url_part(t, "host") != ""), text)
-
-
 _SAFE = "!$%&'()*+,-./:;=@_~"
 
 
@@ -95,48 +85,50 @@ def _form_decode(c: Column) -> Column:
     return F.coalesce(F.try_url_decode(c), F.replace(c, F.lit("+"), F.lit(" ")))
 
 
-def canonical_crawl_url(u: Column, base: Column) -> Column:
-    """Crawl form of an absolute URL: same origin as base, no fragment, no tracking, parameters sorted by name.
-
-    Null for another origin, credentials, more than 12 remaining parameters, or an asset extension.
-    """
-    entries = F.filter(F.split(url_part(u, "query"), "&"), lambda p: p != "")
+def _kept_params(u: Column) -> Column:
+    entries = F.filter(F.split(F.regexp_extract(u, r"(?s)^[^?#]*\?([^#]*)", 1), "&"), lambda p: p != "")
     pairs = F.transform(entries, lambda p, i: F.struct(
         _form_decode(F.regexp_extract(p, "(?s)^([^=]*)", 1)).alias("k"), i.alias("i"),
         _form_decode(F.regexp_extract(p, "(?s)^[^=]*=?(.*)$", 1)).alias("v")))
-    kept = F.filter(pairs, lambda p: ~(F.lower(p["k"]).startswith("utm_") | F.lower(p["k"]).isin(K.TRACKING_PARAMS)))
-    query = F.array_join(F.transform(F.array_sort(kept), lambda p: F.concat(
-        F.url_encode(p["k"]), F.lit("="), F.url_encode(p["v"]))), "&")
-    path = path_of(u)
-    text = F.concat(origin(u), path, F.when(F.size(kept) == 0, "").otherwise(F.concat(F.lit("?"), query)))
-    ok = (url_part(u, "scheme").isin("http", "https") & (origin(u) == origin(base)) & (url_part(u, "userinfo") == "")
-          & (F.size(kept) <= K.MAX_QUERY_PARAMS) & ~path.rlike(rf"(?i)\.(?:{K.ASSET_EXTENSIONS})$"))
-    return F.when(ok, text)
+    return F.filter(pairs, lambda p: ~(F.lower(p["k"]).startswith("utm_") | F.lower(p["k"]).isin(K.TRACKING_PARAMS)))
 
 
 def canonicalize_urls(df: DataFrame, url: str, base: str, out: str = "canonical_url", resolved: bool = False) -> DataFrame:
-    """Add the crawl form of ``url`` within the site of ``base``; ``resolved=True`` when URLs are already absolute."""
+    """Add the crawl form of ``url`` within the site of ``base``; ``resolved=True`` when URLs are already absolute.
+
+    Same origin, no fragment, no tracking, parameters sorted by name; null for another origin, credentials, more than
+    12 remaining parameters, or an asset extension.
+    """
     absolute = absolute_url(F.col(url)) if resolved else resolve_url(F.col(url), F.col(base))
-    return (df.withColumn("__abs", absolute)
-              .withColumn(out, canonical_crawl_url(F.col("__abs"), F.col(base))).drop("__abs"))
+    staged = (df.withColumn("__abs", absolute)
+                .withColumns({"__site": origin(F.col("__abs")), "__path": path_of(F.col("__abs")),
+                              "__kept": _kept_params(F.col("__abs"))}))
+    c = F.col
+    pairs = F.array_join(F.transform(F.array_sort(c("__kept")), lambda p: F.concat(
+        F.url_encode(p["k"]), F.lit("="), F.url_encode(p["v"]))), "&")
+    text = F.concat(c("__site"), c("__path"), F.when(F.size("__kept") == 0, "").otherwise(F.concat(F.lit("?"), pairs)))
+    ok = (c("__site").rlike("^https?://") & (c("__site") == origin(absolute_url(c(base)))) & ~c("__site").contains("@")
+          & (F.size("__kept") <= K.MAX_QUERY_PARAMS) & ~c("__path").rlike(rf"(?i)\.(?:{K.ASSET_EXTENSIONS})$"))
+    return staged.withColumn(out, F.when(ok, text)).drop("__abs", "__site", "__path", "__kept")
 
 
-def _drop_trailing_slashes(path: Column) -> Column:
-    return F.when(path == "/", path).otherwise(F.regexp_replace(path, "/+$", ""))
+def _trim_slashes(u: Column) -> Column:
+    """Drop the slashes after the last path segment; a path of slashes only becomes one slash."""
+    rooted = F.regexp_replace(u, r"(?s)^([a-z]+://[^/?#]*)//+(\?.*)?$", "$1/$2")
+    return F.regexp_replace(rooted, r"(?s)^([a-z]+://[^/?#]*/[^?#]*?[^/?#])/+(\?.*)?$", "$1$2")
 
 
 def normalize_issue_url(raw: Column) -> Column:
     """No fragment, no trailing slash, query kept; unparsable values lower-cased; null is site-wide."""
-    u = absolute_url(raw)
-    query = F.regexp_extract(u, r"(?s)^[^?#]*(\?[^#]+)", 1)
-    text = F.concat(origin(u), _drop_trailing_slashes(path_of(u)), query)
+    bare = F.regexp_replace(absolute_url(raw), "(?s)#.*$", "")
+    text = _trim_slashes(bare)
     return F.when(raw.isNull() | (raw == ""), "site-wide").otherwise(F.coalesce(text, F.lower(trim_ws(raw))))
 
 
 def normalize_link_url(raw: Column) -> Column:
     """As normalize_issue_url without the query; unparsable values stay as they are."""
-    u = absolute_url(raw)
-    return F.coalesce(F.concat(origin(u), _drop_trailing_slashes(path_of(u))), raw)
+    bare = F.regexp_replace(absolute_url(raw), r"(?s)[?#].*$", "")
+    return F.coalesce(_trim_slashes(bare), raw)
 
 
 def path_segments(u: Column) -> Column:
@@ -152,8 +144,7 @@ def path_parent(u: Column) -> Column:
 def decoded_path(u: Column) -> Column:
     """Percent-decoded path with - and _ as blanks; the whole URL when it cannot be decoded."""
     spaced = F.regexp_replace(path_of(u), "[-_]", " ")
-    return F.coalesce(F.when(url_part(u, "scheme") != "",
-                             F.try_url_decode(F.replace(spaced, F.lit("+"), F.lit("%2B")))), u)
+    return F.coalesce(F.when(origin(u) != "", F.try_url_decode(F.replace(spaced, F.lit("+"), F.lit("%2B")))), u)
 
 
 def anchor_text(first_h1: Column, title: Column, u: Column) -> Column:

@@ -7,11 +7,13 @@ pages live in a child table instead of an evidence text.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from siteloom.functions import constants as K
 from siteloom.functions.text import js_length, trim_ws
-from siteloom.functions.urls import absolute_url, origin, url_part
+from siteloom.functions.urls import absolute_url, origin
 
 SITE_SEQ = 1 << 60
 ISSUE_COLUMNS = ["audit_id", "seq", "rule_no", "code", "severity", "title", "description", "recommendation", "url",
@@ -20,9 +22,13 @@ _NUMBER = {row[0]: i for i, row in enumerate(K.FINDINGS)}
 HTML_TYPES = r"(?i)text/html|application/xhtml\+xml"
 
 
+_NAMES = ["code", "severity", "title", "description", "recommendation"]
+_CATALOGUE = json.dumps([dict(zip(_NAMES, row[1:])) for row in K.FINDINGS])
+
+
 def _catalogue() -> Column:
-    names = ["code", "severity", "title", "description", "recommendation"]
-    return F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(names, row[1:])]) for row in K.FINDINGS])
+    """The fixed texts as one constant; the optimizer folds it to an array literal."""
+    return F.from_json(F.lit(_CATALOGUE), "array<struct<" + ",".join(f"{n}:string" for n in _NAMES) + ">>")
 
 
 def with_texts(hits: DataFrame) -> DataFrame:
@@ -55,9 +61,12 @@ def detect_page_issues(pages: DataFrame) -> DataFrame:
     are resolved here.
     """
     c = F.col
-    n_title, n_description = js_length(c("title")), js_length(c("description"))
-    resolved = c("canonical_resolved") if "canonical_resolved" in pages.columns else absolute_url(c("canonical"))
-    web = F.coalesce(url_part(resolved, "scheme").isin("http", "https"), F.lit(False))
+    target = c("canonical_resolved") if "canonical_resolved" in pages.columns else absolute_url(c("canonical"))
+    pages = (pages.withColumns({"__target": target, "__len_t": js_length(c("title")),
+                                "__len_d": js_length(c("description"))})
+                  .withColumn("__site", F.coalesce(origin(c("__target")), F.lit(""))))
+    n_title, n_description, resolved = c("__len_t"), c("__len_d"), c("__target")
+    web = c("__site").rlike("^https?://")
     blank = F.lit(None).cast("string")
 
     def hit(key: str, evidence: Column = blank) -> Column:
@@ -79,8 +88,8 @@ def detect_page_issues(pages: DataFrame) -> DataFrame:
          .when(c("h1_count") > 1, hit("h1-multiple", sized(c("h1_count"), "H1 elements"))),
         F.when(c("canonical") == "", hit("canonical-missing"))
          .when(~web, hit("canonical-invalid", c("canonical")))
-         .when(origin(resolved) != origin(c("url")), hit("canonical-cross-origin", resolved)),
-        F.when((c("canonical") != "") & web & (url_part(resolved, "fragment") != ""),
+         .when(c("__site") != origin(c("url")), hit("canonical-cross-origin", resolved)),
+        F.when((c("canonical") != "") & web & resolved.rlike("#."),
                hit("canonical-fragment", resolved)),
         F.when(c("robots").rlike(r"(?i)\bnoindex\b"), hit("meta-noindex", c("robots"))),
         F.when(c("lang") == "", hit("lang-missing")),

@@ -24,23 +24,29 @@ def expand_issue_occurrences(issues: DataFrame) -> DataFrame:
     return issues.select(*rest, F.explode_outer(issue_urls(F.col("url"), F.col("evidence"))).alias("url"))
 
 
-def audit_score(issues: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Score per audit from ungrouped issues and (audit_id, pages_scanned).
+def issue_url_counts(issues: DataFrame) -> DataFrame:
+    """Issues per (group, URL): the one wide shuffle that scores and group counts share.
 
-    The first aggregate is keyed by URL as well, so a hot audit or rule is spread over the cluster; what follows works
-    on at most one row per (audit, rule).
+    The key holds the URL, so a hot audit or rule is spread over the cluster; later steps see one row per rule.
     """
-    affected_hint = F.col("n_affected") if "n_affected" in issues.columns else F.lit(None).cast("long")
-    spread = issues.select("audit_id", "code", "severity", affected_hint.alias("hint"),
+    hint = F.col("n_affected") if "n_affected" in issues.columns else F.lit(None).cast("long")
+    spread = issues.select(*GROUP, hint.alias("hint"),
                            F.posexplode_outer(issue_urls(F.col("url"), F.col("evidence"))).alias("pos", "u"))
-    per_url = spread.groupBy("audit_id", "code", "severity", "u").agg(
+    return spread.groupBy(*GROUP, "u").agg(
         F.count_if(F.coalesce(F.col("pos"), F.lit(0)) == 0).alias("n"), F.max("hint").alias("hint"))
+
+
+def audit_score(counts: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Score per audit from issue_url_counts and (audit_id, pages_scanned)."""
+    per_url = counts.groupBy("audit_id", "code", "severity", "u").agg(F.sum("n").alias("n"), F.max("hint").alias("hint"))
     per_rule = per_url.groupBy("audit_id", "code", "severity").agg(
         F.sum("n").alias("n"), F.count("u").alias("urls"), F.max("hint").alias("hint"))
     rated = per_rule.join(sizes.select("audit_id", "pages_scanned"), "audit_id")
     affected = F.greatest("n", "urls", F.coalesce("hint", F.lit(0)), F.lit(1)).cast("double")
-    share = F.least(F.lit(1.0), affected / F.greatest(F.lit(1), F.col("pages_scanned")))
-    breadth = F.lit(1.0) + F.least(F.lit(1.0), F.log2(affected + 1) / 4) + F.least(F.lit(0.35), share * 0.35)
+    rated = rated.withColumn("affected", affected)
+    share = F.least(F.lit(1.0), F.col("affected") / F.greatest(F.lit(1), F.col("pages_scanned")))
+    breadth = (F.lit(1.0) + F.least(F.lit(1.0), F.log2(F.col("affected") + 1) / 4)
+               + F.least(F.lit(0.35), share * 0.35))
     severity = F.col("severity")
     penalty = F.least(lookup(severity, K.ISSUE_CAP), lookup(severity, K.SEVERITY_BASE) * breadth)
     per_severity = rated.groupBy("audit_id", "severity").agg(F.sum(penalty).alias("penalty"))
@@ -51,6 +57,12 @@ def audit_score(issues: DataFrame, sizes: DataFrame) -> DataFrame:
         clamp(js_round(100 - F.coalesce("penalty", F.lit(0.0))), 0, 100).cast("int").alias("score"))
 
 
+def group_counts(counts: DataFrame) -> DataFrame:
+    """Issue groups and findings per audit from issue_url_counts."""
+    groups = counts.groupBy(*GROUP).agg(F.sum("n").alias("n"))
+    return groups.groupBy("audit_id").agg(F.count(F.lit(1)).alias("issue_count"), F.sum("n").alias("finding_count"))
+
+
 def grouped_issue_parts(issues: DataFrame) -> DataFrame:
     """Child rows of the issue groups: each distinct URL (kind u) and evidence block (kind e) at its first position.
 

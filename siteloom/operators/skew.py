@@ -42,3 +42,17 @@ def top_per_key(df: DataFrame, keys: list[str], order: list, k: int, rank: str |
     name = rank or "__rank"
     ranked = df.withColumn(name, F.row_number().over(W.partitionBy(*keys).orderBy(*order))).filter(F.col(name) <= k)
     return ranked if rank else ranked.drop(name)
+
+
+def bucketed_sum(df: DataFrame, keys: list[str], bucket: Column, order: list, amount: Column, out: str) -> DataFrame:
+    """Exact running sum per ``keys`` (current row included)."""
+    tagged = df.withColumn("__bucket", bucket).withColumn("__amount", amount)
+    totals = tagged.groupBy(*keys, "__bucket").agg(F.sum("__amount").alias("__n"))
+    before = W.partitionBy(*keys).orderBy("__bucket").rowsBetween(W.unboundedPreceding, -1)
+    offsets = totals.select(*[F.col(k).alias(f"__k_{k}") for k in keys], F.col("__bucket").alias("__b"),
+                            F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset"))
+    local = W.partitionBy(*keys, "__bucket").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    joined = tagged.withColumn("__local", F.sum("__amount").over(local)).join(
+        offsets, on=[F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in keys] + [F.col("__bucket").eqNullSafe(F.col("__b"))])
+    return (joined.withColumn(out, F.col("__offset") + F.col("__local"))
+                  .drop("__bucket", "__amount", "__b", "__local", "__offset", *[f"__k_{k}" for k in keys]))

@@ -41,11 +41,9 @@ def audit_pages(pages: DataFrame, links: DataFrame, robots: DataFrame | None = N
         issues = issues.unionByName(more)
     children = scoring.grouped_issue_parts(issues)
     groups = scoring.group_issues(children)
-    score = scoring.audit_score(issues, roots)
-    counts = issues.groupBy("audit_id", "code", "severity", "title", "recommendation").agg(
-        F.count(F.lit(1)).alias("n")).groupBy("audit_id").agg(F.count(F.lit(1)).alias("issue_count"),
-                                                             F.sum("n").alias("finding_count"))
-    header = (roots.join(score.select("audit_id", "score"), "audit_id").join(counts, "audit_id", "left")
+    counts = scoring.issue_url_counts(issues)
+    score = scoring.audit_score(counts, roots)
+    header = (roots.join(score.select("audit_id", "score"), "audit_id").join(scoring.group_counts(counts), "audit_id", "left")
               .withColumn("issue_count", F.coalesce("issue_count", F.lit(0)).cast("long"))
               .withColumn("finding_count", F.coalesce("finding_count", F.lit(0)).cast("long")))
     if frontier is not None:

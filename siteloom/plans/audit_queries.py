@@ -168,7 +168,7 @@ def fixture_issues(spark, sf_dir):
        "SELECT audit_id, pages_scanned, score FROM scores")
 def q_scores(spark, sf_dir):
     sizes = table(spark, sf_dir, "fx_audits").select("audit_id", "pages_scanned")
-    return scoring.audit_score(fixture_issues(spark, sf_dir), sizes)
+    return scoring.audit_score(scoring.issue_url_counts(fixture_issues(spark, sf_dir)), sizes)
 
 
 _GROUP_SQL = """SELECT audit_id, code, severity, title, count(*) AS n_issues, count(DISTINCT url) AS n_urls,

@@ -81,6 +81,13 @@ SELECT CAST(floor(event_id / 4) AS BIGINT) AS job_id, event_id AS seq, ts,
        WHEN CAST(floor(event_id / 4) AS BIGINT) % 3 = 0 THEN 'completed' WHEN CAST(floor(event_id / 4) AS BIGINT) % 3 = 1 THEN 'failed' ELSE 'running' END AS status,
   CAST(CAST(floor(event_id / 4) AS BIGINT) % 4 AS INT) AS attempts FROM {events}""",
 }
+# Same rows as the text above; written with a generator, which reads the pages once.
+SPARK_FORM = {
+    "fx_links": """
+SELECT s.audit_id, s.page_id AS src_id, s.url AS src, t.url AS dst, k AS position
+FROM (SELECT audit_id, page_id, url, explode(array(1, 2, 3)) AS k FROM {fx_pages}) s
+JOIN {fx_pages} t ON t.page_id = s.page_id + 10 * k * (1 + s.page_id % 3)""",
+}
 _REF = re.compile(r"\{(\w+)\}")
 
 
@@ -88,7 +95,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A landed or derived table as a lazy DataFrame."""
     if name in LANDED:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    sql = DERIVED[name]
+    sql = SPARK_FORM.get(name, DERIVED[name])
     inputs = {ref: table(spark, sf_dir, ref) for ref in dict.fromkeys(_REF.findall(sql))}
     return spark.sql(sql, **inputs)
 
