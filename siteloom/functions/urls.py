@@ -118,17 +118,25 @@ def _trim_slashes(u: Column) -> Column:
     return F.regexp_replace(rooted, r"(?s)^([a-z]+://[^/?#]*/[^?#]*?[^/?#])/+(\?.*)?$", "$1$2")
 
 
+# Most stored URLs are in normal form already; one test spares them the chain of rewrites.
+_CLEAN = r"^https?://[a-z0-9.\-]+/[\w.~%!$&'()*+,;=@/\-]*[\w.~%!$&'()*+,;=@\-]$"
+_CLEAN_SLASH = r"^https?://[a-z0-9.\-]+/[\w.~%!$&'()*+,;=@\-][\w.~%!$&'()*+,;=@/\-]*/$"
+
+
 def normalize_issue_url(raw: Column) -> Column:
     """No fragment, no trailing slash, query kept; unparsable values lower-cased; null is site-wide."""
     bare = F.regexp_replace(absolute_url(raw), "(?s)#.*$", "")
     text = _trim_slashes(bare)
-    return F.when(raw.isNull() | (raw == ""), "site-wide").otherwise(F.coalesce(text, F.lower(trim_ws(raw))))
+    return (F.when(raw.isNull() | (raw == ""), "site-wide").when(raw.rlike(_CLEAN), raw)
+             .when(raw.rlike(_CLEAN_SLASH), F.rtrim(raw, F.lit("/")))
+             .otherwise(F.coalesce(text, F.lower(trim_ws(raw)))))
 
 
 def normalize_link_url(raw: Column) -> Column:
     """As normalize_issue_url without the query; unparsable values stay as they are."""
     bare = F.regexp_replace(absolute_url(raw), r"(?s)[?#].*$", "")
-    return F.coalesce(_trim_slashes(bare), raw)
+    return (F.when(raw.rlike(_CLEAN), raw).when(raw.rlike(_CLEAN_SLASH), F.rtrim(raw, F.lit("/")))
+             .otherwise(F.coalesce(_trim_slashes(bare), raw)))
 
 
 def path_segments(u: Column) -> Column:

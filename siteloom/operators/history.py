@@ -49,14 +49,15 @@ def audit_trend(audits: DataFrame) -> DataFrame:
 def _both_sides(rows: DataFrame, pairs: DataFrame) -> DataFrame:
     """Rows of each audit under its own id (current) and under the id of the audit that follows it (previous).
 
-    Every audit precedes at most one other, so this at most doubles the rows, whatever the skew.
+    Every audit precedes at most one other, so one join at most doubles the rows, whatever the skew.
     """
-    pairs = pairs.filter("previous_audit_id is not null")
-    now = rows.join(pairs.select("audit_id"), "audit_id").withColumn("current", F.lit(True))
-    before = (rows.withColumnRenamed("audit_id", "previous_audit_id")
-                  .join(pairs.select("audit_id", "previous_audit_id"), "previous_audit_id")
-                  .drop("previous_audit_id").withColumn("current", F.lit(False)))
-    return now.unionByName(before)
+    pairs = pairs.filter("previous_audit_id is not null").select("audit_id", "previous_audit_id")
+    roles = pairs.select(F.explode(F.array(
+        F.struct(F.col("audit_id").alias("of"), F.col("audit_id").alias("pair"), F.lit(True).alias("current")),
+        F.struct(F.col("previous_audit_id").alias("of"), F.col("audit_id").alias("pair"),
+                 F.lit(False).alias("current")))).alias("r")).select("r.*")
+    joined = rows.withColumnRenamed("audit_id", "of").join(roles, "of")
+    return joined.drop("of").withColumnRenamed("pair", "audit_id")
 
 
 def issue_diff(issues: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F
 
 from siteloom.functions import constants as K
 from siteloom.functions.text import lookup
@@ -31,24 +30,11 @@ def usage_by_month(events: DataFrame) -> DataFrame:
         *[F.sum(F.when(F.col("metric") == m, F.col("amount")).otherwise(0)).alias(m) for m in K.USAGE_LIMITS])
 
 
-def _walk(limits: dict) -> object:
-    """Sequential admission of the few candidates left after the limit is first hit."""
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        left = int(pdf["left"].iloc[0])
-        admitted = []
-        for event_id, amount in pdf.sort_values(["ts", "event_id"])[["event_id", "amount"]].itertuples(index=False):
-            if amount <= left:
-                left -= amount
-                admitted.append(event_id)
-        return pd.DataFrame({"event_id": pd.Series(admitted, dtype="int64")})
-    return run
-
-
 def usage_quota(events: DataFrame, limits: dict[str, int] | None = None) -> DataFrame:
     """Admission per (owner, month, metric) in time order: an amount that would pass the limit is rejected and not added.
 
     Everything up to the first overshoot follows from a running sum. After it fewer than ``limit`` units remain, so per
-    amount only the earliest ``limit`` later events can matter: that bounds what one task walks through, for any key.
+    amount v only the earliest left/v later events can be admitted: that bounds what is walked in order, for any key.
     """
     limits = limits or K.USAGE_LIMITS
     keys = ["owner_key", "period", "metric"]
@@ -60,10 +46,15 @@ def usage_quota(events: DataFrame, limits: dict[str, int] | None = None) -> Data
     used = summed.groupBy(*keys).agg(F.max(F.when(F.col("fits"), F.col("running"))).alias("used"))
     tail = (summed.filter("not fits").join(used, keys)
             .withColumn("left", F.col("quota") - F.coalesce("used", F.lit(0))).filter("amount <= left"))
-    candidates = top_per_key(tail, [*keys, "amount"], ["ts", "event_id"], max(limits.values()))
-    late = (candidates.select(*keys, "ts", "event_id", "amount", "left").groupBy(*keys)
-            .applyInPandas(_walk(limits), T.StructType([T.StructField("event_id", T.LongType())]))
-            .withColumn("late", F.lit(True)))
+    candidates = top_per_key(tail, [*keys, "amount"], ["ts", "event_id"], max(limits.values()), "nth").filter(
+        F.col("nth") <= F.col("left") / F.col("amount"))
+    queued = candidates.groupBy(*keys).agg(F.max("left").alias("left"), F.array_sort(F.collect_list(
+        F.struct("ts", "event_id", F.col("amount").cast("long").alias("amount")))).alias("queue"))
+    walked = F.aggregate("queue", F.struct(F.col("left"), F.array().cast("array<bigint>").alias("ids")),
+                         lambda s, e: F.when(e["amount"] <= s["left"], F.struct(
+                             (s["left"] - e["amount"]).alias("left"),
+                             F.array_append(s["ids"], e["event_id"]).alias("ids"))).otherwise(s))
+    late = queued.select(F.explode(walked["ids"]).alias("event_id")).withColumn("late", F.lit(True))
     return (summed.join(late, "event_id", "left")
                   .select("event_id", *keys, "amount", (F.col("fits") | F.coalesce("late", F.lit(False))).alias("admitted")))
 

@@ -24,4 +24,4 @@ def query(name: str, oracle: str | None = None):
 
 def load_all() -> None:
     """Import every module that registers queries."""
-    from siteloom.plans import audit_queries, history_queries, keyword_queries, search_queries  # noqa: F401
+    from siteloom.plans import audit_queries, history_queries, keyword_queries, link_queries, search_queries  # noqa: F401
