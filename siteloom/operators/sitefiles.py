@@ -72,7 +72,7 @@ def robots_filter(urls: DataFrame, rules: DataFrame, url: str = "url") -> DataFr
     target = F.concat(U.path_of(c(url)), F.regexp_extract(url, r"(?s)^[^?#]*(\?[^#]*)", 1))
     joined = urls.withColumn("__path", target).join(packed, "audit_id", "left")
     hits = F.filter("rules", lambda r: F.when(r["plain"], c("__path").startswith(r["pattern"])).otherwise(
-        c("__path").rlike(r["regex"])))
+        F.rlike(c("__path"), r["regex"])))
     best = F.array_max(F.transform(hits, lambda r: F.struct(r["specificity"], r["allow"])))
     return joined.withColumn("allowed", F.coalesce(best["allow"], F.lit(True))).drop("rules", "__path")
 

@@ -49,7 +49,7 @@ def _meta(text: str, n: int) -> str:
 
 
 _BRIEFS = f"""{_PROFILE}, h AS (SELECT *, {_TITLE} AS h1 FROM profiles),
- t AS (SELECT *, concat(h1, ' — ', CASE page_type WHEN 'comparison' THEN 'Comparison & Selection Guide' WHEN 'landing' THEN 'Services & Solutions' ELSE 'Practical Guide' END) AS full_title,
+ t AS (SELECT * EXCLUDE (name), concat(h1, ' — ', CASE page_type WHEN 'comparison' THEN 'Comparison & Selection Guide' WHEN 'landing' THEN 'Services & Solutions' ELSE 'Practical Guide' END) AS full_title,
    concat('Explore ', primary_keyword, ', key considerations, practical steps, and clear recommendations for making an informed decision.') AS full_meta FROM h),
  briefs AS (SELECT *, concat(h1, ' content brief') AS name, {_meta('full_title', 60)} AS title, {_meta('full_meta', 155)} AS meta_description, {_Q} AS questions,
    CAST({_case('page_type', {k: len(v) for k, v in K.OUTLINES.items()})} AS INT) AS n_sections FROM t)"""

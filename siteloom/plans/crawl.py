@@ -25,50 +25,76 @@ def crawl_order(roots: DataFrame, links: DataFrame, captures: DataFrame, max_pag
     if seeds is not None:
         start = start.unionByName(seeds.select("audit_id", "url", F.lit(0).cast("long").alias("parent"), "position"))
     offered = start.groupBy("audit_id", "url").agg(F.min(F.struct("parent", "position")).alias("at"))
-    queued = visited = stopped = None
+    # sites whose URLs carry no query at all skip the variant bookkeeping
+    guard = not links.filter(c("dst").contains("?")).isEmpty() or (
+        seeds is not None and not seeds.filter(c("url").contains("?")).isEmpty())
+    state = None
     for depth in range(max_depth):
-        fresh = offered if queued is None else offered.join(queued.select("audit_id", "url"), ["audit_id", "url"], "left_anti")
-        fresh = fresh.withColumns({"path": U.path_of(c("url")), "query": F.regexp_extract("url", r"(?s)^[^?#]*\?([^#]+)", 1)})
-        firsts = fresh.filter("query <> ''").groupBy("audit_id", "path", "query").agg(F.min("at").alias("first"))
-        if queued is not None:
-            known = queued.filter("query <> ''").select("audit_id", "path", "query").distinct()
-            held = known.groupBy("audit_id", "path").agg(F.count("*").alias("held"))
-            new = firsts.join(known, ["audit_id", "path", "query"], "left_anti")
-            room = top_per_key(new, ["audit_id", "path"], ["first"], K.MAX_QUERY_VARIANTS, "nth").join(
-                held, ["audit_id", "path"], "left").filter(c("nth") + F.coalesce("held", F.lit(0)) <= K.MAX_QUERY_VARIANTS)
-            allowed = room.select("audit_id", "path", "query").unionByName(known)
-        else:
-            allowed = top_per_key(firsts, ["audit_id", "path"], ["first"], K.MAX_QUERY_VARIANTS).select("audit_id", "path", "query")
-        fresh = fresh.filter("query = ''").unionByName(fresh.join(allowed, ["audit_id", "path", "query"], "left_semi").select(
-            *fresh.columns))
-        # order inside the level, counted in blocks of parents so that a large site is not one task
-        ranked = bucketed_rank(fresh, ["audit_id"], F.floor(c("at.parent") / 256), ["at", "url"], "nth")
-        before = (F.lit(0) if queued is None else F.coalesce("base", F.lit(0)))
-        if queued is not None:
-            ranked = ranked.join(queued.groupBy("audit_id").agg(F.max("seq").alias("base")), "audit_id", "left")
-        level = stage(ranked.withColumn("seq", (before + c("nth")).cast("long")).select("audit_id", "url", "path", "query", "seq"))
-        if level.isEmpty():
+        queued = stage(_enqueue(offered, state, guard).join(captures, ["audit_id", "url"], "left"))
+        if queued.isEmpty():
             break
-        hits = level.select("audit_id", "url", "seq").join(captures, ["audit_id", "url"])
-        firsts = hits.filter("allowed").groupBy("audit_id", "final_url").agg(F.min("seq").alias("seq"))
-        if visited is not None:
-            firsts = firsts.join(visited.select("audit_id", "final_url"), ["audit_id", "final_url"], "left_anti")
-        landed = hits.join(firsts, ["audit_id", "final_url", "seq"], "left_semi")
-        html = top_per_key(landed.filter("is_html"), ["audit_id"], ["seq"], max_pages, "page_no")
-        if visited is not None:
-            done = visited.filter("is_html").groupBy("audit_id").agg(F.count("*").alias("done"))
-            html = html.join(done, "audit_id", "left").withColumn("page_no", c("page_no") + F.coalesce("done", F.lit(0))).drop("done")
-        last = html.filter(c("page_no") == max_pages).select("audit_id", c("seq").alias("last"))
-        now = landed.join(last, "audit_id", "left").filter(c("last").isNull() | (c("seq") <= c("last"))).drop("last")
-        closed = now if stopped is None else now.join(stopped, "audit_id", "left_anti")
-        step = stage(closed.withColumn("depth", F.lit(depth)))
-        over = stage(last.select("audit_id"))
-        visited = step if visited is None else visited.unionByName(step)
-        queued = level if queued is None else queued.unionByName(level)
-        stopped = over if stopped is None else stopped.unionByName(over).distinct()
-        offered = (step.filter("is_html").select("audit_id", c("final_url").alias("src"), c("seq").alias("parent"))
+        level = stage(_audit_level(queued, state, max_pages).withColumn("depth", F.lit(depth)))
+        state = level if state is None else state.unionByName(level)
+        offered = (level.filter(c("landed") & c("is_html")).select("audit_id", c("final_url").alias("src"), c("seq").alias("parent"))
                    .join(links, ["audit_id", "src"]).filter("dst is not null")
                    .groupBy("audit_id", c("dst").alias("url")).agg(F.min(F.struct("parent", "position")).alias("at")))
-    ends = visited.groupBy("audit_id").agg(F.max("seq").alias("reached"))
-    left = queued.groupBy("audit_id").agg(F.max("seq").alias("offered")).join(ends, "audit_id").filter("offered > reached")
-    return visited, left.join(stopped, "audit_id", "left_semi").select("audit_id")
+    visited = state.filter("landed").select("audit_id", "url", "final_url", "is_html", "seq", "depth")
+    ends = state.groupBy("audit_id").agg(F.max(F.when(c("landed"), c("seq"))).alias("reached"), F.max("seq").alias("offered"),
+                                         F.count_if(c("landed") & c("is_html")).alias("done"))
+    return visited, ends.filter((c("done") >= max_pages) & (c("offered") > c("reached"))).select("audit_id")
+
+
+def _enqueue(offered: DataFrame, state: DataFrame | None, guard: bool) -> DataFrame:
+    """New queue entries of a level with their place in the queue; five query variants per path over all levels."""
+    c = F.col
+    fresh = offered.withColumns({"path": U.path_of(c("url")), "query": F.regexp_extract("url", r"(?s)^[^?#]*\?([^#]+)", 1)})
+    if state is not None:
+        fresh = fresh.join(state.select("audit_id", "url"), ["audit_id", "url"], "left_anti")
+    kept = _within_variant_limit(fresh, state) if guard else fresh
+    # counted in blocks of parents, so that a large site is not one task
+    placed = bucketed_rank(kept, ["audit_id"], F.floor(c("at.parent") / 256), ["at", "url"], "nth").withColumn("base", F.lit(0))
+    if state is not None:
+        ends = state.groupBy("audit_id").agg(F.max("seq").alias("base"))
+        placed = placed.drop("base").join(ends, "audit_id", "left")
+    return placed.withColumn("seq", (F.coalesce("base", F.lit(0)) + c("nth")).cast("long")).select(
+        "audit_id", "url", "path", "query", "seq")
+
+
+def _within_variant_limit(fresh: DataFrame, state: DataFrame | None) -> DataFrame:
+    """Entries without a query, or with one of the first five distinct queries of their path over all levels."""
+    c = F.col
+    variants = fresh.filter("query <> ''").groupBy("audit_id", "path", "query").agg(F.min("at").alias("first"))
+    room = c("nth") <= K.MAX_QUERY_VARIANTS
+    if state is not None:
+        known = state.filter("query <> ''").select("audit_id", "path", "query").distinct()
+        variants = variants.join(known, ["audit_id", "path", "query"], "left_anti")
+    ranked = top_per_key(variants, ["audit_id", "path"], ["first"], K.MAX_QUERY_VARIANTS, "nth")
+    if state is not None:
+        held = known.groupBy("audit_id", "path").agg(F.count("*").alias("held"))
+        ranked = ranked.join(held, ["audit_id", "path"], "left")
+        room = c("nth") + F.coalesce("held", F.lit(0)) <= K.MAX_QUERY_VARIANTS
+    allowed = ranked.filter(room).select("audit_id", "path", "query")
+    if state is not None:
+        allowed = allowed.unionByName(known)
+    return fresh.filter("query = ''").unionByName(
+        fresh.filter("query <> ''").join(allowed, ["audit_id", "path", "query"], "left_semi").select(*fresh.columns))
+
+
+def _audit_level(queued: DataFrame, state: DataFrame | None, max_pages: int) -> DataFrame:
+    """Mark the entries that are audited: first capture of a final URL, allowed, within the page limit."""
+    c = F.col
+    open_rows = queued.filter("allowed").select("audit_id", "final_url", "seq", "is_html")
+    if state is not None:
+        done = state.groupBy("audit_id").agg(F.count_if(c("landed") & c("is_html")).alias("done"))
+        landed = state.filter("landed").select("audit_id", "final_url")
+        open_rows = (open_rows.join(done, "audit_id", "left").filter(F.coalesce("done", F.lit(0)) < max_pages)
+                     .join(landed, ["audit_id", "final_url"], "left_anti"))
+    else:
+        open_rows = open_rows.withColumn("done", F.lit(0))
+    firsts = open_rows.groupBy("audit_id", "final_url").agg(F.min(F.struct("seq", "is_html", "done")).alias("f")).select(
+        "audit_id", "final_url", "f.*")
+    pages = top_per_key(firsts.filter("is_html"), ["audit_id"], ["seq"], max_pages, "nth")
+    last = pages.filter(c("nth") + F.coalesce("done", F.lit(0)) == max_pages).select("audit_id", c("seq").alias("last"))
+    kept = firsts.join(last, "audit_id", "left").filter(c("last").isNull() | (c("seq") <= c("last"))).select(
+        "audit_id", "seq", F.lit(True).alias("landed"))
+    return queued.join(kept, ["audit_id", "seq"], "left").withColumn("landed", F.coalesce("landed", F.lit(False)))

@@ -9,6 +9,7 @@ from siteloom.operators import findings, network, sitefiles
 from siteloom.plans.crawl import crawl_order
 from siteloom.plans.registry import query
 from siteloom.plans.tables import table
+from siteloom.session import stage
 
 BOT = "sitebot"
 ROBOTS = [
@@ -114,5 +115,5 @@ def q_crawl(spark, sf_dir):
     pages = table(spark, sf_dir, "fx_pages").select("audit_id", "seq", "url")
     captures = pages.select("audit_id", "url", F.col("url").alias("final_url"), F.lit(True).alias("is_html"), F.lit(True).alias("allowed"))
     links = table(spark, sf_dir, "fx_links").select("audit_id", "src", "dst", "position")
-    visited, _ = crawl_order(findings.audit_roots(pages), links, captures, max_pages=1 << 30)
+    visited, _ = crawl_order(stage(findings.audit_roots(pages)), stage(links), stage(captures), max_pages=1 << 30)
     return visited.select("audit_id", "url", "depth")

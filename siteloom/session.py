@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,21 +28,25 @@ def build_session(app: str = "siteloom", master: str | None = None, **conf) -> S
     return builder.getOrCreate()
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's shared folder; fall back to a local one only for local masters."""
+def staging_dir(spark: SparkSession) -> str:
+    """The shared folder the cluster names in spark.checkpoint.dir; a fresh local one only for local masters."""
     sc = spark.sparkContext
-    if sc.getCheckpointDir():
-        return
-    shared = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    shared = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if shared:
-        sc.setCheckpointDir(shared)
-    elif sc.master.startswith("local"):
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="siteloom-ckpt-", dir=os.environ.get("TMPDIR", "/tmp")))
-    else:
-        raise RuntimeError("set spark.checkpoint.dir to a shared folder before running iterative jobs")
+        return shared
+    if not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a shared folder before running staged jobs")
+    local = tempfile.mkdtemp(prefix="siteloom-stage-", dir=os.environ.get("TMPDIR", "/tmp"))
+    spark.conf.set("spark.checkpoint.dir", local)
+    return local
 
 
 def stage(df: DataFrame) -> DataFrame:
-    """Materialise a step of an iterative job in the checkpoint folder and cut its lineage."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write a step of a job to the shared folder once and go on from there.
+
+    Lost executors then cost a re-read, not a recomputation; the plan stays short, and the optimizer knows the real size.
+    """
+    spark = df.sparkSession
+    path = f"{staging_dir(spark).rstrip('/')}/siteloom-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
