@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from siteloom.functions.urls import normalize_issue_url
 from siteloom.operators.scoring import expand_issue_occurrences
-from siteloom.operators.skew import bucketed_lag, top_per_key
+from siteloom.operators.skew import bucketed_lag, group_hashed, top_per_key
 
 COMPARED = {"status": "status", "title": "title", "description": "description", "canonical": "canonical",
             "robots": "robots", "word_count": "wordCount"}
@@ -69,7 +69,7 @@ def issue_diff(issues: DataFrame, pairs: DataFrame) -> DataFrame:
         "audit_id", F.concat_ws("|", "code", normalize_issue_url(F.col("url"))).alias("fingerprint"),
         F.struct("seq", "code", "severity", "title", "url").alias("row"))
     sides = _both_sides(occurrences, pairs)
-    folded = sides.groupBy("audit_id", "fingerprint").agg(
+    folded = group_hashed(sides, "audit_id", "fingerprint").agg(
         F.max(F.when(F.col("current"), F.col("row"))).alias("now"),
         F.max(F.when(~F.col("current"), F.col("row"))).alias("before"))
     status = F.when(F.col("before").isNull(), "new").when(F.col("now").isNull(), "fixed").otherwise("persistent")
@@ -82,7 +82,7 @@ def page_diff(pages: DataFrame, pairs: DataFrame) -> DataFrame:
     """New, removed and changed pages of every pair; ``fields`` lists the changed fields in fixed order."""
     rows = pages.select("audit_id", normalize_issue_url(F.col("url")).alias("page"),
                         F.struct("seq", "url", *COMPARED).alias("row"))
-    folded = _both_sides(rows, pairs).groupBy("audit_id", "page").agg(
+    folded = group_hashed(_both_sides(rows, pairs), "audit_id", "page").agg(
         F.max_by("row", F.when(F.col("current"), F.col("row.seq"))).alias("now"),
         F.max_by("row", F.when(~F.col("current"), F.col("row.seq"))).alias("before"))
     changed = F.filter(F.array(*[F.when(~F.col(f"now.{c}").eqNullSafe(F.col(f"before.{c}")), F.lit(name))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from siteloom.functions import constants as K
 from siteloom.operators.skew import top_per_key
+from siteloom.session import stage
 
 
 def valid_cadence(c: Column) -> Column:
@@ -25,9 +26,11 @@ def monitoring_alerts(audits: DataFrame, diff: DataFrame) -> DataFrame:
     """Alert rows of finished audits.
 
     ``audits``: audit_id, score, pages_scanned, stopped_reason, score_delta (null without comparison), previous_status.
-    ``diff``: issue_diff rows. Counts combine map-side; titles are a top-4 per (audit, severity).
+    ``diff``: issue_diff rows. The new severe ones are written once and used twice: counts combine map-side, titles are a
+    top-4 per (audit, severity).
     """
-    fresh = diff.filter(F.col("status") == "new").filter(F.col("severity").isin("critical", "high"))
+    fresh = stage(diff.filter((F.col("status") == "new") & F.col("severity").isin("critical", "high")).select(
+        "audit_id", "severity", "seq", "fingerprint", "title"))
     counts = fresh.groupBy("audit_id").agg(F.count_if(F.col("severity") == "critical").alias("n_critical"),
                                            F.count_if(F.col("severity") == "high").alias("n_high"))
     first = top_per_key(fresh.select("audit_id", "severity", "seq", "fingerprint", "title"), ["audit_id", "severity"],

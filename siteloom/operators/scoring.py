@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from siteloom.functions import constants as K
 from siteloom.functions.text import clamp, js_round, lookup, trim_ws
+from siteloom.operators.skew import group_hashed
 
 GROUP = ["audit_id", "code", "severity", "title", "recommendation"]
 URL_LINES = r"(?m)^(https?://\S+)$"
@@ -74,16 +75,17 @@ def grouped_issue_parts(issues: DataFrame) -> DataFrame:
         F.struct(F.lit("g").alias("kind"), F.lit("").alias("value")),
         F.struct(F.lit("u").alias("kind"), F.nullif(F.col("url"), F.lit("")).alias("value")),
         F.struct(F.lit("e").alias("kind"), F.nullif(block, F.lit("")).alias("value"))), lambda p: p["value"].isNotNull())
-    return (issues.select(*GROUP, order.alias("at"), "description", F.explode(pieces).alias("p"))
-                  .groupBy(*GROUP, "p.kind", "p.value")
+    rows = issues.select(*GROUP, order.alias("at"), "description", F.explode(pieces).alias("p")).select(
+        *GROUP, "at", "description", "p.kind", "p.value")
+    return (group_hashed(rows, *GROUP, "kind", "value")
                   .agg(F.min("at").alias("first_at"), F.min_by("description", "at").alias("description"),
-                       F.count(F.lit(1)).alias("n")))
+                       F.count(F.lit(1)).alias("n")).drop("__h"))
 
 
 def group_issues(parts: DataFrame) -> DataFrame:
     """Group headers from the child rows: issue, URL and evidence counts, representative text and URL."""
     is_url = F.col("kind") == "u"
-    heads = parts.groupBy(*GROUP).agg(
+    heads = group_hashed(parts, *GROUP).agg(
         F.sum(F.when(F.col("kind") == "g", F.col("n"))).alias("n_issues"), F.count_if(is_url).alias("n_urls"),
         F.count_if(F.col("kind") == "e").alias("n_evidence"),
         F.min_by("value", F.when(is_url, F.struct("first_at", "value"))).alias("url"),

@@ -10,26 +10,32 @@ def _needed(n: Column, m: Column, t: float) -> Column:
     return F.greatest(F.lit(1), F.ceil((n + m) * (t / (1 + t)) - 1e-9)).cast("int")
 
 
-def similar_pairs(items: DataFrame, keys: list[str], ident: str, tokens: str, threshold: float) -> DataFrame:
-    """Pairs (left < right) within ``keys`` whose token sets have Jaccard >= threshold.
+def prefix_entries(items: DataFrame, keys: list[str], ident: str, tokens: str, threshold: float, carry: list[str]) -> DataFrame:
+    """Where a token set looks for partners of Jaccard >= threshold: one row per (token, pair of sizes).
 
-    Size-aware prefix join: tokens are ordered rarest first, and a set only looks for partners of size m through its
-    first n - needed(n, m) + 1 tokens, because partners must meet there. A frequent token therefore matters only to
-    sets too small to do without it. Join keys hold both sizes, which also splits the lists of hot tokens.
+    Tokens are ordered rarest first, and a set only looks for partners of size m through its first
+    n - needed(n, m) + 1 tokens, because partners must meet there. A frequent token therefore matters only to sets too
+    small to do without it. The key holds both sizes, which also splits the lists of hot tokens.
     """
     c = F.col
-    sets = items.select(*keys, c(ident).alias("id"), F.array_distinct(tokens).alias("set")).filter(F.size("set") > 0)
+    sets = items.select(*keys, c(ident).alias("id"), *carry, F.array_distinct(tokens).alias("set")).filter(F.size("set") > 0)
     words = sets.select(*keys, F.explode("set").alias("token")).groupBy(*keys, "token").agg(F.count("*").alias("df"))
-    sized = (sets.select(*keys, "id", F.explode("set").alias("token")).join(words, [*keys, "token"])
-             .groupBy(*keys, "id").agg(F.array_sort(F.collect_list(F.struct("df", "token")))["token"].alias("set"))
+    sized = (sets.select(*keys, "id", *carry, F.explode("set").alias("token")).join(words, [*keys, "token"])
+             .groupBy(*keys, "id", *carry).agg(F.array_sort(F.collect_list(F.struct("df", "token")))["token"].alias("set"))
              .withColumn("n", F.size("set")))
     present = sized.groupBy(*keys).agg(F.collect_set("n").alias("sizes"))
     wide = sized.join(present, keys).withColumn("m", F.explode(F.filter(
         "sizes", lambda m: (m >= c("n") * threshold - 1e-9) & (m * threshold - 1e-9 <= c("n")))))
     prefix = c("n") - _needed(c("n"), c("m"), threshold) + 1
-    entries = wide.filter(prefix > 0).select(
-        *keys, "id", "set", "n", F.least("n", "m").alias("lo"), F.greatest("n", "m").alias("hi"),
+    return wide.filter(prefix > 0).select(
+        *keys, "id", *carry, "set", "n", F.least("n", "m").alias("lo"), F.greatest("n", "m").alias("hi"),
         F.explode(F.slice("set", F.lit(1), prefix)).alias("token"))
+
+
+def similar_pairs(items: DataFrame, keys: list[str], ident: str, tokens: str, threshold: float) -> DataFrame:
+    """Pairs (left < right) within ``keys`` whose token sets have Jaccard >= threshold, by prefix join."""
+    c = F.col
+    entries = prefix_entries(items, keys, ident, tokens, threshold, [])
     on = [*keys, "token", "lo", "hi"]
     small = entries.filter("n = lo").select(*on, c("id").alias("a"), c("set").alias("set_a"))
     large = entries.filter("n = hi").select(*on, c("id").alias("b"), c("set").alias("set_b"))

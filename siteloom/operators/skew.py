@@ -37,6 +37,15 @@ def bucketed_lag(df: DataFrame, keys: list[str], bucket: Column, order: list[str
                   .drop("__bucket", "__b", "__value", "__local", "__carry", *[f"__k_{k}" for k in keys]))
 
 
+def group_hashed(df: DataFrame, *keys: str):
+    """groupBy whose leading key is a hash of all keys.
+
+    Aggregates over strings or structs are sort-based in Spark; with a 64-bit leading key that sort is a radix sort, not
+    a comparison of long texts with common beginnings. Drop ``__h`` afterwards.
+    """
+    return df.withColumn("__h", F.xxhash64(*keys)).groupBy("__h", *keys)
+
+
 def top_per_key(df: DataFrame, keys: list[str], order: list, k: int, rank: str | None = None) -> DataFrame:
     """First ``k`` rows per key. A literal limit lets Spark prune every map task to ``k`` rows before the shuffle."""
     name = rank or "__rank"

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from siteloom.functions import constants as K
 from siteloom.functions import text as X
 from siteloom.operators import keywords as kw
+from siteloom.operators.leaders import keyword_clusters
 from siteloom.operators.similarity import similar_pairs
 from siteloom.plans.registry import query
 from siteloom.plans.tables import table
@@ -136,3 +137,22 @@ def q_analysis(spark, sf_dir):
     rows = kw.keyword_cluster_join(kw.keyword_rows(clustered, profiles), profiles)
     return rows.select("analysis_id", "keyword", "intent", "page_type", "priority", "cluster", "primary_keyword",
                        "suggested_slug", "confidence")
+
+
+@query("keyword_clusters", f"""WITH RECURSIVE {ITEMS_SQL},
+ ord AS (SELECT *, list_distinct(tokens) AS t, row_number() OVER (PARTITION BY analysis_id ORDER BY n_tokens DESC, keyword) AS i FROM items),
+ pr AS (SELECT a.analysis_id, a.i AS ai, b.i AS bi, len(list_intersect(a.t, b.t)) / len(list_distinct(list_concat(a.t, b.t)))::DOUBLE AS j,
+   contains(concat(' ', a.normalized, ' '), concat(' ', b.normalized, ' ')) OR contains(concat(' ', b.normalized, ' '), concat(' ', a.normalized, ' ')) AS inside
+   FROM ord a JOIN ord b ON a.analysis_id = b.analysis_id AND a.i < b.i WHERE len(a.t) > 0 AND len(b.t) > 0),
+ ed AS (SELECT * FROM pr WHERE j >= 0.34 OR (j >= 0.2 AND inside)),
+ nb AS (SELECT o.analysis_id, o.i, coalesce(list(e.ai) FILTER (WHERE e.ai IS NOT NULL), []) AS ns FROM ord o LEFT JOIN ed e ON e.analysis_id = o.analysis_id AND e.bi = o.i GROUP BY ALL),
+ walk AS (SELECT analysis_id, CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS leaders FROM (SELECT DISTINCT analysis_id FROM ord)
+   UNION ALL SELECT w.analysis_id, n.i, CASE WHEN list_has_any(n.ns, w.leaders) THEN w.leaders ELSE list_append(w.leaders, n.i) END
+   FROM walk w JOIN nb n ON n.analysis_id = w.analysis_id AND n.i = w.i + 1),
+ fin AS (SELECT analysis_id, arg_max(leaders, i) AS leaders FROM walk GROUP BY analysis_id),
+ att AS (SELECT e.analysis_id, e.bi AS i, arg_min(e.ai, (-e.j, e.ai)) AS li FROM ed e JOIN fin f ON f.analysis_id = e.analysis_id
+   WHERE list_contains(f.leaders, e.ai) AND NOT list_contains(f.leaders, e.bi) GROUP BY ALL)
+ SELECT o.analysis_id, o.normalized, l.normalized AS leader FROM ord o LEFT JOIN att ON att.analysis_id = o.analysis_id AND att.i = o.i
+   JOIN ord l ON l.analysis_id = o.analysis_id AND l.i = coalesce(att.li, o.i)""")
+def q_clusters(spark, sf_dir):
+    return keyword_clusters(items(spark, sf_dir)).select("analysis_id", "normalized", "leader")

@@ -115,3 +115,31 @@ def test_crawl_limits(spark):
     assert stopped.count() == 0
     visited, stopped = crawl_order(roots, graph, caps, max_pages=3)
     assert [r.url for r in visited.orderBy("seq").collect()] == order[:3] and stopped.count() == 1
+
+
+@pytest.mark.parametrize("pairs_per_entry", [0, 64])
+def test_leader_clusters(spark, monkeypatch, pairs_per_entry):
+    from siteloom.operators import keywords as kw, leaders
+    rnd = random.Random(13)
+    vocab = ["seo", "audit", "tool", "price", "kyiv", "shoes", "run", "map", "art", "linen"]
+    texts = list(dict.fromkeys(" ".join(rnd.choices(vocab, k=rnd.randrange(1, 6))) for _ in range(140)))
+    raw = spark.createDataFrame([(1, i, t) for i, t in enumerate(texts)], "analysis_id int, line_no int, raw string")
+    items = kw.distinct_keywords(raw)
+    if pairs_per_entry == 0:  # head rounds until nothing is left to pair
+        load = leaders._pair_load
+        monkeypatch.setattr(leaders, "_pair_load", lambda e: (0, 0) if load(e)[0] < 150 else (1e12, 1))
+    got = {r.normalized: r.leader for r in leaders.keyword_clusters(items, max(1, pairs_per_entry)).collect()}
+    rows = sorted(items.collect(), key=lambda r: (-r.n_tokens, r.keyword))
+    want, heads = {}, []
+    for r in rows:
+        best = None
+        for h in heads:
+            a, b = set(r.tokens), set(h.tokens)
+            score = len(a & b) / len(a | b) if a and b else 0
+            inside = f" {r.normalized} " in f" {h.normalized} " or f" {h.normalized} " in f" {r.normalized} "
+            if (score >= 0.34 or (score >= 0.2 and inside)) and (best is None or score > best[0]):
+                best = (score, h.normalized)
+        if best is None:
+            heads.append(r)
+        want[r.normalized] = best[1] if best else r.normalized
+    assert got == want
