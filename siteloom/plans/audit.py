@@ -6,7 +6,11 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
-from siteloom.operators import findings, linkgraph, scoring
+from siteloom.functions.html import extract_page_features
+from siteloom.functions.urls import absolute_url, canonicalize_urls, origin
+from siteloom.operators import findings, linkgraph, scoring, sitefiles
+from siteloom.plans.crawl import crawl_order
+from siteloom.session import stage
 
 
 @dataclass
@@ -50,3 +54,46 @@ def audit_pages(pages: DataFrame, links: DataFrame, robots: DataFrame | None = N
         stopped = frontier.select("audit_id").distinct().withColumn("stopped", F.lit(True))
         header = header.join(stopped, "audit_id", "left").withColumn("stopped", F.coalesce("stopped", F.lit(False)))
     return AuditResult(linked, issues, children, groups, header)
+
+
+def audit_captures(captures: DataFrame, roots: DataFrame, robots_docs: DataFrame, sitemap_docs: DataFrame, bot: str,
+                   max_pages: int = 10) -> AuditResult:
+    """The whole audit from landed captures: parse, follow the crawl order, collect findings, score.
+
+    ``captures``: audit_id, url, final_url, status, content_type, load_time_ms, html, error. ``robots_docs``: audit_id,
+    body (found files only). ``sitemap_docs``: audit_id, doc_url, body. A root whose capture lands on another origin
+    restarts its audit there.
+    """
+    c = F.col
+    landed = captures.join(roots.select("audit_id", c("root_url").alias("url")), ["audit_id", "url"], "right").select(
+        "audit_id", c("url").alias("old_root"), absolute_url(c("final_url")).alias("moved"))
+    roots = stage(landed.select("audit_id", F.when(
+        c("moved").isNotNull() & (origin(c("moved")) != origin(absolute_url(c("old_root")))), c("moved")).otherwise(
+        absolute_url(c("old_root"))).alias("root_url")))
+    rules = sitefiles.parse_robots(robots_docs, bot)
+    seeds, documents = sitefiles.sitemap_tree(sitemap_docs, roots, sitefiles.declared_sitemaps(robots_docs))
+    based = captures.join(roots, "audit_id")
+    based = canonicalize_urls(canonicalize_urls(based, "url", "root_url", "key", resolved=True), "final_url", "root_url",
+                              "final_canonical", resolved=True)
+    # another capture of the same crawl form adds nothing
+    keyed = based.filter("key is not null").withColumn("is_html", F.coalesce(c("content_type"), F.lit("")).rlike(
+        findings.HTML_TYPES) & c("error").isNull() & c("final_canonical").isNotNull())
+    fields = ["url", "final_url", "final_canonical", "status", "content_type", "load_time_ms", "html", "error", "is_html", "root_url"]
+    unique = keyed.groupBy("audit_id", "key").agg(F.min_by(F.struct(*fields), "url").alias("r")).select("audit_id", "key", "r.*")
+    checked = stage(sitefiles.robots_filter(unique.drop("url").withColumnRenamed("key", "url"), rules))
+    parsed = stage(extract_page_features(checked.filter("is_html").drop("url").withColumnRenamed("final_canonical", "url")
+                                         .dropDuplicates(["audit_id", "url"])))
+    raw_links = parsed.select("audit_id", c("url").alias("src"), "root_url", F.posexplode("internal_links").alias("position", "link"))
+    links = stage(canonicalize_urls(raw_links, "link", "root_url", "dst", resolved=True).filter("dst is not null").select(
+        "audit_id", "src", "dst", "position"))
+    landing = checked.select("audit_id", "url", F.coalesce("final_canonical", "url").alias("final_url"), "is_html", "allowed")
+    start = checked.select("audit_id", "root_url").distinct()
+    visited, stopped = crawl_order(start, links, landing, max_pages, seeds)
+    visited = stage(visited)
+    order = visited.filter("is_html").select("audit_id", c("final_url").alias("url"), "seq")
+    pages = parsed.join(order, ["audit_id", "url"]).withColumns({"h1_count": F.size("h1"), "h1s": c("h1")})
+    reached = visited.select("audit_id", "url", "seq")
+    rest = checked.filter(~c("is_html") | ~c("allowed")).withColumn("robots_allowed", c("allowed")).join(reached, ["audit_id", "url"])
+    crawled = links.join(order.select("audit_id", c("url").alias("src")), ["audit_id", "src"], "left_semi")
+    return audit_pages(pages, crawled.select("audit_id", "dst"), robots_docs.select("audit_id"),
+                       documents.filter("kind is not null").select("audit_id"), findings.response_issues(rest), stopped)
