@@ -90,7 +90,7 @@ def audit_captures(captures: DataFrame, roots: DataFrame, robots_docs: DataFrame
     start = checked.select("audit_id", "root_url").distinct()
     visited, stopped = crawl_order(start, links, landing, max_pages, seeds)
     visited = stage(visited)
-    order = visited.filter("is_html").select("audit_id", c("final_url").alias("url"), "seq")
+    order = visited.filter("audited and is_html").select("audit_id", c("final_url").alias("url"), "seq")
     pages = parsed.drop("root_url").join(order, ["audit_id", "url"]).withColumns({"h1_count": F.size("h1"), "h1s": c("h1")})
     reached = visited.select("audit_id", "url", "seq")
     rest = checked.filter(~c("is_html") | ~c("allowed")).withColumn("robots_allowed", c("allowed")).join(reached, ["audit_id", "url"])

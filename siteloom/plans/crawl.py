@@ -12,7 +12,7 @@ from siteloom.session import stage
 
 def crawl_order(roots: DataFrame, links: DataFrame, captures: DataFrame, max_pages: int = 10,
                 seeds: DataFrame | None = None, max_depth: int = 1_000) -> tuple[DataFrame, DataFrame]:
-    """(visited captures in order, audits stopped with URLs left).
+    """(queue entries taken in order, audits stopped with URLs left); ``audited`` marks the first capture of a final URL.
 
     Every audit advances one level per round: links of the pages audited last round, in order of page and position, minus
     everything queued before, minus query variants beyond five per path. A capture counts once per final URL; only HTML
@@ -38,10 +38,12 @@ def crawl_order(roots: DataFrame, links: DataFrame, captures: DataFrame, max_pag
         offered = (level.filter(c("landed") & c("is_html")).select("audit_id", c("final_url").alias("src"), c("seq").alias("parent"))
                    .join(links, ["audit_id", "src"]).filter("dst is not null")
                    .groupBy("audit_id", c("dst").alias("url")).agg(F.min(F.struct("parent", "position")).alias("at")))
-    visited = state.filter("landed").select("audit_id", "url", "final_url", "is_html", "seq", "depth")
     ends = state.groupBy("audit_id").agg(F.max(F.when(c("landed"), c("seq"))).alias("reached"), F.max("seq").alias("offered"),
                                          F.count_if(c("landed") & c("is_html")).alias("done"))
-    return visited, ends.filter((c("done") >= max_pages) & (c("offered") > c("reached"))).select("audit_id")
+    full = ends.withColumn("full", c("done") >= max_pages)
+    walked = state.join(full.select("audit_id", "reached", "full"), "audit_id").filter(~c("full") | (c("seq") <= c("reached")))
+    taken = walked.select("audit_id", "url", "final_url", "is_html", "seq", "depth", c("landed").alias("audited"))
+    return taken, full.filter(c("full") & (c("offered") > c("reached"))).select("audit_id")
 
 
 def _enqueue(offered: DataFrame, state: DataFrame | None, guard: bool) -> DataFrame:

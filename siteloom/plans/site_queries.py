@@ -116,4 +116,4 @@ def q_crawl(spark, sf_dir):
     captures = pages.select("audit_id", "url", F.col("url").alias("final_url"), F.lit(True).alias("is_html"), F.lit(True).alias("allowed"))
     links = table(spark, sf_dir, "fx_links").select("audit_id", "src", "dst", "position")
     visited, _ = crawl_order(stage(findings.audit_roots(pages)), stage(links), stage(captures), max_pages=1 << 30)
-    return visited.select("audit_id", "url", "depth")
+    return visited.filter("audited").select("audit_id", "url", "depth")

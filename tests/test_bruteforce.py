@@ -109,12 +109,13 @@ def test_crawl_limits(spark):
     graph = spark.createDataFrame(edges, "audit_id int, src string, dst string, position int")
     caps = spark.createDataFrame(captures, "audit_id int, url string, final_url string, is_html boolean, allowed boolean")
     visited, stopped = crawl_order(roots, graph, caps, max_pages=25)
-    order = [r.url for r in visited.orderBy("seq").collect()]
+    order = [r.url for r in visited.filter("audited").orderBy("seq").collect()]
+    assert {r.url for r in visited.filter("not audited").collect()} == {"https://e.com/p?q=1", "https://e.com/b"}
     # q=5.. exceed five variants, q=1 is blocked, /b lands on /a
     assert order == ["https://e.com/"] + [f"https://e.com/p?q={i}" for i in (0, 2, 3, 4)] + ["https://e.com/a", "https://e.com/c"]
     assert stopped.count() == 0
     visited, stopped = crawl_order(roots, graph, caps, max_pages=3)
-    assert [r.url for r in visited.orderBy("seq").collect()] == order[:3] and stopped.count() == 1
+    assert [r.url for r in visited.filter("audited").orderBy("seq").collect()] == order[:3] and stopped.count() == 1
 
 
 @pytest.mark.parametrize("pairs_per_entry", [0, 64])
