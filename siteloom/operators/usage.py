@@ -41,7 +41,7 @@ def usage_quota(events: DataFrame, limits: dict[str, int] | None = None) -> Data
     rows = events.withColumn("period", F.date_format("ts", "yyyy-MM")).withColumn(
         "amount", F.greatest(F.lit(1), F.floor("amount")).cast("int")).withColumn(
         "quota", lookup(F.col("metric"), limits).cast("long"))
-    summed = bucketed_sum(rows, keys, F.to_date("ts"), ["ts", "event_id"], F.col("amount"), "running")
+    summed = bucketed_sum(rows, keys, F.date_trunc("hour", "ts"), ["ts", "event_id"], F.col("amount"), "running")
     summed = summed.withColumn("fits", F.col("running") <= F.col("quota"))
     used = summed.groupBy(*keys).agg(F.max(F.when(F.col("fits"), F.col("running"))).alias("used"))
     tail = (summed.filter("not fits").join(used, keys)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from siteloom.functions.urls import validate_targets
 from siteloom.operators import findings, network, sitefiles
+from siteloom.operators.skew import top_per_key
 from siteloom.plans.crawl import crawl_order
 from siteloom.plans.registry import query
 from siteloom.plans.tables import table
@@ -30,11 +31,11 @@ def q_robots(spark, sf_dir):
 
 
 _LOC = """CASE page_id % 9 WHEN 4 THEN concat('<![CDATA[', url, '?y=2&amp;x=1]]>') WHEN 5 THEN concat(url, '?utm_source=map') WHEN 6 THEN concat(url, '.pdf') ELSE url END"""
-_NESTED = f"SELECT audit_id, CAST(floor(page_id / 10) AS INT) % 8 AS k, page_id, concat('<url><loc>', {_LOC}, '</loc></url>') AS loc FROM {{fx_pages}}"
+_NESTED = f"SELECT audit_id, CAST(floor(page_id / 50) AS INT) AS k, page_id, concat('<url><loc>', {_LOC}, '</loc></url>') AS loc FROM {{fx_pages}}"
 
 
 def sitemap_docs(spark, sf_dir):
-    """Sitemap documents that list the derived pages: an index per site and up to eight nested files."""
+    """Sitemap documents that list the derived pages: five pages per nested file, an index of the first 100 files."""
     rows = spark.sql(_NESTED, fx_pages=table(spark, sf_dir, "fx_pages"))
     site = F.concat(F.lit("https://site"), F.col("audit_id"), F.lit(".example.com"))
     nested = rows.groupBy("audit_id", "k").agg(F.array_join(F.array_sort(F.collect_list(F.struct("page_id", "loc")))["loc"], "")
@@ -42,7 +43,7 @@ def sitemap_docs(spark, sf_dir):
     maps = nested.select("audit_id", F.concat(site, F.lit("/map-"), "k", F.lit(".xml")).alias("doc_url"),
                          F.concat(F.lit("<urlset>"), "locs", F.lit("</urlset>")).alias("body"))
     entry = F.concat(F.lit("<sitemap><loc>"), site, F.lit("/map-"), "k", F.lit(".xml</loc></sitemap>"))
-    index = nested.groupBy("audit_id").agg(F.array_join(F.array_sort(F.collect_list(F.struct("k", entry.alias("e"))))["e"], "")
+    index = top_per_key(nested, ["audit_id"], ["k"], 100).groupBy("audit_id").agg(F.array_join(F.array_sort(F.collect_list(F.struct("k", entry.alias("e"))))["e"], "")
                                            .alias("es"))
     tops = index.select("audit_id", F.concat(site, F.lit("/sitemap.xml")).alias("doc_url"),
                         F.concat(F.lit("<sitemapindex>"), "es", F.lit("</sitemapindex>")).alias("body"))
