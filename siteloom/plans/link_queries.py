@@ -80,7 +80,7 @@ def q_summary(spark, sf_dir):
 @query("semantic_links", f"""WITH {PROFILE}, fp AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY audit_id ORDER BY seq) AS r FROM prof) WHERE r <= 100),
  emb AS (SELECT fp.*, e.embedding::DOUBLE[] AS v FROM fp JOIN {{embeddings}} e ON e.vec_id = fp.seq % 500),
  enh AS (SELECT s.audit_id, s.source_id, s.target_id, s.source_url, s.target_url, 0 AS added, s.score AS base,
-   floor(greatest(0, list_cosine_similarity(a.v, b.v)) * 100 + 0.5) AS sem FROM sugg s LEFT JOIN emb a ON a.audit_id = s.audit_id AND a.seq = s.source_id
+   CASE WHEN a.v IS NOT NULL AND b.v IS NOT NULL THEN floor(greatest(0, list_cosine_similarity(a.v, b.v)) * 100 + 0.5) END AS sem FROM sugg s LEFT JOIN emb a ON a.audit_id = s.audit_id AND a.seq = s.source_id
    LEFT JOIN emb b ON b.audit_id = s.audit_id AND b.seq = s.target_id),
  enh2 AS (SELECT audit_id, source_id, target_id, source_url, target_url, added, CASE WHEN sem IS NULL THEN base ELSE least(100, floor(base * 0.58::DOUBLE + sem * 0.42::DOUBLE + 0.5)) END AS score FROM enh),
  cand AS (SELECT t.audit_id, t.seq AS target_id, s.seq AS source_id, s.url AS source_url, t.url AS target_url, t.incoming_links, s.word_count AS sw,
