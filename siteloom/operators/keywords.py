@@ -45,7 +45,7 @@ def item_order() -> list:
     return [F.desc("n_tokens"), F.asc("keyword")]
 
 
-def _greedy(key, pdf: pd.DataFrame) -> pd.DataFrame:
+def _greedy(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     """Greedy leader pass of one analysis: compare with the eight commonest tokens of each cluster so far."""
     order = sorted(range(len(pdf)), key=lambda i: (-pdf["n_tokens"].iat[i], pdf["keyword"].iat[i]))
     texts, token_lists = pdf["normalized"].tolist(), [list(t) for t in pdf["tokens"]]
@@ -119,7 +119,7 @@ def dominant_intent(items: DataFrame) -> DataFrame:
     return counted.groupBy(*CLUSTER).agg(F.min_by("intent", F.struct((-F.col("n")).alias("n"), "first")).alias("intent"))
 
 
-def _pair_sum(key, left: pd.DataFrame) -> pd.DataFrame:
+def _pair_sum(key: tuple, left: pd.DataFrame) -> pd.DataFrame:
     """Sum of pairwise Jaccard between two blocks of one cluster (or within one block)."""
     vocabulary = {t: n for n, t in enumerate(sorted({t for ts in left["tokens"] for t in ts}))}
     bits = np.zeros((len(left), max(1, len(vocabulary))), dtype="float32")

@@ -39,7 +39,7 @@ def page_document(pages: DataFrame) -> DataFrame:
     return pages.withColumn("document", F.substring(text, 1, 12_000))
 
 
-def _best_sources(key, pdf: pd.DataFrame) -> pd.DataFrame:
+def _best_sources(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     """All cosines of one audit's embedded pages (at most the page limit) in one matrix product; top candidates."""
     pdf = pdf.sort_values("seq", ignore_index=True)
     vectors = [np.asarray(v, dtype="float64") for v in pdf["vector"]]

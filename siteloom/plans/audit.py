@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -15,13 +16,21 @@ from siteloom.session import stage
 
 @dataclass
 class AuditResult:
-    """Lazy result tables of the audit job."""
+    """Lazy result tables of the audit job; tables nobody asks for are never planned."""
     pages: DataFrame
     issues: DataFrame
-    parts: DataFrame
-    groups: DataFrame
     header: DataFrame
 
+    @cached_property
+    def parts(self) -> DataFrame:
+        """Distinct URLs and evidence blocks per issue group."""
+        return scoring.grouped_issue_parts(self.issues)
+
+    @cached_property
+    def groups(self) -> DataFrame:
+        """Issue groups."""
+        return scoring.group_issues(self.parts)
+
 
 def audit_pages(pages: DataFrame, links: DataFrame, robots: DataFrame | None = None, sitemaps: DataFrame | None = None,
                 responses: DataFrame | None = None, frontier: DataFrame | None = None) -> AuditResult:
@@ -43,8 +52,6 @@ def audit_pages(pages: DataFrame, links: DataFrame, robots: DataFrame | None = N
     issues = parts[0]
     for more in parts[1:]:
         issues = issues.unionByName(more)
-    children = scoring.grouped_issue_parts(issues)
-    groups = scoring.group_issues(children)
     counts = scoring.issue_url_counts(issues)
     score = scoring.audit_score(counts, roots)
     header = (roots.join(score.select("audit_id", "score"), "audit_id").join(scoring.group_counts(counts), "audit_id", "left")
@@ -53,7 +60,7 @@ def audit_pages(pages: DataFrame, links: DataFrame, robots: DataFrame | None = N
     if frontier is not None:
         stopped = frontier.select("audit_id").distinct().withColumn("stopped", F.lit(True))
         header = header.join(stopped, "audit_id", "left").withColumn("stopped", F.coalesce("stopped", F.lit(False)))
-    return AuditResult(linked, issues, children, groups, header)
+    return AuditResult(linked, issues, header)
 
 
 def audit_captures(captures: DataFrame, roots: DataFrame, robots_docs: DataFrame, sitemap_docs: DataFrame, bot: str,
