@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from siteloom.llm import sharding
+from siteloom.llm import quality_rules, sharding
 from siteloom.llm.registry import query, read
 
 
@@ -14,3 +14,11 @@ def op1_bounded_ring(spark, sf_dir):
     rows = sharding.shard_rows(read(spark, sf_dir, "documents"), shards=8, slack=0.0)
     return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
                        F.lit(None).cast("int").alias("grown_shard"), "home", "arc")
+
+
+@query("op10_weak_supervision")
+def op10_weak_supervision(spark, sf_dir):
+    """Counts, votes and the posterior quality of every document."""
+    judged = quality_rules.judge(read(spark, sf_dir, "documents"), ["doc_id"])
+    return judged.select("row.doc_id", *[f"m.{k}" for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")],
+                         "base_failed", "kept", F.round("quality", 6).alias("quality"))
