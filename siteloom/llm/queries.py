@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from siteloom.llm import quality_rules, sharding
+from siteloom.llm import packing, quality_rules, repair, sharding, token_cache
 from siteloom.llm.registry import query, read
+from siteloom.session import staging_dir
 
 
 @query("op1_bounded_ring")
@@ -22,3 +25,25 @@ def op10_weak_supervision(spark, sf_dir):
     judged = quality_rules.judge(read(spark, sf_dir, "documents"), ["doc_id"])
     return judged.select("row.doc_id", *[f"m.{k}" for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")],
                          "base_failed", "kept", F.round("quality", 6).alias("quality"))
+
+
+@query("op3_repair_ids")
+def op3_repair_ids(spark, sf_dir):
+    """All documents as token ids in a grammar-compressed file, read back."""
+    path = f"{staging_dir(spark).rstrip('/')}/repair-{uuid.uuid4().hex}"
+    repair.write_ids(read(spark, sf_dir, "documents"), path, "word_bpe_49k.json")
+    return repair.read_ids(spark, path, base=49408)
+
+
+@query("op5_digest_cache")
+def op5_digest_cache(spark, sf_dir):
+    """Token counts of all documents by way of a digest cache that starts empty."""
+    path = f"{staging_dir(spark).rstrip('/')}/token-cache-{uuid.uuid4().hex}"
+    rows = token_cache.count_tokens(read(spark, sf_dir, "documents"), path, "word_bpe_49k.json")
+    return rows.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"))
+
+
+@query("op7_shortest_pack_first")
+def op7_shortest_pack_first(spark, sf_dir):
+    """All documents packed into sequences of 2048 ids."""
+    return packing.pack_documents(read(spark, sf_dir, "documents"), 2048, "byte_bpe_50k.json", joined=True)
