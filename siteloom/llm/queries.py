@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from siteloom.llm import packing, quality_rules, repair, sharding, token_cache
+from siteloom.llm import disclosure, packing, quality_rules, repair, sharding, templates, token_cache, url_filter
 from siteloom.llm.registry import query, read
 from siteloom.session import staging_dir
 
@@ -47,3 +47,31 @@ def op5_digest_cache(spark, sf_dir):
 def op7_shortest_pack_first(spark, sf_dir):
     """All documents packed into sequences of 2048 ids."""
     return packing.pack_documents(read(spark, sf_dir, "documents"), 2048, "byte_bpe_50k.json", joined=True)
+
+
+@query("op4_disclosure")
+def op4_disclosure(spark, sf_dir):
+    """Personal data in all documents: base spans, and terms that give an entity away."""
+    rows = disclosure.find(read(spark, sf_dir, "documents"))
+    many = lambda k: F.size(F.filter("base", lambda x: x["k"] == k)).cast("long")
+    return rows.select("doc_id", *[many(i).alias(f"n_{k}") for i, k in enumerate(disclosure.KINDS)],
+                       F.sha2(disclosure.spans_text(F.col("base")), 256).alias("base_sha256"), disclosure.spans_text(F.col("spans")).alias("spans"))
+
+
+#: The query's rules, and words by which the labelled URLs are marked as unwanted.
+URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
+URL_MARKS = ["casino", "pills", "bets", "spam", "ads-track"]
+
+
+@query("op8_url_regression")
+def op8_url_regression(spark, sf_dir):
+    """All page urls; the labelled table holds 2000 urls marked by words of their host."""
+    pages = read(spark, sf_dir, "pages")
+    labelled = pages.select("url", url_filter.host_of(F.col("url")).rlike("|".join(URL_MARKS)).cast("int").alias("label"))
+    return url_filter.judge(pages, labelled, URL_RULES)
+
+
+@query("op9_template_leaks")
+def op9_template_leaks(spark, sf_dir):
+    """Benchmark items in all documents; a row for each document and item it leaks."""
+    return templates.matches(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
