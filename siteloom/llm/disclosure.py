@@ -40,7 +40,7 @@ PATTERNS = {
 }
 HINTS = {"email": "@", "ip": r"[0-9]\.[0-9]++\.[0-9]++\.[0-9]", "card": r"[0-9](?:[ -]?[0-9]){11}", "phone": r"\+[0-9]"}
 WORD = r"[\p{L}\p{N}]++"
-SPAN = "array<struct<s:int,e:int,k:int,v:string>>"
+SPAN = "array<struct<s:int,k:int,e:int,v:string>>"
 
 
 def luhn(digits: Column) -> Column:
@@ -64,7 +64,7 @@ def accepted(kind: str, hit: Column) -> Column:
 
 
 def located(text: Column, pattern: Column | str, accept, rank: int) -> Column:
-    """Spans (start, end, rank, text) of all matches that are accepted, in code points."""
+    """Spans (start, rank, end, text) of all matches that are accepted, in code points."""
     pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
     parts = F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, pattern, F.lit(0)),
                        lambda g, h: F.struct(g.alias("g"), h.alias("h")))
@@ -72,7 +72,7 @@ def located(text: Column, pattern: Column | str, accept, rank: int) -> Column:
     def step(held: Column, x: Column) -> Column:
         start = held["at"] + F.char_length(x["g"])
         stop = start + F.coalesce(F.char_length(x["h"]), F.lit(0))
-        span = F.struct(start.alias("s"), stop.alias("e"), F.lit(rank).alias("k"), x["h"].alias("v"))
+        span = F.struct(start.alias("s"), F.lit(rank).alias("k"), stop.alias("e"), x["h"].alias("v"))
         good = F.when(x["h"].isNotNull(), accept(x["h"])).otherwise(False)
         return F.struct(stop.alias("at"), F.when(good, F.concat(held["out"], F.array(span))).otherwise(held["out"]).alias("out"))
 
