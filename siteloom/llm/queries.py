@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from siteloom.llm import disclosure, packing, quality_rules, repair, sharding, templates, token_cache, url_filter
+from siteloom.llm import disclosure, jaccard_join, packing, quality_rules, repair, sharding, templates, token_cache, url_filter
 from siteloom.llm.registry import query, read
 from siteloom.session import staging_dir
 
@@ -75,3 +75,9 @@ def op8_url_regression(spark, sf_dir):
 def op9_template_leaks(spark, sf_dir):
     """Benchmark items in all documents; a row for each document and item it leaks."""
     return templates.matches(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+@query("op6_incidence_product")
+def op6_incidence_product(spark, sf_dir):
+    """All documents linked at a Jaccard similarity of 0.85 on four words."""
+    return jaccard_join.link(read(spark, sf_dir, "documents"), k=4, percent=85)
