@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from siteloom.llm import disclosure, jaccard_join, packing, quality_rules, repair, sharding, templates, token_cache, url_filter
+from siteloom.llm import disclosure, jaccard_join, kneser_ney, packing, quality_rules, repair, sharding, templates, token_cache, url_filter
 from siteloom.llm.registry import query, read
 from siteloom.session import staging_dir
 
@@ -81,3 +81,11 @@ def op9_template_leaks(spark, sf_dir):
 def op6_incidence_product(spark, sf_dir):
     """All documents linked at a Jaccard similarity of 0.85 on four words."""
     return jaccard_join.link(read(spark, sf_dir, "documents"), k=4, percent=85)
+
+
+@query("op2_kneser_ney")
+def op2_kneser_ney(spark, sf_dir):
+    """Perplexity of all documents under a model of those labelled good and not toxic."""
+    trusted = read(spark, sf_dir, "labels").filter("quality = 1 and toxic = 0").select("doc_id")
+    rows = kneser_ney.classify(read(spark, sf_dir, "documents"), trusted, quantile=0.995)
+    return rows.select("doc_id", "lang", F.round("perplexity", 6).alias("perplexity"), F.round("threshold", 6).alias("threshold"), "kept")
