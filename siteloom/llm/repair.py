@@ -32,7 +32,7 @@ from siteloom.llm.textkit import encoder
 SEGMENT = 1 << 18
 
 
-def repair(ids: np.ndarray, ends: np.ndarray, base: int, least: int = 6, rounds: int = 8) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def repair(ids: np.ndarray, ends: np.ndarray, base: int, least: int = 6, rounds: int = 6) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(symbols, ends, rules). ``ends`` marks the last symbol of each document."""
     seq, rules = ids.astype(np.uint32), []
     room = (1 << 16) - base
@@ -52,9 +52,14 @@ def repair(ids: np.ndarray, ends: np.ndarray, base: int, least: int = 6, rounds:
         often = often[np.argsort(-count[often], kind="stable")][:room]
         pairs = ordered[cut[often]]
         by_code = np.argsort(pairs)
-        at = np.minimum(np.searchsorted(pairs[by_code], code), len(pairs) - 1)
-        found = (pairs[by_code][at] == code) & inner
-        rank = np.where(found, by_code[at], len(pairs)).astype(np.int64)
+        left, right = np.zeros(1 << 16, bool), np.zeros(1 << 16, bool)
+        left[pairs >> np.uint32(16)] = right[pairs & np.uint32(0xFFFF)] = True
+        maybe = np.flatnonzero(left[seq[:-1]] & right[seq[1:]] & inner)
+        at = np.minimum(np.searchsorted(pairs[by_code], code[maybe]), len(pairs) - 1)
+        hit = pairs[by_code][at] == code[maybe]
+        rank = np.full(len(code), len(pairs), np.int64)
+        rank[maybe[hit]] = by_code[at[hit]]
+        found = rank < len(pairs)
         # A place is taken if its pair outranks both neighbours'; in a run of one pair (aaaa) every other place.
         before, after = np.append(len(pairs), rank[:-1]), np.append(rank[1:], len(pairs))
         place = np.arange(len(rank))

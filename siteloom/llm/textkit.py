@@ -60,20 +60,46 @@ def words_of(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return starts, ends, np.searchsorted(offsets, starts, side="right") - 1
 
 
+#: ASCII letters 1, other ASCII 2, white space 0; the apostrophe and bytes beyond ASCII 3.
+KIND = np.full(256, 3, np.uint8)
+KIND[:128] = 2
+KIND[[*range(65, 91), *range(97, 123)]] = 1
+KIND[WHITE] = 0
+KIND[39] = 3
+
+
 def chunks_of(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """As words_of, but every chunk begins with the white space before it; the chunks cover all bytes."""
+    """Start, end and document of chunks that cover all bytes; a chunk begins where white space begins after other bytes, or
+    where an ASCII letter meets other ASCII that is neither white space nor an apostrophe."""
     n = int(offsets[-1])
     if not n:
         return (np.zeros(0, np.int64),) * 3
-    white = WHITE[buf[:n]]
+    kind = KIND[buf[:n]]
     begin = np.empty(n, bool)
     begin[0] = True
-    begin[1:] = white[1:] & ~white[:-1]
+    begin[1:] = (kind[1:] == 0) & (kind[:-1] != 0) | (kind[1:] ^ kind[:-1] == 3) & (kind[1:] != 0) & (kind[:-1] != 0)
     begin[offsets[:-1][offsets[:-1] < n]] = True
     starts = np.flatnonzero(begin)
     return starts, np.append(starts[1:], n), np.searchsorted(offsets, starts, side="right") - 1
 
 
+def solid_chunks_of(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As chunks_of, without the white space."""
+    n = int(offsets[-1])
+    if not n:
+        return (np.zeros(0, np.int64),) * 3
+    kind = KIND[buf[:n]]
+    begin = np.empty(n, bool)
+    begin[0] = True
+    begin[1:] = (kind[1:] == 0) != (kind[:-1] == 0)
+    begin[1:] |= (kind[1:] ^ kind[:-1] == 3) & (kind[1:] != 0) & (kind[:-1] != 0)
+    begin[offsets[:-1][offsets[:-1] < n]] = True
+    starts = np.flatnonzero(begin)
+    ends = np.append(starts[1:], n)
+    solid = kind[starts] != 0
+    return starts[solid], ends[solid], np.searchsorted(offsets, starts[solid], side="right") - 1
+
+
 def span_hash(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each span, eight bytes a step. ``buf`` needs eight spare bytes at its end."""
     view = np.lib.stride_tricks.as_strided(buf.view(np.uint8), (len(buf) - 7, 8), (1, 1))
@@ -129,10 +155,11 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 
 class ChunkEncoder:
-    """Token ids of whole texts by a public tokenizer file; every distinct white-space chunk is encoded once and remembered.
+    """Token ids of whole texts by a public tokenizer file; every distinct chunk is encoded once and remembered.
 
-    A chunk ends where white space begins, a place the pre-tokenizers of these files never bridge. Texts with white space
-    outside ASCII or with special-token strings are encoded as a whole. Memory: ``LIMIT`` chunks, then it starts anew.
+    Chunks end at places that the pre-tokenizers of these files never bridge. Texts with white space outside ASCII or with
+    special-token strings are encoded as a whole. ``joined``: white space counts, as for byte-level files; otherwise the file drops
+    it and lowers case. Memory: ``LIMIT`` chunks, then it starts anew.
     """
 
     LIMIT = 1_500_000
@@ -145,40 +172,58 @@ class ChunkEncoder:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tok = Tokenizer.from_file(public_tokenizers.path(name))
-        self.pieces = chunks_of if joined else words_of
+        self.joined = joined
         self.clear()
 
     def clear(self) -> None:
-        self.keys, self.start, self.length = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.ids = np.zeros(0, np.uint16)
+        self.runs: list = []  # sorted keys with places in ids; each run is at least four times as long as the next
+        self.ids, self.used, self.known = np.zeros(1 << 16, np.uint16), 0, 0
 
     def learn(self, keys: np.ndarray, texts: list[str]) -> None:
-        """Encode new chunks (keys are sorted and not yet known)."""
-        if len(self.keys) + len(keys) > self.LIMIT:
-            self.clear()
+        """Encode new chunks; keys are sorted and not yet known."""
         found = [self.tok.encode_batch_fast(texts[i:i + 4096], add_special_tokens=False) for i in range(0, len(texts), 4096)]
-        ids = [np.array(e.ids, np.uint16) for part in found for e in part]
-        length = np.array([len(x) for x in ids], np.int64)
-        start = len(self.ids) + np.concatenate([[0], np.cumsum(length)[:-1]]) if len(ids) else np.zeros(0, np.int64)
-        self.ids = np.concatenate([self.ids, *ids])
-        keys = np.concatenate([self.keys, keys])
-        order = np.argsort(keys, kind="stable")
-        self.keys, self.start, self.length = keys[order], np.concatenate([self.start, start])[order], np.concatenate([self.length, length])[order]
+        ids = [e.ids for part in found for e in part]
+        length = np.fromiter(map(len, ids), np.int64, len(ids))
+        total = int(length.sum())
+        if self.used + total > len(self.ids):
+            self.ids = np.concatenate([self.ids[:self.used], np.zeros(max(self.used, total), np.uint16)])
+        self.ids[self.used:self.used + total] = np.fromiter((x for part in ids for x in part), np.uint16, total)
+        run = (keys, self.used + np.cumsum(length) - length, length)
+        self.used += total
+        self.known += len(keys)
+        while self.runs and len(self.runs[-1][0]) < 4 * len(run[0]):
+            other = self.runs.pop()
+            order = np.argsort(merged := np.concatenate([other[0], run[0]]), kind="stable")
+            run = (merged[order], np.concatenate([other[1], run[1]])[order], np.concatenate([other[2], run[2]])[order])
+        self.runs.append(run)
+
+    def look(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Place and length of each known key; which are not known."""
+        start, length, lost = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64), np.ones(len(keys), bool)
+        for k, s, n in self.runs:
+            at = np.minimum(np.searchsorted(k, keys), len(k) - 1)
+            hit = k[at] == keys
+            start[hit], length[hit] = s[at[hit]], n[at[hit]]
+            lost &= ~hit
+        return start, length, lost
 
     def spans(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Start and length in ``self.ids`` of every chunk, and the chunk's document."""
-        starts, ends, docs = self.pieces(buf, offsets)
+        if self.joined:
+            starts, ends, docs = chunks_of(buf, offsets)
+        else:
+            buf = LOWER[buf]
+            starts, ends, docs = solid_chunks_of(buf, offsets)
         distinct, first, back = np.unique(span_hash(buf, starts, ends), return_index=True, return_inverse=True)
-        at = np.minimum(np.searchsorted(self.keys, distinct), max(0, len(self.keys) - 1))
-        new = np.flatnonzero(self.keys[at] != distinct) if len(self.keys) else np.arange(len(distinct))
-        if len(new):
-            if len(self.keys) + len(new) > self.LIMIT:  # the old ones go; those of this slice are needed again
+        start, length, lost = self.look(distinct)
+        if lost.any():
+            if self.known + int(lost.sum()) > self.LIMIT:  # the old ones go; those of this slice are needed again
                 self.clear()
-                new = np.arange(len(distinct))
-            raw = buf.tobytes()
-            self.learn(distinct[new], [raw[a:b].decode() for a, b in zip(starts[first[new]], ends[first[new]])])
-            at = np.searchsorted(self.keys, distinct)
-        return self.start[at][back], self.length[at][back], docs
+                lost[:] = True
+            new, raw = np.flatnonzero(lost), buf.tobytes()
+            self.learn(distinct[new], [raw[a:b].decode() for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist())])
+            start, length, _ = self.look(distinct)
+        return start[back], length[back], docs
 
     def encode(self, column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(first row, ids of its documents, number of ids of each document) for slices of the column."""
