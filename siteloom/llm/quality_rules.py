@@ -153,6 +153,10 @@ def judge(docs: DataFrame, carry: list[str], text: str = "text", threshold: floa
 
 
 def keep_good(docs: DataFrame, text: str = "text", threshold: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` whose text is kept, with its columns. Texts are measured twice rather than staged."""
+    """The rows of ``docs`` whose text is kept, with its columns. Texts are measured twice rather than staged.
+
+    The filter also reads a row number: below a number Spark pushes no filter, which would repeat the measures for each rule.
+    """
     rates = fit(vote_table(spoken(docs, text, [])), list(votes()))
-    return verdict(spoken(docs, text, docs.columns), rates, threshold).filter("kept").select("row.*")
+    held = spoken(docs, text, docs.columns).withColumn("at", F.monotonically_increasing_id())
+    return verdict(held, rates, threshold).filter(F.col("kept") & (F.col("at") >= 0)).select("row.*")
