@@ -140,12 +140,20 @@ def duplicate_groups(pages: DataFrame, key: str) -> DataFrame:
                  .filter("n_pages >= 2"))
 
 
-def duplicate_members(pages: DataFrame, key: str) -> DataFrame:
-    """Every page of every duplicate group (the evidence lines), cut value first; order by first_seq, seq."""
+def duplicate_members(pages: DataFrame, key: str, width: int | None = None) -> DataFrame:
+    """Every page of every duplicate group (the evidence lines), shared value first; order by first_seq, seq.
+
+    ``width`` cuts the shown value, as the report's lines do (240)."""
     value = F.lower(trim_ws(F.col(key)))
     groups = duplicate_groups(pages, key).select("audit_id", "value", "first_seq")
     return (pages.select("audit_id", "seq", "url", value.alias("value")).join(groups, ["audit_id", "value"])
-                 .select("audit_id", "first_seq", F.substring("value", 1, 240).alias("shared"), "seq", "url"))
+                 .select("audit_id", "first_seq", (F.col("value") if width is None else F.substring("value", 1, width)).alias("shared"), "seq", "url"))
+
+
+def duplicate_occurrences(pages: DataFrame) -> DataFrame:
+    """audit_id, code, url: every page that takes part in a duplicate finding, whatever their number."""
+    both = [duplicate_members(pages, key).select("audit_id", F.lit(f"duplicate-{key}").alias("code"), "url") for key in ("title", "description")]
+    return both[0].unionByName(both[1])
 
 
 def duplicate_issues(pages: DataFrame, key: str) -> DataFrame:

@@ -60,12 +60,13 @@ def _both_sides(rows: DataFrame, pairs: DataFrame) -> DataFrame:
     return joined.drop("of").withColumnRenamed("pair", "audit_id")
 
 
-def issue_diff(issues: DataFrame, pairs: DataFrame) -> DataFrame:
+def issue_diff(issues: DataFrame, pairs: DataFrame, members: DataFrame | None = None) -> DataFrame:
     """New, fixed and persistent issue fingerprints of every (audit_id, previous_audit_id) pair.
 
     A fingerprint is code|normalised URL over all occurrences; its last row wins. One shuffle on (pair, fingerprint).
+    ``members``: affected URLs of duplicate findings (findings.duplicate_occurrences).
     """
-    occurrences = expand_issue_occurrences(issues).select(
+    occurrences = expand_issue_occurrences(issues, members).select(
         "audit_id", F.concat_ws("|", "code", normalize_issue_url(F.col("url"))).alias("fingerprint"),
         F.struct("seq", "code", "severity", "title", "url").alias("row"))
     sides = _both_sides(occurrences, pairs)
@@ -102,10 +103,10 @@ def diff_summary(diff: DataFrame) -> DataFrame:
                                           for s in ("new", "fixed", "persistent")])
 
 
-def compare_audits(audits: DataFrame, issues: DataFrame) -> DataFrame:
+def compare_audits(audits: DataFrame, issues: DataFrame, members: DataFrame | None = None) -> DataFrame:
     """Header of every consecutive comparison: delta, trend and issue counts."""
     trended = audit_trend(audits).filter("previous_audit_id is not null")
-    counts = diff_summary(issue_diff(issues, trended.select("audit_id", "previous_audit_id")))
+    counts = diff_summary(issue_diff(issues, trended.select("audit_id", "previous_audit_id"), members))
     zero = {f"{s}_count": 0 for s in ("new", "fixed", "persistent")}
     return (trended.join(counts, "audit_id", "left").na.fill(zero)
                    .select("audit_id", "previous_audit_id", "score_delta", "trend", *zero))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
@@ -45,58 +43,6 @@ def item_order() -> list:
     return [F.desc("n_tokens"), F.asc("keyword")]
 
 
-def _greedy(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-    """Greedy leader pass of one analysis: compare with the eight commonest tokens of each cluster so far."""
-    order = sorted(range(len(pdf)), key=lambda i: (-pdf["n_tokens"].iat[i], pdf["keyword"].iat[i]))
-    texts, token_lists = pdf["normalized"].tolist(), [list(t) for t in pdf["tokens"]]
-    members: list[list[int]] = []
-    counts: list[Counter] = []
-    tops: list[set] = []
-    index: dict[str, set] = defaultdict(set)
-    label = np.zeros(len(pdf), dtype="int64")
-    for i in order:
-        own = set(token_lists[i])
-        shared = Counter(c for t in own for c in index[t])
-        best, score = -1, 0.0
-        for c in sorted(shared):
-            value = shared[c] / (len(own) + len(tops[c]) - shared[c])
-            if value > score:
-                best, score = c, value
-        near = score >= K.JOIN_SCORE or (best >= 0 and score >= K.CONTAINMENT_SCORE and any(
-            texts[i] in texts[j] or texts[j] in texts[i] for j in members[best]))
-        if not near:
-            best = len(members)
-            members.append([])
-            counts.append(Counter())
-            tops.append(set())
-        members[best].append(i)
-        counts[best].update(own)
-        top = {t for t, _ in sorted(counts[best].items(), key=lambda kv: (-kv[1], kv[0]))[:8]}
-        for t in tops[best] - top:
-            index[t].discard(best)
-        for t in top:
-            index[t].add(best)
-        tops[best] = top
-        label[i] = best + 1
-    return pd.DataFrame({"analysis_id": pdf["analysis_id"], "normalized": texts, "cluster_no": label})
-
-
-def keyword_clusters_sequential(items: DataFrame, max_keywords: int = K.MAX_KEYWORDS) -> DataFrame:
-    """Clusters in strict input order: one pass per analysis, analyses in parallel.
-
-    The order of the pass makes it sequential, so an analysis must stay within the product limit (2 000 keywords); larger
-    ones are refused by analysis_limits and belong to keyword_clusters, which has no limit.
-    """
-    sizes = items.groupBy("analysis_id").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") <= max_keywords)
-    bounded = items.join(sizes.select("analysis_id"), "analysis_id", "left_semi")
-    schema = T.StructType([items.schema["analysis_id"], T.StructField("normalized", T.StringType()),
-                           T.StructField("cluster_no", T.LongType())])
-    labels = bounded.select("analysis_id", "normalized", "keyword", "tokens", "n_tokens").groupBy(
-        "analysis_id").applyInPandas(_greedy, schema)
-    return items.join(labels, ["analysis_id", "normalized"]).withColumn(
-        "cluster_id", F.concat(F.lit("cluster-"), F.col("cluster_no").cast("string")))
-
-
 def cluster_token_frequency(items: DataFrame) -> DataFrame:
     """Items per cluster that contain a token."""
     return (items.select(*CLUSTER, F.explode(F.array_distinct("tokens")).alias("token"))

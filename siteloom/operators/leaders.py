@@ -93,7 +93,7 @@ def _edge_rounds(items: DataFrame, edges: DataFrame) -> DataFrame:
                            .join(names.withColumnRenamed("normalized", "second"), ["analysis_id", "second"], "left_semi"))
 
 
-def keyword_clusters(items: DataFrame, pairs_per_entry: int = 64, max_rounds: int = 10_000) -> DataFrame:
+def keyword_clusters(items: DataFrame, pairs_per_entry: int = 64) -> DataFrame:
     """Clusters of every analysis, whatever its size.
 
     In analysis order a keyword leads a cluster unless an earlier leader is its neighbour (Jaccard >= 0.34, or >= 0.2 and
@@ -107,7 +107,7 @@ def keyword_clusters(items: DataFrame, pairs_per_entry: int = 64, max_rounds: in
     entries = all_entries = stage(_entries(ranked))
     alone = ranked.select(*keys).join(entries.select(*keys).distinct(), keys, "left_anti")
     leaders, undecided = alone, ranked.select(*keys).join(alone, keys, "left_anti")
-    for _ in range(max_rounds):
+    while True:
         pairs, n = _pair_load(entries)
         if pairs <= max(1_000_000, pairs_per_entry * n):
             leaders = leaders.unionByName(_edge_rounds(undecided, stage(_meet(entries, entries))))

@@ -7,11 +7,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 from siteloom.functions import constants as K
 from siteloom.functions import text as X
 from siteloom.functions import urls as U
-from siteloom.operators.skew import top_per_key
+from siteloom.operators.skew import bucketed_rank, top_per_key
 from siteloom.session import stage
 
 PAIR = ["audit_id", "target_id"]
-MIN_SCORE, MAX_SUGGESTIONS, SPARE = 28, 200, 16
+MIN_SCORE, SPARE = 28, 16
 
 
 def indexable(pages: DataFrame) -> DataFrame:
@@ -66,8 +66,12 @@ def link_candidates(profile: DataFrame, roots: DataFrame, existing: DataFrame, h
     c = F.col
     words = profile.select("audit_id", F.explode("tokens").alias("token"))
     hot = stage(words.groupBy("audit_id", "token").agg(F.count("*").alias("df")).filter(c("df") > hot_df).drop("df"))
-    blocked = existing.filter("src_norm <> dst_norm").groupBy("audit_id", c("dst_norm").alias("norm")).agg(
-        F.count(F.lit(1)).alias("blocked"))
+    # Exclusions count pages, not URLs: all query variants of a linking URL, and those of the target itself.
+    variants = profile.groupBy("audit_id", c("norm").alias("src_norm")).agg(F.count(F.lit(1)).alias("pages"))
+    barred = existing.select("audit_id", "src_norm", "dst_norm").unionByName(
+        variants.select("audit_id", "src_norm", c("src_norm").alias("dst_norm"))).distinct()
+    blocked = barred.join(variants, ["audit_id", "src_norm"]).groupBy("audit_id", c("dst_norm").alias("norm")).agg(
+        F.sum("pages").alias("blocked"))
     if hot.isEmpty():
         pages = profile.withColumns({"n": F.size("tokens"), "hots": F.array().cast("array<string>")})
         weak = _targets(pages, roots).filter("incoming_links < 3").withColumn("busy", F.lit(False))
@@ -78,7 +82,7 @@ def link_candidates(profile: DataFrame, roots: DataFrame, existing: DataFrame, h
                    .groupBy("audit_id", "seq").agg(F.array_sort(F.collect_list(F.when(c("hot"), c("token")))).alias("hots")))
         pages = stage(profile.join(flagged, ["audit_id", "seq"]).withColumn("n", F.size("tokens")))
         weak = stage(_targets(pages, roots).filter("incoming_links < 3").join(blocked, ["audit_id", "norm"], "left")
-                     .withColumn("busy", F.coalesce("blocked", F.lit(0)) >= SPARE - 1))
+                     .withColumn("busy", F.coalesce("blocked", F.lit(0)) > SPARE))
         wanted = F.when(c("busy"), c("tokens")).otherwise(F.array_except("tokens", "hots"))
         pairs = (_rare_pairs(weak, pages, wanted).unionByName(_frequent_pairs(weak, pages))
                  .groupBy("audit_id", "target_id", "source_id")
@@ -143,11 +147,11 @@ def _frequent_pairs(weak: DataFrame, pages: DataFrame) -> DataFrame:
 
 
 def internal_links(pages: DataFrame, roots: DataFrame, links: DataFrame, compat: bool = True, hot_df: int = 512,
-                   budget: int = MAX_SUGGESTIONS) -> tuple[DataFrame, DataFrame]:
+                   budget: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(suggestions, skipped targets) of every audit.
 
-    Targets are walked from least to most linked, longer pages first, until ``budget`` suggestions are out; targets
-    reached before that without any candidate are the skipped ones. ``links``: audit_id, src, dst.
+    Targets are walked from least to most linked, longer pages first, until ``budget`` suggestions are out (never, if
+    it is None); targets reached before that without any candidate are the skipped ones. ``links``: audit_id, src, dst.
     """
     c = F.col
     profile = stage(page_profile(pages, compat))
@@ -160,8 +164,10 @@ def internal_links(pages: DataFrame, roots: DataFrame, links: DataFrame, compat:
         "audit_id", c("seq").alias("target_id"), c("url").alias("target_url"), "anchor", c("tokens").alias("target_tokens"),
         c("parent").alias("target_parent"), walk.alias("at"))
     walked = found.join(targets, PAIR)
-    kept = stage(top_per_key(walked, ["audit_id"], ["at", "rank"], budget, "position"))
-    cut = kept.filter(c("position") == budget).select("audit_id", c("at").alias("last"))
+    # Positions are counted in blocks of equally weak targets, so that a large audit is not one task.
+    placed = bucketed_rank(walked, ["audit_id"], F.struct("at.incoming_links", "at.w"), ["at", "rank"], "position")
+    kept = stage(placed if budget is None else placed.filter(c("position") <= budget))
+    cut = kept.filter(c("position") == (0 if budget is None else budget)).select("audit_id", c("at").alias("last"))
     idle = targets.join(found.select(*PAIR).distinct(), PAIR, "left_anti").join(cut, "audit_id", "left")
     skipped = idle.filter(c("last").isNull() | (c("at") < c("last"))).select("audit_id", "target_url")
     sources = profile.select("audit_id", c("seq").alias("source_id"), c("tokens").alias("source_tokens"),

@@ -86,7 +86,8 @@ def due_monitors(monitors: DataFrame, now: Column, limit: int = 2) -> DataFrame:
 def monitor_run_update(monitors: DataFrame, runs: DataFrame) -> DataFrame:
     """Fold the newest run of each monitor into its row; a run without an audit keeps the last audit."""
     last = runs.groupBy("monitor_id").agg(
-        F.max_by(F.struct("finished_at", "audit_id", "status", "error"), "finished_at").alias("r"))
+        F.max_by(F.struct("finished_at", "audit_id", "status", "error"), F.struct(
+            "finished_at", F.col("audit_id").isNull().alias("none"), "audit_id")).alias("r"))
     c, ran = F.col, F.col("r").isNotNull()
     return monitors.join(last, "monitor_id", "left").select(
         *[x for x in monitors.columns if x not in ("last_run_at", "last_audit_id", "last_status", "last_error",

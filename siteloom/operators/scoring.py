@@ -19,10 +19,17 @@ def issue_urls(url: Column, evidence: Column) -> Column:
     return F.array_union(own, lines)
 
 
-def expand_issue_occurrences(issues: DataFrame) -> DataFrame:
-    """One row per URL of an issue; issues without any URL stay once with a null URL (site-wide)."""
+def expand_issue_occurrences(issues: DataFrame, members: DataFrame | None = None) -> DataFrame:
+    """One row per URL of an issue; issues without any URL stay once with a null URL (site-wide).
+
+    ``members`` (audit_id, code, url) are affected URLs that stand in a table of their own, such as those of duplicate
+    groups; an issue's own URL may then come twice.
+    """
     rest = [c for c in issues.columns if c != "url"]
-    return issues.select(*rest, F.explode_outer(issue_urls(F.col("url"), F.col("evidence"))).alias("url"))
+    out = issues.select(*rest, F.explode_outer(issue_urls(F.col("url"), F.col("evidence"))).alias("url"))
+    if members is None:
+        return out
+    return out.unionByName(issues.drop("url").join(members, ["audit_id", "code"]).select(*rest, "url"))
 
 
 def issue_url_counts(issues: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from siteloom.functions import text as X
 from siteloom.functions import urls as U
 from siteloom.operators.links import _targets, confidence, indexable
-from siteloom.operators.skew import top_per_key
+from siteloom.operators.skew import bucketed_rank, top_per_key
 from siteloom.session import stage
 
 MIN_SIMILARITY = 48
@@ -29,51 +29,55 @@ def cosine_similarity(a: Column, b: Column) -> Column:
     return F.when(ok, F.coalesce(F.try_divide(dot(a, b), norm), F.lit(0.0))).otherwise(0.0)
 
 
-def page_document(pages: DataFrame) -> DataFrame:
-    """Text that describes a page to the embedding service, at most 12 000 characters."""
+def page_document(pages: DataFrame, limit: int | None = None) -> DataFrame:
+    """Text that describes a page to the embedding service; whole, unless the service sets a limit of characters."""
     def part(label: str, value: Column) -> Column:
         return F.concat(F.lit(f"{label}: "), F.coalesce(F.nullif(value, F.lit("")), F.lit("none")))
     text = F.concat_ws(" | ", part("title", F.col("title")), part("headings", F.array_join("h1s", " | ")),
                        part("description", F.col("description")),
                        F.concat(F.lit("path: "), U.decoded_path(F.col("url"))))
-    return pages.withColumn("document", F.substring(text, 1, 12_000))
+    return pages.withColumn("document", text if limit is None else F.substring(text, 1, limit))
+
+
+def _unit(vectors: pd.Series, dim: int) -> np.ndarray:
+    """Vectors as rows of length one (zero vectors stay zero), padded to ``dim``."""
+    rows = np.zeros((len(vectors), dim))
+    for i, v in enumerate(vectors):
+        rows[i, :len(v)] = v
+    size = np.linalg.norm(rows, axis=1)
+    return np.divide(rows, size[:, None], out=np.zeros_like(rows), where=size[:, None] > 0)
 
 
 def _best_sources(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-    """All cosines of one audit's embedded pages (at most the page limit) in one matrix product; top candidates."""
-    pdf = pdf.sort_values("seq", ignore_index=True)
-    vectors = [np.asarray(v, dtype="float64") for v in pdf["vector"]]
-    dim = max(len(v) for v in vectors)
+    """Cosines of one block of weak targets with one block of sources; the best three sources of each target."""
+    targets = pdf[pdf["is_target"]]
+    sources = pdf[~pdf["is_target"]].sort_values("seq", ignore_index=True)
     out: list[tuple] = []
-    taken = [set(t) for t in pdf["taken"]]
-    norms, seqs, ids = pdf["norm"].tolist(), pdf["seq"].tolist(), pdf["incoming_links"].tolist()
-    lengths = np.array([len(v) for v in vectors])
-    matrix = np.zeros((len(vectors), dim))
-    for i, v in enumerate(vectors):
-        matrix[i, :len(v)] = v
-    size = np.linalg.norm(matrix, axis=1)
-    unit = np.divide(matrix, size[:, None], out=np.zeros_like(matrix), where=size[:, None] > 0)
-    for t in np.flatnonzero(pdf["weak"].to_numpy()):
-        cosine = np.where(lengths == lengths[t], unit @ unit[t], 0.0)
+    if len(targets) and len(sources):
+        dim = max(max(map(len, targets["vector"])), max(map(len, sources["vector"])))
+        cosine = _unit(targets["vector"], dim) @ _unit(sources["vector"], dim).T
+        cosine[targets["vector"].map(len).to_numpy()[:, None] != sources["vector"].map(len).to_numpy()] = 0
         score = np.floor(np.maximum(cosine, 0) * 100 + 0.5).astype(int)
-        ranked = [s for s in np.argsort(-score, kind="stable") if score[s] >= MIN_SIMILARITY and norms[s] != norms[t]
-                  and norms[s] not in taken[t]]
-        out += [(key[0], seqs[t], seqs[s], int(score[s])) for s in ranked[:3 if ids[t] == 0 else 2]]
+        norms, seqs = sources["norm"].to_numpy(), sources["seq"].to_numpy()
+        for row, seq, norm, taken in zip(score, targets["seq"], targets["norm"], targets["taken"]):
+            open_ = np.flatnonzero((row >= MIN_SIMILARITY) & (norms != norm) & ~np.isin(norms, list(taken)))
+            best = open_[np.argsort(-row[open_], kind="stable")[:3]]
+            out += [(key[0], seq, seqs[i], int(row[i])) for i in best]
     return pd.DataFrame(out, columns=["audit_id", "target_id", "source_id", "semantic"])
 
 
 def semantic_links(suggestions: DataFrame, skipped: DataFrame, pages: DataFrame, roots: DataFrame, links: DataFrame,
-                   vectors: DataFrame, page_limit: int = 100, budget: int = 200) -> tuple[DataFrame, DataFrame]:
+                   vectors: DataFrame, budget: int | None = None, block: int = 1024) -> tuple[DataFrame, DataFrame]:
     """(suggestions, skipped targets) after blending in the page vectors.
 
-    Only the first ``page_limit`` indexable pages of an audit are embedded, which bounds the matrix of one audit.
+    All indexable pages with a vector take part. New pairs come from block by block products of about ``block`` targets and
+    sources; each returns three sources a target, and the best of all blocks stay. ``budget`` cuts an audit's list, if given.
     ``vectors``: audit_id, seq, vector. Audits with fewer than two embedded pages keep the base result.
     """
     c = F.col
     live = indexable(pages).select("audit_id", "seq", "url", "word_count", "incoming_links",
                                    U.normalize_link_url(c("url")).alias("norm"), "anchor_text")
-    first = top_per_key(live, ["audit_id"], ["seq"], page_limit)
-    embedded = first.join(vectors.select("audit_id", "seq", finite_vector(c("vector")).alias("vector")),
+    embedded = live.join(vectors.select("audit_id", "seq", finite_vector(c("vector")).alias("vector")),
                           ["audit_id", "seq"]).filter(F.size("vector") > 0)
     enough = embedded.groupBy("audit_id").agg(F.count("*").alias("n")).filter("n >= 2").select("audit_id")
     embedded = stage(embedded.join(enough, "audit_id", "left_semi"))
@@ -96,21 +100,27 @@ def semantic_links(suggestions: DataFrame, skipped: DataFrame, pages: DataFrame,
                     c("reasons"), F.concat(F.lit("Semantic similarity: "), c("semantic").cast("string"), F.lit("/100.")))))
                 .withColumn("score", c("new_score")).withColumn("added", F.lit(0)))
 
-    # new pairs for weak targets: one bounded matrix per audit
+    # new pairs for weak targets, a bounded matrix at a time
     weak = _targets(embedded, roots).filter("incoming_links <= 1").select("audit_id", "seq").withColumn("weak", F.lit(True))
     have = (links.select("audit_id", U.normalize_link_url(c("src")).alias("s"), U.normalize_link_url(c("dst")).alias("t"))
             .unionByName(suggestions.select("audit_id", U.normalize_link_url(c("source_url")).alias("s"),
                                             U.normalize_link_url(c("target_url")).alias("t"))))
-    # only sources among the embedded pages matter, so this list is bounded by the page limit as well
-    held = (have.join(embedded.select("audit_id", c("norm").alias("s")), ["audit_id", "s"], "left_semi")
-            .join(embedded.select("audit_id", c("norm").alias("t")), ["audit_id", "t"], "left_semi")
+    # weak targets have one incoming link at most, so what is taken is a short list
+    held = (have.join(embedded.join(weak, ["audit_id", "seq"]).select("audit_id", c("norm").alias("t")).distinct(), ["audit_id", "t"], "left_semi")
             .groupBy("audit_id", c("t").alias("norm")).agg(F.collect_set("s").alias("taken")))
     schema = T.StructType([pages.schema["audit_id"], T.StructField("target_id", T.LongType()),
                            T.StructField("source_id", T.LongType()), T.StructField("semantic", T.IntegerType())])
-    table = (embedded.join(weak, ["audit_id", "seq"], "left").join(held, ["audit_id", "norm"], "left")
-             .select("audit_id", "seq", "norm", "vector", "incoming_links", F.coalesce("weak", F.lit(False)).alias("weak"),
-                     F.coalesce("taken", F.array().cast("array<string>")).alias("taken")))
-    new = table.groupBy("audit_id").applyInPandas(_best_sources, schema)
+    blocks = embedded.groupBy("audit_id").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    dealt = embedded.join(blocks, "audit_id").withColumn("block", F.pmod(F.xxhash64("seq"), c("blocks")).cast("int"))
+    others = F.explode(F.sequence(F.lit(0), c("blocks") - 1))
+    none = F.array().cast("array<string>")
+    sources = dealt.select("audit_id", others.alias("i"), c("block").alias("j"), "seq", "norm", "vector", none.alias("taken"), F.lit(False).alias("is_target"))
+    targets = dealt.join(weak, ["audit_id", "seq"]).join(held, ["audit_id", "norm"], "left").select(
+        "audit_id", c("block").alias("i"), others.alias("j"), "seq", "norm", "vector", F.coalesce("taken", none).alias("taken"), F.lit(True).alias("is_target"))
+    near = sources.unionByName(targets).groupBy("audit_id", "i", "j").applyInPandas(_best_sources, schema)
+    ranked = top_per_key(near, ["audit_id", "target_id"], [F.desc("semantic"), "source_id"], 3, "rank")
+    links_in = embedded.select("audit_id", c("seq").alias("target_id"), "incoming_links")
+    new = ranked.join(links_in, ["audit_id", "target_id"]).filter((c("rank") <= 2) | (c("incoming_links") == 0)).drop("rank", "incoming_links")
     info = embedded.select("audit_id", "seq", "url", "word_count", "anchor_text")
     named = (new.join(info.select("audit_id", c("seq").alias("source_id"), c("url").alias("source_url"),
                                   c("word_count").alias("words")), ["audit_id", "source_id"])
@@ -126,8 +136,11 @@ def semantic_links(suggestions: DataFrame, skipped: DataFrame, pages: DataFrame,
         "status", F.lit("proposed")).withColumn("added", F.lit(1))
     cols = ["audit_id", "source_id", "target_id", "source_url", "target_url", "anchor_text", "score", "confidence",
             "reasons", "status", "added"]
-    merged = top_per_key(enhanced.select(*cols).unionByName(additions.select(*cols)), ["audit_id"],
-                         [F.desc("score"), "source_url", "added", "target_id"], budget, "position")
+    # counted in blocks of equal score, so that a large audit is not one task
+    merged = bucketed_rank(enhanced.select(*cols).unionByName(additions.select(*cols)), ["audit_id"], -c("score"),
+                           [F.desc("score"), "source_url", "added", "target_id"], "position")
+    if budget is not None:
+        merged = merged.filter(c("position") <= budget)
     matched = merged.select("audit_id", U.normalize_link_url(c("target_url")).alias("norm")).distinct()
     left = (skipped.withColumn("norm", U.normalize_link_url(c("target_url")))
             .join(matched, ["audit_id", "norm"], "left_anti").drop("norm"))

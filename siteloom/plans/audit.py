@@ -26,6 +26,11 @@ class AuditResult:
         """Distinct URLs and evidence blocks per issue group."""
         return scoring.grouped_issue_parts(self.issues)
 
+    @cached_property
+    def members(self) -> DataFrame:
+        """Affected URLs of the duplicate findings, for comparisons."""
+        return findings.duplicate_occurrences(self.pages)
+
     @cached_property
     def groups(self) -> DataFrame:
         """Issue groups."""

@@ -134,7 +134,7 @@ for _key in ("title", "description"):
         lambda spark, sf_dir, key=_key: findings.duplicate_groups(table(spark, sf_dir, "fx_pages"), key))
 
 
-@query("duplicate_members", f"""SELECT p.audit_id, d.first_seq, substr(d.value, 1, 240) AS shared, p.seq, p.url
+@query("duplicate_members", f"""SELECT p.audit_id, d.first_seq, d.value AS shared, p.seq, p.url
  FROM {{fx_pages}} p JOIN ({_dup_sql('title')}) d ON d.audit_id = p.audit_id AND lower(trim(p.title)) = d.value""")
 def q_duplicate_members(spark, sf_dir):
     return findings.duplicate_members(table(spark, sf_dir, "fx_pages"), "title")
@@ -185,9 +185,9 @@ def q_grouped(spark, sf_dir):
 
 
 @query("issue_evidence", f"""WITH {_FX_ISSUES},
- e AS (SELECT audit_id, code, severity, title, recommendation, trim(evidence) AS v, min(seq) AS s, floor(min(seq) / 1000000000) AS chunk
+ e AS (SELECT audit_id, code, severity, title, recommendation, trim(evidence) AS v, min(seq) AS s, floor(min(seq) / 4096) AS chunk
        FROM issues WHERE evidence IS NOT NULL GROUP BY ALL),
- u AS (SELECT audit_id, code, severity, title, recommendation, url AS v, min(seq) AS s, floor(min(seq) / 1000000000) AS chunk
+ u AS (SELECT audit_id, code, severity, title, recommendation, url AS v, min(seq) AS s, floor(min(seq) / 4096) AS chunk
        FROM issues WHERE url IS NOT NULL GROUP BY ALL),
  eb AS (SELECT audit_id, code, severity, title, chunk, string_agg(v, chr(10) || chr(10) ORDER BY s, v) AS t FROM e GROUP BY ALL),
  ub AS (SELECT audit_id, code, severity, title, chunk, CASE WHEN count(*) > 1 THEN concat('Affected URLs:', chr(10), string_agg(v, chr(10) ORDER BY s, v)) END AS t
@@ -197,7 +197,7 @@ def q_grouped(spark, sf_dir):
  FROM eb FULL OUTER JOIN ub USING (audit_id, code, severity, title, chunk)""")
 def q_evidence(spark, sf_dir):
     parts = scoring.grouped_issue_parts(fixture_issues(spark, sf_dir))
-    return scoring.evidence_chunks(parts, 1_000_000_000).select("audit_id", "code", "severity", "title", "chunk", "evidence")
+    return scoring.evidence_chunks(parts).select("audit_id", "code", "severity", "title", "chunk", "evidence")
 
 
 @query("issue_severity_counts", """SELECT audit_id, count(*) FILTER (WHERE severity = 'critical') AS n_critical,

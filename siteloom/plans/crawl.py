@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame, functions as F
 
 from siteloom.functions import constants as K
@@ -11,7 +13,7 @@ from siteloom.session import stage
 
 
 def crawl_order(roots: DataFrame, links: DataFrame, captures: DataFrame, max_pages: int = 10,
-                seeds: DataFrame | None = None, max_depth: int = 1_000) -> tuple[DataFrame, DataFrame]:
+                seeds: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(queue entries taken in order, audits stopped with URLs left); ``audited`` marks the first capture of a final URL.
 
     Every audit advances one level per round: links of the pages audited last round, in order of page and position, minus
@@ -29,7 +31,7 @@ def crawl_order(roots: DataFrame, links: DataFrame, captures: DataFrame, max_pag
     guard = not links.filter(c("dst").contains("?")).isEmpty() or (
         seeds is not None and not seeds.filter(c("url").contains("?")).isEmpty())
     state = None
-    for depth in range(max_depth):
+    for depth in count():
         queued = stage(_enqueue(offered, state, guard).join(captures, ["audit_id", "url"], "left"))
         if queued.isEmpty():
             break

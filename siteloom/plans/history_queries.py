@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from siteloom.functions import constants as K
-from siteloom.operators import history, jobs, monitoring, usage
+from siteloom.operators import findings, history, jobs, monitoring, usage
 from siteloom.plans.registry import query
 from siteloom.plans.tables import table
 
@@ -70,6 +70,24 @@ _VERSIONS = """SELECT audit_id * 2 + 1 AS audit_id, seq, url, status, title, des
    description, CASE WHEN page_id % 8 = 1 THEN '' ELSE canonical END, robots, word_count FROM {fx_pages}"""
 
 
+_SAME = " UNION ALL ".join(f"SELECT audit_id, 'duplicate-{k}' AS code, lower(trim({k})) AS val, page FROM n" for k in ("title", "description"))
+
+
+@query("duplicate_issue_diff", f"""WITH v AS ({_VERSIONS}),
+ n AS (SELECT *, CASE WHEN regexp_matches(url, '^https?://[^/]*/+$') THEN regexp_replace(url, '/+$', '/') ELSE regexp_replace(url, '/+$', '') END AS page FROM v),
+ s AS ({_SAME}), g AS (SELECT audit_id, code, val FROM s WHERE val <> '' GROUP BY ALL HAVING count(*) > 1),
+ m AS (SELECT DISTINCT audit_id, concat(code, '|', page) AS fingerprint FROM s JOIN g USING (audit_id, code, val)),
+ c AS (SELECT * FROM m WHERE audit_id % 2 = 1), p AS (SELECT audit_id + 1 AS audit_id, fingerprint FROM m WHERE audit_id % 2 = 0)
+ SELECT coalesce(c.audit_id, p.audit_id) AS audit_id, coalesce(c.fingerprint, p.fingerprint) AS fingerprint,
+   CASE WHEN p.fingerprint IS NULL THEN 'new' WHEN c.fingerprint IS NULL THEN 'fixed' ELSE 'persistent' END AS status
+ FROM c FULL OUTER JOIN p ON c.audit_id = p.audit_id AND c.fingerprint = p.fingerprint""")
+def q_duplicate_diff(spark, sf_dir):
+    pages = spark.sql(_VERSIONS, fx_pages=table(spark, sf_dir, "fx_pages"))
+    issues = findings.duplicate_issues(pages, "title").unionByName(findings.duplicate_issues(pages, "description"))
+    pairs = pages.select("audit_id", (F.col("audit_id") - 1).alias("previous_audit_id")).filter("audit_id % 2 = 1").distinct()
+    return history.issue_diff(issues, pairs, findings.duplicate_occurrences(pages)).select("audit_id", "fingerprint", "status")
+
+
 @query("page_diff", f"""WITH v AS ({_VERSIONS}),
  n AS (SELECT *, CASE WHEN regexp_matches(url, '^https?://[^/]*/+$') THEN regexp_replace(url, '/+$', '/') ELSE regexp_replace(url, '/+$', '') END AS page FROM v),
  c AS (SELECT * FROM n WHERE audit_id % 2 = 1), p AS (SELECT * FROM n WHERE audit_id % 2 = 0),

@@ -11,6 +11,7 @@ from siteloom.operators.leaders import keyword_clusters
 from siteloom.operators.similarity import similar_pairs
 from siteloom.plans.registry import query
 from siteloom.plans.tables import table
+from siteloom.session import stage
 
 
 def _list(words) -> str:
@@ -50,8 +51,7 @@ def word_clusters(spark, sf_dir):
 
 
 _CLUSTERED = "clustered AS (SELECT *, concat('c-', coalesce(tokens[1], 'none')) AS cluster_id, list_distinct(tokens) AS tset FROM items)"
-_PROFILE = f"""{ITEMS_SQL}, {_CLUSTERED},
- prim AS (SELECT analysis_id, cluster_id, count(*) AS size, arg_min(keyword, (-({_case('intent', K.INTENT_PRIMARY_WEIGHT)} * 10 + least(n_tokens, 6) - abs(length(keyword) - 38) / 20.0::DOUBLE), keyword)) AS primary_keyword
+_PROFILE_TAIL = f"""prim AS (SELECT analysis_id, cluster_id, count(*) AS size, arg_min(keyword, (-({_case('intent', K.INTENT_PRIMARY_WEIGHT)} * 10 + least(n_tokens, 6) - abs(length(keyword) - 38) / 20.0::DOUBLE), keyword)) AS primary_keyword
    FROM clustered GROUP BY ALL),
  ic AS (SELECT analysis_id, cluster_id, intent, count(*) AS n, max(n_tokens) AS mt, arg_min(keyword, (-n_tokens, keyword)) AS fk FROM clustered GROUP BY ALL),
  dom AS (SELECT analysis_id, cluster_id, arg_min(intent, (-n, -mt, fk)) AS intent FROM ic GROUP BY ALL),
@@ -67,6 +67,7 @@ _PROFILE = f"""{ITEMS_SQL}, {_CLUSTERED},
    concat('/', substr(regexp_replace(regexp_replace(lower(p.primary_keyword), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 80), '/') AS suggested_slug,
    CAST(CASE WHEN p.size = 1 THEN 100 ELSE floor(round(coalesce(q.total, 0) / (p.size * (p.size - 1) / 2.0::DOUBLE) * 100, 9) + 0.5) END AS INT) AS confidence
    FROM prim p JOIN dom d USING (analysis_id, cluster_id) LEFT JOIN pairs q USING (analysis_id, cluster_id) LEFT JOIN nam USING (analysis_id, cluster_id))"""
+_PROFILE = f"{ITEMS_SQL}, {_CLUSTERED}, {_PROFILE_TAIL}"
 
 
 @query("keyword_intents", f"WITH {ITEMS_SQL} SELECT analysis_id, normalized, keyword, intent, {_case('intent', K.PAGE_TYPE)} AS page_type, CAST(n_tokens AS INT) AS n_tokens FROM items")
@@ -124,23 +125,7 @@ def q_numbered(spark, sf_dir):
     return kw.numbered_keywords(items(spark, sf_dir)).select("analysis_id", "keyword", "keyword_id")
 
 
-@query("keyword_clusters_sequential")
-def q_sequential(spark, sf_dir):
-    out = kw.keyword_clusters_sequential(items(spark, sf_dir))
-    return out.select("analysis_id", "normalized", "cluster_id")
-
-
-@query("keyword_analysis")
-def q_analysis(spark, sf_dir):
-    clustered = kw.keyword_clusters_sequential(items(spark, sf_dir))
-    profiles = kw.cluster_profiles(clustered)
-    rows = kw.keyword_cluster_join(kw.keyword_rows(clustered, profiles), profiles)
-    return rows.select("analysis_id", "keyword", "intent", "page_type", "priority", "cluster", "primary_keyword",
-                       "suggested_slug", "confidence")
-
-
-@query("keyword_clusters", f"""WITH RECURSIVE {ITEMS_SQL},
- ord AS (SELECT *, list_distinct(tokens) AS t, row_number() OVER (PARTITION BY analysis_id ORDER BY n_tokens DESC, keyword) AS i FROM items),
+_LEADERS = f""" ord AS (SELECT *, list_distinct(tokens) AS t, row_number() OVER (PARTITION BY analysis_id ORDER BY n_tokens DESC, keyword) AS i FROM items),
  pr AS (SELECT a.analysis_id, a.i AS ai, b.i AS bi, len(list_intersect(a.t, b.t)) / len(list_distinct(list_concat(a.t, b.t)))::DOUBLE AS j,
    contains(concat(' ', a.normalized, ' '), concat(' ', b.normalized, ' ')) OR contains(concat(' ', b.normalized, ' '), concat(' ', a.normalized, ' ')) AS inside
    FROM ord a JOIN ord b ON a.analysis_id = b.analysis_id AND a.i < b.i WHERE len(a.t) > 0 AND len(b.t) > 0),
@@ -151,8 +136,25 @@ def q_analysis(spark, sf_dir):
    FROM walk w JOIN nb n ON n.analysis_id = w.analysis_id AND n.i = w.i + 1),
  fin AS (SELECT analysis_id, arg_max(leaders, i) AS leaders FROM walk GROUP BY analysis_id),
  att AS (SELECT e.analysis_id, e.bi AS i, arg_min(e.ai, (-e.j, e.ai)) AS li FROM ed e JOIN fin f ON f.analysis_id = e.analysis_id
-   WHERE list_contains(f.leaders, e.ai) AND NOT list_contains(f.leaders, e.bi) GROUP BY ALL)
- SELECT o.analysis_id, o.normalized, l.normalized AS leader FROM ord o LEFT JOIN att ON att.analysis_id = o.analysis_id AND att.i = o.i
-   JOIN ord l ON l.analysis_id = o.analysis_id AND l.i = coalesce(att.li, o.i)""")
+   WHERE list_contains(f.leaders, e.ai) AND NOT list_contains(f.leaders, e.bi) GROUP BY ALL),
+ led AS (SELECT o.analysis_id, o.normalized, l.normalized AS leader FROM ord o LEFT JOIN att ON att.analysis_id = o.analysis_id AND att.i = o.i
+   JOIN ord l ON l.analysis_id = o.analysis_id AND l.i = coalesce(att.li, o.i))"""
+_BY_LEADER = "clustered AS (SELECT items.*, led.leader AS cluster_id, list_distinct(tokens) AS tset FROM items JOIN led USING (analysis_id, normalized))"
+
+
+@query("keyword_clusters", f"WITH RECURSIVE {ITEMS_SQL}, {_LEADERS} SELECT analysis_id, normalized, leader FROM led")
 def q_clusters(spark, sf_dir):
     return keyword_clusters(items(spark, sf_dir)).select("analysis_id", "normalized", "leader")
+
+
+@query("keyword_analysis", f"""WITH RECURSIVE {ITEMS_SQL}, {_LEADERS}, {_BY_LEADER}, {_PROFILE_TAIL}
+ SELECT c.analysis_id, c.keyword, c.intent, {_case('c.intent', K.PAGE_TYPE)} AS page_type,
+   CAST(least(100, 35 + {_case('c.intent', K.INTENT_PRIORITY_BOOST)} + least(p.size * 4, 24) + least(c.n_tokens * 2, 10)) AS INT) AS priority,
+   p.name AS cluster, p.primary_keyword, p.suggested_slug, p.confidence
+ FROM clustered c JOIN profiles p USING (analysis_id, cluster_id)""")
+def q_analysis(spark, sf_dir):
+    clustered = stage(keyword_clusters(items(spark, sf_dir)))
+    profiles = stage(kw.cluster_profiles(clustered))
+    rows = kw.keyword_cluster_join(kw.keyword_rows(clustered, profiles), profiles)
+    return rows.select("analysis_id", "keyword", "intent", "page_type", "priority", "cluster", "primary_keyword",
+                       "suggested_slug", "confidence")

@@ -47,7 +47,7 @@ scored AS (SELECT *, CASE WHEN shared = 0 THEN 0 ELSE least(100, floor(shared /
 ranked AS (SELECT *, row_number() OVER (PARTITION BY audit_id, target_id ORDER BY score DESC, source_url, source_id) AS k FROM scored WHERE score >= 28),
 kept AS (SELECT *, row_number() OVER (PARTITION BY audit_id ORDER BY incoming_links, -tw, target_id, k) AS position FROM ranked
    WHERE k <= CASE WHEN incoming_links = 0 THEN 3 ELSE 2 END),
-sugg AS (SELECT *, CASE WHEN score >= 70 THEN 'high' WHEN score >= 45 THEN 'medium' ELSE 'low' END AS confidence FROM kept WHERE position <= 200)""".replace(
+sugg AS (SELECT *, CASE WHEN score >= 70 THEN 'high' WHEN score >= 45 THEN 'medium' ELSE 'low' END AS confidence FROM kept)""".replace(
     "@STOP@", _STOP)
 
 
@@ -63,10 +63,8 @@ def q_weak(spark, sf_dir):
     return links.link_page_report(pages, findings.audit_roots(pages.select("audit_id", "url", "seq")))
 
 
-@query("link_analysis_summary", f"""WITH {PROFILE}, tg AS (SELECT audit_id, seq AS target_id, (incoming_links, -word_count, seq) AS pos FROM prof WHERE inner_page AND incoming_links < 3),
- cut AS (SELECT audit_id, (incoming_links, -tw, target_id) AS lastpos FROM kept WHERE position = 200),
- idle AS (SELECT t.audit_id, count(*) AS n FROM tg t ANTI JOIN kept k ON k.audit_id = t.audit_id AND k.target_id = t.target_id
-   LEFT JOIN cut ON cut.audit_id = t.audit_id WHERE lastpos IS NULL OR pos < lastpos GROUP BY ALL)
+@query("link_analysis_summary", f"""WITH {PROFILE}, tg AS (SELECT audit_id, seq AS target_id FROM prof WHERE inner_page AND incoming_links < 3),
+ idle AS (SELECT t.audit_id, count(*) AS n FROM tg t ANTI JOIN kept k ON k.audit_id = t.audit_id AND k.target_id = t.target_id GROUP BY ALL)
  SELECT r.audit_id, (SELECT count(*) FROM prof p WHERE p.audit_id = r.audit_id) AS page_count,
   (SELECT count(*) FROM prof p WHERE p.audit_id = r.audit_id AND inner_page AND incoming_links = 0) AS orphan_count,
   (SELECT count(*) FROM prof p WHERE p.audit_id = r.audit_id AND inner_page AND incoming_links <= 1) AS underlinked_count,
@@ -77,8 +75,7 @@ def q_summary(spark, sf_dir):
     return links.link_analysis_summary(pages, roots, found, skipped)
 
 
-@query("semantic_links", f"""WITH {PROFILE}, fp AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY audit_id ORDER BY seq) AS r FROM prof) WHERE r <= 100),
- emb AS (SELECT fp.*, e.embedding::DOUBLE[] AS v FROM fp JOIN {{embeddings}} e ON e.vec_id = fp.seq % 500),
+@query("semantic_links", f"""WITH {PROFILE}, emb AS (SELECT prof.*, list_transform(e.embedding::DOUBLE[], lambda x: abs(x)) AS v FROM prof JOIN {{embeddings}} e ON e.vec_id = prof.seq),
  enh AS (SELECT s.audit_id, s.source_id, s.target_id, s.source_url, s.target_url, 0 AS added, s.score AS base,
    CASE WHEN a.v IS NOT NULL AND b.v IS NOT NULL THEN floor(greatest(0, list_cosine_similarity(a.v, b.v)) * 100 + 0.5) END AS sem FROM sugg s LEFT JOIN emb a ON a.audit_id = s.audit_id AND a.seq = s.source_id
    LEFT JOIN emb b ON b.audit_id = s.audit_id AND b.seq = s.target_id),
@@ -92,18 +89,20 @@ def q_summary(spark, sf_dir):
  addn AS (SELECT audit_id, source_id, target_id, source_url, target_url, 1 AS added, least(100, floor(sem * 0.88::DOUBLE + CASE WHEN sw >= 150 THEN 8 ELSE 0 END + 0.5)) AS score
    FROM top WHERE k <= CASE WHEN incoming_links = 0 THEN 3 ELSE 2 END),
  allr AS (SELECT *, row_number() OVER (PARTITION BY audit_id ORDER BY score DESC, source_url, added, target_id) AS position FROM (SELECT * FROM enh2 UNION ALL SELECT * FROM addn))
- SELECT audit_id, source_url, target_url, CAST(score AS INT) AS score, added, CAST(position AS INT) AS position FROM allr WHERE position <= 200""")
+ SELECT audit_id, source_url, target_url, CAST(score AS INT) AS score, added, CAST(position AS INT) AS position FROM allr""")
 def q_semantic(spark, sf_dir):
     (found, skipped), pages, roots, edges = base_links(spark, sf_dir)
-    vectors = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
-    placed = pages.select("audit_id", "seq", (F.col("page_id") % 500).alias("vec_id")).join(vectors, "vec_id")
+    # Components without their sign: close enough to each other for pairs to be added.
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("seq"), F.transform(
+        F.col("embedding").cast("array<double>"), F.abs).alias("vector"))
+    placed = pages.select("audit_id", "seq").join(vectors, "seq")
     pages = pages.withColumn("anchor_text", U.anchor_text(F.col("h1"), F.col("title"), F.col("url")))
     out, _ = semantic.semantic_links(found, skipped, pages, roots, edges, placed)
     return out.select("audit_id", "source_url", "target_url", "score", "added", "position")
 
 
-@query("page_documents", r"""SELECT audit_id, seq, substr(concat('title: ', CASE WHEN title = '' THEN 'none' ELSE title END, ' | headings: ', CASE WHEN h1 = '' THEN 'none' ELSE h1 END,
- ' | description: ', CASE WHEN description = '' THEN 'none' ELSE description END, ' | path: ', regexp_replace(regexp_extract(url, '^https?://[^/]*(/.*)$', 1), '[-_]', ' ', 'g')), 1, 12000) AS document FROM {fx_pages}""")
+@query("page_documents", r"""SELECT audit_id, seq, (concat('title: ', CASE WHEN title = '' THEN 'none' ELSE title END, ' | headings: ', CASE WHEN h1 = '' THEN 'none' ELSE h1 END,
+ ' | description: ', CASE WHEN description = '' THEN 'none' ELSE description END, ' | path: ', regexp_replace(regexp_extract(url, '^https?://[^/]*(/.*)$', 1), '[-_]', ' ', 'g'))) AS document FROM {fx_pages}""")
 def q_documents(spark, sf_dir):
     pages = table(spark, sf_dir, "fx_pages").withColumn("h1s", F.array("h1"))
     return semantic.page_document(pages).select("audit_id", "seq", "document")

@@ -48,21 +48,30 @@ def write_lines(lines: DataFrame, path: str, keys: list[str], order: list, heade
      .option("emptyValue", "").option("sep", "\u0001").csv(path))
 
 
+GROUP_KEYS = ["audit_id", "code", "severity", "title", "recommendation"]
+
+
 def audit_report_rows(header: DataFrame, groups: DataFrame, evidence: DataFrame) -> DataFrame:
     """JSON text per audit: header fields and grouped issues.
 
-    There are at most as many groups as rules and wordings, so the collected list is bounded; evidence comes in chunks.
+    There are at most as many groups as rules and wordings, so the collected list is bounded. Evidence of one chunk, whichever
+    it is, stands in the report; of more, the report gives their number and audit_report_evidence has them all.
     """
-    keys = ["audit_id", "code", "severity", "title", "recommendation"]
-    first = evidence.filter("chunk = 0").select(*keys, "evidence")
+    whole = evidence.groupBy(*GROUP_KEYS).agg(F.count(F.lit(1)).alias("evidence_chunks"), F.min_by("evidence", "chunk").alias("text"))
+    texts = whole.select(*GROUP_KEYS, "evidence_chunks", F.when(F.col("evidence_chunks") == 1, F.col("text")).alias("evidence"))
     issue = F.struct("first_seq", "first_rule", "code", "severity", "title", "description", "recommendation", "url", "evidence",
-                     "n_urls")
-    lists = groups.join(first, keys, "left").groupBy("audit_id").agg(F.array_sort(F.collect_list(issue)).alias("issues"))
+                     "n_urls", "evidence_chunks")
+    lists = groups.join(texts, GROUP_KEYS, "left").groupBy("audit_id").agg(F.array_sort(F.collect_list(issue)).alias("issues"))
     fields = [c for c in header.columns if c != "audit_id"]
     return header.join(lists, "audit_id", "left").select("audit_id", F.to_json(
         F.struct("audit_id", *fields, "issues"), {"pretty": "true"}).alias("value"))
 
 
+def audit_report_evidence(evidence: DataFrame) -> DataFrame:
+    """A JSON line for every chunk of evidence of every group: the children of the reports."""
+    return evidence.select("audit_id", F.to_json(F.struct(*GROUP_KEYS, "chunk", "evidence")).alias("value"))
+
+
 def write_audit_reports(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").partitionBy("audit_id").text(path)
 

@@ -3,10 +3,12 @@
 import random
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import Window as W, functions as F
 
-from siteloom.operators import findings, links, skew, usage
+from siteloom.functions.urls import normalize_link_url
+from siteloom.operators import findings, links, semantic, skew, usage
 from siteloom.operators.similarity import similar_pairs
 from siteloom.plans.crawl import crawl_order
 
@@ -91,6 +93,50 @@ def test_link_suggestions(spark, hot_df):
     assert sorted(r.target_url for r in skipped.collect()) == sorted(idle)
 
 
+@pytest.mark.parametrize("hot_df", [2, 4, 10_000])
+def test_link_suggestions_with_query_variants(spark, hot_df):
+    """Variants of linking URLs and of the target itself don't use up a class's offers."""
+    topic = "audit guide"
+    urls = ["https://e.com/"] + [f"https://e.com/t{i}?v={v}" for i in range(3) for v in range(4)] + [f"https://e.com/s{i}?v={v}" for i in range(6) for v in range(5)]
+    pages = [(1, i, u, 200, "", topic, [topic], 200, 3, 0) for i, u in enumerate(urls)]
+    df = spark.createDataFrame(pages, "audit_id int, seq long, url string, status int, robots string, title string, h1s array<string>, "
+                                      "word_count int, n_links int, incoming_links int")
+    norm = dict(spark.createDataFrame(list(enumerate(urls)), "i int, u string").select("u", normalize_link_url(F.col("u"))).collect())
+    edges = [(1, f"https://e.com/s{i}?v=0", f"https://e.com/t{t}?v=0") for t in range(3) for i in range(t + 3)]
+    graph = spark.createDataFrame(edges, "audit_id int, src string, dst string")
+    found, _ = links.internal_links(df, findings.audit_roots(df), graph, hot_df=hot_df)
+    barred = {(norm[s], norm[d]) for _, s, d in edges}
+    want = {(s, t) for t in urls[1:] for s in sorted(s for s in urls if norm[s] != norm[t] and (norm[s], norm[t]) not in barred)[:3]}
+    assert {(r.source_url, r.target_url) for r in found.collect()} == want
+
+
+def test_semantic_blocks(spark):
+    """Any block size gives the sources of a plain loop; more than a hundred pages."""
+    rnd = random.Random(4)
+    n = 130
+    rows = [(1, i, f"https://e.com/p{i:03}", 200, "", f"w{i}", [f"w{i}"], 100 + i, 3, rnd.randrange(0, 3), f"a{i}") for i in range(n)]
+    df = spark.createDataFrame(rows, "audit_id int, seq long, url string, status int, robots string, title string, h1s array<string>, "
+                                     "word_count int, n_links int, incoming_links int, anchor_text string")
+    vectors = {i: [rnd.random() ** 3 for _ in range(4)] for i in range(n)}
+    roots = findings.audit_roots(df)
+    graph = spark.createDataFrame([(1, rows[rnd.randrange(n)][2], rows[rnd.randrange(n)][2]) for _ in range(200)], "audit_id int, src string, dst string")
+    linked = {(r.src, r.dst) for r in graph.collect()}
+    none = spark.createDataFrame([], "audit_id int, source_id long, target_id long, source_url string, target_url string, anchor_text string, score int, "
+                                     "confidence string, reasons array<string>, status string")
+    want = set()
+    for t in rows[1:]:
+        if t[9] <= 1:
+            a = np.array(vectors[t[1]])
+            scored = sorted((-int(np.floor(a @ np.array(vectors[s[1]]) / np.linalg.norm(a) / np.linalg.norm(vectors[s[1]]) * 100 + 0.5)), s[1]) for s in rows
+                            if s[1] != t[1] and (s[2], t[2]) not in linked)
+            want |= {(s, t[1]) for v, s in scored[:3 if t[9] == 0 else 2] if -v >= 48}
+    side = spark.createDataFrame([(1, i, v) for i, v in vectors.items()], "audit_id int, seq long, vector array<double>")
+    skipped = spark.createDataFrame([], "audit_id int, target_url string")
+    for block in (16, 1024):
+        out, _ = semantic.semantic_links(none, skipped, df, roots, graph, side, block=block)
+        assert {(r.source_id, r.target_id) for r in out.collect()} == want
+
+
 def test_suggestion_budget(spark):
     rows = [(1, i, f"https://e.com/{i:02}", 200, "", "same words", ["same words"], 200, 1, 0) for i in range(20)]
     df = spark.createDataFrame(rows, "audit_id int, seq long, url string, status int, robots string, title string, h1s array<string>, "

@@ -9,6 +9,7 @@ from siteloom.functions import urls as U
 from siteloom.functions.html import extract_page_features, page_links
 from siteloom.operators import (briefs, findings, history, jobs, keywords as kw, monitoring, network, recommendations,
                                 scoring, search, semantic, sitefiles)
+from siteloom.operators.leaders import keyword_clusters
 
 
 def one(df):
@@ -151,10 +152,10 @@ def test_keyword_lists(spark):
     assert sorted(r.keyword for r in kw.distinct_keywords(raw).collect()) == ["Technical SEO Audit", 'a, "b" c', "seo tools"]
 
 
-def test_sequential_clusters(spark):
+def test_leader_clusters_of_related_keywords(spark):
     words = ["technical seo audit", "technical seo audit checklist", "seo audit tool", "buy running shoes", "running shoes price"]
     raw = spark.createDataFrame([("x", i, w) for i, w in enumerate(words)], "analysis_id string, line_no int, raw string")
-    out = {r.keyword: r.cluster_id for r in kw.keyword_clusters_sequential(kw.distinct_keywords(raw)).collect()}
+    out = {r.keyword: r.cluster_id for r in keyword_clusters(kw.distinct_keywords(raw)).collect()}
     assert out["technical seo audit"] == out["technical seo audit checklist"] == out["seo audit tool"]
     assert out["buy running shoes"] == out["running shoes price"] != out["seo audit tool"]
 
