@@ -26,4 +26,4 @@ def load_all() -> None:
     """Import every module that registers queries."""
     from siteloom.plans import (  # noqa: F401
         audit_queries, content_queries, history_queries, keyword_queries, link_queries, search_queries, site_queries,
-        stream_queries)
+        small_queries, stream_queries)

@@ -60,11 +60,11 @@ def read_keyword_lists(spark: SparkSession, path: str) -> DataFrame:
     return keyword_lines(files)
 
 
-def search_rows(api: DataFrame, limit: int = 5_000) -> DataFrame:
+def search_rows(api: DataFrame, limit: int | None = None) -> DataFrame:
     """Search rows of API-shaped records (snapshot_id, keys, clicks, ...): missing numbers are 0, rows without query or
-    page are dropped. ``limit`` is the API's row limit per sync and is applied to the answer as received (position)."""
+    page are dropped. ``limit``: the API's row limit per sync (5 000), if it is to be applied to the answer as received."""
     num = [F.coalesce(F.col(n).cast("double"), F.lit(0.0)).alias(n) for n in ("clicks", "impressions", "ctr", "position")]
-    seen = api if "answer_no" not in api.columns else api.filter(F.col("answer_no") < limit)
+    seen = api if limit is None or "answer_no" not in api.columns else api.filter(F.col("answer_no") < limit)
     rows = seen.select("snapshot_id", F.try_element_at("keys", F.lit(1)).alias("query"),
                        F.try_element_at("keys", F.lit(2)).alias("page"), *num)
     return rows.filter((F.coalesce("query", F.lit("")) != "") & (F.coalesce("page", F.lit("")) != ""))
