@@ -48,3 +48,11 @@ def q_stream_rate(spark, sf_dir):
 def q_stream_quota(spark, sf_dir):
     events = _event_stream(spark, sf_dir, "fx_usage").withColumn("amount", F.lit(1))
     return _drain(streams.usage_quota_stream(events, _TIGHT), "append").select("event_id", "owner_key", "period", "metric", "admitted")
+
+
+@query("stream_open_windows", """SELECT owner_key, CAST(floor(epoch(date_trunc('hour', ts))) AS BIGINT) AS window_epoch, count(*) AS count
+ FROM {fx_usage} GROUP BY owner_key, date_trunc('hour', ts)""")
+def q_stream_retention(spark, sf_dir):
+    rows = _drain(streams.retention_stream(_event_stream(spark, sf_dir, "fx_usage"), "owner_key"), "update")
+    last = rows.groupBy("owner_key", "window_start").agg(F.max("count").alias("count"))
+    return last.select("owner_key", F.unix_timestamp("window_start").alias("window_epoch"), "count")

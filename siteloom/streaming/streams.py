@@ -89,6 +89,9 @@ def audit_alert_batch(read_history: Callable[[], tuple[DataFrame, DataFrame]],
     """
     def run(batch: DataFrame, _: int) -> None:
         audits, issues = read_history()
+        # only owners that have an audit in the batch: trends compare audits of one owner
+        owners = audits.join(batch.select("audit_id").distinct(), "audit_id", "left_semi").select("owner").distinct()
+        audits = audits.join(owners, "owner", "left_semi")
         pairs = history.audit_trend(audits).join(batch.select("audit_id").distinct(), "audit_id", "left_semi")
         needed = pairs.select(F.explode(F.array("audit_id", "previous_audit_id")).alias("audit_id")).filter(
             "audit_id is not null").distinct()
