@@ -6,17 +6,17 @@ each. The order puts frequent n-grams last (their counts come from a table of ``
 documents), so shared passages seldom fall into that part. Any order gives the same result.
 
 1. one pass over the texts: class, size, and the counters
-2. second pass: the leading n-grams of every class; shuffled by n-gram, those of one class only are dropped
-3. third pass: the whole sets of the classes that are left, found through a bit filter of ``FILTER_BITS`` bits
+2. second pass: the leading n-grams of every class, shuffled by n-gram; a class stays where another one fits by size and place
+3. third pass: 512-bit parity signatures of the classes that are left, found through a bit filter of ``FILTER_BITS`` bits
 4. for each n-gram, pairs of its classes, in blocks, are discarded by bounds: on size, on the overlap that places of the
-   shared n-gram leave, and on the overlap that 512-bit parity signatures leave (all upper bounds of the true overlap)
-5. what is left is counted exactly: |intersection| and |union| of the whole sets
+   shared n-gram leave, and on the overlap that the signatures leave (all upper bounds of the true overlap)
+5. fourth pass: the whole sets of the classes in pairs, which are counted exactly: |intersection| and |union|
 6. connected components
 
-Step 4 runs twice. First, classes that share an n-gram with many others name one partner each, so a large group of near copies
-gives a few edges a class, not all pairs. After verification and components, the second turn names every remaining pair whose
-classes are still apart. A pair that is never named is either below the bounds or within one component, so no link between
-components is lost.
+Steps 4 to 6 run in turns. In the first, every class names one partner, so a large group of near copies gives an edge a class, not
+all pairs. Later turns name the pairs that were not counted yet and whose classes are still apart: one a class while there are
+many, in the end (when they are few, or after ``TURNS`` turns) all of them. A pair that is never counted is either below the bounds or within
+one component, so no link between components is lost.
 
 Defined cases: null and empty texts and texts without words have no n-grams, size 0 and are linked with nothing; a text of
 fewer than k words is its whole sequence; repeated rows are of one class; an empty table gives no rows.
@@ -24,6 +24,8 @@ fewer than k words is its whole sequence; repeated rows are of one class; an emp
 
 from __future__ import annotations
 
+from itertools import count
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -32,7 +34,7 @@ from siteloom.llm.components import components
 from siteloom.llm.textkit import LOWER, mix, shingle_hashes, span_hash, text_slices, words_of
 from siteloom.session import stage
 
-BUCKETS, FILTER_BITS, SMALL, BLOCK = 1 << 16, 1 << 23, 24, 512
+BUCKETS, FILTER_BITS, SMALL, BLOCK, TURNS = 1 << 16, 1 << 23, 4, 512, 3
 
 
 def sets_of(column: pa.Array, k: int):
@@ -142,60 +144,72 @@ def by_token(batches, work):
         yield from work(pa.Table.from_batches(held).combine_chunks())
 
 
-def shared(rows: DataFrame) -> DataFrame:
-    """The rows whose token more than one class has, each once."""
+def has_partner(token: np.ndarray, n: np.ndarray, pos: np.ndarray, percent: int) -> np.ndarray:
+    """Whether another row of the token passes the bounds on size and place with the row. Rows are sorted by (token, n).
+
+    From place pos on, n - pos n-grams are left, so a partner has at most ``top`` of them: the largest m with
+    (100 + percent) (n - pos) >= percent (n + m). Rows i and j fit if m_j <= top_i and n_i <= top_j, so row i asks for the highest
+    top among the rows of up to top_i n-grams, other than itself; running maxima answer that.
+    """
+    top = (100 + percent) * (n - pos) // percent - n
+    fresh = np.concatenate([[True], token[1:] != token[:-1]])
+    run = np.cumsum(fresh) - 1
+    step = np.int64(1) << 40
+    first = np.maximum.accumulate(top + run * step)
+    before = np.where(fresh, run * step - (step >> 1), np.concatenate([[0], first[:-1]]))
+    second = np.maximum.accumulate(np.minimum(top + run * step, before))
+    last = np.searchsorted(run * step + n, run * step + np.maximum(top, 0), side="right") - 1
+    begin = np.flatnonzero(fresh)[run]
+    best, other = first[last] - run * step, second[last] - run * step
+    return (last >= begin) & np.where(top == best, other >= n, best >= n)
+
+
+def shared(rows: DataFrame, percent: int) -> DataFrame:
+    """The rows that another class of their token may match by size and place, each once."""
     def work(table):
-        token, node = table.column("token").to_numpy(), table.column("node").to_numpy()
-        order = np.lexsort((node, token))
-        token, node = token[order], node[order]
-        fresh = np.concatenate([[True], (token[1:] != token[:-1]) | (node[1:] != node[:-1])])
-        order, token = order[fresh], token[fresh]
-        same = token[1:] == token[:-1]
-        keep = np.concatenate([[False], same]) | np.concatenate([same, [False]])
-        yield from table.take(pa.array(order[keep])).to_batches()
+        token, node, n, pos = (table.column(c).to_numpy().astype(np.int64) for c in ("token", "node", "n", "pos"))
+        order = np.lexsort((node, n, token))
+        order = order[np.concatenate([[True], (token[order[1:]] != token[order[:-1]]) | (node[order[1:]] != node[order[:-1]])])]
+        yield from table.take(pa.array(order[has_partner(token[order], n[order], pos[order], percent)])).to_batches()
 
     return rows.repartition("token").sortWithinPartitions("token").mapInArrow(
         lambda batches: by_token(batches, work), "token long, node long, n int, pos int")
 
 
-def whole_sets(docs: DataFrame, text: str, k: int, nodes: DataFrame) -> DataFrame:
-    """node, n, grams (little-endian uint64, sorted) of the classes in ``nodes`` and of few others; staged, a row each."""
+def node_bits(nodes: DataFrame) -> np.ndarray:
+    """A bit filter of ``FILTER_BITS`` bits that holds all of ``nodes`` (column node) and few others."""
     place = F.col("node").bitwiseAND(F.lit(FILTER_BITS - 1))
     rows = nodes.select(F.shiftright(place, 6).alias("w"), F.expr("shiftleft(1L, cast(node & 63 as int))").alias("b"))
-    rows = rows.groupBy("w").agg(F.bit_or("b").alias("b"))
     bits = np.zeros(FILTER_BITS // 64, np.int64)
-    for r in rows.collect():
+    for r in rows.groupBy("w").agg(F.bit_or("b").alias("b")).collect():
         bits[r["w"]] = r["b"]
-    bits = bits.view(np.uint64)
+    return bits.view(np.uint64)
+
+
+def filtered_sets(docs: DataFrame, text: str, k: int, nodes: DataFrame, column: str, encode) -> DataFrame:
+    """node and ``column`` (binary: ``encode`` of the set) of the classes in ``nodes`` and of few others, a row each."""
+    bits = node_bits(nodes)
 
     def scan(batches):
         done: set[int] = set()
         for batch in batches:
-            names, sizes, sets = [], [], []
+            names, cells = [], []
             for _, grams, name in sets_of(batch.column("text"), k):
                 spot = name & (FILTER_BITS - 1)
                 if name not in done and int(bits[spot >> 6]) >> (spot & 63) & 1:
                     done.add(name)
                     names.append(name)
-                    sizes.append(len(grams))
-                    sets.append(grams.astype("<u8").tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(sizes, pa.int32()), pa.array(sets, pa.binary())], names=["node", "n", "grams"])
+                    cells.append(encode(grams))
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(cells, pa.binary())], names=["node", column])
 
-    found = docs.select(F.col(text).alias("text")).mapInArrow(scan, "node long, n int, grams binary")
-    return stage(found.groupBy("node").agg(F.first("n").alias("n"), F.first("grams").alias("grams")))
+    found = docs.select(F.col(text).alias("text")).mapInArrow(scan, f"node long, {column} binary")
+    return found.groupBy("node").agg(F.first(column).alias(column))
 
 
-def signatures(sets: DataFrame) -> DataFrame:
-    """node, bits: 512-bit parity signatures; their distance is at most the size of the sets' symmetric difference."""
-    def sign(batches):
-        for batch in batches:
-            out = []
-            for cell in batch.column("grams"):
-                spot = mix(np.frombuffer(cell.as_buffer(), "<u8")) >> np.uint64(55)
-                out.append(np.packbits(np.bincount(spot.astype(np.int64), minlength=512).astype(np.uint8) & 1).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(out, pa.binary())], names=["node", "bits"])
-
-    return sets.select("node", "grams").mapInArrow(sign, "node long, bits binary")
+def parity(grams: np.ndarray) -> bytes:
+    """A 512-bit signature; the distance of two is at most the size of the sets' symmetric difference."""
+    spot = (mix(grams) >> np.uint64(55)).astype(np.int64)
+    return np.packbits(np.bincount(spot, minlength=512).astype(np.uint8) & 1).tobytes()
 
 
 def named_pairs(rows: DataFrame, percent: int, everyone: bool) -> DataFrame:
@@ -255,9 +269,14 @@ def named_pairs(rows: DataFrame, percent: int, everyone: bool) -> DataFrame:
     return dealt.mapInArrow(lambda batches: by_token(batches, work), "a long, b long").distinct()
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets reach the threshold."""
-    def count(batches):
+def one_each(pairs: DataFrame) -> DataFrame:
+    """One pair for each class a: that of the least b."""
+    return pairs.groupBy("a").agg(F.min("b").alias("b"))
+
+
+def verified(pairs: DataFrame, docs: DataFrame, text: str, k: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose whole sets reach the threshold. Only sets of classes in pairs move, once for both sides."""
+    def compare(batches):
         for batch in batches:
             ok = []
             for x, y in zip(batch.column("x"), batch.column("y")):
@@ -267,29 +286,39 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 ok.append(100 * overlap >= percent * (len(x) + len(y) - overlap))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
+    # Pairs and sets grow together, so neither is broadcast at any size.
+    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b"))
+    sets = filtered_sets(docs, text, k, nodes, "grams", lambda grams: grams.astype("<u8").tobytes())
     mine = sets.select(F.col("node").alias("na"), F.col("grams").alias("x"))
     other = sets.select(F.col("node").alias("nb"), F.col("grams").alias("y"))
-    return pairs.join(mine, F.col("a") == F.col("na")).join(other, F.col("b") == F.col("nb")).select("a", "b", "x", "y").mapInArrow(count, "a long, b long")
+    pairs = pairs.hint("merge").join(mine.hint("merge"), F.col("a") == F.col("na"))
+    return pairs.join(other.hint("merge"), F.col("b") == F.col("nb")).select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
 
 
 def link(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
     """key, n_shingles, component_id (smallest key reachable by links of Jaccard >= percent / 100) of every row."""
     measured = measure(docs, key, text, k)
     rows = measured.filter("bucket is null").select("key", "n", "node")
-    candidates = stage(shared(leading(docs, text, k, percent, frequency_classes(measured))))
-    sets = whole_sets(docs, text, k, candidates.select("node").distinct())
-    signed = stage(candidates.join(signatures(sets), "node"))
-    tried = stage(named_pairs(signed.withColumn("comp", F.col("node")), percent, everyone=False))
-    edges = stage(verified(tried, sets, percent))
-    roots = stage(components(edges))
-
-    # Second turn: classes still apart, over the n-grams that more than one component has.
-    labelled = signed.join(roots.withColumnRenamed("node", "nd"), F.col("node") == F.col("nd"), "left").withColumn("comp", F.coalesce("root", "node")).drop("nd", "root")
-    mixed = labelled.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("token")
-    rest = named_pairs(labelled.join(mixed, "token", "left_semi"), percent, everyone=True).join(tried, ["a", "b"], "left_anti")
-    more = stage(verified(rest, sets, percent))
-    if not more.isEmpty():
+    candidates = stage(shared(leading(docs, text, k, percent, frequency_classes(measured)), percent))
+    signed = stage(candidates.join(stage(filtered_sets(docs, text, k, candidates, "bits", parity)), "node"))
+    tried = stage(one_each(named_pairs(signed.withColumn("comp", F.col("node")), percent, everyone=False)))
+    roots = stage(components(stage(verified(tried, docs, text, k, percent))))
+
+    # Further turns: classes still apart, over the n-grams that more than one component has.
+    for turn in count():
+        labelled = signed.join(roots.withColumnRenamed("node", "nd"), F.col("node") == F.col("nd"), "left").withColumn("comp", F.coalesce("root", "node")).drop("nd", "root")
+        mixed = labelled.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("token")
+        rest = stage(named_pairs(labelled.join(mixed, "token", "left_semi"), percent, everyone=True).join(tried, ["a", "b"], "left_anti"))
+        sizes = rest.agg(F.count(F.lit(1)).alias("pairs"), F.count_distinct("a").alias("classes")).first()
+        if not sizes["pairs"]:
+            break
+        last = turn == TURNS or sizes["pairs"] <= 2 * sizes["classes"]
+        now = rest if last else stage(one_each(rest))
+        more = stage(verified(now, docs, text, k, percent))
         roots = stage(components(more.union(roots.filter("node <> root").select("node", "root"))))
+        if last:
+            break
+        tried = stage(tried.union(now))
 
     # A class's least key, then a component's; only classes travel, their many rows are combined first.
     least = rows.filter("node is not null").groupBy("node").agg(F.min("key").alias("low"))
