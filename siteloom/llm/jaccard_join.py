@@ -13,10 +13,9 @@ documents), so shared passages seldom fall into that part. Any order gives the s
 5. fourth pass: the whole sets of the classes in pairs, which are counted exactly: |intersection| and |union|
 6. connected components
 
-Steps 4 to 6 run in turns. In the first, every class names one partner, so a large group of near copies gives an edge a class, not
-all pairs. Later turns name the pairs that were not counted yet and whose classes are still apart: one a class while there are
-many, in the end (when they are few, or after ``TURNS`` turns) all of them. A pair that is never counted is either below the bounds or within
-one component, so no link between components is lost.
+Steps 4 to 6 run twice. First, classes that share an n-gram with more than SMALL others name one partner for it, so a large group
+of near copies gives a few edges a class, not all pairs. The second turn names every remaining pair whose classes are still apart.
+A pair that is never named is either below the bounds or within one component, so no link between components is lost.
 
 Defined cases: null and empty texts and texts without words have no n-grams, size 0 and are linked with nothing; a text of
 fewer than k words is its whole sequence; repeated rows are of one class; an empty table gives no rows.
@@ -24,8 +23,6 @@ fewer than k words is its whole sequence; repeated rows are of one class; an emp
 
 from __future__ import annotations
 
-from itertools import count
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -34,7 +31,7 @@ from siteloom.llm.components import components
 from siteloom.llm.textkit import LOWER, mix, shingle_hashes, span_hash, text_slices, words_of
 from siteloom.session import stage
 
-BUCKETS, FILTER_BITS, SMALL, BLOCK, TURNS = 1 << 16, 1 << 23, 4, 512, 3
+BUCKETS, FILTER_BITS, SMALL, BLOCK = 1 << 16, 1 << 23, 4, 512
 
 
 def sets_of(column: pa.Array, k: int):
@@ -269,11 +266,6 @@ def named_pairs(rows: DataFrame, percent: int, everyone: bool) -> DataFrame:
     return dealt.mapInArrow(lambda batches: by_token(batches, work), "a long, b long").distinct()
 
 
-def one_each(pairs: DataFrame) -> DataFrame:
-    """One pair for each class a: that of the least b."""
-    return pairs.groupBy("a").agg(F.min("b").alias("b"))
-
-
 def verified(pairs: DataFrame, docs: DataFrame, text: str, k: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose whole sets reach the threshold. Only sets of classes in pairs move, once for both sides."""
     def compare(batches):
@@ -301,24 +293,16 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, p
     rows = measured.filter("bucket is null").select("key", "n", "node")
     candidates = stage(shared(leading(docs, text, k, percent, frequency_classes(measured)), percent))
     signed = stage(candidates.join(stage(filtered_sets(docs, text, k, candidates, "bits", parity)), "node"))
-    tried = stage(one_each(named_pairs(signed.withColumn("comp", F.col("node")), percent, everyone=False)))
+    tried = stage(named_pairs(signed.withColumn("comp", F.col("node")), percent, everyone=False))
     roots = stage(components(stage(verified(tried, docs, text, k, percent))))
 
-    # Further turns: classes still apart, over the n-grams that more than one component has.
-    for turn in count():
-        labelled = signed.join(roots.withColumnRenamed("node", "nd"), F.col("node") == F.col("nd"), "left").withColumn("comp", F.coalesce("root", "node")).drop("nd", "root")
-        mixed = labelled.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("token")
-        rest = stage(named_pairs(labelled.join(mixed, "token", "left_semi"), percent, everyone=True).join(tried, ["a", "b"], "left_anti"))
-        sizes = rest.agg(F.count(F.lit(1)).alias("pairs"), F.count_distinct("a").alias("classes")).first()
-        if not sizes["pairs"]:
-            break
-        last = turn == TURNS or sizes["pairs"] <= 2 * sizes["classes"]
-        now = rest if last else stage(one_each(rest))
-        more = stage(verified(now, docs, text, k, percent))
+    # Second turn: classes still apart, over the n-grams that more than one component has.
+    labelled = signed.join(roots.withColumnRenamed("node", "nd"), F.col("node") == F.col("nd"), "left").withColumn("comp", F.coalesce("root", "node")).drop("nd", "root")
+    mixed = labelled.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("token")
+    rest = stage(named_pairs(labelled.join(mixed, "token", "left_semi"), percent, everyone=True).join(tried, ["a", "b"], "left_anti"))
+    if not rest.isEmpty():
+        more = stage(verified(rest, docs, text, k, percent))
         roots = stage(components(more.union(roots.filter("node <> root").select("node", "root"))))
-        if last:
-            break
-        tried = stage(tried.union(now))
 
     # A class's least key, then a component's; only classes travel, their many rows are combined first.
     least = rows.filter("node is not null").groupBy("node").agg(F.min("key").alias("low"))
