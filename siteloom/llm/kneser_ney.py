@@ -164,7 +164,8 @@ def perplexities(docs: DataFrame, trusted: DataFrame, key: str = "doc_id", text:
     """key, id, lang, trusted, perplexity of every row of ``docs``. ``trusted`` holds the keys of the trusted texts."""
     kind = dict(docs.dtypes)[key]
     rows = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("id"), F.col(lang).alias("lang"), F.col(text).alias("text"))
-    good = stage(trusted.select(F.col(key).alias("key")).distinct())
+    # The list of trusted keys grows with the corpus, so it is never broadcast.
+    good = stage(trusted.select(F.col(key).alias("key")).distinct()).hint("merge")
     packs = pack(rows.select("key", "text"), f"key {kind}").select("key", "pack")
     model = model_rows(trigram_counts(packs.join(good, "key", "left_semi")))
 
