@@ -12,8 +12,9 @@ File format: a Parquet table of segments in ascending order of ids, one grammar
     symbols               little-endian uint16 symbols of all documents; below ``base`` a token id, otherwise a rule
 
 Re-Pair: count the pairs of neighbouring symbols of a segment, give the frequent ones nonterminals, replace them from the most
-frequent on, and repeat. A round takes all pairs of at least a sixteenth of the leading count that don't overlap, so a segment
-needs a few rounds rather than one for each rule. No pair crosses the end of a document, so every document decodes by itself.
+frequent on, and repeat until no pair stands in ``LEAST`` places that don't overlap (a rule costs two symbols and saves one a
+place, so it pays from three on) or no nonterminal is left. A round takes all pairs of at least a sixteenth of the leading count
+that don't overlap, so a segment needs some dozens of rounds rather than one for each rule. No pair crosses the end of a document, so every document decodes by itself.
 The rules of a segment are as many as fit uint16 symbols; past that its symbols stay as they are.
 
 Defined cases: a null text is empty and holds the end id alone; null ids come first; rows of equal id keep any order.
@@ -29,19 +30,22 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from siteloom.llm.textkit import encoder
 
-SEGMENT = 1 << 18
+SEGMENT, LEAST = 1 << 18, 3
 
 
-def repair(ids: np.ndarray, ends: np.ndarray, base: int, least: int = 6, rounds: int = 6) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def repair(ids: np.ndarray, ends: np.ndarray, base: int, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(symbols, ends, rules). ``ends`` marks the last symbol of each document."""
     seq, rules = ids.astype(np.uint32), []
     room = (1 << 16) - base
-    for _ in range(rounds):
-        if len(seq) < 2 or room <= 0:
-            break
+    while len(seq) > 1 and room > 0:
         code = (seq[:-1] << np.uint32(16)) | seq[1:]
         inner = ~ends[:-1]
-        ordered = np.sort(code[inner])
+        # In a run of one pair (aaaa) every other place counts, as the others overlap.
+        counted, same = inner, inner[1:] & inner[:-1] & (code[1:] == code[:-1])
+        if same.any():
+            place = np.arange(len(code))
+            counted = inner & (((place - np.maximum.accumulate(np.where(np.append(False, same), 0, place))) & 1) == 0)
+        ordered = np.sort(code[counted])
         if not len(ordered):
             break
         cut = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
@@ -67,9 +71,10 @@ def repair(ids: np.ndarray, ends: np.ndarray, base: int, least: int = 6, rounds:
         take = found & (((place - run) & 1) == 0) & (rank <= after)
         take &= (rank < before) | ((rank == before) & np.append(np.zeros(2, bool), take[:-2]))
         take[1:] &= ~take[:-1]
-        used = np.unique(rank[take])
-        if not len(used):
-            break
+        # The leading pair gets all its places, so each round has a rule; the places of pairs left with too few stay for later ones.
+        enough = np.append(np.bincount(rank[take], minlength=len(pairs)) >= least, False)
+        take &= enough[rank]
+        used = np.flatnonzero(enough)
         name = np.full(len(pairs) + 1, 0, np.uint32)
         name[used] = base + len(rules) + np.arange(len(used))
         rules += pairs[used].tolist()

@@ -182,6 +182,23 @@ def test_repair_round_trip():
         assert width[symbols].sum() == n
 
 
+def test_repair_goes_on_until_no_pair_pays():
+    rng = np.random.default_rng(2)
+    passage = rng.integers(0, 40_000, 600)
+    ids = np.concatenate([x for _ in range(5) for x in (passage, rng.integers(0, 40_000, 50))] + [np.full(90, 7)]).astype(np.uint16)
+    ends = np.zeros(len(ids), bool)
+    ends[np.arange(649, len(ids), 650)] = ends[-1] = True
+    symbols, stops, rules = repair.repair(ids.copy(), ends.copy(), 49408)
+    assert repair.expand(symbols, rules.astype(np.int64), 49408).tolist() == ids.tolist()
+    assert repair.rule_lengths(rules, 49408).max() >= 500
+    seen, last = collections.Counter(), {}
+    for i, pair in enumerate(zip(symbols[:-1].tolist(), symbols[1:].tolist())):
+        if not stops[i] and last.get(pair) != i - 1:
+            seen[pair] += 1
+            last[pair] = i
+    assert max(seen.values()) < 3
+
+
 def whole_ids(name, texts, joined):
     enc = textkit.ChunkEncoder(name, joined)
     return [np.array(e.ids + [1], "<u4") for e in enc.tok.encode_batch([t or "" for t in texts], add_special_tokens=False)]
