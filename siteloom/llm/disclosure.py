@@ -1,17 +1,18 @@
 """Information-theoretic sanitisation of personal data.
 
-Base spans (emails, addresses, card and phone numbers) are protected entities. A term that stands near an entity may give it
+Base spans (emails, addresses, card and phone numbers) are protected entities. A term of the same document may give an entity
 away even when the entity itself is gone. How strongly is estimated from the corpus: with N documents, n(e) holding entity e,
-n(t) holding term t and n(t, e) holding t near e, the term's share of the entity's information is
+n(t) holding term t and n(t, e) holding both, the term's share of the entity's information is
 
     PMI(t, e) / IC(e) = 1 + ln(n(t, e) / n(t)) / ln(N / n(e))
 
-1 when every document with t has e near it, 0 when they are independent. Terms of at least ``threshold`` that were seen near e in
-``support`` different contexts are disclosing; wherever they stand in a document that holds e they are generalised to a
-placeholder, and removed if their share reaches ``remove``. Copies of one context are no further evidence.
+1 when every document with t holds e, 0 when they are independent. Distance plays no part. Terms of at least ``threshold`` that
+share ``support`` documents of different words with e are disclosing; wherever they stand in a document that holds e they are
+generalised to a placeholder, and removed if their share reaches ``remove``. Copies of one text are no further evidence.
 
-Everything is DataFrame expressions. Entities meet terms only inside a context of ``REACH`` characters on each side, so pairs grow
-with mentions, not with a document's length squared. Term counts are combined before their shuffle.
+Everything is DataFrame expressions. Each document with entities gives its distinct terms and its distinct entities; documents
+of equal words and entities are combined first, and entities of fewer than ``support`` different texts, whose terms can't reach
+it, pair with nothing. A document's terms are dealt out to ``DEAL`` groups, so a long one is not one task's.
 
 Positions come from splitting by the pattern: gaps and hits alternate, so a running length gives each hit's place in code
 points. Patterns are possessive and start only where a run starts, so long runs cost no backtracking; they match what the plain
@@ -27,7 +28,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from siteloom.session import stage
 
-REACH = 200
+DEAL = 16
 #: Kinds in their order.
 #: email [A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+   ip [0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)
 #: card [0-9]([\x20-]?[0-9])+   phone \+[0-9][\x20().0-9-]+[0-9]
@@ -108,28 +109,35 @@ def entity_of(span: Column) -> Column:
     return F.concat(span["k"].cast("string"), F.lit(":"), F.lower(span["v"]))
 
 
+def words(text: Column) -> Column:
+    return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
+
+
 def disclosing_terms(found: DataFrame, texts: DataFrame, support: int, threshold: float) -> DataFrame:
     """(entity, term, share) of the disclosing terms.
 
     ``found``: id, spans, masked (text with blanked spans) of the documents with entities. ``texts``: text of all documents.
     """
-    near = lambda x: F.concat_ws(" | ", F.substring("masked", F.greatest(x["s"] - REACH, F.lit(0)) + 1, F.least(x["s"], F.lit(REACH))),
-                                 F.substring("masked", x["e"] + 1, F.lit(REACH)))
-    mentions = found.select("id", "masked", F.explode("spans").alias("x")).select("id", entity_of(F.col("x")).alias("entity"), near(F.col("x")).alias("context"))
-    pairs = mentions.select("id", "entity", F.xxhash64("context").alias("c"),
-                            F.explode(F.array_distinct(F.regexp_extract_all(F.lower("context"), F.lit(WORD), F.lit(0)))).alias("term"))
-    together = pairs.groupBy("entity", "term").agg(F.count_distinct("c").alias("contexts"), F.count_distinct("id").alias("n_te"))
-    candidates = stage(together.filter(F.col("contexts") >= support))
-
-    entities = stage(found.select("id", F.explode(F.array_distinct(F.transform("spans", entity_of))).alias("entity"))
-                     .groupBy("entity").agg(F.count(F.lit(1)).alias("n_e")))
-    words = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(WORD), F.lit(0)))
-    terms = texts.select(F.explode(words).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n_t"))
+    held = found.select(F.array_sort(F.array_distinct(F.transform("spans", entity_of))).alias("entities"), words(F.col("masked")).alias("w"))
+    held = held.select("entities", F.xxhash64("w").alias("words"), F.array_distinct("w").alias("terms"))
+    held = stage(held.groupBy("words", F.xxhash64("entities").alias("named")).agg(
+        F.first("entities").alias("entities"), F.first("terms").alias("terms"), F.count(F.lit(1)).alias("n")))
+
+    entities = stage(held.select("words", "n", F.explode("entities").alias("entity")).groupBy("entity").agg(
+        F.sum("n").alias("n_e"), F.count_distinct("words").alias("different")))
+    often = entities.filter(F.col("different") >= support).select("entity")
+    holds = held.select("words", "named", F.explode("entities").alias("entity")).join(often, "entity", "left_semi")
+    holds = holds.select("words", "named", "entity", F.explode(F.sequence(F.lit(0), F.lit(DEAL - 1))).alias("deal"))
+    said = held.select("words", "named", "n", F.explode("terms").alias("term")).withColumn("deal", F.pmod(F.xxhash64("term"), F.lit(DEAL)).cast("int"))
+    together = said.join(holds, ["words", "named", "deal"]).groupBy("entity", "term").agg(
+        F.count_distinct("words").alias("different"), F.sum("n").alias("n_te"))
+    candidates = stage(together.filter(F.col("different") >= support).select("entity", "term", "n_te"))
+
+    terms = texts.select(F.explode(F.array_distinct(words(F.coalesce("text", F.lit(""))))).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n_t"))
     total = texts.agg(F.count(F.lit(1)).alias("n")).first()["n"]
-    wanted = candidates.select("term").distinct()
-    counts = terms.join(wanted, F.col("t") == F.col("term"), "left_semi")
     share = 1 + F.log(F.least(F.col("n_te"), F.col("n_t")) / F.col("n_t")) / F.nullif(F.log(F.lit(float(total)) / F.col("n_e")), F.lit(0.0))
-    scored = candidates.join(counts, F.col("term") == F.col("t")).join(entities, "entity").withColumn("share", share)
+    # An inner join: Spark pushes a semi join below the count, and then every word of every document is shuffled.
+    scored = candidates.join(terms, F.col("term") == F.col("t")).join(entities, "entity").withColumn("share", share)
     return stage(scored.filter(F.col("share") >= threshold).select("entity", "term", "share"))
 
 

@@ -319,6 +319,22 @@ def test_disclosing_terms(spark, odd, empty):
     assert disclosure.find(empty).count() == 0 and disclosure.sanitise(empty).count() == 0
 
 
+def test_terms_disclose_over_whole_documents(spark):
+    filler = lambda k: " ".join(f"f{k}x{i}" for i in range(120))
+    rows = [(k, f"quillfeather {filler(k)} write to bob@mail.example.com") for k in range(4)]
+    # Near in one document, far in three.
+    rows += [(10 + k, f"marrowgate {filler(10 + k) if k else ''} call eve@mail.example.com") for k in range(4)]
+    # The same words in every document: copies of one text, and of one text with other punctuation.
+    rows += [(20 + k, f"ploverdale{'.' * k} {filler(20)} ask amy@mail.example.com") for k in range(5)]
+    rows += [(100 + k, f"nothing {k} to write, call or ask") for k in range(60)]
+    out = disclosure.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    text = dict(rows)
+    got = {r["doc_id"]: {x["v"] for x in r["spans"] if x["k"] == len(disclosure.KINDS)} for r in out}
+    assert all(got[k] == {"quillfeather"} for k in range(4)) and all(got[10 + k] == {"marrowgate"} for k in range(4))
+    assert not any(got[k] for k in got if k >= 20)
+    assert all(text[r["doc_id"]][x["s"]:x["e"]] == x["v"] for r in out for x in r["spans"])
+
+
 # 6 Jaccard join
 
 def plain_links(rows, k, percent):
