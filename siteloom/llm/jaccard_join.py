@@ -314,11 +314,16 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, p
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with one row of each component: that of the smallest key; equal rows of one key and text count as one."""
-    groups = link(docs, key, text, k, percent)
-    gone = stage(groups.filter(~F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("__gone")).distinct())
+    """``docs`` with one row of each component: that of the smallest key, then of the least hash of its text.
+
+    A row is its key and its text: equal rows of one key and text count as one, other texts of a reused key stand for themselves.
+    A null key is a key like any other and comes last, so it stays only in components of null keys alone.
+    """
+    row = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.xxhash64(text).alias("hash"))
+    groups = link(docs.select(row.alias("row"), F.col(text).alias("text")), "row", "text", k, percent)
+    gone = stage(groups.filter(~F.col("row").eqNullSafe(F.col("component_id"))).select(F.col("row.key").alias("__gone"), F.col("row.hash").alias("__t")).distinct())
     twice = stage(docs.groupBy(F.col(key).alias("__k"), F.xxhash64(text).alias("__t")).agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1"))
-    left = docs.join(gone, docs[key] == F.col("__gone"), "left_anti")
+    left = docs.join(gone, (F.xxhash64(docs[text]) == F.col("__t")) & docs[key].eqNullSafe(F.col("__gone")), "left_anti")
     if twice.isEmpty():
         return left
     return left.withColumn("__h", F.xxhash64(text)).dropDuplicates([key, "__h"]).drop("__h")

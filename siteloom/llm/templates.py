@@ -58,9 +58,8 @@ def item_windows(items: DataFrame, key: str, text: str, width: int, literal: int
     return w.withColumn("slots", slots).filter(width - F.col("slots") >= literal)
 
 
-def matches(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text",
-            width: int = 8, literal: int = 5, least: int = 4) -> DataFrame:
-    """key, item_id, n_windows, first_word: leaked items of each document, with its best consistent alignment."""
+def consistent_runs(docs: DataFrame, items: DataFrame, key: str, text: str, item_key: str, item_text: str, width: int, literal: int, least: int) -> DataFrame:
+    """key, id (hash of key and text), item, n_windows, first_word of each consistent alignment of enough windows."""
     known = stage(item_windows(items, item_key, item_text, width, literal))
     sizes = known.select("item", "q").distinct().groupBy("item").agg(F.count(F.lit(1)).alias("size"))
     seen = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("body"))
@@ -84,12 +83,24 @@ def matches(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str =
 
     runs = found.groupBy("key", "id", "item", (F.col("p") - F.col("q")).alias("shift")).agg(
         F.count_distinct("q").alias("n_windows"), F.min("p").alias("first_word"))
-    runs = runs.join(clash, place, "left_anti").join(sizes, "item").filter(F.col("n_windows") >= F.least(F.lit(least), F.col("size")))
+    return runs.join(clash, place, "left_anti").join(sizes, "item").filter(F.col("n_windows") >= F.least(F.lit(least), F.col("size")))
+
+
+def matches(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text",
+            width: int = 8, literal: int = 5, least: int = 4) -> DataFrame:
+    """key, item_id, n_windows, first_word: leaked items of each document, with its best consistent alignment."""
+    runs = consistent_runs(docs, items, key, text, item_key, item_text, width, literal, least)
     return runs.groupBy("key", "item").agg(F.max("n_windows").alias("n_windows"), F.min("first_word").alias("first_word")).withColumnsRenamed(
         {"key": key, "item": item_key})
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, key: str = "doc_id", **more) -> DataFrame:
-    """``docs`` without the documents that leak an item; the list of leaking ids is joined by its real size."""
-    leaks = stage(matches(docs, items, key=key, **more).select(F.col(key).alias("__leak")).distinct())
-    return docs.join(leaks, docs[key].eqNullSafe(F.col("__leak")), "left_anti")
+def decontaminate(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text",
+                  width: int = 8, literal: int = 5, least: int = 4) -> DataFrame:
+    """``docs`` without the rows that leak an item; the list of leaking rows is joined by its real size.
+
+    A row is its key (null is a key like any other) and its text, so other texts of a null or reused key stay.
+    """
+    runs = consistent_runs(docs, items, key, text, item_key, item_text, width, literal, least)
+    leaks = stage(runs.select(F.col("key").alias("__leak"), F.col("id").alias("__id")).distinct())
+    same = F.xxhash64(docs[key], F.coalesce(docs[text], F.lit(""))) == F.col("__id")
+    return docs.join(leaks, same & docs[key].eqNullSafe(F.col("__leak")), "left_anti")

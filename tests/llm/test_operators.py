@@ -389,6 +389,23 @@ def test_one_of_each_group_stays(landed, odd):
         assert collections.Counter(r["doc_id"] for r in left.select("doc_id").collect()) == collections.Counter(keep)
 
 
+def test_null_and_reused_keys_count_with_their_text(spark):
+    rng = random.Random(9)
+    base = [[f"{x}{rng.randint(0, 10 ** 6)}" for _ in range(80)] for x in "ab"]
+    near = [" ".join([*base[b], *"xyz"[:n]]) for b, n in ((0, 0), (0, 1), (0, 2), (1, 0), (1, 1))]
+    other = [" ".join(f"o{rng.randint(0, 10 ** 6)}" for _ in range(60)) for _ in range(3)]
+    rows = [(1, near[0]), (None, near[1]), (2, near[2]), (2, other[0]), (None, near[3]), (None, near[4]), (None, other[1]), (None, None), (3, other[2]), (3, other[2])]
+    left = collections.Counter((r["doc_id"], r["text"]) for r in jaccard_join.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    pair = [x for x in ((None, near[3]), (None, near[4])) if x in left]
+    assert len(pair) == 1
+    assert left == collections.Counter([(1, near[0]), (2, other[0]), pair[0], (None, other[1]), (None, None), (3, other[2])])
+    item = "the farmer walks to the far fields while the sheep and the goats are counted before noon today"
+    rows = [(None, f"so {item}"), (None, "clean"), (None, None), (5, f"so {item} then"), (5, "clean too"), (6, "clean")]
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    left = templates.decontaminate(spark.createDataFrame(rows, "doc_id long, text string"), items).collect()
+    assert collections.Counter((r["doc_id"], r["text"]) for r in left) == collections.Counter([rows[1], rows[2], rows[4], rows[5]])
+
+
 # 8 urls
 
 def test_url_parts_and_rules(spark):
