@@ -1,7 +1,7 @@
 """URL verdicts: longest fitting rule, else logistic regression on hashed character n-grams of host and path.
 
-The model is fitted on a small labelled table (url, label; 1: block), at most ``bound`` rows of it, the first by hash of the url;
-everything is Spark ML and column expressions, and every url is judged.
+The model is fitted on a small labelled table (url, label; 1: block), at most ``bound`` different urls of it, the first by hash
+of the url, each with its different labels; everything is Spark ML and column expressions, and every url is judged.
 
 Defined cases: a null url, or one without "://", has empty host and path and no n-grams, so the intercept alone judges it; repeated
 rows get equal results; a labelled table of one class or none gives a constant; an empty table gives no rows.
@@ -55,7 +55,9 @@ def features(df: DataFrame, url: str, size: int, sizes: tuple[int, ...]) -> Data
 def judge(pages: DataFrame, labelled: DataFrame, rules: list[tuple[str, str]], key: str = "page_id", url: str = "url", bound: int = 2000,
           size: int = 1 << 14, sizes: tuple[int, ...] = (3, 4, 5)) -> DataFrame:
     """key, host, path, rule, verdict and score (probability of a block) of every row."""
-    sample = labelled.select("url", F.col("label").cast("double").alias("label")).dropna().orderBy(F.xxhash64("url"), "url").limit(bound)
+    sample = labelled.select("url", F.col("label").cast("double").alias("label")).dropna()
+    sample = sample.groupBy("url").agg(F.sort_array(F.collect_set("label")).alias("labels")).orderBy(F.xxhash64("url"), "url").limit(bound)
+    sample = sample.select("url", F.explode("labels").alias("label"))
     train = features(sample, "url", size, sizes).select("x", "label")
     model = LogisticRegression(featuresCol="x", labelCol="label", regParam=0.003, maxIter=40, probabilityCol="p", predictionCol="said", rawPredictionCol="raw")
     classes = {r["label"] for r in train.select("label").distinct().collect()}

@@ -426,6 +426,16 @@ def test_url_parts_and_rules(spark):
     assert url_filter.judge(pages.limit(0), labelled, rules).count() == 0
 
 
+def test_repeated_urls_count_once(spark):
+    """Captures of one url don't fill the sample, wherever its hash puts it."""
+    urls = [(f"http://{w}{i}.example.org/p{i}", int(w == "casino")) for i in range(40) for w in ("casino", "garden")]
+    made = spark.createDataFrame(urls, "url string, label int")
+    first = made.orderBy(F.xxhash64("url"), "url").first()
+    labelled = made.union(made.filter(F.col("url") == first["url"]).crossJoin(spark.range(200)).select("url", "label"))
+    fresh = spark.createDataFrame([(0, "https://www.casino777.example.org/a"), (1, "https://garden888.example.org/b")], "page_id long, url string")
+    assert [r["verdict"] for r in url_filter.judge(fresh, labelled, [], bound=80).orderBy("page_id").collect()] == ["block", "allow"]
+
+
 # 9 decontamination
 
 def test_template_leaks(spark, odd, empty):
