@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from siteloom.llm import disclosure, jaccard_join, kneser_ney, packing, quality_rules, repair, sharding, templates, token_cache, url_filter
+from siteloom.llm import disclosure, filter_audit, jaccard_join, kneser_ney, ngram_importance, packing, quality_rules, repair, sharding, templates, token_cache, url_filter
 from siteloom.llm.registry import query, read
 from siteloom.session import staging_dir
 
@@ -89,3 +89,45 @@ def op2_kneser_ney(spark, sf_dir):
     trusted = read(spark, sf_dir, "labels").filter("quality = 1 and toxic = 0").select("doc_id")
     rows = kneser_ney.classify(read(spark, sf_dir, "documents"), trusted, quantile=0.995)
     return rows.select("doc_id", "lang", F.round("perplexity", 6).alias("perplexity"), F.round("threshold", 6).alias("threshold"), "kept")
+
+
+@query("op12_filter_paths", """
+WITH texts AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS body FROM documents),
+split AS (SELECT *, list_filter(regexp_split_to_array(body, '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words FROM texts),
+marks AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic
+          FROM labels GROUP BY doc_id),
+masks AS (SELECT part, CASE WHEN len(words) < 200 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(words)) < 50 * len(words) THEN 2 ELSE 0 END
+                 + CASE WHEN 100 * (length(body) - length(regexp_replace(body, '[A-Z]', '', 'g'))) > 2 * length(body) THEN 4 ELSE 0 END
+                 + CASE WHEN regexp_matches(body, '[#$%&*|]') THEN 8 ELSE 0 END
+                 + CASE WHEN split.doc_id > min(split.doc_id) OVER (PARTITION BY body) THEN 16 ELSE 0 END AS mask,
+                 coalesce(good, 0) AS good, coalesce(marks.toxic, 0) AS toxic
+          FROM split LEFT JOIN marks USING (doc_id)),
+counts AS (SELECT part, mask, good, toxic, count(*) AS n FROM masks GROUP BY ALL),
+bits AS (SELECT unnest([0, 1, 2, 3, 4]) AS b),
+orders AS (SELECT [a.b, c.b, d.b, e.b, f.b] AS o FROM bits a, bits c, bits d, bits e, bits f
+           WHERE len(list_distinct([a.b, c.b, d.b, e.b, f.b])) = 5),
+steps AS (SELECT array_to_string(list_transform(o, lambda x: chr(CAST(65 + x AS INTEGER))), '') AS filter_order, step, o[step] AS f,
+                 CAST(coalesce(list_sum(list_transform(o[1:step - 1], lambda x: 1 << x)), 0) AS INTEGER) AS earlier, 1 << o[step] AS bit
+          FROM orders, (SELECT unnest([1, 2, 3, 4, 5]) AS step)),
+sums AS (SELECT part, filter_order, step, f,
+                sum(CASE WHEN mask & (earlier | bit) = 0 THEN n ELSE 0 END) AS kept,
+                sum(CASE WHEN mask & bit <> 0 AND mask & earlier = 0 THEN n ELSE 0 END) AS removed,
+                sum(CASE WHEN mask & bit <> 0 AND mask & earlier <> 0 THEN n ELSE 0 END) AS redundant,
+                sum(CASE WHEN mask = bit THEN n ELSE 0 END) AS unique_fails,
+                sum(CASE WHEN mask & bit <> 0 AND mask & earlier = 0 AND good = 1 THEN n ELSE 0 END) AS good_lost,
+                sum(CASE WHEN mask & bit <> 0 AND mask & earlier = 0 AND toxic = 1 THEN n ELSE 0 END) AS toxic_lost
+         FROM counts, steps GROUP BY part, filter_order, step, f)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+       CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost,
+       CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley
+FROM sums""")
+def op12_filter_paths(spark, sf_dir):
+    """What each of five filters removes at each step of all 120 orders, for every source."""
+    return filter_audit.audit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+@query("op13_overlapped_scan")
+def op13_overlapped_scan(spark, sf_dir):
+    """A quarter of all documents of twenty words or more, drawn by likeness to the benchmark."""
+    rows = ngram_importance.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return rows.select("doc_id", "n_features", "weight", "score", "rank")
