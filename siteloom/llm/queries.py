@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from siteloom.llm import disclosure, filter_audit, jaccard_join, kneser_ney, ngram_importance, packing, quality_rules, repair, sharding, templates, token_cache, url_filter
+from siteloom.llm import disclosure, filter_audit, jaccard_join, kneser_ney, ngram_importance, packing, quality_rules, repair, sharding, string_kernel, templates, token_cache, url_filter
 from siteloom.llm.registry import query, read
 from siteloom.session import staging_dir
 
@@ -131,3 +131,10 @@ def op13_overlapped_scan(spark, sf_dir):
     """A quarter of all documents of twenty words or more, drawn by likeness to the benchmark."""
     rows = ngram_importance.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
     return rows.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+@query("op11_string_kernel")
+def op11_string_kernel(spark, sf_dir):
+    """The probability that a document is toxic, from labels of those that are not held out."""
+    rows = string_kernel.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return rows.select("doc_id", "held_out", "score", "predicted", "n_sentences", "n_toxic_sentences")
