@@ -4,14 +4,14 @@ The kernel compares two spans by the sequences of ``P`` characters they share, i
 character skipped (at most ``GAPS`` in a sequence) multiplies its weight by ``DECAY``. So "idxiot" still resembles "idiot", and a
 stem is recognised under any ending. A span is one word of a sentence, lowered and without its marks ("i.d-iot"), or three or more
 single characters in a row taken together ("i d i o t"); a word of more than ``LONG`` characters counts as its windows of
-``WINDOW`` characters, so that no insult is diluted by what it is glued to. A sentence scores its highest span, a
-document its highest sentence.
+``WINDOW`` characters, so that no insult is diluted by what it is glued to. A sentence scores its highest span; a document is judged
+by its ``BEST`` highest spans and how many it has to choose from.
 
 Labels hold for documents, so their sentences are bags: some sentence of a toxic document is toxic, none of a clean one is.
 ``fit`` starts from the sequences that toxic bags hold more often, then takes turns: pick the span that speaks most for each toxic
 bag and the hardest span of each clean bag, choose landmarks among them, train a linear machine on the Nyström features
 K(x, z) K(z, z)^(-1/2), score again. The machine is folded back into one weight a character sequence, which is the same
-function: scoring needs no landmark. A logistic curve over the bags' scores turns them into probabilities.
+function: scoring needs no landmark. A logistic regression over what the bags are judged by gives probabilities.
 
 Bounds: at most ``bound`` different labelled texts, the first by hash of the text, with their whole sentences; what the driver
 holds follows that number (a span or two a text and turn), ``landmarks`` and ``2 ** BITS`` counts. Sequences share ``2 ** BITS``
@@ -25,6 +25,7 @@ document gets the share of toxic labels (0 without labels); an empty table gives
 from __future__ import annotations
 
 import re
+from heapq import nlargest
 from itertools import combinations
 
 import numpy as np
@@ -33,9 +34,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from siteloom.session import stage
 
-P, GAPS, DECAY, BITS = 4, 2, 0.5, 20
+P, GAPS, DECAY, BITS, BEST = 4, 2, 0.5, 20, 3
 LONG, WINDOW, STRIDE = 14, 12, 3
-REMEMBER = 400_000
+REMEMBER, SLICE = 400_000, 1 << 20
 #: Places of a sequence's characters after its first, with the sequence's weight.
 SHAPES = [((*inner, last), DECAY ** (last - P + 1)) for last in range(P - 1, P + GAPS) for inner in combinations(range(1, last), P - 2)]
 SENTENCE_END = re.compile(r"(?<=[.!?])\s+|\n+")
@@ -109,18 +110,37 @@ class Scorer:
         self.table[buckets] = values
 
     def learn(self, spans: set[str]) -> None:
-        new = list(spans - self.known.keys())
+        new = [s for s in spans if s not in self.known]
         if len(self.known) + len(new) > REMEMBER:
             self.known, new = {}, list(spans)
         for i in range(0, len(new), 20_000):
             part = new[i:i + 20_000]
             self.known.update(zip(part, (span_scores(part, self.table) + self.intercept).tolist()))
 
-    def document(self, text: str | None) -> list[float]:
-        """The score of every sentence."""
-        parts = sentences(text)
-        self.learn(set().union(*parts))
-        return [max(map(self.known.__getitem__, spans)) for spans in parts]
+    def documents(self, texts: list[str | None]):
+        """For each text the score of every sentence, what its probability is read from, and its highest span.
+
+        The second are the ``BEST`` highest different scores of spans and the logarithm of how many spans there are; what is missing
+        counts as the score of a span without evidence. New spans are learnt for about ``SLICE`` characters of texts at once.
+        """
+        at = 0
+        while at < len(texts):
+            part, size = [], 0
+            while at < len(texts) and size < SLICE:
+                part.append(sentences(texts[at]))
+                size += len(texts[at] or "")
+                at += 1
+            self.learn({span for parts in part for spans in parts for span in spans})
+            yield from map(self.read, part)
+
+    def read(self, parts: list[list[str]]) -> tuple[list[float], list[float], str | None]:
+        known = self.known.__getitem__
+        scores = [max(map(known, spans)) for spans in parts]
+        spans = set().union(*parts)
+        top = nlargest(BEST, set(map(known, spans)))
+        best = max((s for s in spans if known(s) == top[0]), default=None)
+        top += [min(self.intercept, *top[-1:])] * (BEST - len(top))
+        return scores, [*top, float(np.log1p(len(spans)))], best
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, key: str, text: str, bound: int) -> DataFrame:
@@ -163,22 +183,17 @@ def evidence(sample: DataFrame) -> np.ndarray:
     return out
 
 
-def strongest(sample: DataFrame, buckets: np.ndarray, values: np.ndarray, intercept: float) -> list[tuple[int, str | None, float]]:
-    """(toxic, span, score) of the span that scores highest in each bag; a bag without spans gives null and the intercept."""
+def strongest(sample: DataFrame, buckets: np.ndarray, values: np.ndarray, intercept: float) -> list[tuple[int, str | None, list[float]]]:
+    """(toxic, highest span or null, what the probability is read from) of each bag."""
     def each(batches):
         scorer = Scorer(buckets, values, intercept)
         for batch in batches:
-            spans, scores = [], []
-            for text in batch.column(1).to_pylist():
-                held = set().union(*sentences(text))
-                scorer.learn(held)
-                best = max(held, key=lambda s: (scorer.known[s], s), default=None)
-                spans.append(best)
-                scores.append(intercept if best is None else scorer.known[best])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, pa.string()), pa.array(scores, pa.float64())], names=["toxic", "span", "score"])
+            read = list(scorer.documents(batch.column(1).to_pylist()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([best for _, _, best in read], pa.string()),
+                                              pa.array([x for _, x, _ in read], pa.list_(pa.float64()))], names=["toxic", "span", "x"])
 
-    rows = sample.select((F.col("toxic") > 0).cast("int").alias("toxic"), "text").mapInArrow(each, "toxic int, span string, score double")
-    return sorted(tuple(r) for r in rows.collect())
+    rows = sample.select((F.col("toxic") > 0).cast("int").alias("toxic"), "text").mapInArrow(each, "toxic int, span string, x array<double>")
+    return sorted((tuple(r) for r in rows.collect()), key=lambda r: (r[0], r[1] or "", r[2]))
 
 
 def ordinary(sample: DataFrame, many: int) -> list[str]:
@@ -266,29 +281,29 @@ def train(good: list[str], bad: dict[str, int], landmarks: int) -> tuple[np.ndar
     return columns, (root @ w) @ dense, b
 
 
-def logistic(score: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
-    """Slope and shift of a logistic curve over scores, with targets smoothed by the classes' sizes; the slope is never negative."""
+def logistic(x: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+    """Weights of a logistic regression (the last one without a factor), with targets smoothed by the classes' sizes."""
     n1, n0 = toxic.sum(), (1 - toxic).sum()
     target = np.where(toxic > 0, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
-    x = np.column_stack([score, np.ones(len(score))])
-    w = np.array([1.0, 0.0])
+    x = np.column_stack([x, np.ones(len(x))])
+    w, ridge = np.zeros(x.shape[1]), 1e-2
     for _ in range(200):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + 1e-6 * np.eye(2), x.T @ (p - target) + 1e-6 * w)
+        step = np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + ridge * np.eye(len(w)), x.T @ (p - target) + ridge * w)
         step *= min(1, 2 / max(np.abs(step).max(), 1e-12))
         w = w - step
         if np.abs(step).max() < 1e-9:
             break
-    return max(float(w[0]), 0.0), float(w[1])
+    return w
 
 
 def fit(sample: DataFrame, landmarks: int = 256, turns: int = 4, ordinary_spans: int = 4000) -> dict:
     """The model from (toxic, text) rows: buckets, values, intercept of the machine, slope and shift of the probability."""
     classes = {r["t"]: r["n"] for r in sample.groupBy((F.col("toxic") > 0).alias("t")).agg(F.count(F.lit(1)).alias("n")).collect()}
     n1, n0 = classes.get(True, 0), classes.get(False, 0)
-    model = {"buckets": np.zeros(0, np.int64), "values": np.zeros(0), "intercept": 0.0, "slope": 0.0, "share": n1 / max(n1 + n0, 1)}
+    model = {"buckets": np.zeros(0, np.int64), "values": np.zeros(0), "intercept": 0.0, "curve": None, "share": n1 / max(n1 + n0, 1)}
     if not n1 or not n0:
-        return model | {"shift": 0.0}
+        return model
     start = evidence(sample)
     buckets = np.flatnonzero(start)
     values, intercept = start[buckets], 0.0
@@ -306,25 +321,25 @@ def fit(sample: DataFrame, landmarks: int = 256, turns: int = 4, ordinary_spans:
             break
         buckets, values, intercept = train(good, bad, landmarks)
         found = strongest(sample, buckets, values, intercept)
-    slope, shift = logistic(np.array([s for _, _, s in found]), np.array([float(t) for t, _, _ in found]))
-    return model | {"buckets": buckets, "values": values, "intercept": intercept, "slope": slope, "shift": shift}
+    curve = logistic(np.array([x for _, _, x in found]), np.array([float(t) for t, _, _ in found]))
+    return model | {"buckets": buckets, "values": values, "intercept": intercept, "curve": curve}
 
 
 def score(docs: DataFrame, model: dict, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key``, score (probability), n_sentences, n_toxic_sentences (of a probability of 0.5 or more) of every row."""
-    constant = None if model["slope"] > 0 else float(model["share"])
+    """``key``, score (probability), n_sentences, n_toxic_sentences (on the machine's toxic side) of every row."""
+    curve, share = model["curve"], float(model["share"])
 
     def each(batches):
         scorer = Scorer(model["buckets"], model["values"], model["intercept"])
-        chance = lambda f: 1 / (1 + np.exp(-np.clip(model["slope"] * f + model["shift"], -30, 30)))
         for batch in batches:
-            out, many, toxic = [], [], []
-            for body in batch.column(1):
-                parts = np.array(scorer.document(body.as_py()))
-                chances = chance(parts) if constant is None else np.full(len(parts), constant)
-                out.append(float(chances.max()) if len(parts) else constant if constant is not None else float(chance(min(scorer.intercept, 0.0))))
-                many.append(len(parts))
-                toxic.append(int((chances >= 0.5).sum()))
+            read = list(scorer.documents(batch.column(1).to_pylist()))
+            many = [len(parts) for parts, _, _ in read]
+            if curve is None:
+                out, toxic = [share] * len(read), [0] * len(read)
+            else:
+                x = np.array([x for _, x, _ in read]).reshape(len(read), BEST + 1)
+                out = 1 / (1 + np.exp(-np.clip(x @ curve[:-1] + curve[-1], -30, 30)))
+                toxic = [sum(f > 0 for f in parts) for parts, _, _ in read]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.float64()), pa.array(many, pa.int64()), pa.array(toxic, pa.int64())],
                                              names=["key", "score", "n_sentences", "n_toxic_sentences"])
 
