@@ -25,8 +25,8 @@ document gets the share of toxic labels (0 without labels); an empty table gives
 from __future__ import annotations
 
 import re
-from heapq import nlargest
 from itertools import combinations
+from math import log1p
 
 import numpy as np
 import pyarrow as pa
@@ -39,18 +39,21 @@ LONG, WINDOW, STRIDE = 14, 12, 3
 REMEMBER, SLICE = 400_000, 1 << 20
 #: Places of a sequence's characters after its first, with the sequence's weight.
 SHAPES = [((*inner, last), DECAY ** (last - P + 1)) for last in range(P - 1, P + GAPS) for inner in combinations(range(1, last), P - 2)]
-SENTENCE_END = re.compile(r"(?<=[.!?])\s+|\n+")
+#: Odd multipliers of a sequence's characters.
+FACTORS = [0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93]
+SENTENCE_END = re.compile(r"[.!?]\s+|\n+")
 SPELLED = re.compile(r"(?<!\S)\S(?:\s\S){2,}(?!\S)")
 
 
 def sentences(text: str | None) -> list[list[str]]:
     """The raw spans of every sentence that has any; "" never occurs among them."""
-    out = []
-    for part in SENTENCE_END.split((text or "").lower()):
-        spans = part.split()
-        if spans:
-            out.append(spans + ["".join(m[0].split()) for m in SPELLED.finditer(part)])
-    return out
+    text = (text or "").lower()
+    parts = SENTENCE_END.split(text)
+    if SPELLED.search(text):
+        spans = [p.split() + ["".join(m[0].split()) for m in SPELLED.finditer(p)] for p in parts]
+    else:
+        spans = map(str.split, parts)
+    return [s for s in spans if s]
 
 
 def windows(span: str) -> list[str]:
@@ -73,18 +76,18 @@ def sequences(spans: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     length = np.array([len(w) for w in flat], np.int64)
     chars = np.frombuffer("".join(flat).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
     where, end = np.repeat(np.arange(len(flat)), length), np.repeat(np.cumsum(length), length)
-    prime, found = np.uint64(0x9E3779B97F4A7C15), []
-    for places, weight in SHAPES:
-        at = np.flatnonzero(np.arange(len(chars)) + places[-1] < end)
-        h = chars[at]
-        for k in places:
-            h = (h ^ (h >> np.uint64(29))) * prime + chars[at + k]
-        h = ((h ^ (h >> np.uint64(32))) * prime) >> np.uint64(64 - BITS)
-        found.append((where[at].astype(np.uint64) << np.uint64(BITS) | h, np.full(len(at), weight)))
-    keys = np.concatenate([k for k, _ in found])
-    order = np.argsort(keys, kind="stable")
-    keys, weight = keys[order], np.concatenate([w for _, w in found])[order]
-    first = np.flatnonzero(np.diff(keys, prepend=np.uint64(1 << 63))) if len(keys) else np.zeros(0, np.int64)
+    # A sequence's hash is the mixed sum of one product a character; in the last bits of a key stands how much was skipped.
+    at, factors, found = np.arange(len(chars)), [chars * np.uint64(f) for f in FACTORS], []
+    base = where.astype(np.uint64) << np.uint64(BITS + 2)
+    for places, _ in SHAPES:
+        last = places[-1]
+        n = max(0, len(chars) - last)
+        h = factors[0][:n] + sum(factors[i + 1][k:k + n] for i, k in enumerate(places))
+        h = ((h ^ (h >> np.uint64(32))) * np.uint64(FACTORS[0])) >> np.uint64(64 - BITS)
+        found.append((base[:n] | h << np.uint64(2) | np.uint64(last + 1 - P))[at[:n] + last < end[:n]])
+    keys = np.sort(np.concatenate(found))
+    weight, keys = DECAY ** (keys & np.uint64(3)).astype(np.float64), keys >> np.uint64(2)
+    first = np.flatnonzero(np.diff(keys, prepend=np.uint64(1 << 63)))
     keys, weight = keys[first], np.add.reduceat(weight, first) if len(first) else weight
     window, bucket = (keys >> np.uint64(BITS)).astype(np.int64), (keys & np.uint64((1 << BITS) - 1)).astype(np.int64)
     norm = np.sqrt(np.bincount(window, weight * weight, minlength=len(flat)))
@@ -118,7 +121,7 @@ class Scorer:
             self.known.update(zip(part, (span_scores(part, self.table) + self.intercept).tolist()))
 
     def documents(self, texts: list[str | None]):
-        """For each text the score of every sentence, what its probability is read from, and its highest span.
+        """For each text the score of every sentence, what its probability is read from, and its sentences' spans.
 
         The second are the ``BEST`` highest different scores of spans and the logarithm of how many spans there are; what is missing
         counts as the score of a span without evidence. New spans are learnt for about ``SLICE`` characters of texts at once.
@@ -133,14 +136,16 @@ class Scorer:
             self.learn({span for parts in part for spans in parts for span in spans})
             yield from map(self.read, part)
 
-    def read(self, parts: list[list[str]]) -> tuple[list[float], list[float], str | None]:
+    def read(self, parts: list[list[str]]) -> tuple[list[float], list[float], list[list[str]]]:
         known = self.known.__getitem__
         scores = [max(map(known, spans)) for spans in parts]
         spans = set().union(*parts)
-        top = nlargest(BEST, set(map(known, spans)))
-        best = max((s for s in spans if known(s) == top[0]), default=None)
+        top = sorted(set(map(known, spans)), reverse=True)[:BEST]
         top += [min(self.intercept, *top[-1:])] * (BEST - len(top))
-        return scores, [*top, float(np.log1p(len(spans)))], best
+        return scores, [*top, log1p(len(spans))], parts
+
+    def highest(self, parts: list[list[str]]) -> str | None:
+        return max((span for spans in parts for span in spans), key=lambda s: (self.known[s], s), default=None)
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, key: str, text: str, bound: int) -> DataFrame:
@@ -188,9 +193,9 @@ def strongest(sample: DataFrame, buckets: np.ndarray, values: np.ndarray, interc
     def each(batches):
         scorer = Scorer(buckets, values, intercept)
         for batch in batches:
-            read = list(scorer.documents(batch.column(1).to_pylist()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([best for _, _, best in read], pa.string()),
-                                              pa.array([x for _, x, _ in read], pa.list_(pa.float64()))], names=["toxic", "span", "x"])
+            read = [(scorer.highest(parts), x) for _, x, parts in scorer.documents(batch.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([best for best, _ in read], pa.string()),
+                                              pa.array([x for _, x in read], pa.list_(pa.float64()))], names=["toxic", "span", "x"])
 
     rows = sample.select((F.col("toxic") > 0).cast("int").alias("toxic"), "text").mapInArrow(each, "toxic int, span string, x array<double>")
     return sorted((tuple(r) for r in rows.collect()), key=lambda r: (r[0], r[1] or "", r[2]))
@@ -332,14 +337,14 @@ def score(docs: DataFrame, model: dict, key: str = "doc_id", text: str = "text")
     def each(batches):
         scorer = Scorer(model["buckets"], model["values"], model["intercept"])
         for batch in batches:
-            read = list(scorer.documents(batch.column(1).to_pylist()))
-            many = [len(parts) for parts, _, _ in read]
+            read = [(scores, x) for scores, x, _ in scorer.documents(batch.column(1).to_pylist())]
+            many = [len(scores) for scores, _ in read]
             if curve is None:
                 out, toxic = [share] * len(read), [0] * len(read)
             else:
-                x = np.array([x for _, x, _ in read]).reshape(len(read), BEST + 1)
+                x = np.array([x for _, x in read]).reshape(len(read), BEST + 1)
                 out = 1 / (1 + np.exp(-np.clip(x @ curve[:-1] + curve[-1], -30, 30)))
-                toxic = [sum(f > 0 for f in parts) for parts, _, _ in read]
+                toxic = [sum(f > 0 for f in scores) for scores, _ in read]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.float64()), pa.array(many, pa.int64()), pa.array(toxic, pa.int64())],
                                              names=["key", "score", "n_sentences", "n_toxic_sentences"])
 
