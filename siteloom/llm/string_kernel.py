@@ -141,7 +141,7 @@ class Scorer:
         scores = [max(map(known, spans)) for spans in parts]
         spans = set().union(*parts)
         top = sorted(set(map(known, spans)), reverse=True)[:BEST]
-        top += [min(self.intercept, *top[-1:])] * (BEST - len(top))
+        top += [min([self.intercept, *top[-1:]])] * (BEST - len(top))
         return scores, [*top, log1p(len(spans))], parts
 
     def highest(self, parts: list[list[str]]) -> str | None:
