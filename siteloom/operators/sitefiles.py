@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+import uuid
+from itertools import count
+
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from siteloom.functions import constants as K
 from siteloom.functions import text as X
 from siteloom.functions import urls as U
-from siteloom.operators.skew import top_per_key
-from siteloom.session import stage
+from siteloom.operators.skew import bucketed_rank, top_per_key
+from siteloom.session import stage, staging_dir
 
 
 def robots_lines(docs: DataFrame) -> DataFrame:
@@ -77,59 +80,75 @@ def robots_filter(urls: DataFrame, rules: DataFrame, url: str = "url") -> DataFr
     return joined.withColumn("allowed", F.coalesce(best["allow"], F.lit(True))).drop("rules", "__path")
 
 
-def parse_sitemaps(docs: DataFrame) -> DataFrame:
-    """Add kind (sitemapindex, urlset or null) and the first 100 locations of each document. ``docs`` has body."""
+def sitemap_locations(docs: DataFrame, max_locations: int | None = None) -> DataFrame:
+    """One row per location of each sitemap document, in its place: the columns of ``docs`` but body, kind, at, loc.
+
+    ``kind`` is sitemapindex, urlset or null; a document without locations, or of no known kind, is one row without ``loc``.
+    ``max_locations`` keeps the first ones of a document.
+    """
     c = F.col
     raw = F.regexp_extract_all(c("body"), F.lit(r"(?is)<loc\b[^>]*>(.*?)</loc>"), F.lit(1))
     values = F.transform(raw, lambda v: X.decode_xml(F.regexp_replace(v, r"(?s)<!\[CDATA\[(.*?)\]\]>", "$1")))
     kind = F.when(c("body").rlike(r"(?i)<sitemapindex\b"), "sitemapindex").when(c("body").rlike(r"(?i)<urlset\b"), "urlset")
-    none = F.array().cast("array<string>")
-    return docs.withColumn("kind", kind).withColumn("locations", F.when(c("kind").isNull(), none).otherwise(
-        F.slice(F.filter(values, lambda v: v != ""), 1, K.MAX_SITEMAP_URLS))).drop("body")
+    found = F.filter(values, lambda v: v != "")
+    if max_locations is not None:
+        found = F.slice(found, 1, max_locations)
+    keep = [k for k in docs.columns if k != "body"]
+    return docs.select(*keep, kind.alias("kind"), F.posexplode_outer(F.when(kind.isNotNull(), found)).alias("at", "loc"))
 
 
 def _absolute(loc: Column, base: Column) -> Column:
     return F.when(loc.startswith("/"), F.concat(U.origin(base), loc)).otherwise(U.absolute_url(loc))
 
 
-def sitemap_tree(docs: DataFrame, roots: DataFrame, declared: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(urls, visited documents) per audit: index files are followed breadth first, six documents and 100 URLs at most.
+def sitemap_tree(docs: DataFrame, roots: DataFrame, declared: DataFrame | None = None, max_files: int | None = None,
+                 max_urls: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(urls, visited documents) per audit: index files are followed breadth first until no new document turns up.
 
-    ``docs``: audit_id, doc_url, body (fetched documents). ``declared``: audit_id, doc_url, line. Each level is one join;
-    at most six documents per audit are ever in play.
+    ``docs``: audit_id, doc_url, body (fetched documents). ``declared``: audit_id, doc_url, line. One table of visited
+    documents grows by a folder a level; a level is one join of the newest folder with the index entries, less all folders.
+    ``max_files`` and ``max_urls`` bound an audit's documents and URLs (and a document's locations); no bound by default.
     """
     c = F.col
-    parsed = stage(parse_sitemaps(docs))
+    spark = docs.sparkSession
+    entries = stage(sitemap_locations(docs, max_urls))
+    indexed = entries.filter("kind = 'sitemapindex' and loc is not null").select("audit_id", "doc_url", "at", _absolute(c("loc"), c("doc_url")).alias("next"))
     first = roots.select("audit_id", F.concat(U.origin(c("root_url")), F.lit("/sitemap.xml")).alias("doc_url"),
                          F.lit(-1).alias("line"))
     if declared is not None:
         first = first.unionByName(declared.select("audit_id", "doc_url", "line"))
-    start = first.groupBy("audit_id", "doc_url").agg(F.min("line").alias("line"))
-    visited = stage(top_per_key(start, ["audit_id"], ["line", "doc_url"], K.MAX_SITEMAP_FILES, "position")
-                    .select("audit_id", "doc_url", "position"))
-    frontier = visited
-    for _ in range(K.MAX_SITEMAP_FILES - 1):
-        nested = (frontier.join(parsed.filter("kind = 'sitemapindex'"), ["audit_id", "doc_url"])
-                  .select("audit_id", "position", "doc_url", F.posexplode("locations").alias("at", "loc"))
-                  .select("audit_id", _absolute(c("loc"), c("doc_url")).alias("doc_url"), F.struct("position", "at").alias("at"))
-                  .filter("doc_url is not null").groupBy("audit_id", "doc_url").agg(F.min("at").alias("at"))
-                  .join(visited.select("audit_id", "doc_url"), ["audit_id", "doc_url"], "left_anti"))
+    state = f"{staging_dir(spark).rstrip('/')}/siteloom-{uuid.uuid4().hex}"
+    schema = T.StructType([roots.schema["audit_id"], T.StructField("doc_url", T.StringType()), T.StructField("position", T.LongType())])
+    visited = spark.createDataFrame([], schema)
+    offered = first.groupBy("audit_id", "doc_url").agg(F.min(F.struct(F.lit(0).cast("long").alias("parent"), c("line").alias("at"))).alias("place"))
+    for level in count():
         held = visited.groupBy("audit_id").agg(F.max("position").alias("held"))
-        ranked = top_per_key(nested, ["audit_id"], ["at"], K.MAX_SITEMAP_FILES, "nth").join(held, "audit_id")
-        frontier = stage(ranked.withColumn("position", c("held") + c("nth")).filter(
-            c("position") <= K.MAX_SITEMAP_FILES).select("audit_id", "doc_url", "position"))
-        if frontier.isEmpty():
+        # documents of one parent stand side by side in the order, so a parent is a bucket of its audit
+        ranked = bucketed_rank(offered, ["audit_id"], c("place.parent"), ["place", "doc_url"], "nth").join(held, "audit_id", "left")
+        ranked = ranked.withColumn("position", c("nth") + F.coalesce("held", F.lit(0)))
+        if max_files is not None:
+            ranked = ranked.filter(c("position") <= max_files)
+        ranked.select(schema.names).write.parquet(f"{state}/level={level}")
+        newest = spark.read.schema(schema).parquet(f"{state}/level={level}")
+        if newest.isEmpty():
             break
-        visited = visited.unionByName(frontier)
-    seen = visited.join(parsed, ["audit_id", "doc_url"], "left").drop("locations")
-    listed = (visited.join(parsed.filter("kind = 'urlset'"), ["audit_id", "doc_url"])
+        visited = spark.read.schema(schema).parquet(*[f"{state}/level={i}" for i in range(level + 1)])
+        nested = newest.join(indexed, ["audit_id", "doc_url"]).select(
+            "audit_id", c("next").alias("doc_url"), c("position").alias("parent"), "at").filter("doc_url is not null")
+        offered = nested.groupBy("audit_id", "doc_url").agg(F.min(F.struct("parent", "at")).alias("place")).join(
+            visited.select("audit_id", "doc_url"), ["audit_id", "doc_url"], "left_anti")
+    kinds = entries.groupBy("audit_id", "doc_url").agg(F.max("kind").alias("kind"))
+    seen = visited.join(kinds, ["audit_id", "doc_url"], "left")
+    listed = (visited.join(entries.filter("kind = 'urlset' and loc is not null"), ["audit_id", "doc_url"])
               .join(roots.select("audit_id", "root_url"), "audit_id")
-              .select("audit_id", "position", "root_url", F.posexplode("locations").alias("at", "loc"))
-              .withColumn("full", _absolute(c("loc"), c("root_url"))))
+              .select("audit_id", "position", "root_url", "at", "loc").withColumn("full", _absolute(c("loc"), c("root_url"))))
     crawl = U.canonicalize_urls(listed, "full", "root_url", "url", resolved=True).filter("url is not null")
-    distinct = crawl.groupBy("audit_id", "url").agg(F.min(F.struct("position", "at")).alias("at"))
-    urls = top_per_key(distinct, ["audit_id"], ["at"], K.MAX_SITEMAP_URLS, "position").select("audit_id", "url", "position")
-    return urls, seen
+    distinct = crawl.groupBy("audit_id", "url").agg(F.min(F.struct("position", "at")).alias("place"))
+    if max_urls is not None:
+        urls = top_per_key(distinct, ["audit_id"], ["place"], max_urls, "position")
+    else:
+        urls = bucketed_rank(distinct, ["audit_id"], c("place.position"), ["place"], "position")
+    return urls.select("audit_id", "url", c("position").cast("int").alias("position")), seen
 
 
 def query_variant_guard(urls: DataFrame, limit: int = K.MAX_QUERY_VARIANTS) -> DataFrame:

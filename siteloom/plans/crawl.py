@@ -13,12 +13,12 @@ from siteloom.session import stage
 
 
 def crawl_order(roots: DataFrame, links: DataFrame, captures: DataFrame, max_pages: int = 10,
-                seeds: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+                seeds: DataFrame | None = None, linked_by: str = "final_url") -> tuple[DataFrame, DataFrame]:
     """(queue entries taken in order, audits stopped with URLs left); ``audited`` marks the first capture of a final URL.
 
     Every audit advances one level per round: links of the pages audited last round, in order of page and position, minus
     everything queued before, minus query variants beyond five per path. A capture counts once per final URL; only HTML
-    captures use up ``max_pages``. ``links``: audit_id, src, dst (crawl forms), position. ``captures``: audit_id, url,
+    captures use up ``max_pages``. ``links``: audit_id, src (what ``linked_by`` names of a capture), dst (crawl form), position. ``captures``: audit_id, url,
     final_url, is_html, allowed. ``seeds``: audit_id, url, position (sitemap URLs). A root whose capture left the site
     is expected under its new root in ``roots``.
     """
@@ -33,11 +33,11 @@ def crawl_order(roots: DataFrame, links: DataFrame, captures: DataFrame, max_pag
     state = None
     for depth in count():
         queued = stage(_enqueue(offered, state, guard).join(captures, ["audit_id", "url"], "left"))
-        if queued.isEmpty():
+        if state is not None and queued.isEmpty():
             break
         level = stage(_audit_level(queued, state, max_pages).withColumn("depth", F.lit(depth)))
         state = level if state is None else state.unionByName(level)
-        offered = (level.filter(c("landed") & c("is_html")).select("audit_id", c("final_url").alias("src"), c("seq").alias("parent"))
+        offered = (level.filter(c("landed") & c("is_html")).select("audit_id", c(linked_by).alias("src"), c("seq").alias("parent"))
                    .join(links, ["audit_id", "src"]).filter("dst is not null")
                    .groupBy("audit_id", c("dst").alias("url")).agg(F.min(F.struct("parent", "position")).alias("at")))
     ends = state.groupBy("audit_id").agg(F.max(F.when(c("landed"), c("seq"))).alias("reached"), F.max("seq").alias("offered"),

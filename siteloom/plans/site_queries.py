@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from siteloom.functions.urls import validate_targets
 from siteloom.operators import findings, network, sitefiles
-from siteloom.operators.skew import top_per_key
 from siteloom.plans.crawl import crawl_order
 from siteloom.plans.registry import query
 from siteloom.plans.tables import table
@@ -35,7 +34,7 @@ _NESTED = f"SELECT audit_id, CAST(floor(page_id / 50) AS INT) AS k, page_id, con
 
 
 def sitemap_docs(spark, sf_dir):
-    """Sitemap documents that list the derived pages: five pages per nested file, an index of the first 100 files."""
+    """Sitemap documents that list the derived pages: five pages per nested file, an index of all files."""
     rows = spark.sql(_NESTED, fx_pages=table(spark, sf_dir, "fx_pages"))
     site = F.concat(F.lit("https://site"), F.col("audit_id"), F.lit(".example.com"))
     nested = rows.groupBy("audit_id", "k").agg(F.array_join(F.array_sort(F.collect_list(F.struct("page_id", "loc")))["loc"], "")
@@ -43,7 +42,7 @@ def sitemap_docs(spark, sf_dir):
     maps = nested.select("audit_id", F.concat(site, F.lit("/map-"), "k", F.lit(".xml")).alias("doc_url"),
                          F.concat(F.lit("<urlset>"), "locs", F.lit("</urlset>")).alias("body"))
     entry = F.concat(F.lit("<sitemap><loc>"), site, F.lit("/map-"), "k", F.lit(".xml</loc></sitemap>"))
-    index = top_per_key(nested, ["audit_id"], ["k"], 100).groupBy("audit_id").agg(F.array_join(F.array_sort(F.collect_list(F.struct("k", entry.alias("e"))))["e"], "")
+    index = nested.groupBy("audit_id").agg(F.array_join(F.array_sort(F.collect_list(F.struct("k", entry.alias("e"))))["e"], "")
                                            .alias("es"))
     tops = index.select("audit_id", F.concat(site, F.lit("/sitemap.xml")).alias("doc_url"),
                         F.concat(F.lit("<sitemapindex>"), "es", F.lit("</sitemapindex>")).alias("body"))
@@ -52,9 +51,9 @@ def sitemap_docs(spark, sf_dir):
 
 @query("sitemap_urls", f"""WITH n AS ({_NESTED}), p AS (SELECT n.audit_id, n.k, n.page_id, f.url FROM n JOIN {{fx_pages}} f ON f.page_id = n.page_id),
  docs AS (SELECT *, dense_rank() OVER (PARTITION BY audit_id ORDER BY k) AS d FROM p),
- u AS (SELECT audit_id, k, page_id, CASE WHEN page_id % 9 = 4 THEN concat(url, '?x=1&y=2') ELSE url END AS url FROM docs WHERE d <= 5 AND page_id % 9 <> 6),
+ u AS (SELECT audit_id, k, page_id, CASE WHEN page_id % 9 = 4 THEN concat(url, '?x=1&y=2') ELSE url END AS url FROM docs WHERE page_id % 9 <> 6),
  r AS (SELECT *, row_number() OVER (PARTITION BY audit_id ORDER BY k, page_id) AS position FROM u)
- SELECT audit_id, url, CAST(position AS INT) AS position FROM r WHERE position <= 100""")
+ SELECT audit_id, url, CAST(position AS INT) AS position FROM r""")
 def q_sitemaps(spark, sf_dir):
     roots = findings.audit_roots(table(spark, sf_dir, "fx_pages").select("audit_id", "seq", "url"))
     urls, _ = sitefiles.sitemap_tree(sitemap_docs(spark, sf_dir), roots)

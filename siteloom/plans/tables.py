@@ -12,7 +12,60 @@ from pyspark.sql import DataFrame, SparkSession
 LANDED = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings",
           "pages", "benchmark", "labels", "conversations"]
 
+
+def _capture_kind(k: str) -> str:
+    """What became of capture ``k`` of an audit: 0 left the site, 1 landed on the root, 2 failed, 3 to 5 no page, 6 in a closed folder, else a page."""
+    return f"CASE WHEN {k} % 3 = 0 AND {k} > 0 THEN (CAST(floor({k} / 3) AS BIGINT) + audit_id) % 9 ELSE 8 END"
+
+
+def _capture_url(k: str, kind: str) -> str:
+    return (f"concat('https://site', audit_id, '.example.com', CASE WHEN {k} = 0 THEN '/' WHEN {kind} = 6 THEN concat('/blocked/p', {k}) "
+            f"ELSE concat('/s', {k} % 4, '/p', {k}) END)")
+
+
+def _capture_link(j: int) -> str:
+    """A link to child ``j`` of a page; the pages of an audit form a tree of three children a page."""
+    k = f"(3 * k + {j})"
+    path = _capture_url(k, _capture_kind(k)).replace("'https://site', audit_id, '.example.com', ", "")
+    return f"""concat('<a href="', {path}, '">c</a>', CASE WHEN k % 3 = 1 THEN concat('<a href="', {path}, '?utm_source=x">again</a>') ELSE '' END)"""
+
+
 DERIVED = {
+    "fx_captures": f"""
+SELECT audit_id, k, kind, url, true AS main, page_id AS seq, load_time_ms,
+  CASE kind WHEN 0 THEN concat('https://elsewhere.example.org/p', k) WHEN 1 THEN concat('https://site', audit_id, '.example.com/') ELSE url END AS final_url,
+  CASE kind WHEN 3 THEN 500 WHEN 4 THEN 404 WHEN 5 THEN 410 ELSE status END AS status,
+  CASE kind WHEN 2 THEN NULL WHEN 3 THEN 'application/pdf' WHEN 4 THEN 'text/plain' WHEN 5 THEN 'text/plain' ELSE 'Text/HTML; charset=utf-8' END AS content_type,
+  CASE WHEN kind = 2 THEN concat('The fetch of p', k, ' failed.') END AS error,
+  replace(replace(replace(
+    CASE WHEN page_id % 29 = 6 THEN regexp_replace(body, '<html lang="[a-z]*"', '<html') ELSE body END,
+    '</title>', CASE WHEN page_id % 19 = 4 THEN ' with a suffix that takes every title past the limit of sixty-five</title>' ELSE '</title>' END),
+    '<head>', concat('<head><meta name="Description" content="', description, '"><link rel="canonical" href="', canonical, '"><meta name="ROBOTS" content="', robots,
+      '"><meta property="og:title" content="', CASE WHEN page_id % 2 = 0 THEN 'Shared' ELSE '' END, '"><meta property="og:description" content="', description, '">',
+      CASE WHEN page_id % 2 = 0 THEN '<script type="application/ld+json">[]</script>' ELSE '' END)),
+    '<nav>', concat('<nav><svg><title>no</title></svg><a href="/">home</a>', {_capture_link(1)}, {_capture_link(2)}, {_capture_link(3)},
+      '<a href="https://partner.example.net/x?y=1#z">out</a><img src="a.png" alt="">', CASE WHEN page_id % 4 = 1 THEN '<img src="b.png">' ELSE '' END,
+      CASE WHEN page_id % 13 = 4 THEN '<h1>Second heading</h1>' ELSE '' END)) AS html
+FROM (
+  SELECT *, {_capture_url('k', 'kind')} AS url,
+    CASE page_id % 7 WHEN 0 THEN '' WHEN 1 THEN 'https://other.example/x' WHEN 2 THEN concat({_capture_url('k', 'kind')}, '#main')
+      WHEN 3 THEN 'ftp://bad/' ELSE {_capture_url('k', 'kind')} END AS canonical
+  FROM (SELECT *, {_capture_kind('k')} AS kind FROM (
+    SELECT page_id, page_id % 10 AS audit_id, CAST(floor(page_id / 10) AS BIGINT) AS k, CAST((page_id * 37) % 5000 AS INT) AS load_time_ms,
+      CASE page_id % 50 WHEN 17 THEN 500 WHEN 18 THEN 404 WHEN 25 THEN 301 ELSE 200 END AS status,
+      CASE page_id % 5 WHEN 0 THEN '' WHEN 1 THEN 'short text' WHEN 2 THEN repeat('long.', 40)
+         WHEN 3 THEN 'Shared description used by several pages of one site so that the duplicate rule has work'
+         ELSE concat('Unique description number ', page_id, ' padded to pass the minimum length of seventy characters') END AS description,
+      CASE page_id % 11 WHEN 5 THEN 'noindex,follow' WHEN 6 THEN 'NoIndexed' ELSE 'index,follow' END AS robots,
+      CASE WHEN page_id % 13 = 3 THEN replace(replace(html, '<h1>', '<h2>'), '</h1>', '</h2>')
+           WHEN page_id % 23 = 7 THEN regexp_replace(html, '<title>.*?</title>', '<title> </title>') ELSE html END AS body
+    FROM {{pages}}) p) q) r""",
+    "fx_all_captures": """
+SELECT * FROM {fx_captures}
+UNION ALL SELECT audit_id, k, kind, url, false, seq - 1000000000, load_time_ms, url, 200, 'text/html', NULL, '<html><title>An older capture</title></html>'
+FROM {fx_captures} WHERE k % 5 = 2
+UNION ALL SELECT audit_id, k, kind, concat(url, '?utm_source=zz'), false, seq + 1000000000, load_time_ms, url, 200, 'text/html', NULL, '<html><title>A variant</title></html>'
+FROM {fx_captures} WHERE k % 5 = 4""",
     "fx_pages": """
 SELECT p.*,
   CASE page_id % 7 WHEN 0 THEN '' WHEN 1 THEN 'https://other.example/x' WHEN 2 THEN concat(url, '#main')

@@ -73,10 +73,40 @@ def test_sitemaps(spark):
     docs = [("i", "<sitemapindex><sitemap><loc><![CDATA[https://e.com/a.xml?x=1&amp;y=2]]></loc></sitemap></sitemapindex>"),
             ("u", "<urlset><url><loc> https://e.com/1 </loc></url><url><loc>https://e.com/2</loc></url></urlset>"), ("n", "<rss/>"),
             ("c", "<urlset>" + "".join(f"<url><loc>https://e.com/{i}</loc></url>" for i in range(120)) + "</urlset>")]
-    out = {r.d: r for r in sitefiles.parse_sitemaps(spark.createDataFrame(docs, "d string, body string")).collect()}
-    assert (out["i"].kind, out["i"].locations) == ("sitemapindex", ["https://e.com/a.xml?x=1&y=2"])
-    assert (out["u"].kind, out["u"].locations) == ("urlset", ["https://e.com/1", "https://e.com/2"])
-    assert (out["n"].kind, out["n"].locations) == (None, []) and len(out["c"].locations) == 100
+    landed = spark.createDataFrame(docs, "d string, body string")
+
+    def listed(limit=None):
+        out = {}
+        for r in sitefiles.sitemap_locations(landed, limit).orderBy("d", "at").collect():
+            out.setdefault((r.d, r.kind), []).extend([] if r.loc is None else [r.loc])
+        return out
+    found = listed()
+    assert found["i", "sitemapindex"] == ["https://e.com/a.xml?x=1&y=2"]
+    assert found["u", "urlset"] == ["https://e.com/1", "https://e.com/2"]
+    assert found["n", None] == [] and len(found["c", "urlset"]) == 120 and len(listed(100)["c", "urlset"]) == 100
+
+
+def test_sitemap_tree_reaches_its_fixed_point(spark):
+    s = "https://e.com"
+    index = lambda *urls: "<sitemapindex>" + "".join(f"<sitemap><loc>{u}</loc></sitemap>" for u in urls) + "</sitemapindex>"
+    urls = lambda *paths: "<urlset>" + "".join(f"<url><loc>{s}{p}</loc></url>" for p in paths) + "</urlset>"
+    many = [f"/p{i:03d}" for i in range(150)]
+    docs = [(1, f"{s}/sitemap.xml", index(*[f"{s}/m{i}.xml" for i in range(9)], "/deep.xml")),
+            (1, f"{s}/deep.xml", index(f"{s}/sitemap.xml", "/deeper.xml", f"{s}/m0.xml")), (1, f"{s}/deeper.xml", urls("/z", "/p000")),
+            (1, f"{s}/m0.xml", urls(*many)), (1, f"{s}/m8.xml", urls("/y")), (1, f"{s}/other.xml", urls("/never")),
+            (2, f"{s}/declared.xml", urls("/d")), (3, f"{s}/sitemap.xml", "<rss/>")]
+    roots = spark.createDataFrame([(i, f"{s}/") for i in (1, 2, 3)], "audit_id long, root_url string")
+    declared = spark.createDataFrame([(2, f"{s}/declared.xml", 4)], "audit_id long, doc_url string, line int")
+    landed = spark.createDataFrame(docs, "audit_id long, doc_url string, body string")
+    found, seen = sitefiles.sitemap_tree(landed, roots, declared)
+    got = {i: [r.url for r in found.filter(f"audit_id = {i}").orderBy("position").collect()] for i in (1, 2, 3)}
+    assert got == {1: [f"{s}{p}" for p in [*many, "/y", "/z"]], 2: [f"{s}/d"], 3: []}
+    order = [r.doc_url for r in seen.filter("audit_id = 1").orderBy("position").collect()]
+    assert order == [f"{s}/{n}.xml" for n in ["sitemap", *[f"m{i}" for i in range(9)], "deep", "deeper"]]
+    assert {(r.audit_id, r.doc_url): r.kind for r in seen.collect()}[3, f"{s}/sitemap.xml"] is None
+    few, docs_seen = sitefiles.sitemap_tree(landed, roots, declared, max_files=6, max_urls=100)
+    assert [r.url for r in few.filter("audit_id = 1").orderBy("position").collect()] == [f"{s}{p}" for p in many[:100]]
+    assert docs_seen.filter("audit_id = 1").count() == 6
 
 
 HTML = """<html lang="en"><head><title> A &amp; B </title><meta name="Description" content=" d "><meta property="og:title" content="t">

@@ -6,7 +6,7 @@ import json
 from pyspark.sql import functions as F
 
 from siteloom.operators import history, jobs, monitoring, scoring, upsert, usage
-from siteloom.plans.audit import audit_captures
+from siteloom.plans.audit import audit_captures, parse_captures
 from siteloom.sinks import writers
 from siteloom.sources import readers, schemas
 from siteloom.streaming import streams
@@ -42,6 +42,30 @@ def test_capture_audit(spark):
     assert (head.pages_scanned, head.root_url, head.stopped) == (4, f"{s}/", False)
 
 
+def test_captures_are_chosen_by_key(spark):
+    s = "https://e.com"
+    rows = [(1, 5, f"{s}/", f"{s}/", 200, "text/html", 10, page("Home", "/a", "/to-b", "/b"), None),
+            (1, 2, f"{s}/", f"{s}/", 200, "text/html", 10, page("An older home", "/never"), None),
+            (1, 9, f"{s}/a?utm_source=x", f"{s}/a", 200, "text/html", 10, page("A variant", "/never"), None),
+            (1, 3, f"{s}/a", f"{s}/a", 200, "text/html", 10, page("Page a"), None),
+            (1, 4, f"{s}/to-b", f"{s}/b", 200, "text/html", 10, page("Reached first", "c"), None),
+            (1, 8, f"{s}/b", f"{s}/b", 200, "text/html", 10, page("Reached later", "/never"), None),
+            (1, 6, f"{s}/c", None, None, None, None, None, "timed out"), (1, 7, f"{s}/never", f"{s}/never", 200, "text/html", 10, page("N"), None),
+            (1, 7, "mailto:x", None, 200, "text/html", 10, page("N"), None), (2, 1, "https://f.com/", None, None, None, None, None, "lost")]
+    caps = spark.createDataFrame(rows, "audit_id long, seq long, url string, final_url string, status int, content_type string, "
+                                       "load_time_ms int, html string, error string")
+    roots = spark.createDataFrame([(1, f"{s}/"), (2, "https://f.com/"), (3, "https://g.com/")], "audit_id long, root_url string")
+    parsed = parse_captures(caps)
+    assert parsed.count() == len(rows) and "html" not in parsed.columns
+    none = spark.createDataFrame([], "audit_id long, body string, doc_url string")
+    out = audit_captures(caps, roots, none.select("audit_id", "body"), none, "sitebot", 25)
+    got = {r.url: r.title for r in out.pages.collect()}
+    assert got == {f"{s}/": "Home", f"{s}/a": "Page a", f"{s}/b": "Reached first"}
+    found = {(r.audit_id, r.code, r.url, r.description) for r in out.issues.filter("code in ('crawl-failed', 'robots-missing')").collect()}
+    assert (1, "crawl-failed", f"{s}/c", "timed out") in found and (2, "crawl-failed", "https://f.com/", "lost") in found
+    assert audit_captures(caps.limit(0), roots, none.select("audit_id", "body"), none, "sitebot").header.count() == 0
+
+
 def test_result_json_keeps_bad_rows(spark):
     df = spark.createDataFrame([(1, '{"a": 1, "b": ["x"]}'), (2, "broken"), (3, None)], "i int, j string")
     got = {r.i: r.result for r in readers.read_result_json(df, "j", "a int, b array<string>").collect()}
