@@ -111,7 +111,7 @@ _STATUS = "CASE WHEN audit_id % 5 = 0 THEN 'failed' ELSE 'success' END"
 _STOP = "CASE WHEN pages_scanned = 25 THEN 'Reached the configured limit of 25 pages.' END"
 
 
-@query("monitoring_alerts", f"""WITH {_PREV}, {_DIFF},
+ORACLE_ALERTS = f"""WITH {_PREV}, {_DIFF},
  fresh AS (SELECT audit_id, r.severity AS severity, r.title AS title, row_number() OVER (PARTITION BY audit_id, r.severity ORDER BY r.seq, fingerprint) AS k
    FROM diff WHERE status = 'new' AND r.severity IN ('critical', 'high')),
  agg AS (SELECT audit_id, count(*) FILTER (WHERE severity = 'critical') AS nc, count(*) FILTER (WHERE severity = 'high') AS nh,
@@ -125,7 +125,10 @@ _STOP = "CASE WHEN pages_scanned = 25 THEN 'Reached the configured limit of 25 p
  UNION ALL SELECT audit_id, 'critical', 'new_critical', concat(nc, ' new critical issue', CASE WHEN nc = 1 THEN '' ELSE 's' END), tc FROM a WHERE nc > 0
  UNION ALL SELECT audit_id, 'warning', 'new_high', concat(nh, ' new high-priority issue', CASE WHEN nh = 1 THEN '' ELSE 's' END), th FROM a WHERE nh > 0
  UNION ALL SELECT audit_id, 'info', 'recovery', 'Monitoring crawl recovered', concat('The scheduled crawl completed and scanned ', pages_scanned, ' pages.')
-   FROM a WHERE prior = 'failed' AND stopped IS NULL AND pages_scanned > 0""")
+   FROM a WHERE prior = 'failed' AND stopped IS NULL AND pages_scanned > 0"""
+
+
+@query("monitoring_alerts", ORACLE_ALERTS)
 def q_alerts(spark, sf_dir):
     audits = fixture_pairs(spark, sf_dir)
     diff = history.issue_diff(table(spark, sf_dir, "fx_issues"), audits.select("audit_id", "previous_audit_id"))

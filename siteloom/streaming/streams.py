@@ -1,7 +1,11 @@
 """Structured Streaming forms of the windowed counters, quotas, job states and alerts.
 
-Event time is the event's own timestamp with a one-hour watermark; later rows are dropped by Spark and show up in the
-query progress.
+Event time is the event's own timestamp, the watermark follows it by one hour. The keyed forms read the watermark themselves
+instead of letting Spark drop what lies behind it: a late row comes out marked as such, so that results and the late rows
+together hold every input row, whatever the order of the files. State leaves by timers. A row without a key is a tick: it
+moves the watermark and does nothing else.
+
+The keyed forms need the RocksDB state store; ``keyed_state`` sets it.
 """
 
 from __future__ import annotations
@@ -9,102 +13,287 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F, types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 from siteloom.functions import constants as K
 from siteloom.operators import history, monitoring
 
 LATENESS = "1 hour"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def keyed_state(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+
+
+def timed(events: DataFrame, *columns: str | Column) -> DataFrame:
+    """``columns`` of the events, with ``at`` in place of ``ts`` (microseconds); Spark drops no row of it as late.
+
+    A row without a time lies before all others, so it is always late."""
+    return events.withWatermark("ts", LATENESS).select(*columns, F.coalesce(F.unix_micros("ts"), F.lit(-1)).alias("at"))
+
+
+def ms(at: int) -> int:
+    return at // 1000
+
+
+class RateWindows(StatefulProcessor):
+    """Calls per fixed window of one (key, share); a window leaves the state when the watermark passes its end."""
+
+    def __init__(self, width_ms: int) -> None:
+        self.width = width_ms
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.counts = handle.getMapState("counts", "start long", "count long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        if pd.isna(key[0]):
+            return
+        watermark, seen = timerValues.getCurrentWatermarkInMs(), {}
+        for pdf in rows:
+            for start, n in (pdf["at"] // 1000 // self.width * self.width).value_counts().items():
+                seen[int(start)] = seen.get(int(start), 0) + int(n)
+        out = []
+        for start, n in sorted(seen.items()):
+            late = start + self.width <= watermark
+            if not late:
+                if self.counts.containsKey((start,)):
+                    n += self.counts.getValue((start,))[0]
+                else:
+                    self.handle.registerTimer(start + self.width)
+                self.counts.updateValue((start,), (n,))
+            out.append((key[0], int(key[1]), start, n, late))
+        yield pd.DataFrame(out, columns=["key", "share", "start", "count", "late"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        start = expiredTimerInfo.getExpiryTimeInMs() - self.width
+        if self.counts.containsKey((start,)):
+            self.counts.removeKey((start,))
+        return iter([])
+
+    def close(self) -> None:
+        pass
+
+
+def rate_limit_stream(events: DataFrame, key: str, width_ms: int = 3_600_000, shares: int = 16) -> DataFrame:
+    """Running counts: key, share, window_start, count, late. ``events``: event_id, ``key``, ts.
+
+    A key's calls are dealt out over ``shares`` by event, so that a hot key is many small groups; counts of the shares add up
+    (``rate_windows``). Calls of a window already closed come out as late, with their number in the batch.
+    """
+    keyed_state(events.sparkSession)
+    rows = timed(events, F.col(key).alias("key"), F.pmod(F.xxhash64("event_id"), F.lit(shares)).cast("int").alias("share"))
+    out = rows.groupBy("key", "share").transformWithStateInPandas(
+        RateWindows(width_ms), "key string, share int, start long, count long, late boolean", "Update", "EventTime")
+    return out.select(F.col("key").alias(key), "share", F.timestamp_millis("start").alias("window_start"), "count", "late")
+
+
+def rate_windows(written: DataFrame, key: str, limit: int) -> DataFrame:
+    """What the stream has counted per (key, window): calls in time, how many of them the limit lets through, late calls.
+
+    ``written``: the rows of every batch with its number in ``batch``.
+    """
+    keys = [key, "window_start"]
+    last = written.filter("not late").groupBy(*keys, "share").agg(F.max_by("count", "batch").alias("count"))
+    late = written.filter("late").select(*keys, F.lit(0).cast("long").alias("count"), F.col("count").alias("late_count"))
+    both = last.select(*keys, "count", F.lit(0).cast("long").alias("late_count")).unionByName(late)
+    return both.groupBy(*keys).agg(F.sum("count").alias("count"), F.sum("late_count").alias("late_count")).withColumn(
+        "allowed", F.least("count", F.lit(limit)))
+
+
+class QuotaAdmission(StatefulProcessor):
+    """Events of one (owner, month, metric) wait until the watermark has passed them, then are admitted in time order."""
+
+    def __init__(self, limits: dict[str, int]) -> None:
+        self.limits = limits
 
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.used = handle.getValueState("used", "used long")
+        self.waiting = handle.getListState("waiting", "at long, event_id long, amount int")
 
-def rate_limit_stream(events: DataFrame, key: str, limit: int, width: str = "1 hour") -> DataFrame:
-    """Calls per (key, fixed window) and how many of them the limit lets through; old windows leave the state."""
-    counted = (events.withWatermark("ts", LATENESS).groupBy(key, F.window("ts", width)).agg(F.count(F.lit(1)).alias("count")))
-    return counted.select(key, F.col("window.start").alias("window_start"), F.col("window.end").alias("expires_at"), "count",
-                          F.least("count", F.lit(limit)).alias("allowed"))
+    def rows(self, key, held: list, verdicts: list, late: bool) -> pd.DataFrame:
+        admitted = pd.array(verdicts, dtype="boolean")
+        return pd.DataFrame({"event_id": [r[1] for r in held], "owner_key": key[0], "period": key[1], "metric": key[2],
+                             "amount": [r[2] for r in held], "admitted": admitted, "late": late})
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        if pd.isna(key[0]):
+            return
+        watermark, late, held = timerValues.getCurrentWatermarkInMs(), [], []
+        for pdf in rows:
+            for row in zip(pdf["at"].tolist(), pdf["event_id"].tolist(), pdf["amount"].tolist()):
+                (late if ms(row[0]) < watermark else held).append(row)
+        if held:
+            self.waiting.appendList(held)
+            self.handle.registerTimer(ms(min(held)[0]) + 1)
+        if late:
+            yield self.rows(key, late, [None] * len(late), True)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        watermark = timerValues.getCurrentWatermarkInMs()
+        held = list(map(tuple, self.waiting.get())) if self.waiting.exists() else []
+        ripe = sorted(r for r in held if ms(r[0]) < watermark)
+        rest = [r for r in held if ms(r[0]) >= watermark]
+        if rest and ripe:
+            self.waiting.put(rest)
+            self.handle.registerTimer(ms(min(rest)[0]) + 1)
+        elif ripe:
+            self.waiting.clear()
+        if not held and watermark >= month_end_ms(key[1]):
+            self.used.clear()  # nothing of this month can be in time any more
+        if not ripe:
+            return
+        used, verdicts = self.used.get()[0] if self.used.exists() else 0, []
+        for _, _, amount in ripe:
+            fits = used + amount <= self.limits[key[2]]
+            used += amount if fits else 0
+            verdicts.append(fits)
+        self.used.update((used,))
+        self.handle.registerTimer(month_end_ms(key[1]))
+        yield self.rows(key, ripe, verdicts, False)
+
+    def close(self) -> None:
+        pass
+
+
+def month_end_ms(period: str) -> int:
+    return int((pd.Timestamp(f"{period}-01", tz="UTC") + pd.DateOffset(months=1)).timestamp() * 1000)
 
 
 def usage_quota_stream(events: DataFrame, limits: dict[str, int] | None = None) -> DataFrame:
-    """Admission of each event against its (owner, month, metric) quota; the state is one running total per key."""
-    limits = dict(limits or K.USAGE_LIMITS)
-    schema = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("owner_key", T.StringType()),
-                           T.StructField("period", T.StringType()), T.StructField("metric", T.StringType()),
-                           T.StructField("amount", T.IntegerType()), T.StructField("admitted", T.BooleanType())])
-
-    def admit(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        used = state.get[0] if state.exists else 0
-        frames = list(batches)
-        if frames:
-            rows = pd.concat(frames).sort_values(["ts", "event_id"])
-            verdicts = []
-            for amount in rows["amount"]:
-                fits = used + amount <= limits[key[2]]
-                used += amount if fits else 0
-                verdicts.append(fits)
-            state.update((int(used),))
-            yield rows.assign(admitted=verdicts)[[f.name for f in schema.fields]]
+    """Admission of each event against its (owner, month, metric) quota, in time order behind the watermark.
 
+    ``events``: event_id, owner_key, metric, amount, ts. Returns event_id, owner_key, period, metric, amount, admitted, late. A late
+    row has no verdict and uses up nothing. The state of a key is what waits (an hour of events) and one sum until its month is over.
+    """
+    keyed_state(events.sparkSession)
     amount = F.greatest(F.lit(1), F.floor("amount")).cast("int")
-    keyed = events.withColumn("period", F.date_format("ts", "yyyy-MM")).withColumn("amount", amount)
-    return keyed.groupBy("owner_key", "period", "metric").applyInPandasWithState(
-        admit, schema, T.StructType([T.StructField("used", T.LongType())]), "append", GroupStateTimeout.NoTimeout)
-
-
-def job_state_stream(events: DataFrame, stale_after: str = f"{K.STALE_MINUTES} minutes") -> DataFrame:
-    """Latest state per job; a running job that stays silent for five minutes turns into a failed one."""
-    stale_ms = int(stale_after.split()[0]) * 60_000
-    schema = T.StructType([T.StructField("job_id", T.LongType()), T.StructField("status", T.StringType()),
-                           T.StructField("attempts", T.IntegerType()), T.StructField("seq", T.LongType()),
-                           T.StructField("error", T.StringType())])
-    kept = T.StructType([T.StructField("seq", T.LongType()), T.StructField("status", T.StringType()),
-                         T.StructField("attempts", T.IntegerType())])
-
-    def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seq, status, attempts = state.get if state.exists else (-1, None, 0)
-        error = None
-        if state.hasTimedOut:
-            status, error = "failed", K.STALE_MESSAGE
-            state.remove()
-        else:
-            for pdf in batches:
-                row = pdf.loc[pdf["seq"].idxmax()]
-                if row["seq"] > seq:
-                    seq, status, attempts = int(row["seq"]), row["status"], int(row["attempts"])
-            state.update((seq, status, attempts))
+    rows = timed(events, "event_id", "owner_key", F.date_format("ts", "yyyy-MM").alias("period"), "metric", amount.alias("amount"))
+    return rows.groupBy("owner_key", "period", "metric").transformWithStateInPandas(
+        QuotaAdmission(dict(limits or K.USAGE_LIMITS)),
+        "event_id long, owner_key string, period string, metric string, amount int, admitted boolean, late boolean", "Append", "EventTime")
+
+
+class JobFold(StatefulProcessor):
+    """The newest event of one job. A running job that stays silent fails; a finished one leaves when no event can be older."""
+
+    def __init__(self, stale_ms: int) -> None:
+        self.stale = stale_ms
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("state", "seq long, status string, attempts int, at long")
+
+    def row(self, key, seq: int, status: str, attempts: int, at: int, error: str | None = None, late: bool = False) -> pd.DataFrame:
+        return pd.DataFrame({"job_id": [int(key[0])], "status": [status], "attempts": [attempts], "seq": [seq], "at": [at], "error": [error], "late": [late]})
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        if pd.isna(key[0]):
+            return
+        newest = max((row for pdf in rows for row in zip(pdf["seq"].tolist(), pdf["status"].tolist(), pdf["attempts"].tolist(), pdf["at"].tolist())),
+                     key=lambda r: r[0])
+        if self.state.exists():
+            if newest[0] <= self.state.get()[0]:
+                return
+        elif ms(newest[3]) < timerValues.getCurrentWatermarkInMs():
+            yield self.row(key, *newest, late=True)
+            return
+        self.state.update(newest)
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if newest[1] == "running":
+            self.handle.registerTimer(ms(newest[3]) + self.stale + 1)
+        elif newest[1] in ("completed", "failed"):
+            self.handle.registerTimer(ms(newest[3]) + 1)
+        yield self.row(key, *newest)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.state.exists():
+            seq, status, attempts, at = self.state.get()
+            self.state.clear()
             if status == "running":
-                state.setTimeoutDuration(stale_ms)
-        yield pd.DataFrame({"job_id": [key[0]], "status": [status], "attempts": [attempts], "seq": [seq], "error": [error]},
-                           ).astype({"attempts": "int32"})
+                yield self.row(key, seq, "failed", attempts, at, K.STALE_MESSAGE)
+
+    def close(self) -> None:
+        pass
+
+
+def job_state_stream(events: DataFrame, stale_ms: int = K.STALE_MINUTES * 60_000) -> DataFrame:
+    """The state of each job whenever it changes: job_id, status, attempts, seq, updated_at, error, late.
+
+    ``events``: job_id, seq, status, attempts, ts. A running job whose last event lies more than ``stale_ms`` behind the watermark
+    turns into a failed one. Finished and failed jobs leave the state once the watermark has passed them; an event that is
+    late by then comes out as such and changes nothing.
+    """
+    keyed_state(events.sparkSession)
+    rows = timed(events, "job_id", "seq", "status", "attempts")
+    out = rows.groupBy("job_id").transformWithStateInPandas(
+        JobFold(stale_ms), "job_id long, status string, attempts int, seq long, at long, error string, late boolean", "Update", "EventTime")
+    return out.select("job_id", "status", "attempts", "seq", F.timestamp_micros("at").alias("updated_at"), "error", "late")
+
+
+def latest_jobs(written: DataFrame) -> DataFrame:
+    """The last state of every job that the stream has written; ``written`` has the number of the batch in ``batch``."""
+    last = written.filter("not late").groupBy("job_id").agg(
+        F.max_by(F.struct("status", "attempts", "updated_at", "error"), F.struct("seq", F.col("error").isNotNull(), "batch")).alias("r"))
+    return last.select("job_id", "r.*")
+
+
+class BatchTable:
+    """Rows of a stream in one folder a batch: a batch that runs again replaces its own rows and nothing else."""
+
+    def __init__(self, spark: SparkSession, path: str, schema: T.StructType | str) -> None:
+        self.spark, self.path = spark, path.rstrip("/")
+        self.schema = schema if isinstance(schema, T.StructType) else T._parse_datatype_string(schema)
+
+    def replace(self, rows: DataFrame, batch: int) -> None:
+        rows.select(*self.schema.names).write.mode("overwrite").parquet(f"{self.path}/batch={batch}")
+
+    def read(self) -> DataFrame:
+        """All rows with the number of their batch."""
+        found = self.spark.read.schema(T.StructType([*self.schema.fields, T.StructField("batch", T.LongType())]))
+        return found.option("basePath", self.path).parquet(f"{self.path}/batch=*")
 
-    return events.groupBy("job_id").applyInPandasWithState(fold, schema, kept, "update",
-                                                           GroupStateTimeout.ProcessingTimeTimeout)
+    def before(self, batch: int) -> DataFrame:
+        """Rows of earlier batches; none while there are none."""
+        if batch == 0:
+            return self.spark.createDataFrame([], self.schema)
+        return self.read().filter(F.col("batch") < batch).drop("batch")
 
 
 def audit_alert_batch(read_history: Callable[[], tuple[DataFrame, DataFrame]],
-                      append: Callable[[DataFrame], None]) -> Callable[[DataFrame, int], None]:
-    """foreachBatch function: compare each finished audit of the batch with the stored one before it, append alerts.
+                      done: BatchTable, alerts: BatchTable) -> Callable[[DataFrame, int], None]:
+    """foreachBatch function: compare each finished audit of the batch with the stored one before it, write its alerts.
 
-    ``read_history`` returns (audits, issues) including the batch's audits; only audits of the batch raise alerts.
+    ``read_history`` returns (audits, issues) including the batch's audits; only audits of the batch raise alerts, and only
+    those that no earlier batch has treated. ``done`` (audit_id) and ``alerts`` hold a folder a batch, so that each audit's alerts
+    are there once, whether a batch runs again or an audit is delivered again.
     """
-    def run(batch: DataFrame, _: int) -> None:
+    def run(batch: DataFrame, number: int) -> None:
+        fresh = batch.select("audit_id").distinct().join(done.before(number), "audit_id", "left_anti")
+        done.replace(fresh, number)
+        fresh = done.read().filter(F.col("batch") == number).select("audit_id")
         audits, issues = read_history()
         # only owners that have an audit in the batch: trends compare audits of one owner
-        owners = audits.join(batch.select("audit_id").distinct(), "audit_id", "left_semi").select("owner").distinct()
+        owners = audits.join(fresh, "audit_id", "left_semi").select("owner").distinct()
         audits = audits.join(owners, "owner", "left_semi")
-        pairs = history.audit_trend(audits).join(batch.select("audit_id").distinct(), "audit_id", "left_semi")
+        pairs = history.audit_trend(audits).join(fresh, "audit_id", "left_semi")
         needed = pairs.select(F.explode(F.array("audit_id", "previous_audit_id")).alias("audit_id")).filter(
             "audit_id is not null").distinct()
         diff = history.issue_diff(issues.join(needed, "audit_id", "left_semi"), pairs.select("audit_id", "previous_audit_id"))
-        append(monitoring.monitoring_alerts(pairs, diff))
+        alerts.replace(monitoring.monitoring_alerts(pairs, diff), number)
     return run
 
 
-def audit_alert_stream(finished: DataFrame, read_history: Callable, append: Callable, checkpoint: str):
+def audit_alert_stream(finished: DataFrame, read_history: Callable, done: BatchTable, alerts: BatchTable, checkpoint: str):
     """Start the alert stream over finished audits; returns the writer, ready to be started."""
-    return finished.writeStream.foreachBatch(audit_alert_batch(read_history, append)).option("checkpointLocation", checkpoint)
+    return finished.writeStream.foreachBatch(audit_alert_batch(read_history, done, alerts)).option("checkpointLocation", checkpoint)
 
 
 def retention_stream(events: DataFrame, key: str, width: str = "1 hour") -> DataFrame:
     """Counters of windows that are still open; the watermark removes expired ones from the state."""
-    return rate_limit_stream(events, key, 1 << 30, width).drop("allowed")
+    counted = events.withWatermark("ts", LATENESS).groupBy(key, F.window("ts", width)).agg(F.count(F.lit(1)).alias("count"))
+    return counted.select(key, F.col("window.start").alias("window_start"), F.col("window.end").alias("expires_at"), "count")

@@ -2,9 +2,12 @@
 
 import datetime as dt
 import json
+import random
+import time
 
 from pyspark.sql import functions as F
 
+from siteloom.functions import constants as K
 from siteloom.operators import history, jobs, monitoring, scoring, upsert, usage
 from siteloom.plans.audit import audit_captures, parse_captures
 from siteloom.sinks import writers
@@ -107,46 +110,114 @@ def test_merge_upsert(spark):
     assert {tuple(r) for r in out.collect()} == {("u", 8, "x", "b", 3), ("v", 1, None, None, 9)}
 
 
-def test_quota_stream_equals_batch(spark, tmp_path):
-    rows = [(i, "u", "audit_jobs", 1 + i % 4, dt.datetime(2024, 1, 1 + i % 20, i % 24)) for i in range(60)]
-    df = spark.createDataFrame(rows, "event_id long, owner_key string, metric string, amount int, ts timestamp")
-    df.coalesce(1).write.parquet(str(tmp_path / "in"))
-    limits = {"audit_jobs": 37}
-    result = streams.usage_quota_stream(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), limits)
-    query = (result.writeStream.format("memory").queryName("quota").outputMode("append").trigger(availableNow=True)
-             .option("checkpointLocation", str(tmp_path / "cp")).start())
-    assert query.awaitTermination(90)
-    streamed = {r.event_id: r.admitted for r in spark.table("quota").collect()}
-    assert streamed == {r.event_id: r.admitted for r in usage.usage_quota(df, limits).collect()}
-
-
-def test_job_state_stream(spark, tmp_path):
-    rows = [(1, 1, "queued", 0), (1, 2, "running", 1), (2, 3, "queued", 0), (1, 4, "completed", 1)]
-    df = spark.createDataFrame(rows, "job_id long, seq long, status string, attempts int").withColumn("ts", F.current_timestamp())
-    df.coalesce(1).write.parquet(str(tmp_path / "in"))
-    stream = streams.job_state_stream(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")))
-    query = (stream.writeStream.format("memory").queryName("jobstate").outputMode("update")
-             .option("checkpointLocation", str(tmp_path / "cp")).start())
-    try:
-        for _ in range(60):
-            if spark.table("jobstate").count() >= 2:
-                break
-            query.awaitTermination(1)
-    finally:
-        query.stop()
-    got = {r.job_id: r.status for r in spark.table("jobstate").collect()}
-    assert got == {r.job_id: r.status for r in jobs.job_state(df).collect()} == {1: "completed", 2: "queued"}
-
-
-def test_alert_batch(spark):
-    audits = spark.createDataFrame([(1, 7, 3, "r", 90, dt.datetime(2024, 1, 1), 5, None, None), (2, 7, 3, "r", 70, dt.datetime(2024, 1, 2), 5, None, None)],
+def in_files(spark, path, schema, *files):
+    """A stream that takes one list of rows a batch, in this order."""
+    for rows in files:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{path}/in")
+        time.sleep(0.05)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+
+
+def drained(spark, result, path, mode):
+    """The rows of every batch with its number, and the rows that are left in the state."""
+    written = streams.BatchTable(spark, f"{path}/out", result.schema)
+    query = (result.writeStream.outputMode(mode).foreachBatch(written.replace).option("checkpointLocation", f"{path}/cp")
+             .trigger(availableNow=True).start())
+    assert query.awaitTermination(200)
+    return written.read(), query.recentProgress[-1]["stateOperators"][0]["numRowsTotal"]
+
+
+USAGE = "event_id long, owner_key string, metric string, amount int, ts timestamp"
+
+
+def test_quota_stream_equals_batch_in_any_file_order(spark, tmp_path):
+    at = lambda i: dt.datetime(2024, 1, 30) + dt.timedelta(minutes=7 * i)
+    rows = [(i, f"u{i % 2}", "audit_jobs", 1 + i % 4, at(i)) for i in range(500)]  # 58 hours, over the end of a month
+    rows += [(500 + i, "u0", "audit_jobs", 2, at(40)) for i in range(5)]  # ties
+    limits = {"audit_jobs": 137}
+    want = {r.event_id: r.admitted for r in usage.usage_quota(spark.createDataFrame(rows, USAGE), limits).collect()}
+    assert {True, False} == set(want.values())
+    tick = [(None, None, None, None, at(900))]
+    for k, seed in enumerate((1, 2)):
+        rng = random.Random(seed)
+        shaken = sorted(rows, key=lambda r: (r[4].timestamp() + rng.randint(0, 3000), rng.random()))
+        late = [(9000 + i, "u1", "audit_jobs", 1, at(i)) for i in range(3)] + [(9100, "u1", "audit_jobs", 1, None)]
+        files = [shaken[i:i + 170] for i in range(0, len(shaken), 170)]
+        events = in_files(spark, tmp_path / str(k), USAGE, *files[:-1], files[-1] + late, tick)
+        out, state = drained(spark, streams.usage_quota_stream(events, limits), tmp_path / str(k), "append")
+        got = {r.event_id: (r.admitted, r.late) for r in out.collect()}
+        assert out.count() == len(got) == len(rows) + len(late)
+        assert {i: v for i, (v, late) in got.items() if not late} == want
+        assert {i for i, (v, late) in got.items() if late and v is None} == {r[0] for r in late}
+        assert state < 10  # nothing waits any more; sums of the second month are left
+
+
+def test_rate_stream_counts_late_calls_aside(spark, tmp_path):
+    at = lambda h, m=0: dt.datetime(2024, 1, 1, h, m)
+    first = [(i, "hot", at(1, i % 60)) for i in range(200)] + [(300, "cold", at(2))]
+    second = [(400, "hot", at(1, 30)), (401, "cold", at(6))]  # the first hour is still open
+    third = [(500, "hot", at(1, 5)), (501, "hot", at(1, 6)), (502, "cold", at(6, 10)), (503, None, at(20))]
+    events = in_files(spark, tmp_path, "event_id long, owner_key string, ts timestamp", first, second, third)
+    written, _ = drained(spark, streams.rate_limit_stream(events, "owner_key"), tmp_path, "update")
+    got = {(r.owner_key, r.window_start): (r["count"], r.allowed, r.late_count) for r in streams.rate_windows(written, "owner_key", 20).collect()}
+    assert got == {("hot", at(1)): (201, 20, 2), ("cold", at(2)): (1, 1, 0), ("cold", at(6)): (2, 2, 0)}
+    assert written.select("share").distinct().count() > 4
+
+
+JOBS = "job_id long, seq long, status string, attempts int, ts timestamp"
+
+
+def test_job_state_stream_folds_times_out_and_forgets(spark, tmp_path):
+    at = lambda h, m=0: dt.datetime(2024, 1, 1, h, m)
+    first = [(1, 1, "queued", 0, at(1)), (1, 3, "completed", 1, at(1, 9)), (2, 4, "queued", 0, at(1, 10)), (3, 5, "running", 1, at(1, 20))]
+    second = [(1, 2, "running", 1, at(1, 5)), (4, 6, "running", 2, at(8))]  # an older event in time; job 3 falls silent
+    third = [(3, 2, "running", 0, at(1, 15)), (5, 8, "failed", 3, at(9))]
+    fourth = [(3, 7, "queued", 1, at(9, 30)), (None, None, None, None, at(11))]  # tried again
+    events = in_files(spark, tmp_path, JOBS, first, second, third, fourth)
+    written, state = drained(spark, streams.job_state_stream(events), tmp_path, "update")
+    got = {r.job_id: (r.status, r.attempts, r.updated_at, r.error) for r in streams.latest_jobs(written).collect()}
+    assert got == {1: ("completed", 1, at(1, 9), None), 2: ("queued", 0, at(1, 10), None), 3: ("queued", 1, at(9, 30), None),
+                   4: ("failed", 2, at(8), K.STALE_MESSAGE), 5: ("failed", 3, at(9), None)}
+    failed = [r.seq for r in written.filter("error is not null").orderBy("batch").collect()]
+    assert failed == [5, 6]
+    assert state < 10  # jobs 2 and 3 are left, with their timers
+    plain = spark.createDataFrame([r for r in [*first, *second, *third, *fourth] if r[0]], JOBS)
+    now = F.lit(at(10))
+    want = {r.job_id: r.status for r in jobs.recover_stale(jobs.job_state(plain), now).collect()}
+    assert {i: v[0] for i, v in got.items()} == want
+
+
+def test_a_late_event_does_not_bring_a_finished_job_back(spark, tmp_path):
+    at = lambda h, m=0: dt.datetime(2024, 1, 1, h, m)
+    events = in_files(spark, tmp_path, JOBS, [(1, 2, "completed", 1, at(1)), (2, 3, "queued", 0, at(5))], [(2, 4, "running", 1, at(7))],
+                      [(1, 1, "running", 1, at(0, 50))])
+    written, _ = drained(spark, streams.job_state_stream(events), tmp_path, "update")
+    assert {r.job_id: r.status for r in streams.latest_jobs(written).collect()}[1] == "completed"
+    assert [(r.job_id, r.seq) for r in written.filter("late").collect()] == [(1, 1)]
+
+
+def test_alerts_are_written_once(spark, tmp_path):
+    audits = spark.createDataFrame([(1, 7, 3, "r", 90, dt.datetime(2024, 1, 1), 5, None, None), (2, 7, 3, "r", 70, dt.datetime(2024, 1, 2), 5, None, None),
+                                    (3, 7, 3, "r", 60, dt.datetime(2024, 1, 3), 0, None, None)],
                                    "audit_id int, owner int, project_id int, root_url string, score int, created_at timestamp, pages_scanned int, "
                                    "stopped_reason string, previous_status string")
     issues = spark.createDataFrame([(2, 1, "x", "critical", "Down", "https://e.com/", None)],
                                    "audit_id int, seq int, code string, severity string, title string, url string, evidence string")
-    seen = []
-    streams.audit_alert_batch(lambda: (audits, issues), lambda df: seen.extend(df.collect()))(audits.filter("audit_id = 2"), 0)
-    assert {r.kind for r in seen} == {"score_drop", "new_critical"}
+    done = streams.BatchTable(spark, str(tmp_path / "done"), "audit_id int")
+    alerts = streams.BatchTable(spark, str(tmp_path / "alerts"), "audit_id int, severity string, kind string, title string, message string")
+    run = streams.audit_alert_batch(lambda: (audits, issues), done, alerts)
+    rows = lambda: sorted((r.audit_id, r.kind, r.batch) for r in alerts.read().collect())
+    run(audits.filter("audit_id = 2"), 0)
+    first = [(2, "new_critical", 0), (2, "score_drop", 0)]
+    assert rows() == first
+    run(audits.filter("audit_id = 2"), 0)  # the batch runs again
+    assert rows() == first
+    run(audits.filter("audit_id > 1"), 1)  # an audit is delivered again with a new one
+    second = first + [(3, "crawl_problem", 1), (3, "score_drop", 1)]
+    assert rows() == second
+    run(audits.filter("audit_id > 1"), 1)
+    run(audits.limit(0), 2)
+    assert rows() == second
 
 
 def test_history_lists(spark):
