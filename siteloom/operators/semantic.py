@@ -13,6 +13,8 @@ from siteloom.operators.skew import bucketed_rank, top_per_key
 from siteloom.session import stage
 
 MIN_SIMILARITY = 48
+#: Width of a shell round a pivot in radians, and how many there can be.
+SHELL, SHELLS = 0.3, 11
 
 
 def finite_vector(v: Column) -> Column:
@@ -66,12 +68,83 @@ def _best_sources(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["audit_id", "target_id", "source_id", "semantic"])
 
 
+def _angles(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(a @ b.T, -1, 1))
+
+
+def _nearest_pivot(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    """The nearest pivot of each page of a block and the angle to it; a vector of length zero is near any."""
+    pages, pivots = pdf[~pdf["is_pivot"]], pdf[pdf["is_pivot"]].sort_values("seq")
+    dim = max(map(len, pdf["vector"]))
+    rows = _unit(pages["vector"], dim)
+    angle = _angles(rows, _unit(pivots["vector"], dim))
+    best = angle.argmin(axis=1) if len(pages) else np.zeros(0, int)
+    far = np.where(rows.any(axis=1), angle[np.arange(len(pages)), best], 0.0) if len(pages) else np.zeros(0)
+    return pd.DataFrame({"audit_id": key[0], "seq": pages["seq"], "cell": pivots["seq"].to_numpy()[best], "angle": far})
+
+
+def _pivot_angles(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    """The angle between each pivot of a block and every pivot of the audit."""
+    own, every = pdf[~pdf["is_pivot"]], pdf[pdf["is_pivot"]]
+    dim = max(map(len, pdf["vector"]))
+    angle = _angles(_unit(own["vector"], dim), _unit(every["vector"], dim))
+    return pd.DataFrame({"audit_id": key[0], "a": np.repeat(own["seq"].to_numpy(), len(every)), "b": np.tile(every["seq"].to_numpy(), len(own)),
+                         "angle": angle.ravel()})
+
+
+def vector_blocks(embedded: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
+    """(audit_id, seq, cell, part, angle) of every page, and the angles between the pivots of each audit (audit_id, a, b, angle).
+
+    An audit of n pages gets about n / ``block`` pivots, pages chosen by hash; a page belongs to the cell of the nearest one; the
+    shells of a cell are cut by hash into parts of about ``block``. Pages travel once for this, pivots once a block.
+    """
+    c = F.col
+    sizes = embedded.groupBy("audit_id").agg(F.count("*").alias("n"), F.min("seq").alias("least"))
+    dealt = embedded.select("audit_id", "seq", "vector").join(sizes, "audit_id").withColumn("blocks", F.ceil(c("n") / block).cast("int"))
+    chosen = (F.pmod(F.xxhash64("seq", F.lit(11)), F.ceil(c("n") / c("blocks"))) == 0) | (c("seq") == c("least"))
+    pivots = stage(dealt.filter(F.when(c("blocks") > 1, chosen).otherwise(c("seq") == c("least"))).select("audit_id", "seq", "vector", "blocks"))
+    everywhere = pivots.select("audit_id", F.explode(F.sequence(F.lit(0), c("blocks") - 1)).alias("i"), "seq", "vector", F.lit(True).alias("is_pivot"))
+    own = dealt.select("audit_id", F.pmod(F.xxhash64("seq"), c("blocks")).cast("int").alias("i"), "seq", "vector", F.lit(False).alias("is_pivot"))
+    kind = embedded.schema["audit_id"].dataType.simpleString()
+    near = stage(own.unionByName(everywhere).groupBy("audit_id", "i").applyInPandas(_nearest_pivot, f"audit_id {kind}, seq long, cell long, angle double"))
+    # pages far from their pivot form shells of their own, so that a few of them widen no other block
+    near = near.withColumn("shell", F.floor(c("angle") / SHELL).cast("int"))
+    counts = near.groupBy("audit_id", "cell", "shell").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
+    cells = near.join(counts, ["audit_id", "cell", "shell"]).withColumn(
+        "part", (c("shell") + SHELLS * F.pmod(F.xxhash64("seq", F.lit(5)), c("parts"))).cast("int")).drop("parts", "shell")
+    few = pivots.withColumn("i", F.pmod(F.xxhash64("seq"), F.ceil(c("blocks") / block)).cast("int"))
+    groups = few.select("audit_id", F.explode(F.sequence(F.lit(0), F.ceil(c("blocks") / block).cast("int") - 1)).alias("i"), "seq", "vector", F.lit(True).alias("is_pivot"))
+    between = few.select("audit_id", "i", "seq", "vector", F.lit(False).alias("is_pivot")).unionByName(groups).groupBy("audit_id", "i").applyInPandas(
+        _pivot_angles, f"audit_id {kind}, a long, b long, angle double")
+    return stage(cells), stage(between)
+
+
+def block_pairs(cells: DataFrame, between: DataFrame, weak: DataFrame) -> DataFrame:
+    """Blocks of weak targets with the blocks of sources that may hold a cosine of 0.475: audit_id, target, source (cell, part).
+
+    By the triangle inequality two pages stand at an angle of at least that of their pivots less both distances to these, and of
+    one's distance less the pivots' angle and the other's distance; what is then beyond the angle of the least accepted cosine
+    is never compared.
+    """
+    c = F.col
+    blocks = cells.groupBy("audit_id", "cell", "part").agg(F.max("angle").alias("far"), F.min("angle").alias("near"))
+    aimed = cells.join(weak, ["audit_id", "seq"], "left_semi").groupBy("audit_id", "cell", "part").agg(F.max("angle").alias("far"), F.min("angle").alias("near"))
+    left = aimed.select("audit_id", c("cell").alias("a"), c("part").alias("a_part"), c("far").alias("fa"), c("near").alias("na"))
+    right = blocks.select("audit_id", c("cell").alias("b"), c("part").alias("b_part"), c("far").alias("fb"), c("near").alias("nb"))
+    reach = float(np.arccos((MIN_SIMILARITY - 0.5) / 100)) + 1e-6
+    least = F.greatest(c("angle") - c("fa") - c("fb"), c("na") - c("angle") - c("fb"), c("nb") - c("angle") - c("fa"))
+    near = left.join(between, ["audit_id", "a"]).join(right, ["audit_id", "b"]).filter(least <= reach)
+    return near.select("audit_id", F.struct(c("a").alias("cell"), c("a_part").alias("part")).alias("i"),
+                       F.struct(c("b").alias("cell"), c("b_part").alias("part")).alias("j"))
+
+
 def semantic_links(suggestions: DataFrame, skipped: DataFrame, pages: DataFrame, roots: DataFrame, links: DataFrame,
                    vectors: DataFrame, budget: int | None = None, block: int = 1024) -> tuple[DataFrame, DataFrame]:
     """(suggestions, skipped targets) after blending in the page vectors.
 
     All indexable pages with a vector take part. New pairs come from block by block products of about ``block`` targets and
-    sources; each returns three sources a target, and the best of all blocks stay. ``budget`` cuts an audit's list, if given.
+    sources near each other (``block_pairs``); each returns three sources a target, and the best of all blocks stay. ``budget`` cuts
+    an audit's list, if given.
     ``vectors``: audit_id, seq, vector. Audits with fewer than two embedded pages keep the base result.
     """
     c = F.col
@@ -110,13 +183,15 @@ def semantic_links(suggestions: DataFrame, skipped: DataFrame, pages: DataFrame,
             .groupBy("audit_id", c("t").alias("norm")).agg(F.collect_set("s").alias("taken")))
     schema = T.StructType([pages.schema["audit_id"], T.StructField("target_id", T.LongType()),
                            T.StructField("source_id", T.LongType()), T.StructField("semantic", T.IntegerType())])
-    blocks = embedded.groupBy("audit_id").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    dealt = embedded.join(blocks, "audit_id").withColumn("block", F.pmod(F.xxhash64("seq"), c("blocks")).cast("int"))
-    others = F.explode(F.sequence(F.lit(0), c("blocks") - 1))
+    cells, between = vector_blocks(embedded, block)
+    pairs = stage(block_pairs(cells, between, weak))
     none = F.array().cast("array<string>")
-    sources = dealt.select("audit_id", others.alias("i"), c("block").alias("j"), "seq", "norm", "vector", none.alias("taken"), F.lit(False).alias("is_target"))
-    targets = dealt.join(weak, ["audit_id", "seq"]).join(held, ["audit_id", "norm"], "left").select(
-        "audit_id", c("block").alias("i"), others.alias("j"), "seq", "norm", "vector", F.coalesce("taken", none).alias("taken"), F.lit(True).alias("is_target"))
+    dealt = embedded.join(cells.select("audit_id", "seq", F.struct("cell", "part").alias("at")), ["audit_id", "seq"])
+    sources = dealt.withColumnRenamed("at", "j").join(pairs, ["audit_id", "j"]).select(
+        "audit_id", "i", "j", "seq", "norm", "vector", none.alias("taken"), F.lit(False).alias("is_target"))
+    targets = dealt.withColumnRenamed("at", "i").join(weak, ["audit_id", "seq"]).join(pairs, ["audit_id", "i"]).join(
+        held, ["audit_id", "norm"], "left").select(
+        "audit_id", "i", "j", "seq", "norm", "vector", F.coalesce("taken", none).alias("taken"), F.lit(True).alias("is_target"))
     near = sources.unionByName(targets).groupBy("audit_id", "i", "j").applyInPandas(_best_sources, schema)
     ranked = top_per_key(near, ["audit_id", "target_id"], [F.desc("semantic"), "source_id"], 3, "rank")
     links_in = embedded.select("audit_id", c("seq").alias("target_id"), "incoming_links")

@@ -12,20 +12,22 @@ from siteloom.plans.tables import table
 from siteloom.session import stage
 
 BOT = "sitebot"
+#: One of these bodies for each site, by its number modulo four.
 ROBOTS = [
     (0, "User-agent: *\nDisallow: /s1/\nAllow: /s1/p1"),
     (1, f"User-agent: *\nDisallow: /\n\nUser-agent: {BOT}\nDisallow: /s2/\nCrawl-delay: 10"),
     (2, "User-agent: *\nDisallow: /*0$"),
-    (3, "Disallow: /s0/\nSitemap: https://site3.example.com/map.xml"),
+    (3, "Disallow: /s0/\nSitemap: https://site.example.com/map.xml"),
 ]
 _PATH = "regexp_extract(url, '^https?://[^/]*(/.*)$', 1)"
 
 
-@query("robots_filter", f"""SELECT audit_id, url, CASE audit_id WHEN 0 THEN NOT ({_PATH} LIKE '/s1/%' AND NOT {_PATH} LIKE '/s1/p1%')
+@query("robots_filter", f"""SELECT audit_id, url, CASE audit_id % 4 WHEN 0 THEN NOT ({_PATH} LIKE '/s1/%' AND NOT {_PATH} LIKE '/s1/p1%')
  WHEN 1 THEN NOT {_PATH} LIKE '/s2/%' WHEN 2 THEN NOT {_PATH} LIKE '/%0' ELSE true END AS allowed FROM {{fx_pages}}""")
 def q_robots(spark, sf_dir):
-    docs = spark.createDataFrame(ROBOTS, "audit_id bigint, body string")
     pages = table(spark, sf_dir, "fx_pages").select("audit_id", "url")
+    bodies = spark.createDataFrame(ROBOTS, "kind bigint, body string")
+    docs = pages.select("audit_id", (F.col("audit_id") % len(ROBOTS)).alias("kind")).distinct().join(bodies, "kind").select("audit_id", "body")
     return sitefiles.robots_filter(pages, sitefiles.parse_robots(docs, BOT))
 
 

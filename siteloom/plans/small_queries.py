@@ -27,10 +27,11 @@ def q_resolution(spark, sf_dir):
     return out.select("audit_id", "src", "dst", "position", "dst_seq")
 
 
-@query("owned_audits", """SELECT audit_id, owner, project_id FROM {fx_audits} WHERE project_id % 3 = 0""")
+@query("owned_audits", """SELECT audit_id, owner, project_id FROM {fx_audits} WHERE project_id % 3 <> 1""")
 def q_owned(spark, sf_dir):
+    """Audits of every project; one project in three has passed to another owner."""
     audits = table(spark, sf_dir, "fx_audits")
-    projects = audits.filter("project_id % 3 = 0").select("owner", "project_id")
+    projects = audits.select(F.when(F.col("project_id") % 3 == 1, F.col("owner") + 1).otherwise(F.col("owner")).alias("owner"), "project_id").distinct()
     return history.owned_by(audits, projects).select("audit_id", "owner", "project_id")
 
 
@@ -45,11 +46,11 @@ def q_flags(spark, sf_dir):
 _STORED = "SELECT analysis_id, concat('c-', line_no % 7) AS cluster_id, count(*) AS size FROM {fx_keywords} GROUP BY analysis_id, line_no % 7"
 
 
-@query("brief_sources", f"WITH c AS ({_STORED}) SELECT analysis_id, cluster_id, size FROM c WHERE cluster_id IN ('c-1', 'c-4')")
+@query("brief_sources", f"WITH c AS ({_STORED}) SELECT analysis_id, cluster_id, size FROM c")
 def q_brief_source(spark, sf_dir):
     clusters = spark.sql(_STORED, fx_keywords=table(spark, sf_dir, "fx_keywords"))
     requests = table(spark, sf_dir, "fx_keywords").select("analysis_id", F.concat(F.lit("c-"), F.col("line_no") % 7).alias("cluster_id"))
-    return briefs.brief_source(requests.filter("cluster_id IN ('c-1', 'c-4')").distinct(), clusters)
+    return briefs.brief_source(requests.distinct(), clusters)
 
 
 _MENTIONS = """SELECT audit_id, page_id AS issue_id, CASE WHEN page_id % 2 = 0 THEN url END AS url,

@@ -137,6 +137,30 @@ def test_semantic_blocks(spark):
         assert {(r.source_id, r.target_id) for r in out.collect()} == want
 
 
+def test_far_blocks_of_vectors_are_skipped(spark):
+    """On clustered vectors most block pairs fall away, and none that holds an accepted cosine does."""
+    rng = np.random.default_rng(8)
+    centres = np.linalg.qr(rng.normal(size=(12, 12)))[0]
+    rows = {i: (centres[i % 9] + rng.normal(scale=0.03, size=12)).tolist() for i in range(700)}
+    rows |= {i: [0.0] * 12 for i in range(700, 705)} | {i: rng.normal(size=5).tolist() for i in range(705, 720)}
+    df = spark.createDataFrame([(1, i, v) for i, v in rows.items()] + [(2, 1, [1.0, 0.0]), (2, 2, [0.9, 0.1])], "audit_id int, seq long, vector array<double>")
+    weak = df.filter("seq % 3 = 0 or audit_id = 2").select("audit_id", "seq")
+    cells, between = semantic.vector_blocks(df, 24)
+    placed = {(r.audit_id, r.seq): (r.cell, r.part) for r in cells.collect()}
+    assert len(placed) == cells.count() == len(rows) + 2
+    pairs = {(r.audit_id, tuple(r.i), tuple(r.j)) for r in semantic.block_pairs(cells, between, weak).collect()}
+    blocks = len({v for (a, _), v in placed.items() if a == 1})
+    aimed = len({v for (a, i), v in placed.items() if a == 1 and i % 3 == 0})
+    share = len([p for p in pairs if p[0] == 1]) / (blocks * aimed)
+    assert blocks > 15 and share < 0.5, share
+    unit = {i: np.array(v) / max(np.linalg.norm(v), 1e-12) for i, v in rows.items()}
+    for t in range(0, 720, 3):
+        for i in rows:
+            if len(rows[t]) == len(rows[i]) and unit[t] @ unit[i] >= 0.475:
+                assert (1, placed[1, t], placed[1, i]) in pairs
+    assert (2, placed[2, 1], placed[2, 2]) in pairs
+
+
 def test_suggestion_budget(spark):
     rows = [(1, i, f"https://e.com/{i:02}", 200, "", "same words", ["same words"], 200, 1, 0) for i in range(20)]
     df = spark.createDataFrame(rows, "audit_id int, seq long, url string, status int, robots string, title string, h1s array<string>, "
