@@ -32,15 +32,49 @@ def prefix_entries(items: DataFrame, keys: list[str], ident: str, tokens: str, t
         F.explode(F.slice("set", F.lit(1), prefix)).alias("token"))
 
 
-def similar_pairs(items: DataFrame, keys: list[str], ident: str, tokens: str, threshold: float) -> DataFrame:
-    """Pairs (left < right) within ``keys`` whose token sets have Jaccard >= threshold, by prefix join."""
+def dealt_entries(entries: DataFrame, keys: list[str], block: int) -> tuple[DataFrame, DataFrame]:
+    """The two sides of every list, cut into blocks of about ``block`` sets: each pair of blocks (i, j) is a group of its own.
+
+    The side of the smaller size carries its block in ``i`` and goes to every ``j``, the other side the other way round; a
+    list of one size meets itself, in the triangle j >= i only. Lists are counted map-side and met by a salted join, so
+    that a token of nearly all sets is many groups at every step.
+    """
     c = F.col
-    entries = prefix_entries(items, keys, ident, tokens, threshold, [])
     on = [*keys, "token", "lo", "hi"]
-    small = entries.filter("n = lo").select(*on, c("id").alias("a"), c("set").alias("set_a"))
-    large = entries.filter("n = hi").select(*on, c("id").alias("b"), c("set").alias("set_b"))
-    met = (small.join(large, on).filter((c("lo") < c("hi")) | (c("a") < c("b")))
-           .select(*keys, "a", "b", "lo", "hi", F.size(F.array_intersect("set_a", "set_b")).alias("shared"))
-           .filter(c("shared") / (c("lo") + c("hi") - c("shared")) >= threshold - 1e-12).distinct())
-    return met.select(*keys, F.least("a", "b").alias("left"), F.greatest("a", "b").alias("right"),
-                      (c("shared") / (c("lo") + c("hi") - c("shared"))).alias("jaccard"))
+    salts = 16
+    sized = entries.withColumns({"small": c("n") == c("lo"), "salt": F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int")})
+    counts = sized.groupBy(*on).agg(F.count_if("small").alias("ns"), F.count_if(c("n") == c("hi")).alias("nl")).filter("nl > 0 and ns > 0")
+    lists = counts.select(*on, F.ceil(c("ns") / block).cast("int").alias("ps"), F.ceil(c("nl") / block).cast("int").alias("pl"),
+                          F.explode(F.sequence(F.lit(0), F.when(c("ns") + c("nl") > block, salts - 1).otherwise(0))).alias("salt"),
+                          (c("ns") + c("nl") > block).alias("hot"))
+    # lists of one block need no salt: their entries look under salt 0
+    met = sized.join(lists.filter("hot").drop("hot"), [*on, "salt"]).unionByName(
+        sized.drop("salt").join(lists.filter("not hot").drop("hot", "salt"), on).withColumn("salt", F.lit(0)))
+    at = lambda parts: F.pmod(F.xxhash64("id", F.lit(3)), c(parts)).cast("int")
+    first = met.filter("small").withColumn("i", at("ps")).withColumn("j", F.explode(F.sequence(
+        F.when(c("lo") == c("hi"), c("i")).otherwise(0), c("pl") - 1)))
+    second = met.filter(c("n") == c("hi")).withColumn("j", at("pl")).withColumn("i", F.explode(F.sequence(
+        F.lit(0), F.when(c("lo") == c("hi"), c("j")).otherwise(c("ps") - 1))))
+    return first, second
+
+
+def similar_pairs(items: DataFrame, keys: list[str], ident: str, tokens: str, threshold: float, block: int = 2048) -> DataFrame:
+    """Pairs (left < right) within ``keys`` whose token sets have Jaccard >= threshold, by prefix join over blocks of the lists.
+
+    A pair is compared where it first meets: the tokens left after that place bound what it can share, which spares most
+    comparisons, and a pair that has met under a rarer token is dropped there, so no pair comes out twice.
+    """
+    c = F.col
+    entries = prefix_entries(items, keys, ident, tokens, threshold, [])
+    first, second = dealt_entries(entries, keys, block)
+    on = [*keys, "token", "lo", "hi", "i", "j"]
+    place = (F.array_position("set", c("token"))).cast("int")
+    small = first.select(*on, c("id").alias("a"), c("set").alias("set_a"), place.alias("pa"))
+    large = second.select(*on, c("id").alias("b"), c("set").alias("set_b"), place.alias("pb"))
+    needed = _needed(c("lo"), c("hi"), threshold)
+    met = small.join(large, on).filter(((c("lo") < c("hi")) | (c("i") < c("j")) | (c("a") < c("b")))
+                                       & (1 + F.least(c("lo") - c("pa"), c("hi") - c("pb")) >= needed))
+    both = met.withColumn("both", F.array_intersect("set_a", "set_b")).filter(F.get("both", F.lit(0)) == c("token"))
+    shared = F.size("both")
+    return both.filter(shared / (c("lo") + c("hi") - shared) >= threshold - 1e-12).select(
+        *keys, F.least("a", "b").alias("left"), F.greatest("a", "b").alias("right"), (shared / (c("lo") + c("hi") - shared)).alias("jaccard"))

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W, functions as F
 
 from siteloom.functions.urls import normalize_link_url
 from siteloom.operators import findings, links, semantic, skew, usage
-from siteloom.operators.similarity import similar_pairs
+from siteloom.operators.similarity import dealt_entries, prefix_entries, similar_pairs
 from siteloom.plans.crawl import crawl_order
 
 
@@ -38,6 +38,24 @@ def test_similar_pairs(spark, threshold):
     assert got == want and want
 
 
+def test_hot_token_is_many_groups(spark):
+    """Nine sets in ten share a token and some sets are equal; each pair comes out once, and no group holds the list whole."""
+    rnd = random.Random(9)
+    sets = [(1, f"i{n:03}", ["hot"] * (n % 10 > 0) + rnd.sample("abcdefghijklmn", rnd.randrange(0, 4))) for n in range(400)]
+    sets += [(2, f"i{n:03}", ["hot", "x"]) for n in range(120)] + [(3, "i0", []), (3, "i1", ["x"]), (3, "i2", ["x", "x"])]
+    df = spark.createDataFrame(sets, "g int, id string, tokens array<string>")
+    want = {(g, a, b) for g, a, x in sets for h, b, y in sets if g == h and a < b and x and y and len(set(x) & set(y)) / len(set(x) | set(y)) >= 0.5}
+    for block in (16, 2048):
+        rows = similar_pairs(df, ["g"], "id", "tokens", 0.5, block=block).collect()
+        got = [(r.g, r.left, r.right) for r in rows]
+        assert len(got) == len(set(got)) and set(got) == want
+    first, second = dealt_entries(prefix_entries(df, ["g"], "id", "tokens", 0.5, []), ["g"], 16)
+    on = ["g", "token", "lo", "hi", "i", "j"]
+    most = [side.groupBy(*on).count().agg(F.max("count")).first()[0] for side in (first, second)]
+    assert max(most) <= 40  # blocks of about 16, by hash
+    assert similar_pairs(df.limit(0), ["g"], "id", "tokens", 0.5).count() == 0
+
+
 def test_quota_walk(spark):
     rnd = random.Random(3)
     limits = {"m": 17, "n": 40}
