@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from siteloom.session import stage
+
 
 def _needed(n: Column, m: Column, t: float) -> Column:
     """Tokens two sets of sizes n and m must share to reach Jaccard t."""
@@ -36,20 +38,18 @@ def dealt_entries(entries: DataFrame, keys: list[str], block: int) -> tuple[Data
     """The two sides of every list, cut into blocks of about ``block`` sets: each pair of blocks (i, j) is a group of its own.
 
     The side of the smaller size carries its block in ``i`` and goes to every ``j``, the other side the other way round; a
-    list of one size meets itself, in the triangle j >= i only. Lists are counted map-side and met by a salted join, so
-    that a token of nearly all sets is many groups at every step.
+    list of one size meets itself, in the triangle j >= i only. Lists are counted map-side, and the long ones are met by a
+    salted join, so that a token of nearly all sets is many groups at every step.
     """
     c = F.col
     on = [*keys, "token", "lo", "hi"]
     salts = 16
     sized = entries.withColumns({"small": c("n") == c("lo"), "salt": F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int")})
-    counts = sized.groupBy(*on).agg(F.count_if("small").alias("ns"), F.count_if(c("n") == c("hi")).alias("nl")).filter("nl > 0 and ns > 0")
-    lists = counts.select(*on, F.ceil(c("ns") / block).cast("int").alias("ps"), F.ceil(c("nl") / block).cast("int").alias("pl"),
-                          F.explode(F.sequence(F.lit(0), F.when(c("ns") + c("nl") > block, salts - 1).otherwise(0))).alias("salt"),
-                          (c("ns") + c("nl") > block).alias("hot"))
-    # lists of one block need no salt: their entries look under salt 0
-    met = sized.join(lists.filter("hot").drop("hot"), [*on, "salt"]).unionByName(
-        sized.drop("salt").join(lists.filter("not hot").drop("hot", "salt"), on).withColumn("salt", F.lit(0)))
+    # at most one list in ``block`` entries is longer than a block; Spark knows the size of what is staged
+    long = stage(sized.groupBy(*on).agg(F.count_if("small").alias("ns"), F.count_if(c("n") == c("hi")).alias("nl")).filter(c("ns") + c("nl") > block))
+    cut = long.select(*on, F.ceil(c("ns") / block).cast("int").alias("ps"), F.ceil(c("nl") / block).cast("int").alias("pl"),
+                      F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt")).filter("ps > 0 and pl > 0")
+    met = sized.join(cut, [*on, "salt"], "left").withColumns({k: F.coalesce(k, F.lit(1)) for k in ("ps", "pl")})
     at = lambda parts: F.pmod(F.xxhash64("id", F.lit(3)), c(parts)).cast("int")
     first = met.filter("small").withColumn("i", at("ps")).withColumn("j", F.explode(F.sequence(
         F.when(c("lo") == c("hi"), c("i")).otherwise(0), c("pl") - 1)))
@@ -65,7 +65,7 @@ def similar_pairs(items: DataFrame, keys: list[str], ident: str, tokens: str, th
     comparisons, and a pair that has met under a rarer token is dropped there, so no pair comes out twice.
     """
     c = F.col
-    entries = prefix_entries(items, keys, ident, tokens, threshold, [])
+    entries = stage(prefix_entries(items, keys, ident, tokens, threshold, []))
     first, second = dealt_entries(entries, keys, block)
     on = [*keys, "token", "lo", "hi", "i", "j"]
     place = (F.array_position("set", c("token"))).cast("int")
