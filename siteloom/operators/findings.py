@@ -156,9 +156,32 @@ def duplicate_occurrences(pages: DataFrame) -> DataFrame:
     return both[0].unionByName(both[1])
 
 
+#: How the report names the field of a duplicate finding, and how much of a shared value it shows.
+DUPLICATE_LABELS, SHOWN_VALUE = {"title": "title", "description": "meta description"}, 240
+
+
+def duplicate_evidence(pages: DataFrame, block: int = 4096) -> DataFrame:
+    """Evidence of the duplicate findings in bounded pieces: audit_id, code, a, b, joint, evidence, in the order (a, b).
+
+    A group is its shared value, cut to ``SHOWN_VALUE`` characters, and a line for each page; piece b of the group that begins
+    at page a holds the pages of ``block`` crawl positions. ``joint`` is what stands between a piece and the one before.
+    """
+    c = F.col
+    found = None
+    for key in DUPLICATE_LABELS:
+        rows = duplicate_members(pages, key, SHOWN_VALUE).select("audit_id", F.lit(f"duplicate-{key}").alias("code"), "first_seq", "shared", "seq", "url")
+        found = rows if found is None else found.unionByName(rows)
+    pieces = found.groupBy("audit_id", "code", "first_seq", F.floor(c("seq") / block).alias("b")).agg(
+        F.min("shared").alias("shared"), F.min("seq").alias("least"), F.array_sort(F.collect_list(F.struct("seq", "url"))).alias("pages"))
+    opens, lines = c("least") == c("first_seq"), F.array_join("pages.url", "\n")
+    return pieces.select("audit_id", "code", c("first_seq").cast("long").alias("a"), c("b").cast("long").alias("b"),
+                         F.when(opens, "\n\n").otherwise("\n").alias("joint"),
+                         F.when(opens, F.concat("shared", F.lit("\n"), lines)).otherwise(lines).alias("evidence"))
+
+
 def duplicate_issues(pages: DataFrame, key: str) -> DataFrame:
     """One finding per audit with duplicate titles or descriptions."""
-    label = {"title": "title", "description": "meta description"}[key]
+    label = DUPLICATE_LABELS[key]
     sites = duplicate_groups(pages, key).groupBy("audit_id").agg(
         F.sum("n_pages").alias("n_affected"), F.min_by("first_url", "first_seq").alias("url"))
     title, advice = f"Duplicate {label}", (f"Write a unique {label} for each indexable page or consolidate duplicate "

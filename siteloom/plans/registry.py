@@ -25,5 +25,5 @@ def query(name: str, oracle: str | None = None):
 def load_all() -> None:
     """Import every module that registers queries."""
     from siteloom.plans import (  # noqa: F401
-        audit_queries, capture_queries, content_queries, history_queries, keyword_queries, link_queries, search_queries, site_queries,
+        audit_queries, capture_queries, content_queries, export_queries, history_queries, keyword_queries, link_queries, search_queries, site_queries,
         small_queries, stream_queries)

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from siteloom.functions import constants as K
 from siteloom.functions.text import csv_cell, html_escape, lookup
+from siteloom.operators import findings
 from siteloom.operators.history import new_issue_flag
 
 ISSUE_COLUMNS = ["status", "severity", "code", "title", "url", "evidence", "recommendation"]
@@ -51,29 +52,104 @@ def write_lines(lines: DataFrame, path: str, keys: list[str], order: list, heade
 GROUP_KEYS = ["audit_id", "code", "severity", "title", "recommendation"]
 
 
-def audit_report_rows(header: DataFrame, groups: DataFrame, evidence: DataFrame) -> DataFrame:
-    """JSON text per audit: header fields and grouped issues.
+def evidence_pieces(chunks: DataFrame, duplicates: DataFrame | None = None) -> DataFrame:
+    """Evidence of all groups as pieces in the order (a, b): the chunks of ``scoring.evidence_chunks``, and for duplicate
+    findings the pieces of ``findings.duplicate_evidence``; ``joint`` stands before each piece but a group's first."""
+    c = F.col
+    usual = chunks.filter("evidence <> ''").select(*GROUP_KEYS, c("chunk").cast("long").alias("a"), F.lit(0).cast("long").alias("b"),
+                                                   F.lit("\n\n").alias("joint"), "evidence")
+    if duplicates is not None:
+        named = chunks.select(*GROUP_KEYS).distinct().filter(c("code").isin([f"duplicate-{k}" for k in findings.DUPLICATE_LABELS]))
+        usual = usual.unionByName(named.join(duplicates, ["audit_id", "code"]).select(*usual.columns))
+    first = usual.groupBy(*GROUP_KEYS).agg(F.min(F.struct("a", "b")).alias("first"))
+    placed = usual.join(first, GROUP_KEYS)
+    return placed.withColumn("joint", F.when(F.struct("a", "b") == c("first"), "").otherwise(c("joint"))).drop("first")
+
+
+def _json_text(value: Column) -> Column:
+    """A text as it stands between the quotes of a JSON string."""
+    doc = F.to_json(F.struct(value.alias("v")))
+    return F.substring(doc, F.lit(7), F.char_length(doc) - 8)
+
+
+PIECE_ORDER = ["stage", "first_seq", "first_rule", "code", "severity", "title", "recommendation", "kind", "a", "b"]
+
 
-    There are at most as many groups as rules and wordings, so the collected list is bounded. Evidence of one chunk, whichever
-    it is, stands in the report; of more, the report gives their number and audit_report_evidence has them all.
+def audit_report_pieces(header: DataFrame, groups: DataFrame, pieces: DataFrame) -> DataFrame:
+    """The JSON report of every audit as pieces of text: audit_id, ``PIECE_ORDER``, value.
+
+    Put together in their order they are one document per audit: its header, then its groups, each with its whole evidence in
+    place. No piece depends on how much evidence a group has, so an audit of any size is many rows and never one.
+    """
+    c = F.col
+    fields = [k for k in header.columns if k != "audit_id"]
+    nil = {"stage": F.lit(0), "first_seq": F.lit(0).cast("long"), "first_rule": F.lit(0), "code": F.lit(""), "severity": F.lit(""), "title": F.lit(""),
+           "recommendation": F.lit(""), "kind": F.lit(0), "a": F.lit(0).cast("long"), "b": F.lit(0).cast("long")}
+    row = lambda df, value, **at: df.select("audit_id", *[at.get(k, v).alias(k) for k, v in nil.items()], value.alias("value"))
+    head = F.to_json(F.struct("audit_id", *fields))
+    opening = row(header, F.concat(F.substring(head, F.lit(1), F.char_length(head) - 1), F.lit(',"issues":[')))
+    closing = row(header, F.lit("]}"), stage=F.lit(2))
+    place = [k for k in PIECE_ORDER if k in groups.columns]
+    first = groups.groupBy("audit_id").agg(F.min(F.struct(*place)).alias("first"))
+    shown = [k for k in ("code", "severity", "title", "description", "recommendation", "url", "n_urls") if k in groups.columns]
+    text = F.to_json(F.struct(*shown))
+    at = {"stage": F.lit(1), "first_seq": c("first_seq").cast("long"), "first_rule": c("first_rule").cast("int")} | {
+        k: c(k) for k in ("code", "severity", "title", "recommendation")}
+    begun = row(groups.join(first, "audit_id"), F.concat(F.when(F.struct(*place) == c("first"), "").otherwise(","), F.substring(
+        text, F.lit(1), F.char_length(text) - 1), F.lit(',"evidence":"')), **at)
+    ended = row(groups, F.lit('"}'), **at, kind=F.lit(2))
+    inside = pieces.join(groups.select(*GROUP_KEYS, "first_seq", "first_rule"), GROUP_KEYS)
+    told = row(inside, _json_text(F.concat("joint", "evidence")), **at, kind=F.lit(1), a=c("a"), b=c("b"))
+    return opening.unionByName(begun).unionByName(told).unionByName(ended).unionByName(closing)
+
+
+def issues_csv_pieces(issues: DataFrame, new_issues: DataFrame, duplicates: DataFrame) -> DataFrame:
+    """Lines of the issue export as pieces: audit_id, seq, rule_no, kind, a, b, value; duplicate findings with their members.
+
+    A line of an ordinary issue is one piece. The evidence cell of a duplicate finding is quoted if any of its pieces needs it.
+    """
+    c = F.col
+    zero = F.lit(0).cast("long")
+    many = c("code").isin([f"duplicate-{k}" for k in findings.DUPLICATE_LABELS])
+    flagged = new_issue_flag(issues, new_issues)
+    plain = csv_lines(flagged.filter(~many), ISSUE_COLUMNS, ["audit_id"], ["seq", "rule_no"]).select(
+        "audit_id", "seq", "rule_no", F.lit(0).alias("kind"), zero.alias("a"), zero.alias("b"), "value")
+    flat = duplicates.withColumn("cell", F.regexp_replace("evidence", "\r?\n", " "))
+    quoted = flat.groupBy("audit_id", "code").agg(F.bool_or(c("cell").rlike('[",]')).alias("quoted"), F.min(F.struct("a", "b")).alias("first"))
+    found = flagged.filter(many).join(quoted, ["audit_id", "code"])
+    mark = F.when(c("quoted"), '"').otherwise("")
+    ends = found.select("audit_id", "seq", "rule_no", F.explode(F.array(
+        F.struct(F.lit(0).alias("kind"), F.concat(F.array_join(F.array(*[csv_cell(c(k)) for k in ISSUE_COLUMNS[:5]]), ","), F.lit(","), mark).alias("value")),
+        F.struct(F.lit(2).alias("kind"), F.concat(mark, F.lit(","), csv_cell(c("recommendation"))).alias("value")))).alias("e")).select(
+        "audit_id", "seq", "rule_no", "e.kind", zero.alias("a"), zero.alias("b"), "e.value")
+    space = F.when(F.struct("a", "b") == c("first"), "").otherwise(F.regexp_replace("joint", "\n", " "))
+    inner = found.select("audit_id", "code", "seq", "rule_no", "quoted", "first").join(flat, ["audit_id", "code"]).select(
+        "audit_id", "seq", "rule_no", F.lit(1).alias("kind"), "a", "b",
+        F.concat(space, F.when(c("quoted"), F.replace("cell", F.lit('"'), F.lit('""'))).otherwise(c("cell"))).alias("value"))
+    return plain.unionByName(ends).unionByName(inner)
+
+
+def write_documents(pieces: DataFrame, path: str, key: str, order: list[str] | None = None, buckets: int = 64) -> None:
+    """Write documents of any number and size: sorted files in ``buckets`` folders by hash of the key, instead of a folder a document.
+
+    Within a file the pieces stand in the order (key, ``order``), so that the files' own statistics lead a reader of one key to
+    its row groups. A key with most of the pieces becomes several files in sequence.
     """
-    whole = evidence.groupBy(*GROUP_KEYS).agg(F.count(F.lit(1)).alias("evidence_chunks"), F.min_by("evidence", "chunk").alias("text"))
-    texts = whole.select(*GROUP_KEYS, "evidence_chunks", F.when(F.col("evidence_chunks") == 1, F.col("text")).alias("evidence"))
-    issue = F.struct("first_seq", "first_rule", "code", "severity", "title", "description", "recommendation", "url", "evidence",
-                     "n_urls", "evidence_chunks")
-    lists = groups.join(texts, GROUP_KEYS, "left").groupBy("audit_id").agg(F.array_sort(F.collect_list(issue)).alias("issues"))
-    fields = [c for c in header.columns if c != "audit_id"]
-    return header.join(lists, "audit_id", "left").select("audit_id", F.to_json(
-        F.struct("audit_id", *fields, "issues"), {"pretty": "true"}).alias("value"))
+    order = order or []
+    dealt = pieces.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+    by = ["bucket", key, *order]
+    dealt.repartitionByRange(*by).sortWithinPartitions(*by).write.mode("append").partitionBy("bucket").parquet(path)
 
 
-def audit_report_evidence(evidence: DataFrame) -> DataFrame:
-    """A JSON line for every chunk of evidence of every group: the children of the reports."""
-    return evidence.select("audit_id", F.to_json(F.struct(*GROUP_KEYS, "chunk", "evidence")).alias("value"))
+def read_document(spark: SparkSession, path: str, key: str, value, buckets: int = 64) -> DataFrame:
+    """The pieces of one document: one folder is read, and in it the row groups that hold the key."""
+    rows = spark.read.parquet(path)
+    at = F.pmod(F.xxhash64(F.lit(value).cast(rows.schema[key].dataType)), F.lit(buckets)).cast("int")
+    return rows.filter((F.col("bucket") == spark.range(1).select(at.alias("b")).first()["b"]) & (F.col(key) == F.lit(value))).drop("bucket")
 
 
-def write_audit_reports(rows: DataFrame, path: str) -> None:
-    rows.write.mode("append").partitionBy("audit_id").text(path)
+def write_audit_reports(pieces: DataFrame, path: str) -> None:
+    write_documents(pieces, path, "audit_id", PIECE_ORDER)
 
 
 def brief_markdown(briefs: DataFrame) -> DataFrame:
@@ -99,7 +175,7 @@ def brief_markdown(briefs: DataFrame) -> DataFrame:
 
 
 def write_briefs_markdown(briefs: DataFrame, path: str) -> None:
-    brief_markdown(briefs).write.mode("append").partitionBy("brief_id").option("lineSep", "\u0000").text(path)
+    write_documents(brief_markdown(briefs), path, "brief_id")
 
 
 def audit_html_rows(issues: DataFrame) -> DataFrame:

@@ -1,5 +1,6 @@
 """Sources, sinks, streaming forms and the capture audit on small inputs."""
 
+import csv
 import datetime as dt
 import json
 import random
@@ -8,7 +9,7 @@ import time
 from pyspark.sql import functions as F
 
 from siteloom.functions import constants as K
-from siteloom.operators import history, jobs, monitoring, scoring, upsert, usage
+from siteloom.operators import findings, history, jobs, monitoring, scoring, upsert, usage
 from siteloom.plans.audit import audit_captures, parse_captures
 from siteloom.sinks import writers
 from siteloom.sources import readers, schemas
@@ -96,12 +97,60 @@ def test_csv_and_reports(spark, tmp_path):
     parts = scoring.grouped_issue_parts(issues)
     groups = scoring.group_issues(parts)
     header = spark.createDataFrame([(1, "https://e.com/", 2, 90, 2)], "audit_id int, root_url string, pages_scanned int, score int, issue_count int")
-    report = json.loads(writers.audit_report_rows(header, groups, scoring.evidence_chunks(parts)).first().value)
-    assert [i["code"] for i in report["issues"]] == ["a", "b"] and report["issues"][0]["evidence"] == "l1\nl2"
+    pieces = writers.audit_report_pieces(header, groups, writers.evidence_pieces(scoring.evidence_chunks(parts)))
+    report = json.loads("".join(r.value for r in pieces.orderBy(*writers.PIECE_ORDER).collect()))
+    assert [i["code"] for i in report["issues"]] == ["a", "b"] and report["issues"][0]["evidence"] == "l1\nl2" and report["score"] == 90
     html = writers.audit_html(header, groups).first().value
     assert "T &quot;x&quot;" in html and "Site-wide" in html
 
 
+def test_reports_hold_all_evidence_and_are_read_by_id(spark, tmp_path):
+    rows = []
+    for audit, n in ((1, 40), (2, 3), (3, 0)):
+        for i in range(n):
+            rows.append((audit, i, f"https://e.com/{i}", ["Same, title", 'Other "title"', f"T{i}"][i % 3], "shared text" if i % 2 else "", i))
+    pages = spark.createDataFrame(rows, "audit_id int, seq long, url string, title string, description string, n int")
+    base = findings.duplicate_issues(pages, "title").unionByName(findings.duplicate_issues(pages, "description"))
+    single = pages.select("audit_id", "seq", F.lit(4).alias("rule_no"), F.lit("thin").alias("code"), F.lit("low").alias("severity"), F.lit("Thin").alias("title"),
+                          F.lit("D").alias("description"), F.lit("Fix").alias("recommendation"), "url", F.concat(F.lit("words\n"), "n").alias("evidence"),
+                          F.lit(None).cast("long").alias("n_affected"))
+    issues = base.unionByName(single)
+    parts = scoring.grouped_issue_parts(issues)
+    header = pages.groupBy("audit_id").agg(F.count("*").alias("pages_scanned"))
+    duplicates = findings.duplicate_evidence(pages, block=8)
+    chunks = scoring.evidence_chunks(parts, width=16)
+    pieces = writers.audit_report_pieces(header, scoring.group_issues(parts), writers.evidence_pieces(chunks, duplicates))
+    writers.write_audit_reports(pieces, str(tmp_path / "reports"))
+    assert len(list((tmp_path / "reports").glob("bucket=*"))) <= 2
+    for audit, n in ((1, 40), (2, 3)):
+        read = writers.read_document(spark, str(tmp_path / "reports"), "audit_id", audit).orderBy(*writers.PIECE_ORDER)
+        report = json.loads("".join(r.value for r in read.collect()))
+        found = {i["code"]: i["evidence"] for i in report["issues"]}
+        own = [r for r in rows if r[0] == audit]
+        groups = {}
+        for r in own:
+            groups.setdefault(r[3].lower(), []).append(r[2])
+        assert found.get("duplicate-title", "") == "\n\n".join("\n".join([v, *urls]) for v, urls in groups.items() if len(urls) > 1)
+        assert all(f"words\n{r[5]}" in found["thin"] and r[2] in found["thin"] for r in own) and report["pages_scanned"] == n
+    read = writers.read_document(spark, str(tmp_path / "reports"), "audit_id", 9)
+    assert read.count() == 0
+    lines = writers.issues_csv_pieces(issues, spark.createDataFrame([], "audit_id int, code string, url string"), duplicates)
+    texts = {}
+    for r in lines.orderBy("audit_id", "seq", "rule_no", "kind", "a", "b").collect():
+        texts[r.audit_id, r.seq, r.rule_no] = texts.get((r.audit_id, r.seq, r.rule_no), "") + r.value
+    parsed = [x for t in texts.values() for x in csv.reader([t])]
+    assert all(len(x) == 7 for x in parsed) and len(parsed) == issues.count()
+    cell = next(x for k, t in texts.items() for x in csv.reader([t]) if k[0] == 1 and x[2] == "duplicate-title")[5]
+    assert cell.startswith('same, title https://e.com/0 https://e.com/3') and 'other "title" https://e.com/1 ' in cell
+
+
+def test_briefs_are_read_by_id(spark, tmp_path):
+    rows = spark.createDataFrame([(f"b{i}", f"# Brief {i}\n\ntext\n") for i in range(200)], "brief_id string, value string")
+    writers.write_documents(rows, str(tmp_path / "briefs"), "brief_id", buckets=4)
+    assert len(list((tmp_path / "briefs").glob("bucket=*"))) == 4
+    assert [r.value for r in writers.read_document(spark, str(tmp_path / "briefs"), "brief_id", "b17", buckets=4).collect()] == ["# Brief 17\n\ntext\n"]
+
+
 def test_merge_upsert(spark):
     base = spark.createDataFrame([("u", 5, None, "a", 1)], "k string, n int, first string, keep string, last int")
     new = spark.createDataFrame([("u", 2, "x", None, 2, 1), ("u", 1, "y", "b", 3, 2), ("v", 1, None, None, 9, 1)],
