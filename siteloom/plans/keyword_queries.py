@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from siteloom.functions import constants as K
@@ -9,9 +11,11 @@ from siteloom.functions import text as X
 from siteloom.operators import keywords as kw
 from siteloom.operators.leaders import keyword_clusters
 from siteloom.operators.similarity import similar_pairs
+from siteloom.operators.skew import bucketed_rank
 from siteloom.plans.registry import query
 from siteloom.plans.tables import table
-from siteloom.session import stage
+from siteloom.session import stage, staging_dir
+from siteloom.sources import readers
 
 
 def _list(words) -> str:
@@ -158,3 +162,17 @@ def q_analysis(spark, sf_dir):
     rows = kw.keyword_cluster_join(kw.keyword_rows(clustered, profiles), profiles)
     return rows.select("analysis_id", "keyword", "intent", "page_type", "priority", "cluster", "primary_keyword",
                        "suggested_slug", "confidence")
+
+
+@query("keyword_files", """SELECT analysis_id, 1 + n + CAST(floor(n / 7) AS BIGINT) AS line_no, trim(raw) AS raw FROM (
+ SELECT analysis_id, raw, row_number() OVER (PARTITION BY analysis_id ORDER BY line_no) - 1 AS n FROM {fx_keywords})""")
+def q_keyword_files(spark, sf_dir):
+    """Keyword lists written as files with a header, a second field and a blank line after every seven, and read back."""
+    path = f"{staging_dir(spark).rstrip('/')}/siteloom-{uuid.uuid4().hex}"
+    rows = bucketed_rank(table(spark, sf_dir, "fx_keywords"), ["analysis_id"], F.floor(F.col("line_no") / 10_000), ["line_no"], "n")
+    head = rows.select("analysis_id").distinct().select("analysis_id", F.lit(0).cast("long").alias("n"), F.lit("Keyword;Volume\r").alias("value"))
+    body = rows.select("analysis_id", "n", F.concat("raw", F.lit(";12"), F.when(F.col("n") % 7 == 0, "\n").otherwise("")).alias("value"))
+    lists = head.unionByName(body).repartition("analysis_id").sortWithinPartitions("analysis_id", "n")
+    lists.drop("n").write.partitionBy("analysis_id").text(path)
+    found = readers.read_keyword_lists(spark, f"{path}/*/*.txt")
+    return found.select(F.regexp_extract("analysis_id", "analysis_id=([0-9]+)", 1).cast("int").alias("analysis_id"), "line_no", "raw")

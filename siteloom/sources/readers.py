@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F, types as T
 
 from siteloom.functions import constants as K
 from siteloom.functions import text as X
 from siteloom.operators.findings import HTML_TYPES
 from siteloom.operators.semantic import finite_vector
+from siteloom.session import stage
 from siteloom.sources import schemas
 
 
@@ -54,10 +55,45 @@ def keyword_text_errors(texts: DataFrame) -> DataFrame:
     return texts.select("analysis_id", reason.alias("reject_reason")).filter("reject_reason is not null")
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Every line of some text files with its number from 0: file, line_no, value, leads (the file's first line that isn't blank).
+
+    Files are read in splits. A task numbers the lines of each split it reads, and a table of one row a split holds what
+    comes before it, so that a file of any size is as many tasks as it has splits. A byte-order mark is dropped.
+    """
+    c = F.col
+    raw = spark.read.option("lineSep", "\n").text(path).select("value", c("_metadata.file_path").alias("file"), c("_metadata.file_block_start").alias("start"))
+
+    def number(batches):
+        lines: dict = {}
+        full: dict = {}
+        for pdf in batches:
+            at, heads = [], []
+            for i, (value, split) in enumerate(zip(pdf["value"], zip(pdf["file"], pdf["start"]))):
+                n = lines.get(split, 0)
+                if n == 0 and split[1] == 0 and value.startswith("\ufeff"):
+                    pdf.loc[pdf.index[i], "value"] = value = value[1:]
+                lines[split] = n + 1
+                at.append(n)
+                text = bool(value.strip())
+                heads.append(text and not full.get(split))
+                full[split] = full.get(split, False) or text
+            yield pdf.assign(local=at, head=heads)
+
+    rows = stage(raw.mapInPandas(number, "value string, file string, start long, local long, head boolean"))
+    splits = rows.groupBy("file", "start").agg(F.count(F.lit(1)).alias("n"), F.bool_or("head").alias("text"))
+    before = W.partitionBy("file").orderBy("start").rowsBetween(W.unboundedPreceding, -1)
+    base = splits.select("file", "start", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"),
+                         (c("text") & ~F.coalesce(F.bool_or("text").over(before), F.lit(False))).alias("opens"))
+    return rows.join(base, ["file", "start"]).select("file", (c("base") + c("local")).alias("line_no"), "value", (c("head") & c("opens")).alias("leads"))
+
+
 def read_keyword_lists(spark: SparkSession, path: str) -> DataFrame:
-    """Keyword rows of text files, one analysis per file."""
-    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("analysis_id"), F.col("value").alias("body"))
-    return keyword_lines(files)
+    """Keyword rows of text files, one analysis per file: analysis_id (the file), line_no (among all lines of the file), raw."""
+    c = F.col
+    lines = numbered_lines(spark, path).withColumn("line", X.trim_ws(c("value"))).filter("line <> ''")
+    fields = lines.select(c("file").alias("analysis_id"), "line_no", _first_field(c("line")).alias("raw"), "leads")
+    return fields.filter((c("raw") != "") & ~(c("leads") & c("raw").rlike(K.KEYWORD_HEADER_PATTERN))).drop("leads")
 
 
 def search_rows(api: DataFrame, limit: int | None = None) -> DataFrame:

@@ -76,6 +76,31 @@ def test_result_json_keeps_bad_rows(spark):
     assert got[1].a == 1 and got[1].b == ["x"] and got[2] is None and got[3] is None
 
 
+def test_keyword_files_in_several_splits(spark, tmp_path):
+    """Line numbers, header and byte-order mark are those of a plain reading, however the files are cut."""
+    rng = random.Random(2)
+    texts = {"a.txt": "\ufeff\r\n\nKeyword,Volume\r\n" + "".join(rng.choice(["", "  ", "word %d, 3" % i, '"a, ""b"" %d";x' % i, "запит"]) + rng.choice(["\n", "\r\n"]) for i in range(300)),
+             "b.txt": "keyword\nquery\n\nlast without an end", "c.txt": "", "d.txt": "\n" * 200 + "ключ\nx", "e.txt": "one\nkeyword"}
+    want = set()
+    for name, text in texts.items():
+        (tmp_path / name).write_text(text, newline="")
+        first = True
+        for i, line in enumerate(text.removeprefix("\ufeff").split("\n")):
+            if line.strip():
+                field = next(csv.reader([line.strip().replace(";", ",")]))[0].strip()
+                if not (first and field.lower() in ("keyword", "query", "term", "ключ", "запит")):
+                    want.add((name, i, field))
+                first = False
+    for size in ("64", "134217728"):
+        held = spark.conf.get("spark.sql.files.maxPartitionBytes")
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            got = readers.read_keyword_lists(spark, str(tmp_path)).collect()
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", held)
+        assert {(r.analysis_id.rsplit("/", 1)[1], r.line_no, r.raw) for r in got} == want and len(got) == len(want)
+
+
 def test_search_rows(spark):
     rows = [("s", ["q", "p"], 1.0, None, 0.5, 2.0), ("s", ["q"], 1.0, 1.0, 1.0, 1.0), ("s", None, 1.0, 1.0, 1.0, 1.0)]
     got = readers.search_rows(spark.createDataFrame(rows, schemas.SEARCH_API)).collect()
