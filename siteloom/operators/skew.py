@@ -53,6 +53,24 @@ def top_per_key(df: DataFrame, keys: list[str], order: list, k: int, rank: str |
     return ranked if rank else ranked.drop(name)
 
 
+def first_per_key(df: DataFrame, keys: list[str], bucket: Column, order: list, k: int | Column, out: str) -> DataFrame:
+    """First ``k`` rows per key with their rank, for a ``k`` too large for ``top_per_key`` to prune.
+
+    The rows of each ordered bucket are counted map-side; buckets that begin beyond the k-th row go before anything is
+    sorted, and the bucket that holds it is cut by a window of its own. ``bucket`` must rise with ``order``; ``k`` may depend on ``keys``.
+    """
+    limit = F.lit(k) if isinstance(k, int) else k
+    tagged = df.withColumn("__bucket", bucket).withColumn("__k", limit)
+    sizes = tagged.groupBy(*keys, "__bucket").agg(F.count(F.lit(1)).alias("__n"), F.first("__k").alias("__limit"))
+    before = W.partitionBy(*keys).orderBy("__bucket").rowsBetween(W.unboundedPreceding, -1)
+    offsets = sizes.withColumn("__offset", F.coalesce(F.sum("__n").over(before), F.lit(0))).filter(F.col("__offset") < F.col("__limit"))
+    near = offsets.select(*[F.col(x).alias(f"__k_{x}") for x in keys], F.col("__bucket").alias("__b"), "__offset")
+    held = tagged.join(near, on=[F.col(x).eqNullSafe(F.col(f"__k_{x}")) for x in keys] + [F.col("__bucket").eqNullSafe(F.col("__b"))])
+    local = W.partitionBy(*keys, "__bucket").orderBy(*order)
+    ranked = held.withColumn(out, (F.col("__offset") + F.row_number().over(local)).cast("long")).filter(F.col(out) <= F.col("__k"))
+    return ranked.drop("__bucket", "__b", "__offset", "__k", *[f"__k_{x}" for x in keys])
+
+
 def bucketed_sum(df: DataFrame, keys: list[str], bucket: Column, order: list, amount: Column, out: str) -> DataFrame:
     """Exact running sum per ``keys`` (current row included)."""
     tagged = df.withColumn("__bucket", bucket).withColumn("__amount", amount)

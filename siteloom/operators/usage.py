@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from siteloom.functions import constants as K
 from siteloom.functions.text import lookup
-from siteloom.operators.skew import bucketed_rank, bucketed_sum, top_per_key
+from siteloom.operators.skew import bucketed_rank, bucketed_sum, first_per_key
 
 
 def window_start(ts: Column, seconds: int) -> Column:
@@ -46,8 +46,9 @@ def usage_quota(events: DataFrame, limits: dict[str, int] | None = None) -> Data
     used = summed.groupBy(*keys).agg(F.max(F.when(F.col("fits"), F.col("running"))).alias("used"))
     tail = (summed.filter("not fits").join(used, keys)
             .withColumn("left", F.col("quota") - F.coalesce("used", F.lit(0))).filter("amount <= left"))
-    candidates = top_per_key(tail, [*keys, "amount"], ["ts", "event_id"], max(limits.values()), "nth").filter(
-        F.col("nth") <= F.col("left") / F.col("amount"))
+    # what is left depends on the key, which is among the keys of the ranking
+    candidates = first_per_key(tail, [*keys, "amount"], F.date_trunc("hour", "ts"), ["ts", "event_id"],
+                               F.floor(F.col("left") / F.col("amount")), "nth")
     queued = candidates.groupBy(*keys).agg(F.max("left").alias("left"), F.array_sort(F.collect_list(
         F.struct("ts", "event_id", F.col("amount").cast("long").alias("amount")))).alias("queue"))
     walked = F.aggregate("queue", F.struct(F.col("left"), F.array().cast("array<bigint>").alias("ids")),

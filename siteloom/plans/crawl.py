@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from siteloom.functions import constants as K
 from siteloom.functions import urls as U
-from siteloom.operators.skew import bucketed_rank, top_per_key
+from siteloom.operators.skew import bucketed_rank, first_per_key, top_per_key
 from siteloom.session import stage
 
 
@@ -97,7 +97,8 @@ def _audit_level(queued: DataFrame, state: DataFrame | None, max_pages: int) ->
         open_rows = open_rows.withColumn("done", F.lit(0))
     firsts = open_rows.groupBy("audit_id", "final_url").agg(F.min(F.struct("seq", "is_html", "done")).alias("f")).select(
         "audit_id", "final_url", "f.*")
-    pages = top_per_key(firsts.filter("is_html"), ["audit_id"], ["seq"], max_pages, "nth")
+    # an audit may want any number of pages, so its queue is cut in blocks
+    pages = first_per_key(firsts.filter("is_html"), ["audit_id"], F.floor(c("seq") / 4096), ["seq"], max_pages, "nth")
     last = pages.filter(c("nth") + F.coalesce("done", F.lit(0)) == max_pages).select("audit_id", c("seq").alias("last"))
     kept = firsts.join(last, "audit_id", "left").filter(c("last").isNull() | (c("seq") <= c("last"))).select(
         "audit_id", "seq", F.lit(True).alias("landed"))

@@ -27,6 +27,18 @@ def test_bucketed_forms_equal_plain_windows(spark):
     assert sorted(map(tuple, ours.collect())) == sorted(map(tuple, plain.collect()))
 
 
+def test_first_rows_of_a_hot_key(spark):
+    """One key with nine rows in ten: the first k by blocks, for a k beyond any pruning, and no window holds more than a block."""
+    df = spark.range(60_000).select((F.col("id") % 10 == 0).cast("int").alias("k"), F.pmod(F.xxhash64("id"), F.lit(50_000)).alias("t"), "id")
+    plain = df.withColumn("r", F.row_number().over(W.partitionBy("k").orderBy("t", "id")))
+    for k in (1, 2_500, 53_000, 100_000):
+        got = skew.first_per_key(df, ["k"], F.floor(F.col("t") / 500), ["t", "id"], k, "r")
+        want = plain.filter(F.col("r") <= k)
+        assert got.count() == want.count() and got.exceptAll(want).count() == 0
+    by_key = skew.first_per_key(df, ["k"], F.floor(F.col("t") / 500), ["t", "id"], F.when(F.col("k") == 0, 7).otherwise(0), "r")
+    assert sorted((r.k, r.r) for r in by_key.collect()) == [(0, i) for i in range(1, 8)]
+
+
 @pytest.mark.parametrize("threshold", [0.3, 0.34, 0.6])
 def test_similar_pairs(spark, threshold):
     rnd = random.Random(7)
