@@ -8,11 +8,15 @@ from siteloom.functions import constants as K
 from siteloom.functions import text as X
 
 SCHEMA = ("struct<summary:string,whyItMatters:string,implementation:string,code:string,verification:array<string>>")
+#: The product's limits, for callers that want its texts cut.
 LIMITS = {"summary": 2_000, "whyItMatters": 4_000, "implementation": 8_000, "code": 12_000}
 
 
-def parse_recommendations(df: DataFrame, raw: str) -> tuple[DataFrame, DataFrame]:
-    """(parsed rows, reject rows with a reason): fences stripped, outermost object taken, required fields checked."""
+def parse_recommendations(df: DataFrame, raw: str, limits: dict[str, int] | None = None, steps: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(parsed rows, reject rows with a reason): fences stripped, outermost object taken, required fields checked.
+
+    Texts and verification steps are whole unless ``limits`` (characters a field) and ``steps`` cut them.
+    """
     c = F.col
     body = F.regexp_replace(F.regexp_replace(X.trim_ws(c(raw)), r"(?i)^```(?:json)?\s*", ""), r"\s*```$", "")
     blob = F.regexp_extract(body, r"(?s)(\{.*\})", 1)
@@ -23,9 +27,10 @@ def parse_recommendations(df: DataFrame, raw: str) -> tuple[DataFrame, DataFrame
     reason = (F.when((c("__blob") == "") | c("__r").isNull() | (empty & c("__r.verification").isNull()), "invalid-json")
                .when(missing("summary") | missing("implementation") | missing("whyItMatters"), "missing-fields"))
     out = out.withColumn("reject_reason", reason)
-    good = out.filter("reject_reason is null").select(
-        *df.columns, *[F.substring(c(f"__r.{n}"), 1, k).alias(n) for n, k in LIMITS.items()],
-        F.slice(F.coalesce(c("__r.verification"), F.array().cast("array<string>")), 1, 8).alias("verification"))
+    limits = limits or {}
+    texts = [(F.substring(c(f"__r.{n}"), 1, limits[n]) if n in limits else c(f"__r.{n}")).alias(n) for n in LIMITS]
+    checks = F.coalesce(c("__r.verification"), F.array().cast("array<string>"))
+    good = out.filter("reject_reason is null").select(*df.columns, *texts, (checks if steps is None else F.slice(checks, 1, steps)).alias("verification"))
     return (good.withColumnRenamed("whyItMatters", "why_it_matters"),
             out.filter("reject_reason is not null").select(*df.columns, "reject_reason"))
 
@@ -63,29 +68,35 @@ EVIDENCE_URL = r"""(https?://[^\s<>"']+)"""
 PAGE_FIELDS = {"title": 300, "description": 600, "canonical": 1_000, "robots": 300}
 
 
-def issue_pages(issues: DataFrame, pages: DataFrame, k: int = 12) -> DataFrame:
-    """First ``k`` crawled pages each issue mentions, by its URL or by any URL inside its evidence; crawl order.
+def issue_pages(issues: DataFrame, pages: DataFrame, k: int | None = None) -> DataFrame:
+    """Crawled pages each issue mentions, by its URL or by any URL inside its evidence, numbered in crawl order; the first ``k``, if given.
 
-    ``issues``: audit_id, issue_id, url, evidence. The top-k is taken per issue with map-side pruning.
+    ``issues``: audit_id, issue_id, url, evidence. A top-k is taken per issue with map-side pruning, all pages by blocks of the crawl.
     """
-    from siteloom.operators.skew import top_per_key
+    from siteloom.operators.skew import bucketed_rank, top_per_key
     c = F.col
     loose = F.transform(F.coalesce(F.regexp_extract_all("evidence", F.lit(EVIDENCE_URL)), F.array().cast("array<string>")),
                         lambda u: F.regexp_replace(u, r"[),.;]+$", ""))
     own = F.when(c("url").isNotNull(), F.array("url")).otherwise(F.array().cast("array<string>"))
     wanted = issues.select("audit_id", "issue_id", F.explode(F.array_union(own, loose)).alias("url"))
-    return top_per_key(wanted.join(pages, ["audit_id", "url"]), ["audit_id", "issue_id"], ["seq"], k, "nth")
+    met, keys = wanted.join(pages, ["audit_id", "url"]), ["audit_id", "issue_id"]
+    if k is None:
+        return bucketed_rank(met, keys, F.floor(c("seq") / 4096), ["seq"], "nth")
+    return top_per_key(met, keys, ["seq"], k, "nth")
 
 
-def ai_issue_context(issues: DataFrame, pages: DataFrame) -> DataFrame:
-    """One row per issue: affected page count (12 at most), reduced pages, guidance for one or for many pages."""
+def ai_issue_context(issues: DataFrame, pages: DataFrame, k: int = 12) -> DataFrame:
+    """One row per issue: reduced pages, their count, guidance for one or for many pages.
+
+    A context is what one prompt can hold, so it has the first ``k`` pages and shortened fields; ``issue_pages`` has them all.
+    """
     c = F.col
     cut = [F.substring(n, 1, k).alias(n) for n, k in PAGE_FIELDS.items()]
     heads = F.transform(F.slice("h1s", 1, 5), lambda h: F.substring(h, 1, 300)).alias("h1")
     small = pages.select("audit_id", "seq", "url", "status", *cut, heads, "lang", "word_count", "heading_count",
                          "image_count", "images_missing_alt")
     fields = [x for x in small.columns if x not in ("audit_id", "seq")]
-    met = issue_pages(issues, small).groupBy("audit_id", "issue_id").agg(
+    met = issue_pages(issues, small, k).groupBy("audit_id", "issue_id").agg(
         F.array_sort(F.collect_list(F.struct("nth", F.struct(*fields).alias("page"))))["page"].alias("affected_pages"))
     out = issues.join(met, ["audit_id", "issue_id"], "left").withColumn(
         "affected_page_count", F.coalesce(F.size("affected_pages"), F.lit(0)))

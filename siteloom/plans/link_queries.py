@@ -75,7 +75,7 @@ def q_summary(spark, sf_dir):
     return links.link_analysis_summary(pages, roots, found, skipped)
 
 
-@query("semantic_links", f"""WITH {PROFILE}, emb AS (SELECT prof.*, list_transform(e.embedding::DOUBLE[], lambda x: abs(x)) AS v FROM prof JOIN {{embeddings}} e ON e.vec_id = prof.seq),
+SEMANTIC = f"""{PROFILE}, emb AS (SELECT prof.*, list_transform(e.embedding::DOUBLE[], lambda x: abs(x)) AS v FROM prof JOIN {{embeddings}} e ON e.vec_id = prof.seq),
  enh AS (SELECT s.audit_id, s.source_id, s.target_id, s.source_url, s.target_url, 0 AS added, s.score AS base,
    CASE WHEN a.v IS NOT NULL AND b.v IS NOT NULL THEN floor(greatest(0, list_cosine_similarity(a.v, b.v)) * 100 + 0.5) END AS sem FROM sugg s LEFT JOIN emb a ON a.audit_id = s.audit_id AND a.seq = s.source_id
    LEFT JOIN emb b ON b.audit_id = s.audit_id AND b.seq = s.target_id),
@@ -88,19 +88,34 @@ def q_summary(spark, sf_dir):
  top AS (SELECT *, row_number() OVER (PARTITION BY audit_id, target_id ORDER BY sem DESC, source_id) AS k FROM opn2),
  addn AS (SELECT audit_id, source_id, target_id, source_url, target_url, 1 AS added, least(100, floor(sem * 0.88::DOUBLE + CASE WHEN sw >= 150 THEN 8 ELSE 0 END + 0.5)) AS score
    FROM top WHERE k <= CASE WHEN incoming_links = 0 THEN 3 ELSE 2 END),
- allr AS (SELECT *, row_number() OVER (PARTITION BY audit_id ORDER BY score DESC, source_url, added, target_id) AS position FROM (SELECT * FROM enh2 UNION ALL SELECT * FROM addn))
- SELECT audit_id, source_url, target_url, CAST(score AS INT) AS score, added, CAST(position AS INT) AS position FROM allr""")
-def q_semantic(spark, sf_dir):
+ allr AS (SELECT *, row_number() OVER (PARTITION BY audit_id ORDER BY score DESC, source_url, added, target_id) AS position FROM (SELECT * FROM enh2 UNION ALL SELECT * FROM addn))"""
+
+
+def semantic_results(spark, sf_dir):
+    """Suggestions and skipped targets after blending in the vectors."""
     (found, skipped), pages, roots, edges = base_links(spark, sf_dir)
     # Components without their sign: close enough to each other for pairs to be added.
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("seq"), F.transform(
         F.col("embedding").cast("array<double>"), F.abs).alias("vector"))
     placed = pages.select("audit_id", "seq").join(vectors, "seq")
     pages = pages.withColumn("anchor_text", U.anchor_text(F.col("h1"), F.col("title"), F.col("url")))
-    out, _ = semantic.semantic_links(found, skipped, pages, roots, edges, placed)
+    return semantic.semantic_links(found, skipped, pages, roots, edges, placed)
+
+
+@query("semantic_links", f"WITH {SEMANTIC} SELECT audit_id, source_url, target_url, CAST(score AS INT) AS score, added, CAST(position AS INT) AS position FROM allr")
+def q_semantic(spark, sf_dir):
+    out, _ = semantic_results(spark, sf_dir)
     return out.select("audit_id", "source_url", "target_url", "score", "added", "position")
 
 
+@query("semantic_skipped", f"""WITH {SEMANTIC} SELECT t.audit_id, t.url AS target_url FROM prof t ANTI JOIN kept k ON k.audit_id = t.audit_id AND k.target_id = t.seq
+ ANTI JOIN allr a ON a.audit_id = t.audit_id AND a.target_url = t.url WHERE t.inner_page AND t.incoming_links < 3""".replace("ANTI JOIN allr", "ANTI JOIN (SELECT DISTINCT audit_id, target_url FROM allr)"))
+def q_semantic_skipped(spark, sf_dir):
+    """Targets that neither tokens nor vectors have found a source for."""
+    _, left = semantic_results(spark, sf_dir)
+    return left.select("audit_id", "target_url")
+
+
 @query("page_documents", r"""SELECT audit_id, seq, (concat('title: ', CASE WHEN title = '' THEN 'none' ELSE title END, ' | headings: ', CASE WHEN h1 = '' THEN 'none' ELSE h1 END,
  ' | description: ', CASE WHEN description = '' THEN 'none' ELSE description END, ' | path: ', regexp_replace(regexp_extract(url, '^https?://[^/]*(/.*)$', 1), '[-_]', ' ', 'g'))) AS document FROM {fx_pages}""")
 def q_documents(spark, sf_dir):

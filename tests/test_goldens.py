@@ -1,6 +1,7 @@
 """Small literal inputs with known answers."""
 
 import datetime as dt
+import json
 
 from pyspark.sql import functions as F
 
@@ -266,6 +267,12 @@ def test_parse_recommendations(spark):
     row = one(good)
     assert (row.summary, row.why_it_matters, row.verification, row.code) == ("s", "w", ["a", "b"], None)
     assert {r.i: r.reject_reason for r in bad.collect()} == {1: "invalid-json", 2: "missing-fields"}
+    long = {"summary": "s" * 2001, "whyItMatters": "w" * 4001, "implementation": "i" * 8001, "code": "c" * 12001, "verification": ["v"] * 9}
+    text = spark.createDataFrame([(0, json.dumps(long))], "i int, raw string")
+    whole = one(recommendations.parse_recommendations(text, "raw")[0])
+    assert [len(whole[k]) for k in ("summary", "why_it_matters", "implementation", "code", "verification")] == [2001, 4001, 8001, 12001, 9]
+    cut = one(recommendations.parse_recommendations(text, "raw", recommendations.LIMITS, 8)[0])
+    assert [len(cut[k]) for k in ("summary", "why_it_matters", "implementation", "code", "verification")] == [2000, 4000, 8000, 12000, 8]
 
 
 def test_cosine(spark):
