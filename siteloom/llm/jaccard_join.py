@@ -7,14 +7,16 @@ documents), so shared passages seldom fall into that part. Any order gives the s
 
 1. one pass over the texts: class, size, and the counters
 2. second pass: the leading n-grams of every class, shuffled by n-gram; a class stays where another one fits by size and place
-3. third pass: 512-bit parity signatures of the classes that are left, found through a bit filter of ``FILTER_BITS`` bits
+3. third pass: parity signatures of the classes that are left, found through a bit filter of ``FILTER_BITS`` bits. A signature
+   has two bits or more for each n-gram, 512 to 4096 in all; a longer one folds onto a shorter one
 4. for each n-gram, pairs of its classes, in blocks, are discarded by bounds: on size, on the overlap that places of the
    shared n-gram leave, and on the overlap that the signatures leave (all upper bounds of the true overlap)
-5. fourth pass: the whole sets of the classes in pairs, which are counted exactly: |intersection| and |union|
+5. another pass: the whole sets of the classes in pairs, which are counted exactly: |intersection| and |union|
 6. connected components
 
-Steps 4 to 6 run twice. First, classes that share an n-gram with more than SMALL others name one partner for it, so a large group
-of near copies gives a few edges a class, not all pairs. The second turn names every remaining pair whose classes are still apart.
+Steps 4 to 6 run in three turns, each over classes that are still apart. In the first, a class stands only in the run of the n-gram
+that most classes share with it and names one partner there, which joins a large group of near copies with one pair a class. In the
+second it names one partner for every run of more than SMALL classes; the third names every remaining pair.
 A pair that is never named is either below the bounds or within one component, so no link between components is lost.
 
 Defined cases: null and empty texts and texts without words have no n-grams, size 0 and are linked with nothing; a text of
@@ -32,6 +34,8 @@ from siteloom.llm.textkit import LOWER, mix, shingle_hashes, span_hash, text_sli
 from siteloom.session import stage
 
 BUCKETS, FILTER_BITS, SMALL, BLOCK = 1 << 16, 1 << 23, 4, 512
+#: Least and most words of 64 bits of a signature, and how many of them are compared at once.
+NARROW, WIDE, AT_ONCE = 8, 64, 1 << 21
 
 
 def sets_of(column: pa.Array, k: int):
@@ -162,15 +166,18 @@ def has_partner(token: np.ndarray, n: np.ndarray, pos: np.ndarray, percent: int)
 
 
 def shared(rows: DataFrame, percent: int) -> DataFrame:
-    """The rows that another class of their token may match by size and place, each once."""
+    """The rows that another class of their token may match by size and place, each once, and their number (run)."""
     def work(table):
         token, node, n, pos = (table.column(c).to_numpy().astype(np.int64) for c in ("token", "node", "n", "pos"))
         order = np.lexsort((node, n, token))
         order = order[np.concatenate([[True], (token[order[1:]] != token[order[:-1]]) | (node[order[1:]] != node[order[:-1]])])]
-        yield from table.take(pa.array(order[has_partner(token[order], n[order], pos[order], percent)])).to_batches()
+        order = order[has_partner(token[order], n[order], pos[order], percent)]
+        _, at, many = np.unique(token[order], return_inverse=True, return_counts=True)
+        left = table.take(pa.array(order))
+        yield from left.append_column("run", pa.array(many[at].astype(np.int32), pa.int32())).to_batches()
 
     return rows.repartition("token").sortWithinPartitions("token").mapInArrow(
-        lambda batches: by_token(batches, work), "token long, node long, n int, pos int")
+        lambda batches: by_token(batches, work), "token long, node long, n int, pos int, run int")
 
 
 def node_bits(nodes: DataFrame) -> np.ndarray:
@@ -204,30 +211,70 @@ def filtered_sets(docs: DataFrame, text: str, k: int, nodes: DataFrame, column:
 
 
 def parity(grams: np.ndarray) -> bytes:
-    """A 512-bit signature; the distance of two is at most the size of the sets' symmetric difference."""
-    spot = (mix(grams) >> np.uint64(55)).astype(np.int64)
-    return np.packbits(np.bincount(spot, minlength=512).astype(np.uint8) & 1).tobytes()
+    """A signature; the distance of two, folded to one width, is at most the size of the sets' symmetric difference."""
+    width = 64 * min(WIDE, max(NARROW, 1 << (2 * len(grams) - 1).bit_length() >> 6))
+    spot = (mix(grams) & np.uint64(width - 1)).astype(np.int64)
+    return np.packbits(np.bincount(spot, minlength=width).astype(np.uint8) & 1).tobytes()
+
+
+class Signatures:
+    """The signatures of a table's rows at every width that they have or fold to."""
+
+    def __init__(self, column: pa.ChunkedArray):
+        cells = column.to_pylist()
+        self.words = np.array([len(c) >> 3 for c in cells], np.int64)
+        self.sheets, self.spots = {}, {}
+        width, wider = WIDE, None
+        while width >= NARROW:
+            own = np.flatnonzero(self.words == width)
+            sheet = np.frombuffer(b"".join(cells[i] for i in own), np.uint64).reshape(-1, width)
+            rows = own
+            if wider is not None:
+                folded = self.sheets[2 * width]
+                sheet, rows = np.concatenate([sheet, folded[:, :width] ^ folded[:, width:]]), np.concatenate([own, wider])
+            self.sheets[width], self.spots[width] = sheet, np.full(len(cells), -1)
+            self.spots[width][rows] = np.arange(len(rows))
+            width, wider = width >> 1, rows
+
+    def apart(self, x: np.ndarray, y: np.ndarray, width: int) -> np.ndarray:
+        """Distances of rows x and y at a width that both have or fold to."""
+        sheet, spot, out = self.sheets[width], self.spots[width], np.empty(len(x), np.int64)
+        step = max(1, AT_ONCE // width)
+        for a in range(0, len(x), step):
+            out[a:a + step] = np.bitwise_count(sheet[spot[x[a:a + step]]] ^ sheet[spot[y[a:a + step]]]).sum(1, dtype=np.int64)
+        return out
+
+    def spare(self, x: np.ndarray, y: np.ndarray, most: np.ndarray) -> np.ndarray:
+        """By how much the distance of rows x and y stays below ``most`` at the least width and, if it does, at the common one."""
+        left = most - self.apart(x, y, NARROW)
+        common = np.minimum(self.words[x], self.words[y])
+        for width in np.unique(common[(left >= 0) & (common > NARROW)]).tolist():
+            at = np.flatnonzero((left >= 0) & (common == width))
+            left[at] = most[at] - self.apart(x[at], y[at], width)
+        return left
 
 
 def named_pairs(rows: DataFrame, percent: int, everyone: bool) -> DataFrame:
     """Distinct (a, b), a > b, that no bound rules out, of rows token, node, n, pos, bits, comp whose comps differ.
 
-    With ``everyone`` all of them, otherwise one partner for each class in a run of more than SMALL classes.
+    With ``everyone`` all of them, otherwise one partner for each class in a run of more than SMALL classes: the one whose signature
+    is nearest among the first block that has any.
     """
     def passing(t, i, j):
+        """1 and the spare distance of each pair that no bound rules out, else 0."""
         n, m = t["n"][i], t["n"][j]
         least = needed(n, m, percent)
         fits = (t["comp"][i] != t["comp"][j]) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
         fits &= np.minimum(n - t["pos"][i], m - t["pos"][j]) >= least
         at = np.flatnonzero(fits.ravel())
         x, y = np.broadcast_to(i, fits.shape).ravel()[at], np.broadcast_to(j, fits.shape).ravel()[at]
-        apart = np.bitwise_count(t["bits"][x] ^ t["bits"][y]).sum(1, dtype=np.int64)
-        fits.ravel()[at] = (t["n"][x] + t["n"][y] - apart) // 2 >= least.ravel()[at]
-        return fits
+        score = np.zeros(fits.shape, np.int64)
+        score.ravel()[at] = np.maximum(1 + t["bits"].spare(x, y, t["n"][x] + t["n"][y] - 2 * least.ravel()[at]), 0)
+        return score
 
     def work(table):
         t = {c: table.column(c).to_numpy().astype(np.int64) for c in ("token", "node", "n", "pos", "comp")}
-        t["bits"] = np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint64).reshape(-1, 8)
+        t["bits"] = Signatures(table.column("bits"))
         first = np.flatnonzero(np.concatenate([[True], t["token"][1:] != t["token"][:-1]]))
         size = np.diff(np.append(first, len(t["token"])))
         left, right = [], []
@@ -236,7 +283,7 @@ def named_pairs(rows: DataFrame, percent: int, everyone: bool) -> DataFrame:
             heads = first[size == s]
             for a in range(0, len(heads), max(1, 200_000 // len(u))):
                 i, j = (heads[a:a + max(1, 200_000 // len(u)), None] + u).ravel(), (heads[a:a + max(1, 200_000 // len(u)), None] + v).ravel()
-                ok = passing(t, i, j)
+                ok = passing(t, i, j) > 0
                 left.append(i[ok])
                 right.append(j[ok])
         for head, s in zip(first[size > SMALL].tolist(), size[size > SMALL].tolist()):
@@ -246,12 +293,12 @@ def named_pairs(rows: DataFrame, percent: int, everyone: bool) -> DataFrame:
                 for b in range(head, a + 1, BLOCK):
                     j = np.arange(b, min(b + BLOCK, head + s))
                     mine = i[open_rows]
-                    ok = passing(t, mine[:, None], j[None, :]) & (j[None, :] < mine[:, None])
+                    score = passing(t, mine[:, None], j[None, :]) * (j[None, :] < mine[:, None])
                     if everyone:
-                        x, y = np.nonzero(ok)
+                        x, y = np.nonzero(score)
                     else:
-                        x = np.flatnonzero(ok.any(1))
-                        y = ok[x].argmax(1)
+                        x = np.flatnonzero(score.any(1))
+                        y = score[x].argmax(1)
                         open_rows[np.flatnonzero(open_rows)[x]] = False
                     left.append(mine[x])
                     right.append(j[y])
@@ -292,17 +339,20 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, p
     measured = measure(docs, key, text, k)
     rows = measured.filter("bucket is null").select("key", "n", "node")
     candidates = stage(shared(leading(docs, text, k, percent, frequency_classes(measured)), percent))
-    signed = stage(candidates.join(stage(filtered_sets(docs, text, k, candidates, "bits", parity)), "node"))
-    tried = stage(named_pairs(signed.withColumn("comp", F.col("node")), percent, everyone=False))
+    marks = stage(filtered_sets(docs, text, k, candidates, "bits", parity))
+    signed = stage(candidates.drop("run").join(marks, "node"))
+    busiest = candidates.groupBy("node").agg(F.max(F.struct("run", "token", "n", "pos")).alias("at")).select("node", "at.token", "at.n", "at.pos")
+    tried = stage(named_pairs(busiest.join(marks, "node").withColumn("comp", F.col("node")), percent, everyone=False))
     roots = stage(components(stage(verified(tried, docs, text, k, percent))))
-
-    # Second turn: classes still apart, over the n-grams that more than one component has.
-    labelled = signed.join(roots.withColumnRenamed("node", "nd"), F.col("node") == F.col("nd"), "left").withColumn("comp", F.coalesce("root", "node")).drop("nd", "root")
-    mixed = labelled.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("token")
-    rest = stage(named_pairs(labelled.join(mixed, "token", "left_semi"), percent, everyone=True).join(tried, ["a", "b"], "left_anti"))
-    if not rest.isEmpty():
-        more = stage(verified(rest, docs, text, k, percent))
-        roots = stage(components(more.union(roots.filter("node <> root").select("node", "root"))))
+    for everyone in (False, True):
+        # Classes still apart, over the n-grams that more than one component has.
+        labelled = signed.join(roots.withColumnRenamed("node", "nd"), F.col("node") == F.col("nd"), "left").withColumn("comp", F.coalesce("root", "node")).drop("nd", "root")
+        mixed = labelled.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("token")
+        rest = stage(named_pairs(labelled.join(mixed, "token", "left_semi"), percent, everyone).join(tried, ["a", "b"], "left_anti"))
+        if not rest.isEmpty():
+            more = stage(verified(rest, docs, text, k, percent))
+            roots = stage(components(more.union(roots.filter("node <> root").select("node", "root"))))
+            tried = stage(tried.union(rest))
 
     # A class's least key, then a component's; only classes travel, their many rows are combined first.
     least = rows.filter("node is not null").groupBy("node").agg(F.min("key").alias("low"))
@@ -321,9 +371,11 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int
     """
     row = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.xxhash64(text).alias("hash"))
     groups = link(docs.select(row.alias("row"), F.col(text).alias("text")), "row", "text", k, percent)
-    gone = stage(groups.filter(~F.col("row").eqNullSafe(F.col("component_id"))).select(F.col("row.key").alias("__gone"), F.col("row.hash").alias("__t")).distinct())
-    twice = stage(docs.groupBy(F.col(key).alias("__k"), F.xxhash64(text).alias("__t")).agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1"))
-    left = docs.join(gone, (F.xxhash64(docs[text]) == F.col("__t")) & docs[key].eqNullSafe(F.col("__gone")), "left_anti")
-    if twice.isEmpty():
-        return left
-    return left.withColumn("__h", F.xxhash64(text)).dropDuplicates([key, "__h"]).drop("__h")
+    gone = stage(groups.filter(~F.col("row").eqNullSafe(F.col("component_id"))).select(F.col("row.key").alias("key"), F.col("row.hash").alias("hash")).distinct())
+    # The columns travel in one struct, so that no name of theirs can clash.
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col(key).alias("k"), F.xxhash64(text).alias("h"))
+    twice = stage(held.groupBy("k", "h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
+    left = held.join(gone, (F.col("h") == F.col("hash")) & F.col("k").eqNullSafe(F.col("key")), "left_anti")
+    if not twice.isEmpty():
+        left = left.dropDuplicates(["k", "h"])
+    return left.select("doc.*")
