@@ -505,3 +505,53 @@ def test_rules_agree_with_labels(spark):
     rows = quality_rules.judge(docs, ["doc_id"]).join(labels, F.col("row.doc_id") == F.col("d"))
     counts = {(r["truth"], r["kept"]): r["n"] for r in rows.filter("not base_failed").groupBy("truth", "kept").agg(F.count("*").alias("n")).collect()}
     assert counts[1, True] >= 0.98 * (counts[1, True] + counts.get((1, False), 0)) and counts.get((0, True), 0) <= 0.2 * counts[0, False]
+
+
+def test_items_without_template_windows_are_found_word_by_word(spark):
+    items = [("short", "What is 3 plus 4?"), ("numbers", "12 34 56 78 90 12 34 56 78"), ("tiny", "Yes"), ("none", None), (None, "seven blue boats leave")]
+    filler = "the old mill stands near a quiet river and nobody walks there after dark".split()
+    rng = random.Random(3)
+    def around(text):
+        return " ".join([*rng.choices(filler, k=40), text, *rng.choices(filler, k=40)])
+    texts = [around(t) for _, t in items if t] + [around("What is 3 plus 5?"), around("12 34 56 78 90"), around("what is  3 PLUS 4"), None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    table = spark.createDataFrame(items, "item_id string, text string")
+
+    def plain(text):
+        return re.sub(r"[^\w\s]+", "", (text or "").lower()).split()
+
+    wanted = {(d, i) for d, t in enumerate(texts) for i, item in items if len(q := plain(item)) >= 3
+              and any(plain(t)[p:p + len(q)] == q for p in range(len(plain(t))))}
+    got = {(r["doc_id"], r["item_id"]) for r in templates.matches(df, table).collect()}
+    assert got == wanted and len(wanted) == 4
+    assert {r["item_id"] for r in templates.unsearched(table).collect()} == {"tiny", "none"}
+    kept = {r["doc_id"] for r in templates.decontaminate(df, table).collect()}
+    assert kept == set(range(len(texts))) - {d for d, _ in wanted}
+
+
+def test_columns_of_any_name_stay(spark):
+    rng = random.Random(4)
+    names = ["__h", "__t", "__gone", "__leak", "__id", "k", "h", "hash", "doc", "id", "key"]
+    texts = [*near_copies(rng, 6, 80, 2), None, "", "a b"]
+    df = spark.createDataFrame([(i, t, *range(len(names))) for i, t in enumerate(texts)], "doc_id long, text string, " + ", ".join(f"{n} long" for n in names))
+    items = spark.createDataFrame([("x", texts[3])], "item_id string, text string")
+    for out in (jaccard_join.one_of_each(df), templates.decontaminate(df, items)):
+        rows = out.collect()
+        assert out.columns == df.columns and len(rows) >= 3
+        assert all([r[n] for n in names] == list(range(len(names))) for r in rows)
+
+
+def test_wide_signatures_bound_the_overlap(monkeypatch):
+    """The spare distance never falls below zero for sets as similar as the threshold asks, at any mix of widths."""
+    rng = np.random.default_rng(5)
+    for size in (40, 300, 520, 1100, 2600):
+        base = rng.integers(0, 1 << 63, size, dtype=np.uint64)
+        sets = [base] + [np.unique(np.concatenate([base[rng.integers(0, drop + 1):], rng.integers(0, 1 << 63, drop, dtype=np.uint64)]))
+                         for drop in (1, size // 20, size // 12, size // 2)]
+        table = jaccard_join.Signatures(pa.chunked_array([[jaccard_join.parity(s) for s in sets]], type=pa.binary()))
+        x, y = (a.ravel() for a in np.indices((len(sets), len(sets))))
+        true = np.array([len(np.setxor1d(sets[i], sets[j])) for i, j in zip(x, y)])
+        for step in (1 << 21, 64):
+            monkeypatch.setattr(jaccard_join, "AT_ONCE", step)
+            assert (table.spare(x, y, true) >= 0).all()
+        assert (table.spare(x, y, np.zeros(len(x), np.int64))[x == y] == 0).all()
