@@ -38,39 +38,40 @@ def ms(at: int) -> int:
     return at // 1000
 
 
+def bucket_of(buckets: int, *keys: str) -> Column:
+    """The bucket of a key. Every group costs a batch some calls to the state, so many small keys share one."""
+    return F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int").alias("bucket")
+
+
 class RateWindows(StatefulProcessor):
-    """Calls per fixed window of one (key, share); a window leaves the state when the watermark passes its end."""
+    """Calls per key in one window of one share; the window leaves the state when the watermark passes its end."""
 
     def __init__(self, width_ms: int) -> None:
         self.width = width_ms
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.counts = handle.getMapState("counts", "start long", "count long")
+        self.counts = handle.getValueState("counts", "key array<string>, count array<long>")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        if pd.isna(key[0]):
-            return
-        watermark, seen = timerValues.getCurrentWatermarkInMs(), {}
+        share, start, seen = int(key[0]), int(key[1]), {}
         for pdf in rows:
-            for start, n in (pdf["at"] // 1000 // self.width * self.width).value_counts().items():
-                seen[int(start)] = seen.get(int(start), 0) + int(n)
-        out = []
-        for start, n in sorted(seen.items()):
-            late = start + self.width <= watermark
-            if not late:
-                if self.counts.containsKey((start,)):
-                    n += self.counts.getValue((start,))[0]
-                else:
-                    self.handle.registerTimer(start + self.width)
-                self.counts.updateValue((start,), (n,))
-            out.append((key[0], int(key[1]), start, n, late))
-        yield pd.DataFrame(out, columns=["key", "share", "start", "count", "late"])
+            for name, n in pdf["key"].value_counts().items():  # without null keys
+                seen[name] = seen.get(name, 0) + int(n)
+        if not seen:
+            return
+        late = start + self.width <= timerValues.getCurrentWatermarkInMs()
+        if not late:
+            held = dict(zip(*self.counts.get())) if self.counts.exists() else {}
+            if not held:
+                self.handle.registerTimer(start + self.width)
+            seen = {name: n + held.get(name, 0) for name, n in seen.items()}
+            held |= seen
+            self.counts.update((list(held), list(held.values())))
+        yield pd.DataFrame({"key": list(seen), "share": share, "start": start, "count": list(seen.values()), "late": late})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        start = expiredTimerInfo.getExpiryTimeInMs() - self.width
-        if self.counts.containsKey((start,)):
-            self.counts.removeKey((start,))
+        self.counts.clear()
         return iter([])
 
     def close(self) -> None:
@@ -81,11 +82,13 @@ def rate_limit_stream(events: DataFrame, key: str, width_ms: int = 3_600_000, sh
     """Running counts: key, share, window_start, count, late. ``events``: event_id, ``key``, ts.
 
     A key's calls are dealt out over ``shares`` by event, so that a hot key is many small groups; counts of the shares add up
-    (``rate_windows``). Calls of a window already closed come out as late, with their number in the batch.
+    (``rate_windows``). All keys of a share and window are one group. Calls of a window already closed come out as late, with their
+    number in the batch.
     """
     keyed_state(events.sparkSession)
-    rows = timed(events, F.col(key).alias("key"), F.pmod(F.xxhash64("event_id"), F.lit(shares)).cast("int").alias("share"))
-    out = rows.groupBy("key", "share").transformWithStateInPandas(
+    rows = timed(events, F.col(key).cast("string").alias("key"), F.pmod(F.xxhash64("event_id"), F.lit(shares)).cast("int").alias("share"))
+    rows = rows.withColumn("start", F.expr(f"(at - pmod(at, {width_ms * 1000}L)) div 1000"))
+    out = rows.groupBy("share", "start").transformWithStateInPandas(
         RateWindows(width_ms), "key string, share int, start long, count long, late boolean", "Update", "EventTime")
     return out.select(F.col("key").alias(key), "share", F.timestamp_millis("start").alias("window_start"), "count", "late")
 
@@ -103,134 +106,187 @@ def rate_windows(written: DataFrame, key: str, limit: int) -> DataFrame:
         "allowed", F.least("count", F.lit(limit)))
 
 
+WAITING = "at array<long>, event_id array<long>, owner_key array<string>, metric array<string>, amount array<int>"
+
+
 class QuotaAdmission(StatefulProcessor):
-    """Events of one (owner, month, metric) wait until the watermark has passed them, then are admitted in time order."""
+    """Events of one (month, bucket of owners and metrics) wait until the watermark has passed them, then are admitted in time order."""
+
+    FIELDS = ["at", "event_id", "owner_key", "metric", "amount"]
 
     def __init__(self, limits: dict[str, int]) -> None:
         self.limits = limits
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.used = handle.getValueState("used", "used long")
-        self.waiting = handle.getListState("waiting", "at long, event_id long, amount int")
+        self.used = handle.getValueState("used", "owner_key array<string>, metric array<string>, used array<long>")
+        self.waiting = handle.getListState("waiting", WAITING)
 
     def rows(self, key, held: list, verdicts: list, late: bool) -> pd.DataFrame:
-        admitted = pd.array(verdicts, dtype="boolean")
-        return pd.DataFrame({"event_id": [r[1] for r in held], "owner_key": key[0], "period": key[1], "metric": key[2],
-                             "amount": [r[2] for r in held], "admitted": admitted, "late": late})
+        _, event_id, owner, metric, amount = zip(*held)
+        return pd.DataFrame({"event_id": pd.array(event_id, dtype="Int64"), "owner_key": owner, "period": key[0], "metric": metric, "amount": amount,
+                             "admitted": pd.array(verdicts, dtype="boolean"), "late": late})
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        if pd.isna(key[0]):
-            return
-        watermark, late, held = timerValues.getCurrentWatermarkInMs(), [], []
+        watermark, least = timerValues.getCurrentWatermarkInMs(), None
         for pdf in rows:
-            for row in zip(pdf["at"].tolist(), pdf["event_id"].tolist(), pdf["amount"].tolist()):
-                (late if ms(row[0]) < watermark else held).append(row)
-        if held:
-            self.waiting.appendList(held)
-            self.handle.registerTimer(ms(min(held)[0]) + 1)
-        if late:
-            yield self.rows(key, late, [None] * len(late), True)
+            late, held = [], []
+            for row in zip(*(present(pdf[name]) for name in self.FIELDS)):
+                if row[2] is not None:
+                    (late if ms(row[0]) < watermark else held).append(row)
+            if held:
+                self.waiting.appendValue(tuple(map(list, zip(*held))))
+                least = min(r[0] for r in held) if least is None else min(least, min(r[0] for r in held))
+            if late:
+                yield self.rows(key, late, [None] * len(late), True)
+        if least is not None:
+            self.handle.registerTimer(ms(least) + 1)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         watermark = timerValues.getCurrentWatermarkInMs()
-        held = list(map(tuple, self.waiting.get())) if self.waiting.exists() else []
-        ripe = sorted(r for r in held if ms(r[0]) < watermark)
+        held = [row for chunk in self.waiting.get() for row in zip(*chunk)] if self.waiting.exists() else []
+        # by time and number, events without a number first
+        ripe = sorted((r for r in held if ms(r[0]) < watermark), key=lambda r: (r[0], r[1] is not None, r[1] or 0))
         rest = [r for r in held if ms(r[0]) >= watermark]
         if rest and ripe:
-            self.waiting.put(rest)
-            self.handle.registerTimer(ms(min(rest)[0]) + 1)
+            self.waiting.put([tuple(map(list, zip(*rest)))])
+            self.handle.registerTimer(ms(min(r[0] for r in rest)) + 1)
         elif ripe:
             self.waiting.clear()
-        if not held and watermark >= month_end_ms(key[1]):
+        if not held and watermark >= month_end_ms(key[0]):
             self.used.clear()  # nothing of this month can be in time any more
         if not ripe:
             return
-        used, verdicts = self.used.get()[0] if self.used.exists() else 0, []
-        for _, _, amount in ripe:
-            fits = used + amount <= self.limits[key[2]]
-            used += amount if fits else 0
+        used, verdicts = {}, []
+        if self.used.exists():
+            owners, metrics, sums = self.used.get()
+            used = dict(zip(zip(owners, metrics), sums))
+        for _, _, owner, metric, amount in ripe:
+            fits = used.setdefault((owner, metric), 0) + amount <= self.limits[metric]
+            used[owner, metric] += amount if fits else 0
             verdicts.append(fits)
-        self.used.update((used,))
-        self.handle.registerTimer(month_end_ms(key[1]))
+        self.used.update(([k[0] for k in used], [k[1] for k in used], list(used.values())))
+        self.handle.registerTimer(month_end_ms(key[0]))
         yield self.rows(key, ripe, verdicts, False)
 
     def close(self) -> None:
         pass
 
 
+def present(values: pd.Series) -> list:
+    """Values as a list, missing ones as None; a column of numbers with gaps comes as fractions."""
+    out = values.tolist()
+    if values.hasnans:
+        return [None if pd.isna(v) else int(v) if isinstance(v, float) else v for v in out]
+    return out
+
+
 def month_end_ms(period: str) -> int:
     return int((pd.Timestamp(f"{period}-01", tz="UTC") + pd.DateOffset(months=1)).timestamp() * 1000)
 
 
-def usage_quota_stream(events: DataFrame, limits: dict[str, int] | None = None) -> DataFrame:
+def usage_quota_stream(events: DataFrame, limits: dict[str, int] | None = None, buckets: int = 256) -> DataFrame:
     """Admission of each event against its (owner, month, metric) quota, in time order behind the watermark.
 
     ``events``: event_id, owner_key, metric, amount, ts. Returns event_id, owner_key, period, metric, amount, admitted, late. A late
-    row has no verdict and uses up nothing. The state of a key is what waits (an hour of events) and one sum until its month is over.
+    row has no verdict and uses up nothing. The state of a key is what waits (an hour of events) and one sum until its month is over;
+    the keys of a bucket are kept together.
     """
     keyed_state(events.sparkSession)
     amount = F.greatest(F.lit(1), F.floor("amount")).cast("int")
     rows = timed(events, "event_id", "owner_key", F.date_format("ts", "yyyy-MM").alias("period"), "metric", amount.alias("amount"))
-    return rows.groupBy("owner_key", "period", "metric").transformWithStateInPandas(
+    rows = rows.select("*", bucket_of(buckets, "owner_key", "metric"))
+    return rows.groupBy("period", "bucket").transformWithStateInPandas(
         QuotaAdmission(dict(limits or K.USAGE_LIMITS)),
         "event_id long, owner_key string, period string, metric string, amount int, admitted boolean, late boolean", "Append", "EventTime")
 
 
 class JobFold(StatefulProcessor):
-    """The newest event of one job. A running job that stays silent fails; a finished one leaves when no event can be older."""
+    """The newest event of each job of a bucket. A running job that stays silent fails; a finished one leaves when no event can be older."""
+
+    FIELDS = ["job_id", "seq", "status", "attempts", "at"]
 
     def __init__(self, stale_ms: int) -> None:
         self.stale = stale_ms
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("state", "seq long, status string, attempts int, at long")
+        self.state = handle.getValueState(
+            "state", "job_id array<long>, seq array<long>, status array<string>, attempts array<int>, at array<long>")
+
+    def held(self) -> dict[int, tuple]:
+        return {row[0]: row for row in zip(*self.state.get())} if self.state.exists() else {}
+
+    def due(self, row: tuple) -> int | None:
+        """When the watermark ends the wait for a job: a running one fails, a finished one leaves."""
+        if row[2] == "running":
+            return ms(row[4]) + self.stale + 1
+        return ms(row[4]) + 1 if row[2] in ("completed", "failed") else None
 
-    def row(self, key, seq: int, status: str, attempts: int, at: int, error: str | None = None, late: bool = False) -> pd.DataFrame:
-        return pd.DataFrame({"job_id": [int(key[0])], "status": [status], "attempts": [attempts], "seq": [seq], "at": [at], "error": [error], "late": [late]})
+    def keep(self, held: dict[int, tuple]) -> None:
+        """Store the jobs and one timer, for the first that is due."""
+        if held:
+            self.state.update(tuple(map(list, zip(*held.values()))))
+        else:
+            self.state.clear()
+        first = min((at for at in map(self.due, held.values()) if at is not None), default=None)
+        for timer in list(self.handle.listTimers()):
+            if timer != first:
+                self.handle.deleteTimer(timer)
+        if first is not None:
+            self.handle.registerTimer(first)
+
+    def rows(self, found: list[tuple], error: str | None = None, late: list | bool = False) -> pd.DataFrame:
+        jobs, seq, status, attempts, at = zip(*found)
+        return pd.DataFrame({"job_id": jobs, "status": status, "attempts": pd.array(attempts, dtype="Int32"), "seq": seq, "at": at,
+                             "error": error, "late": late})
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        if pd.isna(key[0]):
-            return
-        newest = max((row for pdf in rows for row in zip(pdf["seq"].tolist(), pdf["status"].tolist(), pdf["attempts"].tolist(), pdf["at"].tolist())),
-                     key=lambda r: r[0])
-        if self.state.exists():
-            if newest[0] <= self.state.get()[0]:
-                return
-        elif ms(newest[3]) < timerValues.getCurrentWatermarkInMs():
-            yield self.row(key, *newest, late=True)
+        newest = {}
+        for pdf in rows:
+            for row in zip(*(present(pdf[name]) for name in self.FIELDS)):
+                if row[0] is not None and (row[0] not in newest or row[1] > newest[row[0]][1]):
+                    newest[row[0]] = row
+        if not newest:
             return
-        self.state.update(newest)
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        if newest[1] == "running":
-            self.handle.registerTimer(ms(newest[3]) + self.stale + 1)
-        elif newest[1] in ("completed", "failed"):
-            self.handle.registerTimer(ms(newest[3]) + 1)
-        yield self.row(key, *newest)
+        watermark, held, found, late = timerValues.getCurrentWatermarkInMs(), self.held(), [], []
+        for job, row in newest.items():
+            if job in held and row[1] <= held[job][1]:
+                continue
+            late.append(job not in held and ms(row[4]) < watermark)
+            found.append(row)
+            if not late[-1]:
+                held[job] = row
+        if not all(late):
+            self.keep(held)
+        if found:
+            yield self.rows(found, late=late)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.state.exists():
-            seq, status, attempts, at = self.state.get()
-            self.state.clear()
-            if status == "running":
-                yield self.row(key, seq, "failed", attempts, at, K.STALE_MESSAGE)
+        watermark, held = timerValues.getCurrentWatermarkInMs(), self.held()
+        over = [row for row in held.values() if (self.due(row) or watermark + 1) <= watermark]
+        for row in over:
+            del held[row[0]]
+        if over:
+            self.keep(held)
+        silent = [(job, seq, "failed", attempts, at) for job, seq, status, attempts, at in over if status == "running"]
+        if silent:
+            yield self.rows(silent, K.STALE_MESSAGE)
 
     def close(self) -> None:
         pass
 
 
-def job_state_stream(events: DataFrame, stale_ms: int = K.STALE_MINUTES * 60_000) -> DataFrame:
+def job_state_stream(events: DataFrame, stale_ms: int = K.STALE_MINUTES * 60_000, buckets: int = 256) -> DataFrame:
     """The state of each job whenever it changes: job_id, status, attempts, seq, updated_at, error, late.
 
     ``events``: job_id, seq, status, attempts, ts. A running job whose last event lies more than ``stale_ms`` behind the watermark
     turns into a failed one. Finished and failed jobs leave the state once the watermark has passed them; an event that is
-    late by then comes out as such and changes nothing.
+    late by then comes out as such and changes nothing. The jobs of a bucket are kept together.
     """
     keyed_state(events.sparkSession)
-    rows = timed(events, "job_id", "seq", "status", "attempts")
-    out = rows.groupBy("job_id").transformWithStateInPandas(
+    rows = timed(events, "job_id", "seq", "status", "attempts", bucket_of(buckets, "job_id"))
+    out = rows.groupBy("bucket").transformWithStateInPandas(
         JobFold(stale_ms), "job_id long, status string, attempts int, seq long, at long, error string, late boolean", "Update", "EventTime")
     return out.select("job_id", "status", "attempts", "seq", F.timestamp_micros("at").alias("updated_at"), "error", "late")
 

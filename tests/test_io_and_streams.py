@@ -302,3 +302,21 @@ def test_history_lists(spark):
     assert history.owned_by(owned, spark.createDataFrame([(0, 1)], "owner int, project_id int")).count() == 1
     alerts = spark.createDataFrame([(1, None), (1, dt.datetime(2024, 1, 1))], "owner int, read_at timestamp")
     assert monitoring.unread_alerts(alerts).first().unread == 1
+
+
+def test_many_small_keys_share_groups_of_the_state(spark, tmp_path):
+    at = lambda h, m=0: dt.datetime(2024, 1, 1, h, m)
+    n = 1500
+    events = in_files(spark, tmp_path / "r", "event_id long, owner_key string, ts timestamp", [(i, f"u{i}", at(1, i % 60)) for i in range(n)])
+    written, state = drained(spark, streams.rate_limit_stream(events, "owner_key"), tmp_path / "r", "update")
+    assert written.count() == n and state <= 100  # one value and a timer a share
+    usage_rows = [(i, f"u{i % 700}", "audit_jobs", 1, at(1, i % 60)) for i in range(n)]
+    events = in_files(spark, tmp_path / "q", USAGE, usage_rows, [(None, None, None, None, at(9))])
+    written, state = drained(spark, streams.usage_quota_stream(events, {"audit_jobs": 2}, buckets=16), tmp_path / "q", "append")
+    want = {r.event_id: r.admitted for r in usage.usage_quota(spark.createDataFrame(usage_rows, USAGE), {"audit_jobs": 2}).collect()}
+    assert {r.event_id: r.admitted for r in written.collect()} == want and state <= 100
+    events = in_files(spark, tmp_path / "j", JOBS, [(i, i, "queued", 0, at(1)) for i in range(n)], [(i, n + i, "running", 1, at(2)) for i in range(0, n, 2)],
+                      [(None, None, None, None, at(9))])
+    written, state = drained(spark, streams.job_state_stream(events, buckets=16), tmp_path / "j", "update")
+    got = {r.job_id: r.status for r in streams.latest_jobs(written).collect()}
+    assert got == {i: "queued" if i % 2 else "failed" for i in range(n)} and state <= 100
