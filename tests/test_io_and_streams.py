@@ -320,3 +320,14 @@ def test_many_small_keys_share_groups_of_the_state(spark, tmp_path):
     written, state = drained(spark, streams.job_state_stream(events, buckets=16), tmp_path / "j", "update")
     got = {r.job_id: r.status for r in streams.latest_jobs(written).collect()}
     assert got == {i: "queued" if i % 2 else "failed" for i in range(n)} and state <= 100
+
+
+def test_an_issue_with_a_url_is_counted_in_one_row(spark):
+    rows = [(1, 5, 0, "a", "low", "T", "R", "https://e.com/1", None, "first"), (1, 6, 0, "a", "low", "T", "R", "https://e.com/1", " x ", "second"),
+            (1, 4, 0, "a", "low", "T", "R", None, "x", "earliest"), (1, 7, 0, "a", "low", "T", "R", "https://e.com/2", "", "last")]
+    issues = spark.createDataFrame(rows, "audit_id int, seq int, rule_no int, code string, severity string, title string, recommendation string, url string, "
+                                   "evidence string, description string")
+    parts = scoring.grouped_issue_parts(issues)
+    assert {(r.kind, r.value, r.n) for r in parts.collect()} == {("u", "https://e.com/1", 2), ("u", "https://e.com/2", 1), ("g", "", 1), ("e", "x", 2)}
+    g = scoring.group_issues(parts).first()
+    assert (g.n_issues, g.n_urls, g.n_evidence, g.url, g.description) == (4, 2, 1, "https://e.com/1", "2 crawled pages are affected. earliest")
