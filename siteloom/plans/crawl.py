@@ -2,14 +2,47 @@
 
 from __future__ import annotations
 
+import uuid
 from itertools import count
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from siteloom.functions import constants as K
 from siteloom.functions import urls as U
 from siteloom.operators.skew import bucketed_rank, first_per_key, top_per_key
-from siteloom.session import stage
+from siteloom.session import stage, staging_dir
+
+
+class Levels:
+    """The levels written so far, in few folders: ``width`` folders of one rank are written again as one of the next.
+
+    Reading them is one scan, whatever the depth, and a row is written once a rank.
+    """
+
+    def __init__(self, spark: SparkSession, width: int = 8) -> None:
+        self.spark, self.width, self.folders, self.schema = spark, width, [], None
+        self.base = f"{staging_dir(spark).rstrip('/')}/siteloom-{uuid.uuid4().hex}"
+
+    def read(self, paths: list[str]) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(*paths)
+
+    def write(self, rows: DataFrame, rank: int) -> DataFrame:
+        path = f"{self.base}/{uuid.uuid4().hex}"
+        rows.write.parquet(path)
+        self.folders.append((rank, path))
+        return self.read([path])
+
+    def add(self, level: DataFrame) -> DataFrame:
+        """Write a level and return it as written."""
+        self.schema = level.schema
+        written = self.write(level, 0)
+        while len(same := [f for f in self.folders if f[0] == self.folders[-1][0]]) == self.width:
+            self.folders = self.folders[:-self.width]
+            self.write(self.read([path for _, path in same]), same[0][0] + 1)
+        return written
+
+    def all(self) -> DataFrame:
+        return self.read([path for _, path in self.folders])
 
 
 def crawl_order(roots: DataFrame, links: DataFrame, captures: DataFrame, max_pages: int = 10,
@@ -30,13 +63,13 @@ def crawl_order(roots: DataFrame, links: DataFrame, captures: DataFrame, max_pag
     # sites whose URLs carry no query at all skip the variant bookkeeping
     guard = not links.filter(c("dst").contains("?")).isEmpty() or (
         seeds is not None and not seeds.filter(c("url").contains("?")).isEmpty())
-    state = None
+    state, levels = None, Levels(roots.sparkSession)
     for depth in count():
         queued = stage(_enqueue(offered, state, guard).join(captures, ["audit_id", "url"], "left"))
         if state is not None and queued.isEmpty():
             break
-        level = stage(_audit_level(queued, state, max_pages).withColumn("depth", F.lit(depth)))
-        state = level if state is None else state.unionByName(level)
+        level = levels.add(_audit_level(queued, state, max_pages).withColumn("depth", F.lit(depth)))
+        state = levels.all()
         offered = (level.filter(c("landed") & c("is_html")).select("audit_id", c(linked_by).alias("src"), c("seq").alias("parent"))
                    .join(links, ["audit_id", "src"]).filter("dst is not null")
                    .groupBy("audit_id", c("dst").alias("url")).agg(F.min(F.struct("parent", "position")).alias("at")))

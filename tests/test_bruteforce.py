@@ -10,7 +10,7 @@ from pyspark.sql import Window as W, functions as F
 from siteloom.functions.urls import normalize_link_url
 from siteloom.operators import findings, links, semantic, skew, usage
 from siteloom.operators.similarity import dealt_entries, prefix_entries, similar_pairs
-from siteloom.plans.crawl import crawl_order
+from siteloom.plans.crawl import Levels, crawl_order
 
 
 def test_bucketed_forms_equal_plain_windows(spark):
@@ -244,3 +244,13 @@ def test_leader_clusters(spark, monkeypatch, pairs_per_entry):
             heads.append(r)
         want[r.normalized] = best[1] if best else r.normalized
     assert got == want
+
+
+def test_crawl_state_is_one_scan_of_few_folders(spark):
+    levels = Levels(spark, width=3)
+    for depth in range(20):
+        written = levels.add(spark.createDataFrame([(depth, f"u{depth}")], "depth int, url string"))
+        assert [tuple(r) for r in written.collect()] == [(depth, f"u{depth}")]
+        assert len(levels.folders) <= 6
+    assert sorted(tuple(r) for r in levels.all().collect()) == [(i, f"u{i}") for i in range(20)]
+    assert "Union" not in levels.all()._jdf.queryExecution().toString()
