@@ -23,13 +23,17 @@ def url_part(u: Column, name: str) -> Column:
     return F.lower(c) if name in ("scheme", "host") else c
 
 
+#: In normal form already: a plain host, a path, nothing to trim. One test spares such URLs the chain of rewrites.
+_NORMAL = r"^https?://[a-z0-9.\-]+/[!-~]*\z"
+
+
 def absolute_url(u: Column) -> Column:
     """Case, port and empty-path normal form of an absolute http(s) URL, JVM side; null for anything else."""
     t = trim_ws(u)
     site = F.regexp_replace(F.lower(F.regexp_extract(t, r"^((?i:https?)://[^/?#]+)", 1)),
                             r"^(?:(https://.*?):443|(http://.*?):80|(.*?):?)$", "$1$2$3")
     rest = F.regexp_extract(t, r"(?s)^[A-Za-z]+://[^/?#]*(.*)$", 1)
-    return F.when(site != "", F.concat(site, F.when(rest.startswith("/"), "").otherwise("/"), rest))
+    return F.when(u.rlike(_NORMAL), u).when(site != "", F.concat(site, F.when(rest.startswith("/"), "").otherwise("/"), rest))
 
 
 def origin(u: Column) -> Column:
