@@ -326,7 +326,7 @@ def test_normal_urls_pass_by_one_test(spark):
     same = ["https://a.example.com/", "http://a-b.example/x/y?q=1&r=%20#f", "https://e.com/.."]
     changed = {"HTTPS://A.example.com/x": "https://a.example.com/x", "https://a.example.com": "https://a.example.com/", "https://e.com:443/x": "https://e.com/x",
                " https://e.com/x ": "https://e.com/x", "https://e.com/x\n": "https://e.com/x", "https://e.com/x y": "https://e.com/x y", "ftp://e.com/": None, None: None}
-    rows = spark.createDataFrame([(u,) for u in [*same, *changed]], "u string").select("u", urls.absolute_url(F.col("u")).alias("a"),
-                                                                                      F.col("u").rlike(urls._NORMAL).alias("n")).collect()
+    rows = spark.createDataFrame([(u,) for u in [*same, *changed]], "u string").select("u", U.absolute_url(F.col("u")).alias("a"),
+                                                                                      F.col("u").rlike(U._NORMAL).alias("n")).collect()
     assert {r.u: r.a for r in rows} == {u: u for u in same} | changed
     assert {r.u for r in rows if r.n} == set(same)
