@@ -37,54 +37,60 @@ def repair(ids: np.ndarray, ends: np.ndarray, base: int, least: int = LEAST) ->
     """(symbols, ends, rules). ``ends`` marks the last symbol of each document."""
     seq, rules = ids.astype(np.uint32), []
     room = (1 << 16) - base
-    while len(seq) > 1 and room > 0:
-        code = (seq[:-1] << np.uint32(16)) | seq[1:]
-        inner = ~ends[:-1]
+    alive = ~ends  # places of pairs that may still be frequent; a pair that is rare once never gets more places
+    while room > 0:
+        places = np.flatnonzero(alive[:-1])
+        if not len(places):
+            break
+        # Pairs in order of their code, the places of each in order.
+        ordered = np.sort((((seq[places] << np.uint32(16)) | seq[places + 1]).astype(np.uint64) << np.uint64(32)) | places.astype(np.uint64))
+        code, places = (ordered >> np.uint64(32)).astype(np.uint32), (ordered & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        fresh = np.concatenate([[True], code[1:] != code[:-1]])
+        cut = np.flatnonzero(fresh)
+        size = np.diff(np.append(cut, len(code)))
         # In a run of one pair (aaaa) every other place counts, as the others overlap.
-        counted, same = inner, inner[1:] & inner[:-1] & (code[1:] == code[:-1])
-        if same.any():
-            place = np.arange(len(code))
-            counted = inner & (((place - np.maximum.accumulate(np.where(np.append(False, same), 0, place))) & 1) == 0)
-        ordered = np.sort(code[counted])
-        if not len(ordered):
+        same = np.flatnonzero(~fresh[1:] & (places[1:] == places[:-1] + 1)) + 1
+        count = size
+        if len(same):
+            run = np.maximum.accumulate(np.where(np.append(-1, same[:-1]) + 1 != same, same, 0))
+            count = size - np.bincount(np.searchsorted(cut, same[((same - run) & 1) == 0], side="right") - 1, minlength=len(size))
+        if count.max() < least:
             break
-        cut = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-        count = np.diff(np.append(cut, len(ordered)))
         often = np.flatnonzero(count >= max(least, int(count.max()) // 16))
-        if not len(often) or count[often].max() < least:
-            break
         often = often[np.argsort(-count[often], kind="stable")][:room]
-        pairs = ordered[cut[often]]
-        by_code = np.argsort(pairs)
-        left, right = np.zeros(1 << 16, bool), np.zeros(1 << 16, bool)
-        left[pairs >> np.uint32(16)] = right[pairs & np.uint32(0xFFFF)] = True
-        maybe = np.flatnonzero(left[seq[:-1]] & right[seq[1:]] & inner)
-        at = np.minimum(np.searchsorted(pairs[by_code], code[maybe]), len(pairs) - 1)
-        hit = pairs[by_code][at] == code[maybe]
-        rank = np.full(len(code), len(pairs), np.int64)
-        rank[maybe[hit]] = by_code[at[hit]]
-        found = rank < len(pairs)
+        alive = np.zeros(len(seq), bool)
+        alive[places[np.repeat(count >= least, size)]] = True
+        order = np.full(len(cut), len(often))
+        order[often] = np.arange(len(often))
+        rank = np.repeat(order, size)
+        asked = rank < len(often)
+        ordered = np.sort((places[asked] << 16) | rank[asked])
+        spots, rank = ordered >> 16, ordered & 0xFFFF
         # A place is taken if its pair outranks both neighbours'; in a run of one pair (aaaa) every other place.
-        before, after = np.append(len(pairs), rank[:-1]), np.append(rank[1:], len(pairs))
-        place = np.arange(len(rank))
-        run = np.maximum.accumulate(np.where(rank != before, place, 0))
-        take = found & (((place - run) & 1) == 0) & (rank <= after)
-        take &= (rank < before) | ((rank == before) & np.append(np.zeros(2, bool), take[:-2]))
-        take[1:] &= ~take[:-1]
+        close = spots[1:] == spots[:-1] + 1
+        before, after = np.full(len(spots), len(often)), np.full(len(spots), len(often))
+        before[1:][close], after[:-1][close] = rank[:-1][close], rank[1:][close]
+        run = np.maximum.accumulate(np.where(rank != before, spots, 0))
+        take = (((spots - run) & 1) == 0) & (rank <= after)
+        take &= (rank < before) | ((rank == before) & np.append(np.zeros(2, bool), take[:-2])[:len(take)])
+        take[1:] &= ~(take[:-1] & close)
         # The leading pair gets all its places, so each round has a rule; the places of pairs left with too few stay for later ones.
-        enough = np.append(np.bincount(rank[take], minlength=len(pairs)) >= least, False)
+        enough = np.bincount(rank[take], minlength=len(often)) >= least
         take &= enough[rank]
         used = np.flatnonzero(enough)
-        name = np.full(len(pairs) + 1, 0, np.uint32)
+        name = np.zeros(len(often), np.uint32)
         name[used] = base + len(rules) + np.arange(len(used))
-        rules += pairs[used].tolist()
+        rules += code[cut[often[used]]].tolist()
         room -= len(used)
-        spots = np.flatnonzero(take)
-        seq[spots] = name[rank[spots]]
+        spots, rank = spots[take], rank[take]
+        seq[spots] = name[rank]
         ends[spots] = ends[spots + 1]
+        alive[spots] = alive[np.maximum(spots - 1, 0)] = True
         keep = np.ones(len(seq), bool)
         keep[spots + 1] = False
-        seq, ends = seq[keep], ends[keep]
+        keep = np.flatnonzero(keep)
+        seq, ends, alive = seq[keep], ends[keep], alive[keep]
+        alive &= ~ends
     codes = np.array(rules, np.uint32)
     return seq.astype(np.uint16), ends, np.stack([codes >> np.uint32(16), codes & np.uint32(0xFFFF)], 1).astype(np.uint16) if len(codes) else np.zeros((0, 2), np.uint16)
 
@@ -97,18 +103,20 @@ def rule_lengths(rules: np.ndarray, base: int) -> np.ndarray:
     return np.array(known[base:], np.uint32)
 
 
-def expand(symbols: np.ndarray, rules: np.ndarray, base: int) -> np.ndarray:
-    """The ids of a run of symbols, all nonterminals of a pass at once."""
-    out = symbols.astype(np.int64)
-    while len(deep := np.flatnonzero(out >= base)):
-        wide = np.ones(len(out), np.int64)
-        wide[deep] = 2
-        place = np.cumsum(wide) - wide
-        pairs = rules[out[deep] - base]
-        grown = np.empty(int(wide.sum()), np.int64)
-        grown[place] = out
-        grown[place[deep]], grown[place[deep] + 1] = pairs[:, 0], pairs[:, 1]
-        out = grown
+def expand(symbols: np.ndarray, rules: np.ndarray, base: int, lengths: np.ndarray | None = None) -> np.ndarray:
+    """The ids of a run of symbols, all nonterminals of a pass at once; each symbol's place follows from the lengths of those before."""
+    width = np.concatenate([np.ones(base, np.int64), rule_lengths(rules, base) if lengths is None else lengths.astype(np.int64)])
+    todo = symbols.astype(np.int64)
+    place = np.cumsum(width[todo])
+    out = np.empty(int(place[-1]) if len(place) else 0, np.int64)
+    place -= width[todo]
+    while len(todo):
+        done = todo < base
+        out[place[done]] = todo[done]
+        deep = np.flatnonzero(~done)
+        place, pairs = place[deep], rules[todo[deep] - base].astype(np.int64)
+        place = np.concatenate([place, place + width[pairs[:, 0]]])
+        todo = np.concatenate([pairs[:, 0], pairs[:, 1]])
     return out
 
 
@@ -121,7 +129,7 @@ def read_span(symbols: np.ndarray, rules: np.ndarray, lengths: np.ndarray, base:
     a = int(np.searchsorted(upto, start, side="right"))
     b = int(np.searchsorted(upto, stop, side="left")) + 1
     skipped = int(upto[a - 1]) if a else 0
-    return expand(symbols[a:b], rules, base)[start - skipped:stop - skipped]
+    return expand(symbols[a:b], rules, base, lengths)[start - skipped:stop - skipped]
 
 
 def write_ids(docs: DataFrame, path: str, name: str = "word_bpe_49k.json", joined: bool = False, end_id: int = 1, key: str = "doc_id",
@@ -189,7 +197,7 @@ def read_ids(spark, path: str, base: int, key: str = "doc_id") -> DataFrame:
             for i in range(len(batch)):
                 cell = lambda k, t: np.frombuffer(batch.column(k)[i].as_py(), t)  # noqa: E731, B023
                 keys, counts = batch.column("keys")[i].values, cell("counts", "<u4").astype(np.int64)
-                ids = expand(cell("symbols", "<u2"), cell("rules", "<u2").reshape(-1, 2).astype(np.int64), base).astype("<u4")
+                ids = expand(cell("symbols", "<u2"), cell("rules", "<u2").reshape(-1, 2), base, cell("lengths", "<u4")).astype("<u4")
                 stops = np.cumsum(counts)
                 raw = memoryview(ids.tobytes())
                 crc = [zlib.crc32(raw[4 * (b - n):4 * b]) for b, n in zip(stops.tolist(), counts.tolist())]
@@ -199,7 +207,7 @@ def read_ids(spark, path: str, base: int, key: str = "doc_id") -> DataFrame:
                      keys, pa.array(stops - counts), pa.array(counts), pa.array(crc, pa.int64())],
                     names=["shard", "segment", "key", "within", "n_tokens", "ids_crc32"])
 
-    rows = file.select("shard", "segment", "keys", "counts", "rules", "symbols").mapInArrow(
+    rows = file.select("shard", "segment", "keys", "counts", "rules", "lengths", "symbols").mapInArrow(
         decode, f"shard int, segment int, key {kind}, within long, n_tokens long, ids_crc32 long")
     return rows.join(starts, (F.col("shard") == F.col("s")) & (F.col("segment") == F.col("g"))).select(
         F.col("key").alias(key), (F.col("first") + F.col("within")).alias("start"), "n_tokens", "ids_crc32", "shard", "segment")

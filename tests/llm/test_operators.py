@@ -182,6 +182,23 @@ def test_repair_round_trip():
         assert width[symbols].sum() == n
 
 
+def test_repair_counts_only_pairs_that_may_still_be_frequent(monkeypatch):
+    rng = np.random.default_rng(11)
+    rare = rng.permutation(40_000).astype(np.uint16)  # no pair of these comes twice
+    often = rng.integers(0, 6, 2000).astype(np.uint16) + 40_000
+    ids = np.concatenate([rare, often])
+    ends = np.zeros(len(ids), bool)
+    ends[-1] = True
+    sorted_at, sort = [], np.sort
+    monkeypatch.setattr(np, "sort", lambda a, *args, **kw: (sorted_at.append(len(a)), sort(a, *args, **kw))[1])
+    symbols, _, rules = repair.repair(ids.copy(), ends.copy(), 49408)
+    monkeypatch.undo()
+    assert sorted_at[0] >= 41_000 and max(sorted_at[1:]) <= 2000
+    assert repair.expand(symbols, rules, 49408).tolist() == ids.tolist()
+    lengths = repair.rule_lengths(rules, 49408)
+    assert len(rules) > 50 and repair.expand(symbols, rules, 49408, lengths).tolist() == ids.tolist()
+
+
 def test_repair_goes_on_until_no_pair_pays():
     rng = np.random.default_rng(2)
     passage = rng.integers(0, 40_000, 600)
