@@ -124,6 +124,15 @@ def leading(docs: DataFrame, text: str, k: int, percent: int, classes: np.ndarra
     return docs.select(F.col(text).alias("text")).mapInArrow(scan, "token long, node long, n int, pos int")
 
 
+def dealt_by_token(rows: DataFrame, *order: str) -> DataFrame:
+    """Rows with whole runs of one token in one partition, sorted by token and ``order``.
+
+    Dealt by a hash of the token: Spark leaves out a repartition by a column that its input is already dealt by, and may then read
+    that input in pieces of a run (a join that turns into a broadcast, a skewed partition).
+    """
+    return rows.repartition(F.xxhash64("token")).sortWithinPartitions("token", *order)
+
+
 def by_token(batches, work):
     """Calls ``work`` on columns of whole runs of one token; rows come sorted by token. Yields its record batches."""
     held: list = []
@@ -176,7 +185,7 @@ def shared(rows: DataFrame, percent: int) -> DataFrame:
         left = table.take(pa.array(order))
         yield from left.append_column("run", pa.array(many[at].astype(np.int32), pa.int32())).to_batches()
 
-    return rows.repartition("token").sortWithinPartitions("token").mapInArrow(
+    return dealt_by_token(rows).mapInArrow(
         lambda batches: by_token(batches, work), "token long, node long, n int, pos int, run int")
 
 
@@ -309,8 +318,7 @@ def named_pairs(rows: DataFrame, percent: int, everyone: bool) -> DataFrame:
             pairs = np.unique(np.stack([np.maximum(x, y), np.minimum(x, y)], 1), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["a", "b"])
 
-    dealt = rows.repartition("token").sortWithinPartitions("token", "n", "node")
-    return dealt.mapInArrow(lambda batches: by_token(batches, work), "a long, b long").distinct()
+    return dealt_by_token(rows, "n", "node").mapInArrow(lambda batches: by_token(batches, work), "a long, b long").distinct()
 
 
 def verified(pairs: DataFrame, docs: DataFrame, text: str, k: int, percent: int) -> DataFrame:
@@ -340,15 +348,14 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, p
     rows = measured.filter("bucket is null").select("key", "n", "node")
     candidates = stage(shared(leading(docs, text, k, percent, frequency_classes(measured)), percent))
     marks = stage(filtered_sets(docs, text, k, candidates, "bits", parity))
-    signed = stage(candidates.drop("run").join(marks, "node"))
     busiest = candidates.groupBy("node").agg(F.max(F.struct("run", "token", "n", "pos")).alias("at")).select("node", "at.token", "at.n", "at.pos")
     tried = stage(named_pairs(busiest.join(marks, "node").withColumn("comp", F.col("node")), percent, everyone=False))
     roots = stage(components(stage(verified(tried, docs, text, k, percent))))
     for everyone in (False, True):
-        # Classes still apart, over the n-grams that more than one component has.
-        labelled = signed.join(roots.withColumnRenamed("node", "nd"), F.col("node") == F.col("nd"), "left").withColumn("comp", F.coalesce("root", "node")).drop("nd", "root")
+        # Classes still apart, over the n-grams that more than one component has; only what is left of these travels with its signature.
+        labelled = candidates.drop("run").join(roots.withColumnRenamed("node", "nd"), F.col("node") == F.col("nd"), "left").withColumn("comp", F.coalesce("root", "node")).drop("nd", "root")
         mixed = labelled.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("token")
-        rest = stage(named_pairs(labelled.join(mixed, "token", "left_semi"), percent, everyone).join(tried, ["a", "b"], "left_anti"))
+        rest = stage(named_pairs(labelled.join(mixed, "token", "left_semi").join(marks, "node"), percent, everyone).join(tried, ["a", "b"], "left_anti"))
         if not rest.isEmpty():
             more = stage(verified(rest, docs, text, k, percent))
             roots = stage(components(more.union(roots.filter("node <> root").select("node", "root"))))

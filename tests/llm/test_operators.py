@@ -167,6 +167,23 @@ def test_chunk_encoder_equals_the_library(name, joined):
     assert ids.tolist() == [x for e in whole for x in e.ids]
 
 
+def test_a_run_stays_whole_after_a_join_on_its_token(spark):
+    held = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "2000")  # below the estimate, above what the filter leaves
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # the pieces of a small table, each in a task
+        bits = jaccard_join.parity(np.arange(100, dtype=np.uint64))
+        rows = spark.range(0, 160, 1, 8).selectExpr("id % 16 AS token", "id AS node", "100 AS n", "0 AS pos", "id AS comp").withColumn("bits", F.lit(bits))
+        few = spark.range(0, 5000, 1, 4).selectExpr("id AS token").groupBy("token").agg(F.count("*").alias("c")).filter("c > 1 OR token < 16").select("token")
+        pairs = jaccard_join.named_pairs(rows.join(few, "token", "left_semi"), 80, True).collect()
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    assert sorted((r["a"], r["b"]) for r in pairs) == [(a, b) for a in range(160) for b in range(a) if (a - b) % 16 == 0]
+
+
 def test_repair_round_trip():
     rng = np.random.default_rng(1)
     for _ in range(200):
