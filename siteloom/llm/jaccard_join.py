@@ -26,6 +26,7 @@ fewer than k words is its whole sequence; repeated rows are of one class; an emp
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -219,6 +220,18 @@ def filtered_sets(docs: DataFrame, text: str, k: int, nodes: DataFrame, column:
     return found.groupBy("node").agg(F.first(column).alias(column))
 
 
+def split_by_hash(rows: DataFrame, column: str, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``rows`` whose ``column`` (long) is one of ``nodes`` (column node) or shares its bit in their filter, and all other rows."""
+    bits = node_bits(nodes)
+
+    def look(column: pd.Series) -> pd.Series:
+        spot = column.to_numpy() & (FILTER_BITS - 1)
+        return pd.Series(bits[spot >> 6] >> (spot & 63).astype(np.uint64) & np.uint64(1) == 1)
+
+    hit = F.pandas_udf(look, "boolean")(F.col(column))
+    return rows.filter(hit), rows.filter(~hit)
+
+
 def parity(grams: np.ndarray) -> bytes:
     """A signature; the distance of two, folded to one width, is at most the size of the sets' symmetric difference."""
     width = 64 * min(WIDE, max(NARROW, 1 << (2 * len(grams) - 1).bit_length() >> 6))
@@ -382,7 +395,9 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int
     # The columns travel in one struct, so that no name of theirs can clash.
     held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col(key).alias("k"), F.xxhash64(text).alias("h"))
     twice = stage(held.groupBy("k", "h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
-    left = held.join(gone, (F.col("h") == F.col("hash")) & F.col("k").eqNullSafe(F.col("key")), "left_anti")
+    # Only rows whose text may be gone or stand twice are shuffled; all others stay where they are read.
+    doubtful, rest = split_by_hash(held, "h", gone.select(F.col("hash").alias("node")).union(twice.select("h")))
+    left = doubtful.join(gone, (F.col("h") == F.col("hash")) & F.col("k").eqNullSafe(F.col("key")), "left_anti")
     if not twice.isEmpty():
         left = left.dropDuplicates(["k", "h"])
-    return left.select("doc.*")
+    return left.select("doc.*").union(rest.select("doc.*"))

@@ -423,6 +423,18 @@ def test_one_of_each_group_stays(landed, odd):
         assert collections.Counter(r["doc_id"] for r in left.select("doc_id").collect()) == collections.Counter(keep)
 
 
+def test_only_doubtful_texts_travel(spark):
+    """Rows whose text is neither gone nor there twice take no part in the last join, however large both sides are."""
+    rows = spark.range(3000).select("id", F.xxhash64("id").alias("h"))
+    named = rows.filter("id % 100 = 0")
+    doubtful, rest = jaccard_join.split_by_hash(rows, "h", named.select(F.col("h").alias("node")))
+    hit, free = ([r["id"] for r in part.collect()] for part in (doubtful, rest))
+    assert sorted(hit + free) == list(range(3000))
+    assert {i for i in range(3000) if i % 100 == 0} <= set(hit) and len(hit) < 60
+    none, every = jaccard_join.split_by_hash(rows, "h", named.limit(0).select(F.col("h").alias("node")))
+    assert none.count() == 0 and every.count() == 3000
+
+
 def test_null_and_reused_keys_count_with_their_text(spark):
     rng = random.Random(9)
     base = [[f"{x}{rng.randint(0, 10 ** 6)}" for _ in range(80)] for x in "ab"]
