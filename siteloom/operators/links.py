@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from siteloom.functions import constants as K
 from siteloom.functions import text as X
 from siteloom.functions import urls as U
-from siteloom.operators.skew import bucketed_rank, top_per_key
+from siteloom.operators.skew import bucketed_rank, spread, top_per_key
 from siteloom.session import stage
 
 PAIR = ["audit_id", "target_id"]
@@ -80,12 +80,11 @@ def link_candidates(profile: DataFrame, roots: DataFrame, existing: DataFrame, h
         flagged = (profile.select("audit_id", "seq", F.explode_outer("tokens").alias("token"))
                    .join(hot.withColumn("hot", F.lit(True)), ["audit_id", "token"], "left")
                    .groupBy("audit_id", "seq").agg(F.array_sort(F.collect_list(F.when(c("hot"), c("token")))).alias("hots")))
-        pages = stage(profile.join(flagged, ["audit_id", "seq"]).withColumn("n", F.size("tokens")))
-        weak = stage(_targets(pages, roots).filter("incoming_links < 3").join(blocked, ["audit_id", "norm"], "left")
-                     .withColumn("busy", F.coalesce("blocked", F.lit(0)) > SPARE))
+        pages = stage(spread(profile.join(flagged, ["audit_id", "seq"]).withColumn("n", F.size("tokens")), "audit_id", "seq"))
+        weak = stage(spread(_targets(pages, roots).filter("incoming_links < 3").join(blocked, ["audit_id", "norm"], "left")
+                            .withColumn("busy", F.coalesce("blocked", F.lit(0)) > SPARE), "audit_id", "seq"))
         wanted = F.when(c("busy"), c("tokens")).otherwise(F.array_except("tokens", "hots"))
-        pairs = (_rare_pairs(weak, pages, wanted).unionByName(_frequent_pairs(weak, pages))
-                 .groupBy("audit_id", "target_id", "source_id")
+        pairs = (_by_pair(_rare_pairs(weak, pages, wanted).unionByName(_frequent_pairs(weak, pages)))
                  .agg(F.max("shared").alias("shared"), *[F.first(x).alias(x) for x in PAIR_COLUMNS if x not in (
                      "audit_id", "target_id", "source_id", "shared")]))
     scored = pairs.withColumn("score", link_score(c("shared"), c("target_n"), (c("target_parent") != "")
@@ -113,6 +112,15 @@ def _source_columns() -> list:
             c("parent").alias("source_parent"), c("bonus")]
 
 
+def _by_pair(rows: DataFrame):
+    """groupBy (audit_id, target_id, source_id) behind one number of both pages, for their texts make the aggregate sort.
+
+    Its comparisons then end at the first 64 bits, which audit_id (few values) would not, and rows of a target stay together.
+    """
+    both = F.shiftleft("target_id", 24).bitwiseOR(F.col("source_id").bitwiseAND(F.lit(0xFFFFFF)))
+    return rows.withColumn("__pair", both).groupBy("__pair", "audit_id", "target_id", "source_id")
+
+
 def _rare_pairs(weak: DataFrame, pages: DataFrame, wanted: Column) -> DataFrame:
     """Target-source pairs that meet through one of the target's wanted tokens, with all their shared tokens counted."""
     c = F.col
@@ -120,7 +128,7 @@ def _rare_pairs(weak: DataFrame, pages: DataFrame, wanted: Column) -> DataFrame:
     holders = pages.select("audit_id", *_source_columns(), c("hots").alias("source_hots"), F.explode("tokens").alias("token"))
     met = seekers.join(holders, ["audit_id", "token"]).filter(c("source_norm") != c("target_norm"))
     carried = [x for x in PAIR_COLUMNS if x not in ("audit_id", "target_id", "source_id", "shared")]
-    counted = met.groupBy("audit_id", "target_id", "source_id").agg(
+    counted = _by_pair(met).agg(
         F.count(F.lit(1)).alias("k"), *[F.first(x).alias(x) for x in (*carried, "busy", "target_hots", "source_hots")])
     frequent = F.when(c("busy"), 0).otherwise(F.size(F.array_intersect("source_hots", "target_hots")))
     return counted.withColumn("shared", c("k") + frequent).select(*PAIR_COLUMNS)
@@ -154,7 +162,7 @@ def internal_links(pages: DataFrame, roots: DataFrame, links: DataFrame, compat:
     it is None); targets reached before that without any candidate are the skipped ones. ``links``: audit_id, src, dst.
     """
     c = F.col
-    profile = stage(page_profile(pages, compat))
+    profile = stage(page_profile(spread(pages, "audit_id", "seq"), compat))
     existing = stage(links.select("audit_id", U.normalize_link_url(c("src")).alias("src_norm"),
                             U.normalize_link_url(c("dst")).alias("dst_norm")).distinct())
     roots = stage(roots.select("audit_id", "root_url"))

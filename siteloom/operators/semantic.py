@@ -60,11 +60,20 @@ def _best_sources(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         cosine = _unit(targets["vector"], dim) @ _unit(sources["vector"], dim).T
         cosine[targets["vector"].map(len).to_numpy()[:, None] != sources["vector"].map(len).to_numpy()] = 0
         score = np.floor(np.maximum(cosine, 0) * 100 + 0.5).astype(int)
-        norms, seqs = sources["norm"].to_numpy(), sources["seq"].to_numpy()
-        for row, seq, norm, taken in zip(score, targets["seq"], targets["norm"], targets["taken"]):
-            open_ = np.flatnonzero((row >= MIN_SIMILARITY) & (norms != norm) & ~np.isin(norms, list(taken)))
-            best = open_[np.argsort(-row[open_], kind="stable")[:3]]
-            out += [(key[0], seq, seqs[i], int(row[i])) for i in best]
+        seqs, wanted = sources["seq"].to_numpy(), targets["seq"].to_numpy()
+        # what is closed to a target: pages of its own normal URL and those that link already
+        names = pd.factorize(pd.concat([sources["norm"], targets["norm"]]))[0]
+        score[names[len(sources):, None] == names[:len(sources)]] = -1
+        places = sources.groupby("norm", sort=False).indices
+        for row, taken in enumerate(targets["taken"]):
+            for norm in taken:
+                score[row, places.get(norm, [])] = -1
+        rows = np.arange(len(targets))
+        for _ in range(3):  # the first of the highest scores is that of the least seq
+            best = score.argmax(axis=1)
+            top = score[rows, best]
+            out += [(key[0], wanted[i], seqs[best[i]], int(top[i])) for i in np.flatnonzero(top >= MIN_SIMILARITY)]
+            score[rows, best] = -1
     return pd.DataFrame(out, columns=["audit_id", "target_id", "source_id", "semantic"])
 
 

@@ -167,6 +167,35 @@ def test_semantic_blocks(spark):
         assert {(r.source_id, r.target_id) for r in out.collect()} == want
 
 
+def test_best_sources_of_a_block():
+    """Three sources a target, equal scores by seq; neither a variant of its own URL nor a page that links already."""
+    import pandas as pd
+    rnd = random.Random(6)
+    pages = [(i, f"u{i // 2}", [rnd.choice([0.0, 1.0, 2.0]) for _ in range(3 if i % 9 else 2)]) for i in range(60)]
+    taken = {i: [f"u{rnd.randrange(30)}" for _ in range(rnd.randrange(3))] for i in range(20)}
+    rows = [(1, i, u, v, [], False) for i, u, v in pages] + [(1, i, u, v, taken[i], True) for i, u, v in pages[:20]]
+    rnd.shuffle(rows)
+    got = semantic._best_sources((1,), pd.DataFrame(rows, columns=["audit_id", "seq", "norm", "vector", "taken", "is_target"]))
+    want = set()
+    for i, u, v in pages[:20]:
+        scored = []
+        for j, w, x in pages:
+            size = np.linalg.norm(v) * np.linalg.norm(x)
+            score = int(np.floor(np.dot(v, x) / size * 100 + 0.5)) if len(v) == len(x) and size else 0
+            if score >= semantic.MIN_SIMILARITY and w != u and w not in taken[i]:
+                scored.append((-score, j))
+        want |= {(i, j, -s) for s, j in sorted(scored)[:3]}
+    assert {(r.target_id, r.source_id, r.semantic) for r in got.itertuples()} == want and len(got) == len(want)
+
+
+def test_spread_holds_after_a_join_on_the_same_keys(spark):
+    """Costly rows stay on all cores where Spark would read a few small partitions in one task."""
+    left, right = (spark.range(4000).select((F.col("id") % 3).alias("audit_id"), F.col("id").alias("seq")).hint("merge") for _ in range(2))
+    rows = skew.spread(left.join(right, ["audit_id", "seq"]), "audit_id", "seq")
+    assert rows.rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
+    assert rows.count() == 4000
+
+
 def test_far_blocks_of_vectors_are_skipped(spark):
     """On clustered vectors most block pairs fall away, and none that holds an accepted cosine does."""
     rng = np.random.default_rng(8)
