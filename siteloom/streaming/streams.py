@@ -18,6 +18,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 from siteloom.functions import constants as K
 from siteloom.operators import history, monitoring
+from siteloom.session import stage
 
 LATENESS = "1 hour"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -336,7 +337,8 @@ def audit_alert_batch(read_history: Callable[[], tuple[DataFrame, DataFrame]],
         # only owners that have an audit in the batch: trends compare audits of one owner
         owners = audits.join(fresh, "audit_id", "left_semi").select("owner").distinct()
         audits = audits.join(owners, "owner", "left_semi")
-        pairs = history.audit_trend(audits).join(fresh, "audit_id", "left_semi")
+        # every step below starts from these pairs, so they are worked out once
+        pairs = stage(history.audit_trend(audits).join(fresh, "audit_id", "left_semi"))
         needed = pairs.select(F.explode(F.array("audit_id", "previous_audit_id")).alias("audit_id")).filter(
             "audit_id is not null").distinct()
         diff = history.issue_diff(issues.join(needed, "audit_id", "left_semi"), pairs.select("audit_id", "previous_audit_id"))

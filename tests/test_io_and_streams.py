@@ -294,6 +294,20 @@ def test_alerts_are_written_once(spark, tmp_path):
     assert rows() == second
 
 
+def test_pairs_of_an_alert_batch_are_worked_out_once(spark, tmp_path, monkeypatch):
+    audits = spark.createDataFrame([(i, 7, 3, "r", 90 - i, dt.datetime(2024, 1, i), 5, None, None) for i in (1, 2)],
+                                   "audit_id int, owner int, project_id int, root_url string, score int, created_at timestamp, pages_scanned int, "
+                                   "stopped_reason string, previous_status string")
+    issues = spark.createDataFrame([], "audit_id int, seq int, code string, severity string, title string, url string, evidence string")
+    done = streams.BatchTable(spark, str(tmp_path / "done"), "audit_id int")
+    alerts = streams.BatchTable(spark, str(tmp_path / "alerts"), "audit_id int, severity string, kind string, title string, message string")
+    plans, plain = [], monitoring.monitoring_alerts
+    monkeypatch.setattr(monitoring, "monitoring_alerts", lambda pairs, diff: plans.append(
+        pairs._jdf.queryExecution().optimizedPlan().toString()) or plain(pairs, diff))
+    streams.audit_alert_batch(lambda: (audits, issues), done, alerts)(audits, 0)
+    assert len(plans) == 1 and "Join" not in plans[0]
+
+
 def test_history_lists(spark):
     rows = [(i, i % 2, dt.datetime(2024, 1, 1 + i)) for i in range(10)]
     df = spark.createDataFrame(rows, "id int, owner int, created_at timestamp")
