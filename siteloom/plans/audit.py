@@ -33,7 +33,7 @@ class AuditResult:
 
     @cached_property
     def groups(self) -> DataFrame:
-        """Issue groups."""
+        """Issue groups; the evidence of duplicate findings stands in ``findings.duplicate_evidence``."""
         return scoring.group_issues(self.parts)
 
 

@@ -345,3 +345,12 @@ def test_an_issue_with_a_url_is_counted_in_one_row(spark):
     assert {(r.kind, r.value, r.n) for r in parts.collect()} == {("u", "https://e.com/1", 2), ("u", "https://e.com/2", 1), ("g", "", 1), ("e", "x", 2)}
     g = scoring.group_issues(parts).first()
     assert (g.n_issues, g.n_urls, g.n_evidence, g.url, g.description) == (4, 2, 1, "https://e.com/1", "2 crawled pages are affected. earliest")
+
+
+def test_an_issue_group_holds_its_whole_evidence(spark):
+    rows = [(1, 9000, 0, "a", "https://e.com/2", "second"), (1, 5, 0, "a", "https://e.com/9", " first\nline "), (1, 20000, 0, "a", "https://e.com/2", "first\nline"),
+            (1, 20001, 0, "a", None, None), (1, 3, 0, "b", "https://e.com/1", ""), (1, 4, 0, "c", None, "alone")]
+    issues = spark.createDataFrame(rows, "audit_id int, seq int, rule_no int, code string, url string, evidence string").select(
+        "*", *[F.lit(x).alias(x) for x in ("severity", "title", "recommendation", "description")])
+    got = {r.code: r.evidence for r in scoring.group_issues(scoring.grouped_issue_parts(issues)).collect()}
+    assert got == {"a": "first\nline\n\nsecond\n\nAffected URLs:\nhttps://e.com/9\nhttps://e.com/2", "b": None, "c": "alone"}
