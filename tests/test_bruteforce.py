@@ -283,3 +283,47 @@ def test_crawl_state_is_one_scan_of_few_folders(spark):
         assert len(levels.folders) <= 6
     assert sorted(tuple(r) for r in levels.all().collect()) == [(i, f"u{i}") for i in range(20)]
     assert "Union" not in levels.all()._jdf.queryExecution().toString()
+
+
+CRAWL = "audit_id int, src string, dst string, position int"
+
+
+def crawled(frames, **kw):
+    visited, stopped = crawl_order(*frames, **kw)
+    return (sorted((tuple(r) for r in visited.collect()), key=repr), sorted(r.audit_id for r in stopped.collect()))
+
+
+@pytest.mark.parametrize("linked_by,max_pages", [("final_url", 1 << 30), ("url", 12)])
+def test_small_audits_walk_as_the_rounds_do(spark, linked_by, max_pages):
+    rnd = random.Random(5)
+    urls = {a: [f"https://e{a}.com/"] + [f"https://e{a}.com/p{i % 9}" + (f"?q={i}" if i % 3 == 0 and a != 2 else f"/{i}") for i in range(1, 40)] for a in (1, 2, 3)}
+    edges = [(a, rnd.choice(us), rnd.choice([*us, None]), n) for a, us in urls.items() for n in range(130)]
+    odd = [True] * 12 + [False, None]
+    landings = [(a, u, rnd.choice(us) if rnd.random() < 0.15 else u, rnd.choice(odd), rnd.choice(odd))
+                for a, us in urls.items() for u in us if u == us[0] or rnd.random() < 0.95] + [(1, None, "https://e1.com/x", True, True)]
+    # captures and links that come twice, and one whose final URL is not known
+    landings += landings[3:9] + [(3, urls[3][5], None, True, True)]
+    roots = spark.createDataFrame([(a, us[0]) for a, us in urls.items()] + [(None, "https://e.com/"), (4, "https://e4.com/"), (5, None)], "audit_id int, root_url string")
+    graph = spark.createDataFrame(edges + edges[:20], CRAWL)
+    caps = spark.createDataFrame(landings, "audit_id int, url string, final_url string, is_html boolean, allowed boolean")
+    seeds = spark.createDataFrame([(1, urls[1][7], 0), (1, urls[1][30], None), (3, "https://e3.com/p3?q=99", 1)], "audit_id int, url string, position int")
+    frames = (roots, graph, caps)
+    want = crawled(frames, max_pages=max_pages, seeds=seeds, linked_by=linked_by, local_rows=0)
+    assert crawled(frames, max_pages=max_pages, seeds=seeds, linked_by=linked_by) == want and len(want[0]) > 40
+    # the largest audits by rounds, the others in a task
+    assert linked_by == "final_url" or crawled(frames, max_pages=max_pages, seeds=seeds, linked_by=linked_by, local_rows=175) == want
+
+
+def test_a_deep_audit_takes_no_round_a_level(spark, monkeypatch):
+    from siteloom.plans import crawl
+    staged = []
+    keep = crawl.stage
+    monkeypatch.setattr(crawl, "stage", lambda df: staged.append(1) or keep(df))
+    depth = 500
+    roots = spark.createDataFrame([(1, "https://e.com/0")], "audit_id int, root_url string")
+    graph = spark.createDataFrame([(1, f"https://e.com/{i}", f"https://e.com/{i + 1}", 0) for i in range(depth)], CRAWL)
+    caps = spark.createDataFrame([(1, f"https://e.com/{i}", f"https://e.com/{i}", True, True) for i in range(depth + 1)],
+                                 "audit_id int, url string, final_url string, is_html boolean, allowed boolean")
+    visited, stopped = crawl_order(roots, graph, caps, max_pages=1 << 30)
+    assert [(r.url, r.depth) for r in visited.orderBy("seq").collect()] == [(f"https://e.com/{i}", i) for i in range(depth + 1)]
+    assert stopped.count() == 0 and len(staged) <= 4
