@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from siteloom.functions import constants as K
 from siteloom.functions import text as X
 from siteloom.functions import urls as U
-from siteloom.operators.skew import bucketed_rank, spread, top_per_key
+from siteloom.operators.skew import bucketed_rank, core_parts, spread, top_per_key
 from siteloom.session import stage
 
 PAIR = ["audit_id", "target_id"]
-MIN_SCORE, SPARE = 28, 16
+MIN_SCORE = 28
+#: Stands for a missing page number.
+NO_SEQ = -(1 << 63)
 
 
 def indexable(pages: DataFrame) -> DataFrame:
@@ -54,104 +60,100 @@ def _targets(profile: DataFrame, roots: DataFrame) -> DataFrame:
     return profile.join(homes, "audit_id").filter((F.col("norm") != F.col("home"))).drop("home")
 
 
-def link_candidates(profile: DataFrame, roots: DataFrame, existing: DataFrame, hot_df: int = 512) -> DataFrame:
+def link_candidates(profile: DataFrame, roots: DataFrame, existing: DataFrame, hot_df: int = 512, block: int = 1 << 15) -> DataFrame:
     """The best two or three sources of every weak target (fewer than three incoming links), exactly.
 
-    Tokens on at most ``hot_df`` pages of an audit pair pages through an equi-join, so a page meets a bounded number of
-    partners per token. Frequent tokens never pair pages: pages with the same set of frequent tokens, section and bonus
-    form a class, only classes are joined, and a class offers its first sources by URL - enough to survive the
-    exclusions (itself, pages that link already). Targets with more exclusions than that take the plain join.
-    ``existing``: audit_id, src_norm, dst_norm.
+    An audit's pages are cut by hash into blocks of about ``block`` sources and an eighth as many targets. Each block of targets meets
+    each block of sources in one task (``_best_sources``), which counts shared tokens as arrays and returns three sources a
+    target; the best of all blocks stay. So no pair of pages is ever a row, and a task holds two blocks, however large an audit
+    or common a token. ``existing``: audit_id, src_norm, dst_norm.
     """
     c = F.col
-    words = profile.select("audit_id", F.explode("tokens").alias("token"))
-    hot = stage(words.groupBy("audit_id", "token").agg(F.count("*").alias("df")).filter(c("df") > hot_df).drop("df"))
-    # Exclusions count pages, not URLs: all query variants of a linking URL, and those of the target itself.
-    variants = profile.groupBy("audit_id", c("norm").alias("src_norm")).agg(F.count(F.lit(1)).alias("pages"))
-    barred = existing.select("audit_id", "src_norm", "dst_norm").unionByName(
-        variants.select("audit_id", "src_norm", c("src_norm").alias("dst_norm"))).distinct()
-    blocked = barred.join(variants, ["audit_id", "src_norm"]).groupBy("audit_id", c("dst_norm").alias("norm")).agg(
-        F.sum("pages").alias("blocked"))
-    if hot.isEmpty():
-        pages = profile.withColumns({"n": F.size("tokens"), "hots": F.array().cast("array<string>")})
-        weak = _targets(pages, roots).filter("incoming_links < 3").withColumn("busy", F.lit(False))
-        pairs = _rare_pairs(weak, pages, c("tokens"))
-    else:
-        flagged = (profile.select("audit_id", "seq", F.explode_outer("tokens").alias("token"))
-                   .join(hot.withColumn("hot", F.lit(True)), ["audit_id", "token"], "left")
-                   .groupBy("audit_id", "seq").agg(F.array_sort(F.collect_list(F.when(c("hot"), c("token")))).alias("hots")))
-        pages = stage(spread(profile.join(flagged, ["audit_id", "seq"]).withColumn("n", F.size("tokens")), "audit_id", "seq"))
-        weak = stage(spread(_targets(pages, roots).filter("incoming_links < 3").join(blocked, ["audit_id", "norm"], "left")
-                            .withColumn("busy", F.coalesce("blocked", F.lit(0)) > SPARE), "audit_id", "seq"))
-        wanted = F.when(c("busy"), c("tokens")).otherwise(F.array_except("tokens", "hots"))
-        pairs = (_by_pair(_rare_pairs(weak, pages, wanted).unionByName(_frequent_pairs(weak, pages)))
-                 .agg(F.max("shared").alias("shared"), *[F.first(x).alias(x) for x in PAIR_COLUMNS if x not in (
-                     "audit_id", "target_id", "source_id", "shared")]))
-    scored = pairs.withColumn("score", link_score(c("shared"), c("target_n"), (c("target_parent") != "")
-                                                  & (c("target_parent") == c("source_parent")), c("bonus")))
-    linked = existing.select("audit_id", c("src_norm").alias("source_norm"), c("dst_norm").alias("target_norm"))
-    open_pairs = scored.filter(c("score") >= MIN_SCORE).join(linked, ["audit_id", "source_norm", "target_norm"], "left_anti")
-    ranked = top_per_key(open_pairs, PAIR, [F.desc("score"), "source_url", "source_id"], 3, "rank")
+    # pages without a number count as one page, as in a group of nulls
+    live = profile.filter("audit_id is not null and norm is not null").withColumns(
+        {"seq": F.coalesce(c("seq").cast("long"), F.lit(NO_SEQ)), "n": F.size("tokens"), "words": F.array_join("tokens", " ")}).filter("n > 0")
+    weak = _targets(live, roots).filter("incoming_links < 3")
+
+    def blocks(df: DataFrame, size: int, name: str) -> DataFrame:
+        return df.groupBy("audit_id").agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias(name))
+    cut = stage(blocks(live, block, "js").join(blocks(weak, max(1, block // 8), "is"), "audit_id"))
+    sources = live.join(cut, "audit_id").withColumn("j", F.pmod(F.xxhash64("seq"), c("js")).cast("int"))
+    targets = weak.join(cut, "audit_id").withColumn("i", F.pmod(F.xxhash64("seq", F.lit(7)), c("is")).cast("int"))
+    closed = (existing.select("audit_id", c("src_norm").alias("url"), c("dst_norm").alias("norm")).distinct()
+              .join(targets.select("audit_id", "norm", "i").distinct(), ["audit_id", "norm"])
+              .join(sources.select("audit_id", c("norm").alias("url"), "j").distinct(), ["audit_id", "url"]))
+
+    def rows(df: DataFrame, kind: int) -> DataFrame:
+        held = {"seq": F.lit(0).cast("long"), "words": F.lit(""), "n": F.lit(0), "parent": F.lit(""), "bonus": F.lit(0), "incoming_links": F.lit(0)}
+        return df.select("audit_id", c("i").cast("int").alias("i"), c("j").cast("int").alias("j"), F.lit(kind).alias("kind"), "url", "norm",
+                         *[(c(x) if kind < 2 else v).alias(x) for x, v in held.items()])
+    every = rows(targets.withColumn("j", F.explode(F.sequence(F.lit(0), c("js") - 1))), 0).unionByName(
+        rows(sources.withColumn("i", F.explode(F.sequence(F.lit(0), c("is") - 1))), 1)).unionByName(rows(closed, 2))
+    kind = profile.schema["audit_id"].dataType.simpleString()
+    # few bytes may be much work, so the partitions are not left to be merged
+    near = every.repartition(core_parts(profile), "audit_id", "i", "j").groupBy("audit_id", "i", "j").applyInPandas(
+        _best_sources(hot_df), f"audit_id {kind}, target_id long, source_id long, source_url string, score int, incoming_links int")
+    ranked = top_per_key(near, PAIR, [F.desc("score"), "source_url", "source_id"], 3, "rank")
+    number = profile.schema["seq"].dataType
     return ranked.filter((c("rank") <= 2) | (c("incoming_links") == 0)).select(
-        "audit_id", "target_id", "source_id", "source_url", "score", "rank")
-
+        "audit_id", *[F.nullif(c(x), F.lit(NO_SEQ)).cast(number).alias(x) for x in ("target_id", "source_id")], "source_url", "score", "rank")
 
-PAIR_COLUMNS = ["audit_id", "target_id", "source_id", "target_norm", "target_n", "target_parent", "incoming_links",
-                "source_url", "source_norm", "source_parent", "bonus", "shared"]
 
+def _best_sources(hot_df: int) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
+    """One block of weak targets against one block of sources: the best three sources of each target.
 
-def _target_columns() -> list:
-    c = F.col
-    return [c("seq").alias("target_id"), c("norm").alias("target_norm"), c("n").alias("target_n"),
-            c("parent").alias("target_parent"), c("hots").alias("target_hots"), c("incoming_links")]
-
-
-def _source_columns() -> list:
-    c = F.col
-    return [c("seq").alias("source_id"), c("url").alias("source_url"), c("norm").alias("source_norm"),
-            c("parent").alias("source_parent"), c("bonus")]
-
-
-def _by_pair(rows: DataFrame):
-    """groupBy (audit_id, target_id, source_id) behind one number of both pages, for their texts make the aggregate sort.
-
-    Its comparisons then end at the first 64 bits, which audit_id (few values) would not, and rows of a target stay together.
+    Rows of kind 0 are targets, 1 sources, 2 pairs of normal URLs that are linked already (url to norm). A token's pages are a list, those
+    of a token on more than ``hot_df`` of them (and a sixteenth of the block) an array of counts that is added whole. Scores as in ``link_score``.
     """
-    both = F.shiftleft("target_id", 24).bitwiseOR(F.col("source_id").bitwiseAND(F.lit(0xFFFFFF)))
-    return rows.withColumn("__pair", both).groupBy("__pair", "audit_id", "target_id", "source_id")
-
-
-def _rare_pairs(weak: DataFrame, pages: DataFrame, wanted: Column) -> DataFrame:
-    """Target-source pairs that meet through one of the target's wanted tokens, with all their shared tokens counted."""
-    c = F.col
-    seekers = weak.select("audit_id", *_target_columns(), "busy", F.explode(wanted).alias("token"))
-    holders = pages.select("audit_id", *_source_columns(), c("hots").alias("source_hots"), F.explode("tokens").alias("token"))
-    met = seekers.join(holders, ["audit_id", "token"]).filter(c("source_norm") != c("target_norm"))
-    carried = [x for x in PAIR_COLUMNS if x not in ("audit_id", "target_id", "source_id", "shared")]
-    counted = _by_pair(met).agg(
-        F.count(F.lit(1)).alias("k"), *[F.first(x).alias(x) for x in (*carried, "busy", "target_hots", "source_hots")])
-    frequent = F.when(c("busy"), 0).otherwise(F.size(F.array_intersect("source_hots", "target_hots")))
-    return counted.withColumn("shared", c("k") + frequent).select(*PAIR_COLUMNS)
-
-
-def _frequent_pairs(weak: DataFrame, pages: DataFrame) -> DataFrame:
-    """For every target the first sources of each reachable class of pages that share its frequent tokens."""
-    c = F.col
-    group = ["audit_id", "source_hots", "source_parent", "bonus"]
-    classes = pages.filter(F.size("hots") > 0).select("audit_id", *_source_columns(), c("hots").alias("source_hots"))
-    offers = stage(top_per_key(classes, group, ["source_url", "source_id"], SPARE + 3))
-    calm = weak.filter(~c("busy") & (F.size("hots") > 0)).select("audit_id", *_target_columns())
-    reach = (calm.select("audit_id", "target_hots").distinct().withColumn("token", F.explode("target_hots"))
-             .join(offers.select(*group).distinct().withColumn("token", F.explode("source_hots")), ["audit_id", "token"])
-             .groupBy("target_hots", *group).agg(F.count("*").alias("shared")))
-    ready = reach.join(offers, group)
-    order = ["source_url", "source_id"]
-    any_section = top_per_key(ready, ["audit_id", "target_hots", "shared", "bonus"], order, SPARE + 3)
-    same_section = top_per_key(ready, ["audit_id", "target_hots", "source_parent", "shared", "bonus"], order, SPARE + 3)
-    far = calm.join(any_section, ["audit_id", "target_hots"])
-    near = calm.filter("target_parent <> ''").withColumn("source_parent", c("target_parent")).join(
-        same_section, ["audit_id", "target_hots", "source_parent"])
-    return far.select(*PAIR_COLUMNS).unionByName(near.select(*PAIR_COLUMNS)).filter(c("source_norm") != c("target_norm"))
+    def best(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        kind, out = pdf["kind"].to_numpy(), []
+        targets, sources, closed = pdf[kind == 0], pdf[kind == 1], pdf[kind == 2]
+        if len(targets) and len(sources):
+            sources = sources.sort_values(["url", "seq"], ignore_index=True)
+            page, seqs = pd.factorize(sources["seq"])
+            firsts = sources.drop_duplicates("seq")
+            urls, parents, bonus = firsts["url"].to_numpy(), firsts["parent"].to_numpy(), firsts["bonus"].to_numpy(np.int32)
+            size = len(seqs)
+            token, names = pd.factorize(np.array(" ".join(sources["words"]).split(" "), dtype=object))
+            order = np.argsort(token, kind="stable")
+            holders = np.repeat(page, sources["n"].to_numpy())[order]
+            ends = np.searchsorted(token[order], np.arange(len(names) + 1))
+            number = {name: i for i, name in enumerate(names)}
+            pages = [holders[ends[i]:ends[i + 1]] for i in range(len(names))]
+            hot = {i: np.bincount(p, minlength=size).astype(np.int32) for i, p in enumerate(pages) if len(p) > max(hot_df, size // 16)}
+            places = {norm: page[at] for norm, at in sources.groupby("norm", sort=False).indices.items()}
+            barred = {norm: [places[norm]] if norm in places else [] for norm in set(targets["norm"])}
+            for src, norm in zip(closed["url"], closed["norm"]):
+                barred[norm].append(places[src])
+            barred = {norm: np.concatenate(at) for norm, at in barred.items() if at}
+            wanted = {}
+            for seq, norm, words, n, parent, links in zip(*(targets[x] for x in ("seq", "norm", "words", "n", "parent", "incoming_links"))):
+                wanted.setdefault(seq, (parent, norm, n, links, []))[4].extend(words.split(" "))
+            section, offered = None, bonus
+            for seq, (parent, norm, n, links, words) in sorted(wanted.items(), key=lambda w: w[1][0]):
+                met = [number[w] for w in words if w in number]
+                if not met:
+                    continue
+                if parent != section:
+                    section, offered = parent, bonus + np.int32(12) * (parents == parent) if parent else bonus
+                rare = [pages[i] for i in met if i not in hot]
+                shared = np.bincount(np.concatenate(rare), minlength=size) if rare else np.zeros(size, np.int64)
+                for i in met:
+                    if i in hot:
+                        shared += hot[i]
+                worth = np.floor(np.arange(shared.max() + 1) / n * 72 + 0.5).astype(np.int32)
+                worth[0] = -1000
+                score = np.minimum(worth[shared] + offered, 100)
+                if norm in barred:
+                    score[barred[norm]] = -1
+                for _ in range(3):  # the first of the highest scores is that of the first URL
+                    at = score.argmax()
+                    if score[at] < MIN_SCORE:
+                        break
+                    out.append((key[0], seq, seqs[at], urls[at], score[at], links))
+                    score[at] = -1
+        return pd.DataFrame(out, columns=["audit_id", "target_id", "source_id", "source_url", "score", "incoming_links"])
+    return best
 
 
 def internal_links(pages: DataFrame, roots: DataFrame, links: DataFrame, compat: bool = True, hot_df: int = 512,

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from siteloom.functions import constants as K
 from siteloom.functions import urls as U
-from siteloom.operators.skew import bucketed_rank, first_per_key, top_per_key
+from siteloom.operators.skew import bucketed_rank, core_parts, first_per_key, top_per_key
 from siteloom.session import stage, staging_dir
 
 #: An audit of at most so many queue starts, captures and links is walked in one task; a larger one takes a round of joins a level.
@@ -113,10 +113,8 @@ def _walked(start: DataFrame, captures: DataFrame, links: DataFrame, max_pages:
                   allowed=F.coalesce("allowed", F.lit(False)))
     linked = rows(links.filter("src is not null and dst is not null"), 2, c("src"), c("dst"), c("dst"), position=c("position"))
     # few audits may be much work, so the partitions are not left to be merged by their bytes
-    spark = start.sparkSession
-    parts = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     kind = start.schema["audit_id"].dataType.simpleString()
-    walked = begun.unionByName(landed).unionByName(linked).repartition(parts, "audit_id").groupBy("audit_id").applyInPandas(
+    walked = begun.unionByName(landed).unionByName(linked).repartition(core_parts(start), "audit_id").groupBy("audit_id").applyInPandas(
         _walk(max_pages, guard, linked_by, K.MAX_QUERY_VARIANTS),
         f"audit_id {kind}, url string, final_url string, flag int, seq long, depth int, landed boolean")
     return walked.withColumn("is_html", F.when(c("flag") >= 0, c("flag") == 1)).select(*WALK_COLUMNS)

@@ -327,3 +327,22 @@ def test_a_deep_audit_takes_no_round_a_level(spark, monkeypatch):
     visited, stopped = crawl_order(roots, graph, caps, max_pages=1 << 30)
     assert [(r.url, r.depth) for r in visited.orderBy("seq").collect()] == [(f"https://e.com/{i}", i) for i in range(depth + 1)]
     assert stopped.count() == 0 and len(staged) <= 4
+
+
+def test_link_candidates_in_blocks(spark):
+    """Any block size gives the same sources; no pair of pages that share a token becomes a row of a shuffle."""
+    rnd = random.Random(21)
+    words = [f"w{i}" for i in range(12)]
+    pages = [(a, i, f"https://e{a}.com/" if i == 0 else f"https://e{a}.com/{'ab'[i % 2]}/x{i}" + ("?v=1" if i % 7 == 0 else ""), 200, "", topic, [topic], 100 + 9 * (i % 13),
+              rnd.randrange(0, 30), i % 4) for a in (1, 2) for i in range(90) for topic in [" ".join(["the", "same"] + rnd.sample(words, rnd.randrange(0, 5)))]]
+    pages += pages[5:9]  # pages that come twice
+    df = spark.createDataFrame(pages, "audit_id int, seq long, url string, status int, robots string, title string, h1s array<string>, "
+                                      "word_count int, n_links int, incoming_links int")
+    edges = [(rnd.choice((1, 2)), rnd.choice(pages)[2], rnd.choice(pages)[2]) for _ in range(300)]
+    existing = spark.createDataFrame(edges, "audit_id int, src string, dst string").select(
+        "audit_id", normalize_link_url(F.col("src")).alias("src_norm"), normalize_link_url(F.col("dst")).alias("dst_norm"))
+    profile, roots = links.page_profile(df).cache(), findings.audit_roots(df)
+    got = [{tuple(r) for r in links.link_candidates(profile, roots, existing, hot_df, block).collect()} for hot_df, block in ((512, 1 << 15), (3, 16))]
+    assert got[0] == got[1] and len(got[0]) > 200
+    plan = links.link_candidates(profile, roots, existing)._jdf.queryExecution().toString()
+    assert "token" not in plan.replace("tokens", "")
