@@ -9,6 +9,7 @@ from siteloom.functions import urls as U
 from siteloom.operators import findings, linkgraph, links, semantic
 from siteloom.plans.registry import query
 from siteloom.plans.tables import table
+from siteloom.session import stage
 
 
 def linked_pages(spark, sf_dir):
@@ -21,7 +22,8 @@ def linked_pages(spark, sf_dir):
 
 
 def base_links(spark, sf_dir, **kw):
-    pages, edges = linked_pages(spark, sf_dir)
+    # several steps read both, and each would go through the bodies again
+    pages, edges = map(stage, linked_pages(spark, sf_dir))
     roots = findings.audit_roots(pages.select("audit_id", "url", "seq"))
     return links.internal_links(pages, roots, edges, **kw), pages, roots, edges
 
