@@ -221,11 +221,12 @@ def semantic_links(suggestions: DataFrame, skipped: DataFrame, pages: DataFrame,
     cols = ["audit_id", "source_id", "target_id", "source_url", "target_url", "anchor_text", "score", "confidence",
             "reasons", "status", "added"]
     # counted in blocks of equal score, so that a large audit is not one task
-    merged = bucketed_rank(enhanced.select(*cols).unionByName(additions.select(*cols)), ["audit_id"], -c("score"),
-                           [F.desc("score"), "source_url", "added", "target_id"], "position")
+    every = enhanced.select(*cols).unionByName(additions.select(*cols))
+    merged = bucketed_rank(every, ["audit_id"], -c("score"), [F.desc("score"), "source_url", "added", "target_id"], "position")
     if budget is not None:
         merged = merged.filter(c("position") <= budget)
-    matched = merged.select("audit_id", U.normalize_link_url(c("target_url")).alias("norm")).distinct()
+    # without a budget every pair stays, so what is skipped needs neither scores nor positions
+    matched = (every if budget is None else merged).select("audit_id", U.normalize_link_url(c("target_url")).alias("norm")).distinct()
     left = (skipped.withColumn("norm", U.normalize_link_url(c("target_url")))
             .join(matched, ["audit_id", "norm"], "left_anti").drop("norm"))
     return merged, left
